@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from cadence.functions.calendar import MONTH_PREFIX, MONTHS, TOTAL_COLUMN, month_label
 from cadence.functions.rules import CATEGORY_TYPE, MAKER_TYPE
 from cadence.operators.reshape import keep_positive, unpivot_monthly
+from cadence.session import materialize
 
 # Detailed category for each driver part type (rebase rule).
 CATEGORY_OF_PART_TYPE = {
@@ -89,21 +90,55 @@ def wide_monthly(counts: DataFrame) -> DataFrame:
     )
 
 
-def monthly_facts(spark: SparkSession, sf_dir: str, keep_zero: bool = True) -> DataFrame:
+def monthly_from_counts(counts: DataFrame, keep_zero: bool = True) -> DataFrame:
     """Long monthly facts (Name, DataType, Year, Month, MonthlyRegistrations).
 
     keep_zero=True is the file profile (empty covered months are 0 rows);
     False is the store profile (only positive counts are facts).
     """
-    wide = wide_monthly(monthly_counts(spark, sf_dir))
-    long = unpivot_monthly(wide, ids=["Name", "DataType", "Year"], keep_null_cells=False)
+    long = unpivot_monthly(wide_monthly(counts), ids=["Name", "DataType", "Year"], keep_null_cells=False)
     return long if keep_zero else keep_positive(long, "MonthlyRegistrations")
 
 
-def annual_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annual_from_counts(counts: DataFrame) -> DataFrame:
     """Long annual facts (Name, DataType, Year, Registrations)."""
-    c = monthly_counts(spark, sf_dir)
-    return c.groupBy("Name", "DataType", "Year").agg(F.sum("n").cast("bigint").alias("Registrations"))
+    return counts.groupBy("Name", "DataType", "Year").agg(F.sum("n").cast("bigint").alias("Registrations"))
+
+
+class FactSet:
+    """The facts of one query over one data folder.
+
+    The per-(kind, entity, year, month) counts are computed once (one pass of
+    the scan + join) and checkpointed; annual, monthly and wide facts all
+    derive from that small table.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self.counts = materialize(monthly_counts(spark, sf_dir), "counts")
+
+    @property
+    def annual(self) -> DataFrame:
+        return annual_from_counts(self.counts)
+
+    def monthly(self, keep_zero: bool = True) -> DataFrame:
+        return monthly_from_counts(self.counts, keep_zero)
+
+    @property
+    def wide_monthly(self) -> DataFrame:
+        return wide_monthly(self.counts)
+
+    def table(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
+def monthly_facts(spark: SparkSession, sf_dir: str, keep_zero: bool = True) -> DataFrame:
+    return FactSet(spark, sf_dir).monthly(keep_zero)
+
+
+def annual_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FactSet(spark, sf_dir).annual
 
 
 def monthly_facts_from_counts(counts: DataFrame) -> DataFrame:

@@ -72,12 +72,8 @@ CUSTOM_RULES = (
 
 # ---------------------------------------------------------------- shared inputs
 
-def annual(spark, d):
-    return facts.annual_facts(spark, d)
-
-
-def monthly(spark, d):
-    return facts.monthly_facts(spark, d, keep_zero=True)
+def fact_set(spark, d) -> facts.FactSet:
+    return facts.FactSet(spark, d)
 
 
 def grouped(df: DataFrame, rules=FILE_RULES) -> DataFrame:
@@ -86,21 +82,21 @@ def grouped(df: DataFrame, rules=FILE_RULES) -> DataFrame:
 
 
 def yoy_all(spark, d):
-    return yoy_growth(grouped(annual(spark, d)))
+    return yoy_growth(grouped(fact_set(spark, d).annual))
 
 
 def qoq_all(spark, d):
-    return qoq_growth(grouped(monthly(spark, d)))
+    return qoq_growth(grouped(fact_set(spark, d).monthly()))
 
 
 # ---------------------------------------------------------------- growth core
 
 def q_agg_annual(spark, d):
-    return aggregate_annual(grouped(annual(spark, d)))
+    return aggregate_annual(grouped(fact_set(spark, d).annual))
 
 
 def q_lag_year(spark, d):
-    a = aggregate_annual(grouped(annual(spark, d)))
+    a = aggregate_annual(grouped(fact_set(spark, d).annual))
     return a.withColumn("PrevYearRegistrations", F.lag("Registrations").over(_entity_window("Year")))
 
 
@@ -120,18 +116,18 @@ def q_yoy_growth(spark, d):
 
 
 def q_agg_quarterly(spark, d):
-    return aggregate_quarterly(grouped(monthly(spark, d)))
+    return aggregate_quarterly(grouped(fact_set(spark, d).monthly()))
 
 
 def q_lag_quarter(spark, d):
-    q = aggregate_quarterly(grouped(monthly(spark, d)))
+    q = aggregate_quarterly(grouped(fact_set(spark, d).monthly()))
     return q.withColumn(
         "PrevQuarterRegistrations", F.lag("QuarterlyRegistrations").over(_entity_window("Year", "Quarter"))
     )
 
 
 def q_quarter_label(spark, d):
-    m = with_month_dates(monthly(spark, d))
+    m = with_month_dates(fact_set(spark, d).monthly())
     return m.select(
         "Name",
         "DataType",
@@ -205,32 +201,32 @@ def q_insight_qoq(spark, d):
 # ---------------------------------------------------------------- profiles and cleaning
 
 def q_keep_positive(spark, d):
-    return keep_positive(monthly(spark, d), "MonthlyRegistrations")
+    return fact_set(spark, d).monthly(keep_zero=False)
 
 
 def q_drop_nulls(spark, d):
-    wide = facts.wide_monthly(facts.monthly_counts(spark, d))
+    wide = fact_set(spark, d).wide_monthly
     long = unpivot_monthly(wide, ids=["Name", "DataType", "Year"], coerce=False)
     return drop_nulls(long, ["MonthlyRegistrations"])
 
 
 def q_guard_missing_cols(spark, d):
-    return yoy_growth(annual(spark, d).drop("Registrations"))
+    return yoy_growth(fact_set(spark, d).annual.drop("Registrations"))
 
 
 def q_month_dates(spark, d):
-    return with_month_dates(monthly(spark, d)).select(
+    return with_month_dates(fact_set(spark, d).monthly()).select(
         "Name", "DataType", "Year", "Month", "MonthNum", "Date", "MonthlyRegistrations"
     )
 
 
 def q_unpivot_monthly(spark, d):
-    wide = facts.wide_monthly(facts.monthly_counts(spark, d))
+    wide = fact_set(spark, d).wide_monthly
     return unpivot_monthly(wide, ids=["Name", "DataType", "Year"], keep_null_cells=False)
 
 
 def q_unpivot_annual(spark, d):
-    wide = wide_csv.wide_annual(annual(spark, d))
+    wide = wide_csv.wide_annual(fact_set(spark, d).annual)
     return unpivot_annual(wide, ids=["Name", "DataType"], keep_null_cells=False)
 
 
@@ -290,7 +286,7 @@ def q_category_custom_rules(spark, d):
 
 
 def q_group_name(spark, d):
-    a = annual(spark, d)
+    a = fact_set(spark, d).annual
     return a.withColumn("GroupName", group_name("DataType", "Name", STORE_RULES))
 
 
@@ -298,13 +294,13 @@ def q_group_name(spark, d):
 
 def _write_monthly_reports(spark, d) -> str:
     out = scratch_path(spark, "reports")
-    wide_csv.write_reports(facts.wide_monthly(facts.monthly_counts(spark, d)), out, "monthly")
+    wide_csv.write_reports(fact_set(spark, d).wide_monthly, out, "monthly")
     return out
 
 
 def _write_annual_reports(spark, d) -> str:
     out = scratch_path(spark, "reports")
-    wide_csv.write_reports(wide_csv.annual_report_frame(annual(spark, d)), out, "annual")
+    wide_csv.write_reports(wide_csv.annual_report_frame(fact_set(spark, d).annual), out, "annual")
     return out
 
 
@@ -331,7 +327,7 @@ def q_src_file_meta(spark, d):
 
 def q_src_rejects(spark, d):
     out = scratch_path(spark, "reports")
-    a = wide_csv.annual_report_frame(annual(spark, d))
+    a = wide_csv.annual_report_frame(fact_set(spark, d).annual)
     wide_csv.write_reports(a, out, "annual")
     # Reports of an unknown kind: the category reports under another kind token.
     cat = a.where(F.col("DataType") == CATEGORY_TYPE)
@@ -384,14 +380,15 @@ def q_load_store_profile(spark, d):
 def _store_split(spark, d):
     """The store-profile facts split by year into an initial load and a
     later batch that overlaps it by one year."""
-    m = keep_positive(monthly(spark, d), "MonthlyRegistrations")
-    last = facts.monthly_counts(spark, d).agg(F.max("Year")).first()[0]
+    fs = fact_set(spark, d)
+    m = fs.monthly(keep_zero=False)
+    last = fs.counts.agg(F.max("Year")).first()[0]
     return m.where(F.col("Year") < last), m.where(F.col("Year") >= last - 1)
 
 
 def q_store_roundtrip(spark, d):
     store = FactStore.monthly(spark, scratch_path(spark, "store"))
-    store.create(keep_positive(monthly(spark, d), "MonthlyRegistrations"))
+    store.create(fact_set(spark, d).monthly(keep_zero=False))
     return store.read()
 
 
@@ -413,20 +410,22 @@ def q_store_append_new(spark, d):
 # ---------------------------------------------------------------- catalog
 
 def q_entity_catalog(spark, d):
+    fs = fact_set(spark, d)
     return entity_catalog(
-        grouped(annual(spark, d)),
-        grouped(monthly(spark, d)),
+        grouped(fs.annual),
+        grouped(fs.monthly()),
         ensure_groups=("2W", "3W", "4W"),
         grouped_type=CATEGORY_TYPE,
     )
 
 
 def q_year_bounds(spark, d):
-    return year_bounds(annual(spark, d), monthly(spark, d))
+    fs = fact_set(spark, d)
+    return year_bounds(fs.annual, fs.monthly())
 
 
 def q_preview_head(spark, d):
-    return preview(annual(spark, d), ["DataType", "Name", "Year"], 5)
+    return preview(fact_set(spark, d).annual, ["DataType", "Name", "Year"], 5)
 
 
 def q_fn_safe_name(spark, d):

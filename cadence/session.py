@@ -61,3 +61,28 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder path under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/cadence/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make sure ``DataFrame.checkpoint`` has a (shared) folder to write to."""
+    root = checkpoint_root(spark)
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return root
+
+
+def materialize(df, name: str = "materialized"):
+    """Run ``df`` once and cut its lineage with a written table.
+
+    Used for small intermediate results that several consumers of one plan
+    read (e.g. per-entity period counts): the expensive scan/join below them
+    runs exactly once, in one job (``DataFrame.checkpoint`` would recompute
+    the plan to write it). The Parquet files live in the shared checkpoint
+    folder, so they survive a lost executor, and the read-back plan gets real
+    size statistics for Spark's broadcast decisions.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
