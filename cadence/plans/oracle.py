@@ -333,6 +333,7 @@ def build() -> dict[str, str]:
     positive = "SELECT Name, DataType, Year, Month, MonthlyRegistrations FROM monthly WHERE MonthlyRegistrations > 0"
     sql["store_roundtrip"] = with_ctes(F_, body=positive)
     sql["store_append_new"] = with_ctes(F_, body=positive)
+    sql["stream_ingest"] = with_ctes(F_, body=positive)
     sql["store_dup_keys"] = with_ctes(
         F_,
         body="SELECT Name, DataType, Year, Month, 'key exists in store' AS Reason FROM monthly "

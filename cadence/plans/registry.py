@@ -407,6 +407,23 @@ def q_store_append_new(spark, d):
     return store.read()
 
 
+def q_stream_ingest(spark, d):
+    """Reports land in a folder; a file stream ingests them into the store."""
+    from cadence.streaming.ingest import IngestConfig, ingest_available
+
+    landing = _write_monthly_reports(spark, d)
+    base = scratch_path(spark, "ingest")
+    cfg = IngestConfig(
+        landing_glob=f"{landing}/*/*.csv",
+        axis="monthly",
+        store_path=f"{base}/store",
+        rejects_path=f"{base}/rejects",
+        checkpoint=f"{base}/checkpoint",
+        max_files_per_trigger=64,
+    )
+    return ingest_available(spark, cfg)
+
+
 # ---------------------------------------------------------------- catalog
 
 def q_entity_catalog(spark, d):
@@ -477,6 +494,7 @@ QUERIES: dict[str, Query] = {
     "store_roundtrip": q_store_roundtrip,
     "store_dup_keys": q_store_dup_keys,
     "store_append_new": q_store_append_new,
+    "stream_ingest": q_stream_ingest,
     "entity_catalog": q_entity_catalog,
     "year_bounds": q_year_bounds,
     "preview_head": q_preview_head,
