@@ -10,7 +10,7 @@ codegen with no Python on the data path.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,8 +60,29 @@ def normalized_text(name: Column | str) -> Column:
     return F.upper(F.trim(F.coalesce(as_col(name).cast("string"), F.lit(NULL_TEXT))))
 
 
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@lru_cache(maxsize=256)
+def _rules_sql(name: str, rules: tuple, fallback: str) -> str:
+    """The rule CASE WHEN as SQL text over a named column (built once per rule set)."""
+    text = f"upper(trim(coalesce(CAST(`{name}` AS STRING), {_sql_str(NULL_TEXT)})))"
+    whens = []
+    for label, keywords in rules:
+        if keywords:
+            cond = " OR ".join(f"contains({text}, {_sql_str(k.upper())})" for k in keywords)
+            whens.append(f"WHEN {cond} THEN {_sql_str(label)}")
+    if not whens:
+        return _sql_str(fallback)
+    return f"CASE {' '.join(whens)} ELSE {_sql_str(fallback)} END"
+
+
 def categorize(name: Column | str, rules: Rules = FILE_RULES, fallback: str = FALLBACK) -> Column:
     """Compile an ordered keyword rule list into a first-match-wins CASE WHEN."""
+    if isinstance(name, str):
+        frozen = tuple((label, tuple(kws)) for label, kws in rules)
+        return F.expr(_rules_sql(name, frozen, fallback))
     text = normalized_text(name)
     expr = None
     for label, keywords in rules:

@@ -72,8 +72,13 @@ CUSTOM_RULES = (
 
 # ---------------------------------------------------------------- shared inputs
 
-def fact_set(spark, d) -> facts.FactSet:
-    return facts.FactSet(spark, d)
+def fact_set(spark, d, reuse: bool = True) -> facts.FactSet:
+    return facts.FactSet(spark, d, reuse)
+
+
+def annual_once(spark, d):
+    """Annual facts for a plan that reads the counts once (no materialization)."""
+    return fact_set(spark, d, reuse=False).annual
 
 
 def grouped(df: DataFrame, rules=FILE_RULES) -> DataFrame:
@@ -82,7 +87,7 @@ def grouped(df: DataFrame, rules=FILE_RULES) -> DataFrame:
 
 
 def yoy_all(spark, d):
-    return yoy_growth(grouped(fact_set(spark, d).annual))
+    return yoy_growth(grouped(annual_once(spark, d)))
 
 
 def qoq_all(spark, d):
@@ -92,11 +97,11 @@ def qoq_all(spark, d):
 # ---------------------------------------------------------------- growth core
 
 def q_agg_annual(spark, d):
-    return aggregate_annual(grouped(fact_set(spark, d).annual))
+    return aggregate_annual(grouped(annual_once(spark, d)))
 
 
 def q_lag_year(spark, d):
-    a = aggregate_annual(grouped(fact_set(spark, d).annual))
+    a = aggregate_annual(grouped(annual_once(spark, d)))
     return a.withColumn("PrevYearRegistrations", F.lag("Registrations").over(_entity_window("Year")))
 
 
@@ -211,7 +216,7 @@ def q_drop_nulls(spark, d):
 
 
 def q_guard_missing_cols(spark, d):
-    return yoy_growth(fact_set(spark, d).annual.drop("Registrations"))
+    return yoy_growth(annual_once(spark, d).drop("Registrations"))
 
 
 def q_month_dates(spark, d):
@@ -286,7 +291,7 @@ def q_category_custom_rules(spark, d):
 
 
 def q_group_name(spark, d):
-    a = fact_set(spark, d).annual
+    a = annual_once(spark, d)
     return a.withColumn("GroupName", group_name("DataType", "Name", STORE_RULES))
 
 
@@ -329,26 +334,25 @@ def q_src_rejects(spark, d):
     out = scratch_path(spark, "reports")
     a = wide_csv.annual_report_frame(fact_set(spark, d).annual)
     wide_csv.write_reports(a, out, "annual")
-    # Reports of an unknown kind: the category reports under another kind token.
-    cat = a.where(F.col("DataType") == CATEGORY_TYPE)
-    years = [r[0] for r in cat.select("Year").distinct().collect()]
-    for y in years:
-        (
-            cat.where(F.col("Year") == y)
-            .select(F.col("Name").alias(wide_csv.ENTITY_COLUMNS[CATEGORY_TYPE]), F.col(wide_csv.TOTAL_COLUMN))
-            .write.mode("overwrite")
-            .option("header", "true")
-            .csv(f"{out}/Y_Fuel_{wide_csv.ANNUAL_MARKER}{y}.csv")
-        )
-    # Maker reports that lost their period column (totals only).
-    mk = a.where(F.col("DataType") == MAKER_TYPE)
-    for y in [r[0] for r in mk.select("Year").distinct().collect()]:
+    ent = wide_csv.ENTITY_COLUMNS
+    # Reports of an unknown kind (category reports under another kind token) and
+    # maker reports that lost their period column (totals only): one job each.
+    bad = [
+        (CATEGORY_TYPE, "Y_Fuel_" + wide_csv.ANNUAL_MARKER, ".csv", "fuel"),
+        (MAKER_TYPE, "Y_Maker_" + wide_csv.ANNUAL_MARKER, "_totals.csv", "totals"),
+    ]
+    for data_type, prefix, suffix, folder in bad:
         (
-            mk.where(F.col("Year") == y)
-            .select(F.col("Name").alias(wide_csv.ENTITY_COLUMNS[MAKER_TYPE]), F.col(wide_csv.TOTAL_COLUMN))
+            a.where(F.col("DataType") == data_type)
+            .select(
+                F.concat(F.lit(prefix), F.col("Year").cast("string"), F.lit(suffix)).alias("Report"),
+                F.col("Name").alias(ent[data_type]),
+                F.col(wide_csv.TOTAL_COLUMN),
+            )
             .write.mode("overwrite")
+            .partitionBy("Report")
             .option("header", "true")
-            .csv(f"{out}/Y_Maker_{wide_csv.ANNUAL_MARKER}{y}_totals.csv")
+            .csv(f"{out}/{folder}")
         )
     return wide_csv.load_reports(spark, out, "annual").rejects
 
@@ -414,7 +418,7 @@ def q_stream_ingest(spark, d):
     landing = _write_monthly_reports(spark, d)
     base = scratch_path(spark, "ingest")
     cfg = IngestConfig(
-        landing_glob=f"{landing}/*/*.csv",
+        landing_glob=f"{landing}/*/*/*.csv",
         axis="monthly",
         store_path=f"{base}/store",
         rejects_path=f"{base}/rejects",
@@ -442,7 +446,7 @@ def q_year_bounds(spark, d):
 
 
 def q_preview_head(spark, d):
-    return preview(fact_set(spark, d).annual, ["DataType", "Name", "Year"], 5)
+    return preview(annual_once(spark, d), ["DataType", "Name", "Year"], 5)
 
 
 def q_fn_safe_name(spark, d):

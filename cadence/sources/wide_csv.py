@@ -64,8 +64,9 @@ def report_name(axis: str, data_type: str, year: int) -> str:
 
 
 def report_of_path(path: Column) -> Column:
-    """The report name inside a file URI: the last component starting with 'Y_'."""
-    return F.regexp_extract(path, r"/(" + re.escape(REPORT_PREFIX) + r"[^/]*)(/[^/]*)?$", 1)
+    """The report name inside a file URI: the last component starting with 'Y_'
+    (a file, a folder of part files, or a ``Report=<name>`` partition folder)."""
+    return F.regexp_extract(path, r"/(?:Report=)?(" + re.escape(REPORT_PREFIX) + r"[^/]*)(/[^/]*)?$", 1)
 
 
 def kind_of_report(report: Column) -> Column:
@@ -272,13 +273,17 @@ def _empty_facts(spark: SparkSession, axis: str) -> DataFrame:
 
 # ---------------------------------------------------------------- writing (CSV sink)
 
-def write_reports(wide: DataFrame, out_dir: str, axis: str, threads: int = 8) -> list[str]:
+def write_reports(wide: DataFrame, out_dir: str, axis: str, threads: int = 4) -> list[str]:
     """Write one report per (DataType, Year) of a wide frame.
 
     ``wide`` is (DataType, Name, Year, period columns..., TOTAL_TOTAL); a
     monthly report only gets the month columns that have a value in that
-    (kind, year) — a partial year writes fewer columns. Returns report paths.
-    Writes run as concurrent Spark jobs; each report is a folder of part files.
+    (kind, year) — a partial year writes fewer columns.
+
+    Reports that share a header line are written by one job with
+    ``partitionBy("Report")`` into their own sub-folder (concurrent jobs never
+    share an output folder), so the number of jobs is the number of distinct
+    headers, not of reports. Returns the report names written.
     """
     if axis == "annual":
         periods = [c for c in wide.columns if c.startswith(YEAR_PREFIX)]
@@ -286,26 +291,34 @@ def write_reports(wide: DataFrame, out_dir: str, axis: str, threads: int = 8) ->
         periods = [c for c in wide.columns if c.startswith(MONTH_PREFIX)]
     covered = [F.max(F.col(f"`{c}`").isNotNull().cast("int")).alias(c) for c in periods]
     reports = wide.groupBy("DataType", "Year").agg(*covered).collect()  # one row per report
+    groups: dict[tuple, list[int]] = {}
+    for r in reports:
+        groups.setdefault((r["DataType"], tuple(c for c in periods if r[c])), []).append(r["Year"])
+
+    def name_expr(data_type: str) -> Column:
+        token = KIND_TOKENS[data_type]
+        return F.concat(F.lit(token + AXES[axis]), F.col("Year").cast("string"), F.lit(REPORT_SUFFIX))
 
-    def one(r) -> str:
-        cols = [c for c in periods if r[c]]
-        path = f"{out_dir.rstrip('/')}/{report_name(axis, r['DataType'], r['Year'])}"
-        part = wide.where((F.col("DataType") == r["DataType"]) & (F.col("Year") == r["Year"]))
+    def one(item) -> None:
+        i, ((data_type, cols), years) = item
+        part = wide.where((F.col("DataType") == data_type) & F.col("Year").isin(years))
         (
             part.select(
+                name_expr(data_type).alias("Report"),
                 (F.monotonically_increasing_id() + 1).alias(SERIAL_COLUMN),
-                F.col("Name").alias(ENTITY_COLUMNS[r["DataType"]]),
+                F.col("Name").alias(ENTITY_COLUMNS[data_type]),
                 *[F.col(f"`{c}`") for c in cols],
                 F.col(TOTAL_COLUMN),
             )
             .write.mode("overwrite")
+            .partitionBy("Report")
             .option("header", "true")
-            .csv(path)
+            .csv(f"{out_dir.rstrip('/')}/part{i}")
         )
-        return path
 
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        return list(pool.map(one, reports))
+        list(pool.map(one, enumerate(sorted(groups.items()))))
+    return sorted(report_name(axis, r["DataType"], r["Year"]) for r in reports)
 
 
 def wide_annual(annual: DataFrame) -> DataFrame:
