@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from cadence.functions.text import format_count, format_pct
 
 
-def filter_entity(df: DataFrame, data_type: str | None = None, name: str | None = None) -> DataFrame:
-    """DataType == t AND Name == n (either may be omitted)."""
+def filter_entity(
+    df: DataFrame, data_type: str | None = None, name: str | None = None, name_col: str = "Name"
+) -> DataFrame:
+    """DataType == t AND <name_col> == n (either may be omitted). The store
+    profile selects categories by their group column (e.g. MappedName)."""
     cond = F.lit(True)
     if data_type is not None:
         cond = cond & (F.col("DataType") == F.lit(data_type))
     if name is not None:
-        cond = cond & (F.col("Name") == F.lit(name))
+        cond = cond & (F.col(name_col) == F.lit(name))
     return df.where(cond)
 
 
@@ -81,7 +84,10 @@ def format_growth_table(view: DataFrame, metric: str = "yoy") -> DataFrame:
 
 
 def trend_series(view: DataFrame, metric: str = "yoy") -> DataFrame:
-    """The (x, y) series behind the trend chart, x sorted as text/number."""
+    """The (x, y) series behind the trend chart, sorted by entity then x
+    (quarter labels sort as text, which is right for 4-digit years)."""
     if metric == "yoy":
-        return view.select("DataType", "Name", F.col("Year").cast("string").alias("X"), F.col("YoYGrowth").alias("Y"))
-    return view.select("DataType", "Name", F.col("QuarterYear").alias("X"), F.col("QoQGrowth").alias("Y"))
+        s = view.select("DataType", "Name", F.col("Year").cast("string").alias("X"), F.col("YoYGrowth").alias("Y"))
+    else:
+        s = view.select("DataType", "Name", F.col("QuarterYear").alias("X"), F.col("QoQGrowth").alias("Y"))
+    return s.orderBy("DataType", "Name", "X")

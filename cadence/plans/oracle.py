@@ -83,30 +83,40 @@ mdates AS (
   SELECT Name, DataType, Year, Month, MonthNum, make_date(Year, MonthNum, 1) AS Date, MonthlyRegistrations
   FROM (SELECT *, {MONTH_NUM} AS MonthNum FROM monthly) WHERE MonthNum IS NOT NULL)"""
 
-GROWTH = f"""
-ga AS (SELECT {group_sql(FILE_RULES)} AS Name, DataType, Year, Registrations FROM annual),
-aa AS (
+def growth_ctes(rules=FILE_RULES, sfx: str = "", annual: str = "annual", mdates: str = "mdates") -> str:
+    """YoY / QoQ CTEs (names suffixed by ``sfx``) over the given fact CTEs."""
+    return f"""
+ga{sfx} AS (SELECT {group_sql(rules)} AS Name, DataType, Year, Registrations FROM {annual}),
+aa{sfx} AS (
   SELECT DataType, Name, Year, CAST(sum(Registrations) AS BIGINT) AS Registrations
-  FROM ga WHERE Name IS NOT NULL GROUP BY ALL),
-ly AS (
-  SELECT *, lag(Registrations) OVER (PARTITION BY DataType, Name ORDER BY Year) AS PrevYearRegistrations FROM aa),
-yoy AS (
+  FROM ga{sfx} WHERE Name IS NOT NULL GROUP BY ALL),
+ly{sfx} AS (
+  SELECT *, lag(Registrations) OVER (PARTITION BY DataType, Name ORDER BY Year) AS PrevYearRegistrations
+  FROM aa{sfx}),
+yoy{sfx} AS (
   SELECT DataType, Name, Year, Registrations, PrevYearRegistrations,
          {growth_sql('Registrations', 'PrevYearRegistrations')} AS YoYGrowth
-  FROM ly),
-gm AS (SELECT {group_sql(FILE_RULES)} AS Name, DataType, Year, Month, Date, MonthlyRegistrations FROM mdates),
-aq AS (
+  FROM ly{sfx}),
+gm{sfx} AS (SELECT {group_sql(rules)} AS Name, DataType, Year, Month, Date, MonthlyRegistrations FROM {mdates}),
+aq{sfx} AS (
   SELECT DataType, Name, CAST(year(Date) AS INTEGER) AS Year, CAST(quarter(Date) AS INTEGER) AS Quarter,
          CAST(year(Date) AS VARCHAR) || '-Q' || CAST(quarter(Date) AS VARCHAR) AS QuarterYear,
          CAST(sum(MonthlyRegistrations) AS BIGINT) AS QuarterlyRegistrations
-  FROM gm WHERE Name IS NOT NULL GROUP BY ALL),
-lq AS (
+  FROM gm{sfx} WHERE Name IS NOT NULL GROUP BY ALL),
+lq{sfx} AS (
   SELECT *, lag(QuarterlyRegistrations) OVER (PARTITION BY DataType, Name ORDER BY Year, Quarter)
-            AS PrevQuarterRegistrations FROM aq),
-qoq AS (
+            AS PrevQuarterRegistrations FROM aq{sfx}),
+qoq{sfx} AS (
   SELECT DataType, Name, Year, Quarter, QuarterYear, QuarterlyRegistrations, PrevQuarterRegistrations,
          {growth_sql('QuarterlyRegistrations', 'PrevQuarterRegistrations')} AS QoQGrowth
-  FROM lq)"""
+  FROM lq{sfx})"""
+
+
+GROWTH = growth_ctes()
+STORE_FACTS = """
+annual_s AS (SELECT * FROM annual WHERE Registrations > 0),
+mdates_s AS (SELECT * FROM mdates WHERE MonthlyRegistrations > 0)"""
+STORE_GROWTH = growth_ctes(STORE_RULES, "_s", "annual_s", "mdates_s")
 
 
 def with_ctes(*blocks: str, body: str) -> str:
@@ -219,6 +229,8 @@ def build() -> dict[str, str]:
         "CAST(year(Date) AS VARCHAR) || '-Q' || CAST(quarter(Date) AS VARCHAR) AS QuarterYear FROM mdates",
     )
     sql["qoq_growth"] = with_ctes(F_, G, body="SELECT * FROM qoq")
+    sql["yoy_growth_store"] = with_ctes(F_, STORE_FACTS, STORE_GROWTH, body="SELECT * FROM yoy_s")
+    sql["qoq_growth_store"] = with_ctes(F_, STORE_FACTS, STORE_GROWTH, body="SELECT * FROM qoq_s")
     # views
     t, n = R.YOY_ENTITY
     lo, hi = R.VIEW_RANGE
@@ -358,6 +370,9 @@ def build() -> dict[str, str]:
         "SELECT min(Year) AS lo, max(Year) AS hi FROM monthly)",
     )
     sql["preview_head"] = with_ctes(F_, body="SELECT * FROM annual ORDER BY DataType, Name, Year LIMIT 5")
+    sql["preview_head_monthly"] = with_ctes(
+        F_, body="SELECT * FROM monthly ORDER BY DataType, Name, Year, Month LIMIT 5"
+    )
     sql["fn_safe_name"] = "SELECT page_id, regexp_replace(url, '[^\\p{L}\\p{N}]', '_', 'g') AS SafeName FROM pages"
     return sql
 

@@ -147,6 +147,19 @@ def q_qoq_growth(spark, d):
     return qoq_all(spark, d)
 
 
+def q_yoy_growth_store(spark, d):
+    """Store profile: positive facts only, every row grouped by MappedName (store rules)."""
+    a = fact_set(spark, d, reuse=False).annual.where(F.col("Registrations") > 0)
+    a = a.withColumn("MappedName", group_name("DataType", "Name", STORE_RULES))
+    return yoy_growth(a, group_col="MappedName")
+
+
+def q_qoq_growth_store(spark, d):
+    m = fact_set(spark, d).monthly(keep_zero=False)
+    m = m.withColumn("MappedName", group_name("DataType", "Name", STORE_RULES))
+    return qoq_growth(m, group_col="MappedName")
+
+
 # ---------------------------------------------------------------- views
 
 def q_filter_entity(spark, d):
@@ -449,6 +462,10 @@ def q_preview_head(spark, d):
     return preview(annual_once(spark, d), ["DataType", "Name", "Year"], 5)
 
 
+def q_preview_head_monthly(spark, d):
+    return preview(fact_set(spark, d).monthly(), ["DataType", "Name", "Year", "Month"], 5)
+
+
 def q_fn_safe_name(spark, d):
     p = facts.table(spark, d, "pages")
     return p.select("page_id", safe_name("url").alias("SafeName"))
@@ -464,6 +481,8 @@ QUERIES: dict[str, Query] = {
     "lag_quarter": q_lag_quarter,
     "quarter_label": q_quarter_label,
     "qoq_growth": q_qoq_growth,
+    "yoy_growth_store": q_yoy_growth_store,
+    "qoq_growth_store": q_qoq_growth_store,
     "filter_entity": q_filter_entity,
     "filter_year_range": q_filter_year_range,
     "growth_view_yoy": q_growth_view_yoy,
@@ -502,5 +521,6 @@ QUERIES: dict[str, Query] = {
     "entity_catalog": q_entity_catalog,
     "year_bounds": q_year_bounds,
     "preview_head": q_preview_head,
+    "preview_head_monthly": q_preview_head_monthly,
     "fn_safe_name": q_fn_safe_name,
 }

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.functions.calendar import MONTH_PREFIX, TOTAL_COLUMN, YEAR_PREFIX, month_date, month_num
-from cadence.functions.numeric import coerce_count
+from cadence.functions.numeric import coerce_count, is_fractional
 from cadence.functions.rules import CATEGORY_TYPE, MAKER_TYPE
 
 # Report naming and header conventions.
@@ -178,10 +178,14 @@ def classify(headers: DataFrame, axis: str) -> DataFrame:
 
 # ---------------------------------------------------------------- loading
 
+R_FRACTIONAL = "fractional count truncated"
+
+
 @dataclass
 class Loaded:
     facts: DataFrame
-    rejects: DataFrame
+    rejects: DataFrame  # (Report, Reason): files that were not loaded
+    warnings: DataFrame  # (Report, Reason, Cells): loaded files with cells that needed fixing
 
 
 def _scan_group(spark: SparkSession, columns: list[str], paths: list[str], axis: str) -> DataFrame:
@@ -207,19 +211,21 @@ def _scan_group(spark: SparkSession, columns: list[str], paths: list[str], axis:
     ids = [name.alias("Name"), kind.alias("DataType")]
     if axis == "annual":
         pcols = [(i, c) for i, c in enumerate(columns) if re.match(re.escape(YEAR_PREFIX) + r"\d{4}", c)]
-        long = raw.select(*ids, *[F.col(f"c{i}").alias(c) for i, c in pcols]).unpivot(
-            ["Name", "DataType"], [c for _, c in pcols], "YearColumn", "Cell"
+        long = raw.select(*ids, "_report", *[F.col(f"c{i}").alias(c) for i, c in pcols]).unpivot(
+            ["Name", "DataType", "_report"], [c for _, c in pcols], "YearColumn", "Cell"
         )
         return long.select(
             "Name",
             "DataType",
             F.regexp_extract("YearColumn", r"(\d{4})", 1).try_cast("int").alias("Year"),
             coerce_count("Cell").alias("Registrations"),
+            "_report",
+            is_fractional("Cell").alias("_fractional"),
         )
     pcols = [(i, c) for i, c in enumerate(columns) if MONTH_PREFIX in c]
     year = year_of_report(F.col("_report")).alias("Year")
-    long = raw.select(*ids, year, *[F.col(f"c{i}").alias(c) for i, c in pcols]).unpivot(
-        ["Name", "DataType", "Year"], [c for _, c in pcols], "MonthColumn", "Cell"
+    long = raw.select(*ids, year, "_report", *[F.col(f"c{i}").alias(c) for i, c in pcols]).unpivot(
+        ["Name", "DataType", "Year", "_report"], [c for _, c in pcols], "MonthColumn", "Cell"
     )
     return long.select(
         "Name",
@@ -227,6 +233,8 @@ def _scan_group(spark: SparkSession, columns: list[str], paths: list[str], axis:
         "Year",
         F.regexp_replace("MonthColumn", "^" + re.escape(MONTH_PREFIX), "").alias("Month"),
         coerce_count("Cell").alias("MonthlyRegistrations"),
+        "_report",
+        is_fractional("Cell").alias("_fractional"),
     )
 
 
@@ -248,11 +256,19 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
     frames = [_scan_group(spark, list(g["Columns"]), list(g["paths"]), axis) for g in groups]
     value = "Registrations" if axis == "annual" else "MonthlyRegistrations"
     if frames:
-        facts = frames[0]
+        cells = frames[0]
         for f in frames[1:]:
-            facts = facts.unionByName(f)
+            cells = cells.unionByName(f)
+        warnings = (
+            cells.where(F.col("_fractional"))
+            .groupBy(F.col("_report").alias("Report"))
+            .agg(F.count(F.lit(1)).alias("Cells"))
+            .select("Report", F.lit(R_FRACTIONAL).alias("Reason"), "Cells")
+        )
+        facts = cells.drop("_report", "_fractional")
     else:
         facts = _empty_facts(spark, axis)
+        warnings = spark.createDataFrame([], "Report string, Reason string, Cells bigint")
     if axis == "monthly":
         facts = facts.withColumn("MonthNum", month_num("Month")).withColumn(
             "Date", month_date(F.col("Year"), F.col("MonthNum"))
@@ -260,7 +276,7 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
     if not keep_zero:
         facts = facts.where(F.col("Name").isNotNull() & (F.col(value) > 0))
     headers.unpersist(blocking=False)
-    return Loaded(facts, rejects)
+    return Loaded(facts, rejects, warnings)
 
 
 def _empty_facts(spark: SparkSession, axis: str) -> DataFrame:

@@ -1,0 +1,99 @@
+"""Property tests against a plain-Python model of the semantics."""
+
+from __future__ import annotations
+
+import os
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cadence.functions import MAKER_TYPE
+from cadence.operators import aggregate_quarterly, filter_year_range, qoq_growth, with_month_dates, yoy_growth
+from cadence.sources import wide_csv
+from conftest import rows
+from test_growth import np_growth
+
+ANNUAL = "Name string, DataType string, Year int, Registrations bigint"
+MONTHLY = "Name string, DataType string, Year int, Month string, MonthlyRegistrations bigint"
+MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
+
+series = st.dictionaries(
+    keys=st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(2000, 2012)),
+    values=st.integers(0, 40),
+    min_size=1,
+    max_size=30,
+)
+FAST = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+def model_yoy(data):
+    out = []
+    for name in sorted({n for n, _ in data}):
+        prev = None
+        for y in sorted(y for n, y in data if n == name):
+            cur = data[(name, y)]
+            out.append((name, y, cur, prev, np_growth(cur, prev)))
+            prev = cur
+    return out
+
+
+@FAST
+@given(series)
+def test_yoy_matches_python_model(spark, data):
+    df = spark.createDataFrame([(n, MAKER_TYPE, y, v) for (n, y), v in data.items()], ANNUAL)
+    got = rows(yoy_growth(df), "Name", "Year", "Registrations", "PrevYearRegistrations", "YoYGrowth")
+    assert got == model_yoy(data)
+
+
+monthly_series = st.dictionaries(
+    keys=st.tuples(st.sampled_from(["a", "b"]), st.integers(2019, 2021), st.sampled_from(MONTHS)),
+    values=st.integers(0, 30),
+    min_size=1,
+    max_size=40,
+)
+
+
+@FAST
+@given(monthly_series)
+def test_quarter_sums_and_qoq_model(spark, data):
+    df = spark.createDataFrame([(n, MAKER_TYPE, y, m, v) for (n, y, m), v in data.items()], MONTHLY)
+    q = aggregate_quarterly(with_month_dates(df))
+    assert rows(q.agg(F.sum("QuarterlyRegistrations"))) == [(sum(data.values()),)]
+    quarters = {}
+    for (n, y, m), v in data.items():
+        key = (n, y, MONTHS.index(m) // 3 + 1)
+        quarters[key] = quarters.get(key, 0) + v
+    expected = []
+    for name in sorted({k[0] for k in quarters}):
+        prev = None
+        for k in sorted(k for k in quarters if k[0] == name):
+            expected.append((name, k[1], k[2], quarters[k], np_growth(quarters[k], prev)))
+            prev = quarters[k]
+    got = rows(qoq_growth(df), "Name", "Year", "Quarter", "QuarterlyRegistrations", "QoQGrowth")
+    assert got == expected
+
+
+@FAST
+@given(series, st.integers(2000, 2012), st.integers(2000, 2012))
+def test_range_filter_never_changes_values(spark, data, lo, hi):
+    df = spark.createDataFrame([(n, MAKER_TYPE, y, v) for (n, y), v in data.items()], ANNUAL)
+    full = {(r[0], r[1]): r for r in rows(yoy_growth(df), "Name", "Year", "YoYGrowth")}
+    part = rows(filter_year_range(yoy_growth(df), lo, hi), "Name", "Year", "YoYGrowth")
+    assert all(full[(r[0], r[1])] == r for r in part)
+    assert len(part) == sum(1 for (_, y) in full if lo <= y <= hi)
+
+
+def test_fractional_cells_are_reported(spark, tmp_dir):
+    path = f"{tmp_dir}/Y_Maker_X_Month_Wise_Year_2024.csv"
+    os.makedirs(tmp_dir, exist_ok=True)
+    with open(path, "w") as fh:
+        fh.write("S No_S No,Maker_Maker,Month Wise_JAN,Month Wise_FEB,TOTAL_TOTAL\n1,A,1.5,2,3.5\n2,B,2.25,1,3\n")
+    loaded = wide_csv.load_reports(spark, tmp_dir, "monthly")
+    assert rows(loaded.warnings) == [("Y_Maker_X_Month_Wise_Year_2024.csv", wide_csv.R_FRACTIONAL, 2)]
+    assert rows(loaded.facts, "Name", "Month", "MonthlyRegistrations") == [
+        ("A", "FEB", 2),
+        ("A", "JAN", 1),
+        ("B", "FEB", 1),
+        ("B", "JAN", 2),
+    ]
