@@ -134,13 +134,13 @@ def _first_line_columns(uri: str) -> list[str] | None:
 
 def _headers_udf(batches):
     for pdf in batches:
-        yield pd.DataFrame({"path": pdf["path"], "Columns": [_first_line_columns(p) for p in pdf["path"]]})
+        yield pdf.assign(Columns=[_first_line_columns(p) for p in pdf["path"]])
 
 
 def read_headers(files: DataFrame) -> DataFrame:
-    """files + Columns (array<string>) read on the executors."""
-    hdr = files.select("path").mapInPandas(_headers_udf, "path string, Columns array<string>")
-    return files.join(hdr, "path")
+    """files + Columns (array<string>), read on the executors (no shuffle)."""
+    schema = T.StructType(files.schema.fields + [T.StructField("Columns", T.ArrayType(T.StringType()))])
+    return files.mapInPandas(_headers_udf, schema)
 
 
 # ---------------------------------------------------------------- rejects
