@@ -102,3 +102,27 @@ def test_qoq_samples_and_insights(loaded):
     assert (ins["3W"]["BestGrowth"], ins["3W"]["BestPeriod"]) == (71.89, "2022")
     assert (ins["4W"]["BestGrowth"], ins["4W"]["BestPeriod"]) == (16.96, "2021")
     assert (ins["Other"]["BestGrowth"], ins["Other"]["BestPeriod"]) == (39.17, "2023")
+
+
+def test_app_file_and_store_profiles(spark, tmp_dir, capsys):
+    from cadence import app
+    from cadence.__main__ import main
+
+    facts = app.load_facts(spark, SAMPLE_DIR, app.FILE_PROFILE)
+    rep = app.growth_report(facts, CATEGORY_TYPE, "yoy", "3W", (2017, 2022))
+    assert rows(rep.view, "Year", "YoYGrowth") == [
+        (2017, 3.94), (2018, 35.16), (2019, 0.22), (2020, -47.4), (2021, -2.14), (2022, 71.89)
+    ]
+    assert rows(rep.table, "Period", "GrowthText")[0] == ("2017", "3.94%")
+    assert [r[0] for r in app.entity_choices(facts, CATEGORY_TYPE).collect()] == ["2W", "3W", "4W", "Other"]
+    store_dir = f"{tmp_dir}/store"
+    assert app.build_store(spark, SAMPLE_DIR, store_dir).count() == 0
+    sfacts = app.load_store(spark, store_dir)
+    assert (sfacts.annual.count(), sfacts.monthly.count()) == (406, 3574)
+    srep = app.growth_report(sfacts, MAKER_TYPE, "qoq", "3EV INDUSTRIES PVT LTD", (2016, 2016))
+    assert rows(srep.view, "Quarter", "QoQGrowth") == [(2, -33.33), (4, 50.0)]
+    srep = app.growth_report(sfacts, CATEGORY_TYPE, "yoy", "4W")
+    assert dict(rows(srep.view, "Year", "YoYGrowth"))[2021] == 16.96
+    assert main(["report", SAMPLE_DIR, "--type", CATEGORY_TYPE, "--metric", "yoy", "--name", "2W"]) == 0
+    out = capsys.readouterr().out
+    assert "The **2W** shows a **negative YoY growth of -40.82%**" in out
