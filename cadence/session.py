@@ -86,3 +86,53 @@ def materialize(df, name: str = "materialized"):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the ``cadence`` package importable in executor Python workers.
+
+    Functions that run in Python workers (``mapInPandas``) are pickled by
+    reference, so executors must be able to import this package. Zips the
+    package once per application into the shared checkpoint folder and adds it
+    with ``addPyFile`` (the standard way to ship a library to executors).
+    """
+    import hashlib
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in sorted(os.walk(pkg_dir)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    arc = os.path.join("cadence", os.path.relpath(full, pkg_dir))
+                    zf.writestr(zipfile.ZipInfo(arc, date_time=(2020, 1, 1, 0, 0, 0)), open(full, "rb").read())
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:16]
+    key = (sc.applicationId, digest)
+    if key in _SHIPPED:
+        return
+    root = checkpoint_root(spark)
+    path = f"{root}/cadence-pkg-{digest}.zip"
+    if root.startswith("/") or root.startswith("file:"):
+        local = path[5:] if path.startswith("file:") else path
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        if not os.path.exists(local):
+            with open(local, "wb") as fh:
+                fh.write(data)
+    else:  # a shared (e.g. HDFS / object store) folder: write through Hadoop FS
+        jvm = sc._jvm
+        jpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(jpath):
+            out = fs.create(jpath)
+            out.write(bytearray(data))
+            out.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

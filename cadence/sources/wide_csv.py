@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from cadence.functions.calendar import MONTH_PREFIX, TOTAL_COLUMN, YEAR_PREFIX, month_date, month_num
 from cadence.functions.numeric import coerce_count, is_fractional
 from cadence.functions.rules import CATEGORY_TYPE, MAKER_TYPE
+from cadence.session import ship_package
 
 # Report naming and header conventions.
 REPORT_PREFIX = "Y_"
@@ -139,6 +140,7 @@ def _headers_udf(batches):
 
 def read_headers(files: DataFrame) -> DataFrame:
     """files + Columns (array<string>), read on the executors (no shuffle)."""
+    ship_package(files.sparkSession)  # the header reader runs in executor Python workers
     schema = T.StructType(files.schema.fields + [T.StructField("Columns", T.ArrayType(T.StringType()))])
     return files.mapInPandas(_headers_udf, schema)
 
