@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.functions.calendar import MONTH_PREFIX, MONTHS, TOTAL_COLUMN, month_label
+from cadence.functions.calendar import MONTH_PREFIX, MONTHS, TOTAL_COLUMN
 from cadence.functions.rules import CATEGORY_TYPE, MAKER_TYPE
 from cadence.operators.reshape import keep_positive, unpivot_monthly
 from cadence.session import materialize
@@ -57,21 +57,30 @@ def part_category(p_type) -> F.Column:
     return F.coalesce(F.try_element_at(lookup, p_type), p_type)
 
 
-def monthly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(DataType, Name, Year, MonthNum, n): registrations per entity and month."""
-    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate")
+def monthly_counts(spark: SparkSession, sf_dir: str, pre_aggregate: bool = False) -> DataFrame:
+    """(DataType, Name, Year, MonthNum, n): registrations per entity and month.
+
+    Default plan: one shuffle of the 2-column lineitem projection for the join
+    (AQE splits a hot part key), the partial aggregate in the join's stage.
+    ``pre_aggregate=True`` first counts lineitems per (part key, year, month)
+    map-side: a part key holding a third of all rows then shuffles at most one
+    row per month per map task, without relying on AQE, at the cost of a
+    second (smaller) shuffle into the join.
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", F.year("l_shipdate").alias("Year"), F.month("l_shipdate").alias("MonthNum")
+    )
+    if pre_aggregate:
+        li = li.groupBy("l_partkey", "Year", "MonthNum").agg(F.count(F.lit(1)).alias("k"))
+    else:
+        li = li.withColumn("k", F.lit(1).cast("bigint"))
     pt = table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_brand").alias(MAKER_TYPE), part_category(F.col("p_type")).alias(CATEGORY_TYPE)
     )
     cells = (
         li.join(pt, li.l_partkey == pt.p_partkey)
-        .groupBy(
-            MAKER_TYPE,
-            CATEGORY_TYPE,
-            F.year("l_shipdate").alias("Year"),
-            F.month("l_shipdate").alias("MonthNum"),
-        )
-        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(MAKER_TYPE, CATEGORY_TYPE, "Year", "MonthNum")
+        .agg(F.sum("k").alias("n"))
     )
     # One row per cell and kind; the cells are already tiny, the re-aggregation is cheap.
     kinds = cells.unpivot(["Year", "MonthNum", "n"], [MAKER_TYPE, CATEGORY_TYPE], "DataType", "Name")
@@ -155,10 +164,3 @@ def monthly_facts(spark: SparkSession, sf_dir: str, keep_zero: bool = True) -> D
 
 def annual_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FactSet(spark, sf_dir).annual
-
-
-def monthly_facts_from_counts(counts: DataFrame) -> DataFrame:
-    """Sparse monthly facts straight from the counts (no zero rows)."""
-    return counts.select(
-        "Name", "DataType", "Year", month_label("MonthNum").alias("Month"), F.col("n").cast("bigint").alias("MonthlyRegistrations")
-    )

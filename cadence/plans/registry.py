@@ -37,7 +37,6 @@ from cadence.operators import (
     growth_view_qoq,
     growth_view_yoy,
     insights,
-    keep_positive,
     latest_and_best,
     mask_first_period,
     preview,

@@ -52,3 +52,11 @@ def test_window_exchange_is_on_entity_key(spark):
     fmt = y._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(DataType" in fmt
     assert F is not None
+
+
+def test_pre_aggregated_join_gives_the_same_counts(spark):
+    a = facts.monthly_counts(spark, SF_SMALL)
+    b = facts.monthly_counts(spark, SF_SMALL, pre_aggregate=True)
+    assert sorted(a.collect()) == sorted(b.collect())
+    p = plan(b)
+    assert p.count("HashAggregate") >= 4  # map-side count before the join, then the cell aggregates
