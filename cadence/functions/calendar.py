@@ -16,15 +16,19 @@ YEAR_PREFIX = "Calendar Year_"
 TOTAL_COLUMN = "TOTAL_TOTAL"
 
 
+# The lookups as SQL literals (one expression instead of dozens of literal columns).
+_MONTH_MAP = "map(" + ", ".join(f"'{m}', {i}" for i, m in enumerate(MONTHS, 1)) + ")"
+_MONTH_ARRAY = "array(" + ", ".join(f"'{m}'" for m in MONTHS) + ")"
+
+
 def month_num(month: Column | str) -> Column:
     """'JAN' -> 1 ... 'DEC' -> 12; any other label -> NULL."""
-    lookup = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(i))])
-    return F.try_element_at(lookup, as_col(month))
+    return F.try_element_at(F.expr(_MONTH_MAP), as_col(month))
 
 
 def month_label(num: Column | str) -> Column:
     """1 -> 'JAN' ... 12 -> 'DEC'; out of range -> NULL."""
-    return F.try_element_at(F.array(*[F.lit(m) for m in MONTHS]), as_col(num).cast("int"))
+    return F.try_element_at(F.expr(_MONTH_ARRAY), as_col(num).cast("int"))
 
 
 def month_date(year: Column | str, mnum: Column | str) -> Column:

@@ -52,9 +52,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
+_CATEGORY_MAP = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in CATEGORY_OF_PART_TYPE.items()) + ")"
+
+
 def part_category(p_type) -> F.Column:
-    lookup = F.create_map(*[x for k, v in CATEGORY_OF_PART_TYPE.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(lookup, p_type), p_type)
+    return F.coalesce(F.try_element_at(F.expr(_CATEGORY_MAP), p_type), p_type)
 
 
 def monthly_counts(spark: SparkSession, sf_dir: str, pre_aggregate: bool = False) -> DataFrame:

@@ -85,7 +85,7 @@ def materialize(df, name: str = "materialized"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # known schema: no footer-inference job
 
 
 _SHIPPED: set[tuple[str, str]] = set()
