@@ -17,8 +17,10 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, shuffle_partitions=4, app="cadence-tests")
-    # Tests run on a local master: give them their own checkpoint folder.
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cadence-test-ckpt-"))
+    # Tests run on a local master: use the session's checkpoint folder, or a
+    # private one only when the session names none.
+    if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cadence-test-ckpt-"))
     yield s
     s.stop()
 
