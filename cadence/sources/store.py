@@ -60,12 +60,14 @@ class FactStore:
         schema: T.StructType,
         key: Sequence[str],
         partition_by: Sequence[str] = ("DataType", "Year"),
+        write_buckets: int = 8,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
         self.key = list(key)
         self.partition_by = list(partition_by)
+        self.write_buckets = write_buckets
 
     @classmethod
     def annual(cls, spark: SparkSession, path: str) -> FactStore:
@@ -82,7 +84,15 @@ class FactStore:
         return df.select(*cols).dropna(subset=not_null)
 
     def _write(self, df: DataFrame, mode: str) -> None:
-        self._conform(df).write.mode(mode).partitionBy(*self.partition_by).parquet(self.path)
+        """Partitioned write. Rows are first hash-distributed on the partition
+        columns plus a bucket of the key: each partition folder gets at most
+        ``write_buckets`` files however many tasks produced the rows, and a hot
+        (DataType, Year) folder is written by ``write_buckets`` tasks, not one."""
+        out = self._conform(df)
+        if self.write_buckets > 0:
+            bucket = F.pmod(F.xxhash64(*[F.col(k) for k in self.key]), F.lit(self.write_buckets))
+            out = out.repartition(*[F.col(c) for c in self.partition_by], bucket)
+        out.write.mode(mode).partitionBy(*self.partition_by).parquet(self.path)
 
     def exists(self) -> bool:
         jvm = self.spark.sparkContext._jvm

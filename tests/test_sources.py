@@ -199,3 +199,16 @@ def test_store_create_if_missing_keeps_data(spark, tmp_dir):
     assert rows(store.read(), "Name") == [("A",)]
     store.create(spark.createDataFrame([("B", MAKER_TYPE, 2024, 1)], ddl), replace=True)
     assert rows(store.read(), "Name") == [("B",)]
+
+
+def test_store_write_bounds_files_per_folder(spark, tmp_dir):
+    import glob
+
+    ddl = "Name string, DataType string, Year int, Registrations bigint"
+    data = [(f"M{i}", MAKER_TYPE, 2020 + (i % 2), i) for i in range(400)]
+    store = FactStore.annual(spark, f"{tmp_dir}/annual")
+    store.write_buckets = 3
+    store.create(spark.createDataFrame(data, ddl).repartition(40))
+    for folder in glob.glob(f"{tmp_dir}/annual/DataType=*/Year=*"):
+        assert len(glob.glob(f"{folder}/*.parquet")) <= 3
+    assert store.read().count() == 400
