@@ -290,7 +290,7 @@ def _empty_facts(spark: SparkSession, axis: str) -> DataFrame:
 
 # ---------------------------------------------------------------- writing (CSV sink)
 
-def write_reports(wide: DataFrame, out_dir: str, axis: str, threads: int = 4) -> list[str]:
+def write_reports(wide: DataFrame, out_dir: str, axis: str, threads: int = 4, buckets: int = 4) -> list[str]:
     """Write one report per (DataType, Year) of a wide frame.
 
     ``wide`` is (DataType, Name, Year, period columns..., TOTAL_TOTAL); a
@@ -319,6 +319,9 @@ def write_reports(wide: DataFrame, out_dir: str, axis: str, threads: int = 4) ->
     def one(item) -> None:
         i, ((data_type, cols), years) = item
         part = wide.where((F.col("DataType") == data_type) & F.col("Year").isin(years))
+        # At most `buckets` part files per report, and a large report is
+        # written by `buckets` tasks rather than one.
+        bucket = F.pmod(F.xxhash64(F.col("Name")), F.lit(buckets))
         (
             part.select(
                 name_expr(data_type).alias("Report"),
@@ -326,7 +329,10 @@ def write_reports(wide: DataFrame, out_dir: str, axis: str, threads: int = 4) ->
                 F.col("Name").alias(ENTITY_COLUMNS[data_type]),
                 *[F.col(f"`{c}`") for c in cols],
                 F.col(TOTAL_COLUMN),
+                bucket.alias("_bucket"),
             )
+            .repartition("Report", "_bucket")
+            .drop("_bucket")
             .write.mode("overwrite")
             .partitionBy("Report")
             .option("header", "true")
