@@ -97,3 +97,30 @@ def test_fractional_cells_are_reported(spark, tmp_dir):
         ("B", "FEB", 1),
         ("B", "JAN", 2),
     ]
+
+
+FRAGMENTS = ["two wheeler", "THREE WHEELER", "bus", "motor vehicle", "LIGHT", "trac", "CRANE", "x", " ", "(NT)", "goods"]
+texts = st.lists(
+    st.one_of(st.none(), st.lists(st.sampled_from(FRAGMENTS), min_size=0, max_size=4).map("".join)),
+    min_size=1,
+    max_size=25,
+)
+
+
+def py_rules(text, rules, fallback="Other"):
+    s = ("nan" if text is None else text).strip().upper()
+    for label, kws in rules:
+        if any(k in s for k in kws):
+            return label
+    return fallback
+
+
+@FAST
+@given(texts)
+def test_rules_match_python_model(spark, values):
+    from cadence.functions import FILE_RULES, STORE_RULES, categorize
+
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select(categorize("v", FILE_RULES).alias("f"), categorize(F.col("v"), STORE_RULES).alias("s")).collect()
+    assert [r["f"] for r in got] == [py_rules(v, FILE_RULES) for v in values]
+    assert [r["s"] for r in got] == [py_rules(v, STORE_RULES) for v in values]
