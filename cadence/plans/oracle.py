@@ -260,6 +260,20 @@ def build() -> dict[str, str]:
         f"{_fmt_count('PrevYearRegistrations')} AS PreviousText, "
         "CASE WHEN YoYGrowth IS NULL THEN 'nan%' ELSE printf('%.2f%%', YoYGrowth) END AS GrowthText FROM yoy",
     )
+    sql["format_growth_table_qoq"] = with_ctes(
+        F_,
+        G,
+        body="SELECT DataType, Name, QuarterYear AS Period, "
+        f"{_fmt_count('QuarterlyRegistrations')} AS RegistrationsText, "
+        f"{_fmt_count('PrevQuarterRegistrations')} AS PreviousText, "
+        "CASE WHEN QoQGrowth IS NULL THEN 'nan%' ELSE printf('%.2f%%', QoQGrowth) END AS GrowthText "
+        f"FROM ({_view_qoq(None, None, None, None)})",
+    )
+    sql["trend_series_yoy"] = with_ctes(
+        F_,
+        G,
+        body=f"SELECT DataType, Name, CAST(Year AS VARCHAR) AS X, YoYGrowth AS Y FROM ({_view_yoy(None, None, slo, shi)})",
+    )
     # insights
     sql["trend_label"] = with_ctes(
         F_,

@@ -190,6 +190,14 @@ def q_format_growth_table(spark, d):
     return format_growth_table(growth_view_yoy(yoy_all(spark, d)), "yoy")
 
 
+def q_format_growth_table_qoq(spark, d):
+    return format_growth_table(growth_view_qoq(qoq_all(spark, d)), "qoq")
+
+
+def q_trend_series_yoy(spark, d):
+    return trend_series(growth_view_yoy(yoy_all(spark, d), lo=SERIES_RANGE[0], hi=SERIES_RANGE[1]), "yoy")
+
+
 # ---------------------------------------------------------------- insights
 
 def q_trend_label(spark, d):
@@ -489,6 +497,8 @@ QUERIES: dict[str, Query] = {
     "project_growth_view": q_project_growth_view,
     "trend_series": q_trend_series,
     "format_growth_table": q_format_growth_table,
+    "format_growth_table_qoq": q_format_growth_table_qoq,
+    "trend_series_yoy": q_trend_series_yoy,
     "trend_label": q_trend_label,
     "latest_growth": q_latest_growth,
     "best_period": q_best_period,
