@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from cadence.functions.calendar import MONTH_PREFIX, TOTAL_COLUMN, YEAR_PREFIX, month_date, month_num
 from cadence.functions.numeric import coerce_count, is_fractional
 from cadence.functions.rules import CATEGORY_TYPE, MAKER_TYPE
-from cadence.session import ship_package
+from cadence.session import materialize, ship_package
 
 # Report naming and header conventions.
 REPORT_PREFIX = "Y_"
@@ -246,7 +246,9 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
     profile (NULL names and counts <= 0 are not facts).
     Monthly facts carry MonthNum and Date; rows of an unknown month are dropped.
     """
-    headers = classify(read_headers(list_report_files(spark, source, axis)), axis).cache()
+    # One row per file; written once so the rejects (evaluated later) and the
+    # header groups read the same table instead of re-reading every header.
+    headers = materialize(classify(read_headers(list_report_files(spark, source, axis)), axis), "headers")
     rejects = headers.where(F.col("Reason").isNotNull()).select("Report", "Reason").distinct()
     groups = (
         headers.where(F.col("Reason").isNull())
@@ -276,7 +278,6 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
         ).where(F.col("Date").isNotNull())
     if not keep_zero:
         facts = facts.where(F.col("Name").isNotNull() & (F.col(value) > 0))
-    headers.unpersist(blocking=False)
     return Loaded(facts, rejects, warnings)
 
 
