@@ -132,8 +132,10 @@ class FactStore:
 
         ``skip``: rows with a conflicting key are left out, the rest appended.
         ``refuse``: any conflict refuses the whole batch (nothing appended).
-        An empty batch writes nothing.
+        An empty batch writes nothing. A missing table is created first.
         """
+        if not self.exists():
+            self.create(replace=False)
         bad = self.conflicts(batch)
         if on_conflict == "refuse":
             if not bad.isEmpty():

@@ -212,3 +212,10 @@ def test_store_write_bounds_files_per_folder(spark, tmp_dir):
     for folder in glob.glob(f"{tmp_dir}/annual/DataType=*/Year=*"):
         assert len(glob.glob(f"{folder}/*.parquet")) <= 3
     assert store.read().count() == 400
+
+
+def test_append_creates_missing_store(spark, tmp_dir):
+    ddl = "Name string, DataType string, Year int, Registrations bigint"
+    store = FactStore.annual(spark, f"{tmp_dir}/fresh")
+    res = store.append(spark.createDataFrame([("A", MAKER_TYPE, 2024, 1)], ddl), on_conflict="refuse")
+    assert res.appended and rows(store.read(), "Name") == [("A",)]
