@@ -67,7 +67,8 @@ def _sql_str(s: str) -> str:
 @lru_cache(maxsize=256)
 def _rules_sql(name: str, rules: tuple, fallback: str) -> str:
     """The rule CASE WHEN as SQL text over a named column (built once per rule set)."""
-    text = f"upper(trim(coalesce(CAST(`{name}` AS STRING), {_sql_str(NULL_TEXT)})))"
+    quoted = name.replace("`", "``")
+    text = f"upper(trim(coalesce(CAST(`{quoted}` AS STRING), {_sql_str(NULL_TEXT)})))"
     whens = []
     for label, keywords in rules:
         if keywords:
