@@ -59,16 +59,25 @@ def part_category(p_type) -> F.Column:
     return F.coalesce(F.try_element_at(F.expr(_CATEGORY_MAP), p_type), p_type)
 
 
-def monthly_counts(spark: SparkSession, sf_dir: str, pre_aggregate: bool = False) -> DataFrame:
+def _aqe_splits_skew(spark: SparkSession) -> bool:
+    on = lambda k, d: str(spark.conf.get(k, d)).lower() == "true"
+    return on("spark.sql.adaptive.enabled", "true") and on("spark.sql.adaptive.skewJoin.enabled", "true")
+
+
+def monthly_counts(spark: SparkSession, sf_dir: str, pre_aggregate: bool | None = None) -> DataFrame:
     """(DataType, Name, Year, MonthNum, n): registrations per entity and month.
 
-    Default plan: one shuffle of the 2-column lineitem projection for the join
-    (AQE splits a hot part key), the partial aggregate in the join's stage.
-    ``pre_aggregate=True`` first counts lineitems per (part key, year, month)
-    map-side: a part key holding a third of all rows then shuffles at most one
-    row per month per map task, without relying on AQE, at the cost of a
-    second (smaller) shuffle into the join.
+    Join-first plan: one shuffle of the narrow lineitem projection for the join
+    (AQE's skew-join splits a hot part key), the partial aggregate in the
+    join's stage. Pre-aggregated plan: lineitems are first counted per
+    (part key, year, month) map-side, so a part key holding a third of all
+    rows shuffles at most one row per month per map task without relying on
+    AQE, at the cost of a second (smaller) shuffle into the join.
+    ``pre_aggregate=None`` picks join-first when the session has AQE skew-join
+    splitting on, else the pre-aggregated plan.
     """
+    if pre_aggregate is None:
+        pre_aggregate = not _aqe_splits_skew(spark)
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", F.year("l_shipdate").alias("Year"), F.month("l_shipdate").alias("MonthNum")
     )

@@ -60,3 +60,15 @@ def test_pre_aggregated_join_gives_the_same_counts(spark):
     assert sorted(a.collect()) == sorted(b.collect())
     p = plan(b)
     assert p.count("HashAggregate") >= 4  # map-side count before the join, then the cell aggregates
+
+
+def test_pre_aggregation_is_chosen_when_aqe_cannot_split_skew(spark):
+    before = spark.conf.get("spark.sql.adaptive.skewJoin.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+        off = plan(facts.monthly_counts(spark, SF_SMALL))
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+        on = plan(facts.monthly_counts(spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", before)
+    assert off.count("HashAggregate") > on.count("HashAggregate")
