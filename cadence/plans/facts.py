@@ -64,8 +64,11 @@ def _aqe_splits_skew(spark: SparkSession) -> bool:
     return on("spark.sql.adaptive.enabled", "true") and on("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
-def monthly_counts(spark: SparkSession, sf_dir: str, pre_aggregate: bool | None = None) -> DataFrame:
-    """(DataType, Name, Year, MonthNum, n): registrations per entity and month.
+def monthly_counts(
+    spark: SparkSession, sf_dir: str, pre_aggregate: bool | None = None, by_month: bool = True
+) -> DataFrame:
+    """(DataType, Name, Year, MonthNum, n): registrations per entity and month
+    (``by_month=False``: per entity and year, MonthNum NULL — for annual-only plans).
 
     Join-first plan: one shuffle of the narrow lineitem projection for the join
     (AQE's skew-join splits a hot part key), the partial aggregate in the
@@ -78,11 +81,11 @@ def monthly_counts(spark: SparkSession, sf_dir: str, pre_aggregate: bool | None
     """
     if pre_aggregate is None:
         pre_aggregate = not _aqe_splits_skew(spark)
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", F.year("l_shipdate").alias("Year"), F.month("l_shipdate").alias("MonthNum")
-    )
+    period = ["Year", "MonthNum"] if by_month else ["Year"]
+    cols = [F.year("l_shipdate").alias("Year")] + ([F.month("l_shipdate").alias("MonthNum")] if by_month else [])
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", *cols)
     if pre_aggregate:
-        li = li.groupBy("l_partkey", "Year", "MonthNum").agg(F.count(F.lit(1)).alias("k"))
+        li = li.groupBy("l_partkey", *period).agg(F.count(F.lit(1)).alias("k"))
     else:
         li = li.withColumn("k", F.lit(1).cast("bigint"))
     pt = table(spark, sf_dir, "part").select(
@@ -90,12 +93,16 @@ def monthly_counts(spark: SparkSession, sf_dir: str, pre_aggregate: bool | None
     )
     cells = (
         li.join(pt, li.l_partkey == pt.p_partkey)
-        .groupBy(MAKER_TYPE, CATEGORY_TYPE, "Year", "MonthNum")
+        .groupBy(MAKER_TYPE, CATEGORY_TYPE, *period)
         .agg(F.sum("k").alias("n"))
     )
     # One row per cell and kind; the cells are already tiny, the re-aggregation is cheap.
-    kinds = cells.unpivot(["Year", "MonthNum", "n"], [MAKER_TYPE, CATEGORY_TYPE], "DataType", "Name")
-    return kinds.groupBy("DataType", "Name", "Year", "MonthNum").agg(F.sum("n").alias("n"))
+    kinds = cells.unpivot([*period, "n"], [MAKER_TYPE, CATEGORY_TYPE], "DataType", "Name")
+    counts = kinds.groupBy("DataType", "Name", *period).agg(F.sum("n").alias("n"))
+    if not by_month:  # keep the shape; MonthNum is not a grouping key, so the
+        # (DataType, Name, Year) partitioning carries on to the annual aggregate
+        counts = counts.select("DataType", "Name", "Year", F.lit(None).cast("int").alias("MonthNum"), "n")
+    return counts
 
 
 def wide_monthly(counts: DataFrame) -> DataFrame:
@@ -147,10 +154,10 @@ class FactSet:
     the counts only once (annual facts) pass ``reuse=False``.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, reuse: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, reuse: bool = True, by_month: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
-        counts = monthly_counts(spark, sf_dir)
+        counts = monthly_counts(spark, sf_dir, by_month=by_month)
         # reuse=False: a plan that reads the counts once keeps them inline (one job).
         self.counts = materialize(counts, "counts") if reuse else counts
 

@@ -76,8 +76,9 @@ def fact_set(spark, d, reuse: bool = True) -> facts.FactSet:
 
 
 def annual_once(spark, d):
-    """Annual facts for a plan that reads the counts once (no materialization)."""
-    return fact_set(spark, d, reuse=False).annual
+    """Annual facts for a plan that reads the counts once: yearly grain, no
+    materialization."""
+    return facts.FactSet(spark, d, reuse=False, by_month=False).annual
 
 
 def grouped(df: DataFrame, rules=FILE_RULES) -> DataFrame:
@@ -148,7 +149,7 @@ def q_qoq_growth(spark, d):
 
 def q_yoy_growth_store(spark, d):
     """Store profile: positive facts only, every row grouped by MappedName (store rules)."""
-    a = fact_set(spark, d, reuse=False).annual.where(F.col("Registrations") > 0)
+    a = annual_once(spark, d).where(F.col("Registrations") > 0)
     a = a.withColumn("MappedName", group_name("DataType", "Name", STORE_RULES))
     return yoy_growth(a, group_col="MappedName")
 
