@@ -1,0 +1 @@
+"""Driver-table facts, the registered queries and their SQL oracle."""

@@ -1,0 +1 @@
+"""Sources and sinks: wide report files (CSV) and the Parquet fact store."""
