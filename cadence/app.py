@@ -64,11 +64,14 @@ def load_facts(spark: SparkSession, source: str, profile: Profile = FILE_PROFILE
 
 def build_store(spark: SparkSession, source: str, store_dir: str) -> DataFrame:
     """Replace the two fact tables with the reports under ``source`` (store
-    profile: zero counts and nameless rows are not facts). Returns the rejects."""
-    a = wide_csv.load_reports(spark, source, "annual", keep_zero=False)
-    m = wide_csv.load_reports(spark, source, "monthly", keep_zero=False)
-    FactStore.annual(spark, f"{store_dir}/annual_registrations").create(a.facts)
-    FactStore.monthly(spark, f"{store_dir}/monthly_registrations").create(m.facts)
+    profile: zero counts and nameless rows are not facts). A report that would
+    repeat a key is refused whole (first report by name wins). Returns the rejects."""
+    annual = FactStore.annual(spark, f"{store_dir}/annual_registrations")
+    monthly = FactStore.monthly(spark, f"{store_dir}/monthly_registrations")
+    a = wide_csv.unique_reports(wide_csv.load_reports(spark, source, "annual", keep_zero=False), annual.key)
+    m = wide_csv.unique_reports(wide_csv.load_reports(spark, source, "monthly", keep_zero=False), monthly.key)
+    annual.create(a.facts)
+    monthly.create(m.facts)
     return a.rejects.unionByName(m.rejects)
 
 

@@ -360,6 +360,11 @@ def build() -> dict[str, str]:
     sql["store_roundtrip"] = with_ctes(F_, body=positive)
     sql["store_append_new"] = with_ctes(F_, body=positive)
     sql["stream_ingest"] = with_ctes(F_, body=positive)
+    sql["store_unique_reports"] = with_ctes(
+        F_,
+        body="SELECT 'Y_Maker_X_Calendar_Year_Year_' || CAST(Year AS VARCHAR) || '_copy.csv' AS Report, "
+        "'duplicate key' AS Reason FROM (SELECT DISTINCT Year FROM annual WHERE DataType = 'Manufacturer')",
+    )
     sql["store_dup_keys"] = with_ctes(
         F_,
         body="SELECT Name, DataType, Year, Month, 'key exists in store' AS Reason FROM monthly "

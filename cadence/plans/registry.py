@@ -71,8 +71,8 @@ CUSTOM_RULES = (
 
 # ---------------------------------------------------------------- shared inputs
 
-def fact_set(spark, d, reuse: bool = True) -> facts.FactSet:
-    return facts.FactSet(spark, d, reuse)
+def fact_set(spark, d, reuse: bool = True, by_month: bool = True) -> facts.FactSet:
+    return facts.FactSet(spark, d, reuse, by_month)
 
 
 def annual_once(spark, d):
@@ -378,6 +378,32 @@ def q_src_rejects(spark, d):
     return wide_csv.load_reports(spark, out, "annual").rejects
 
 
+def q_store_unique_reports(spark, d):
+    """Store build over reports where every maker report arrives twice (a
+    second copy under a later name): the copies repeat keys and are refused."""
+    out = scratch_path(spark, "reports")
+    a = wide_csv.annual_report_frame(fact_set(spark, d, by_month=False).annual)
+    wide_csv.write_reports(a, out, "annual")
+    mk = a.where(F.col("DataType") == MAKER_TYPE)
+    cols = [c for c in mk.columns if c.startswith(wide_csv.YEAR_PREFIX)]
+    (
+        mk.select(
+            F.concat(F.lit("Y_Maker_" + wide_csv.ANNUAL_MARKER), F.col("Year").cast("string"), F.lit("_copy.csv")).alias(
+                "Report"
+            ),
+            F.col("Name").alias(wide_csv.ENTITY_COLUMNS[MAKER_TYPE]),
+            *[F.col(f"`{c}`") for c in cols],
+            F.col(wide_csv.TOTAL_COLUMN),
+        )
+        .write.mode("overwrite")
+        .partitionBy("Report")
+        .option("header", "true")
+        .csv(f"{out}/copies")
+    )
+    loaded = wide_csv.load_reports(spark, out, "annual", keep_zero=False)
+    return wide_csv.unique_reports(loaded, ["Name", "DataType", "Year"]).rejects
+
+
 def q_load_file_profile(spark, d):
     loaded = wide_csv.load_reports(spark, _write_monthly_reports(spark, d), "monthly", keep_zero=True)
     f = grouped(loaded.facts, FILE_RULES)
@@ -527,6 +553,7 @@ QUERIES: dict[str, Query] = {
     "store_roundtrip": q_store_roundtrip,
     "store_dup_keys": q_store_dup_keys,
     "store_append_new": q_store_append_new,
+    "store_unique_reports": q_store_unique_reports,
     "stream_ingest": q_stream_ingest,
     "entity_catalog": q_entity_catalog,
     "year_bounds": q_year_bounds,

@@ -182,11 +182,46 @@ def classify(headers: DataFrame, axis: str) -> DataFrame:
 R_FRACTIONAL = "fractional count truncated"
 
 
+R_DUP_KEY = "duplicate key"
+
+
 @dataclass
 class Loaded:
     facts: DataFrame
     rejects: DataFrame  # (Report, Reason): files that were not loaded
     warnings: DataFrame  # (Report, Reason, Cells): loaded files with cells that needed fixing
+    by_report: DataFrame | None = None  # facts + the Report each row came from
+
+
+def unique_reports(loaded: Loaded, key: list[str]) -> Loaded:
+    """Enforce a unique key the way a file-by-file insert does: a report whose
+    rows repeat a key (inside itself, or of a report accepted before it, in
+    report-name order) is refused whole and listed in the rejects.
+
+    One aggregate finds the duplicated keys; only the small sets of report
+    names that share a key reach the driver, where "first report wins" is
+    resolved over report names (not rows).
+    """
+    if loaded.by_report is None:
+        return loaded
+    dup = (
+        loaded.by_report.groupBy(*key)
+        .agg(F.sort_array(F.collect_set("Report")).alias("reps"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > 1)
+    )
+    sets = [list(r["reps"]) for r in dup.select("reps").distinct().collect()]
+    inside = {s[0] for s in sets if len(s) == 1}
+    refused: set[str] = set()
+    accepted: set[str] = set()
+    for rep in sorted({r for s in sets for r in s}):
+        clash = any(rep in s and accepted.intersection(s) for s in sets)
+        (refused if rep in inside or clash else accepted).add(rep)
+    if not refused:
+        return loaded
+    spark = loaded.facts.sparkSession
+    gone = spark.createDataFrame([(r, R_DUP_KEY) for r in sorted(refused)], REJECT_SCHEMA)
+    kept = loaded.by_report.where(~F.col("Report").isin(sorted(refused)))
+    return Loaded(kept.drop("Report"), loaded.rejects.unionByName(gone), loaded.warnings, kept)
 
 
 def _scan_group(spark: SparkSession, columns: list[str], paths: list[str], axis: str) -> DataFrame:
@@ -268,9 +303,9 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
             .agg(F.count(F.lit(1)).alias("Cells"))
             .select("Report", F.lit(R_FRACTIONAL).alias("Reason"), "Cells")
         )
-        facts = cells.drop("_report", "_fractional")
+        facts = cells.drop("_fractional").withColumnRenamed("_report", "Report")
     else:
-        facts = _empty_facts(spark, axis)
+        facts = _empty_facts(spark, axis).withColumn("Report", F.lit(None).cast("string"))
         warnings = spark.createDataFrame([], "Report string, Reason string, Cells bigint")
     if axis == "monthly":
         facts = facts.withColumn("MonthNum", month_num("Month")).withColumn(
@@ -278,7 +313,7 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
         ).where(F.col("Date").isNotNull())
     if not keep_zero:
         facts = facts.where(F.col("Name").isNotNull() & (F.col(value) > 0))
-    return Loaded(facts, rejects, warnings)
+    return Loaded(facts.drop("Report"), rejects, warnings, facts)
 
 
 def _empty_facts(spark: SparkSession, axis: str) -> DataFrame:

@@ -219,3 +219,28 @@ def test_append_creates_missing_store(spark, tmp_dir):
     store = FactStore.annual(spark, f"{tmp_dir}/fresh")
     res = store.append(spark.createDataFrame([("A", MAKER_TYPE, 2024, 1)], ddl), on_conflict="refuse")
     assert res.appended and rows(store.read(), "Name") == [("A",)]
+
+
+def test_unique_reports_first_report_wins(spark, tmp_dir):
+    write(
+        f"{tmp_dir}/Y_Maker_X_Calendar_Year_Year_2023.csv",
+        ["S No_S No,Maker_Maker,Calendar Year_2023,TOTAL_TOTAL", "1,A,3,3", "2,B,4,4"],
+    )
+    write(  # repeats (A, 2023) from the report above -> refused whole
+        f"{tmp_dir}/Y_Maker_X_Calendar_Year_Year_2024.csv",
+        ["S No_S No,Maker_Maker,Calendar Year_2023,Calendar Year_2024,TOTAL_TOTAL", "1,A,9,5,14", "2,C,1,1,2"],
+    )
+    write(  # a key twice inside one report -> refused whole
+        f"{tmp_dir}/Y_Vehicle_Category_X_Calendar_Year_Year_2024.csv",
+        ["S No_S No,Vehicle Category_Vehicle Category,Calendar Year_2024,TOTAL_TOTAL", "1,BUS,1,1", "2,BUS,2,2"],
+    )
+    write(
+        f"{tmp_dir}/Y_Vehicle_Category_X_Calendar_Year_Year_2025.csv",
+        ["S No_S No,Vehicle Category_Vehicle Category,Calendar Year_2025,TOTAL_TOTAL", "1,BUS,7,7"],
+    )
+    loaded = wide_csv.unique_reports(wide_csv.load_reports(spark, tmp_dir, "annual"), ["Name", "DataType", "Year"])
+    assert rows(loaded.facts, "Name", "Year", "Registrations") == [("A", 2023, 3), ("B", 2023, 4), ("BUS", 2025, 7)]
+    assert rows(loaded.rejects) == [
+        ("Y_Maker_X_Calendar_Year_Year_2024.csv", wide_csv.R_DUP_KEY),
+        ("Y_Vehicle_Category_X_Calendar_Year_Year_2024.csv", wide_csv.R_DUP_KEY),
+    ]
