@@ -75,6 +75,23 @@ def build_store(spark: SparkSession, source: str, store_dir: str) -> DataFrame:
     return a.rejects.unionByName(m.rejects)
 
 
+def safe_file_name(name: str) -> str:
+    """Every character that is not a letter or a digit becomes '_' (driver-side
+    twin of ``functions.safe_name`` for output names)."""
+    return "".join(ch if ch.isalnum() else "_" for ch in name)
+
+
+def save_table(df: DataFrame, name: str, out_dir: str) -> str:
+    """Save a scraped/collected table as a report: two-level headers flattened
+    to 'A_B', thousands commas stripped and numeric columns promoted, written
+    as a header CSV folder named after ``name``. Returns the path."""
+    from cadence.operators.reshape import clean_numeric, flatten_columns
+
+    path = f"{out_dir.rstrip('/')}/{safe_file_name(name)}.csv"
+    clean_numeric(flatten_columns(df)).write.mode("overwrite").option("header", "true").csv(path)
+    return path
+
+
 def load_store(spark: SparkSession, store_dir: str, profile: Profile = STORE_PROFILE) -> Facts:
     """Facts from the store; monthly rows get their Date (unknown months dropped)."""
     a = FactStore.annual(spark, f"{store_dir}/annual_registrations").read()

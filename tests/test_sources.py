@@ -244,3 +244,17 @@ def test_unique_reports_first_report_wins(spark, tmp_dir):
         ("Y_Maker_X_Calendar_Year_Year_2024.csv", wide_csv.R_DUP_KEY),
         ("Y_Vehicle_Category_X_Calendar_Year_Year_2024.csv", wide_csv.R_DUP_KEY),
     ]
+
+
+def test_save_table_then_load_as_report(spark, tmp_dir):
+    from cadence import app
+
+    df = spark.createDataFrame(
+        [(("1",), ("A",), ("1,234",), ("1,234",)), (("2",), ("B",), ("5",), ("5",))],
+        "`S No` struct<`S No`:string>, Maker struct<Maker:string>, "
+        "`Calendar Year` struct<`2024`:string>, TOTAL struct<TOTAL:string>",
+    )
+    path = app.save_table(df, "Y/Maker X Calendar_Year Year 2024", tmp_dir)
+    assert path.endswith("/Y_Maker_X_Calendar_Year_Year_2024.csv")
+    f = wide_csv.load_reports(spark, tmp_dir, "annual").facts
+    assert rows(f, "Name", "Year", "Registrations") == [("A", 2024, 1234), ("B", 2024, 5)]
