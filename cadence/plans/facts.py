@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.functions.calendar import MONTH_PREFIX, MONTHS, TOTAL_COLUMN
+from cadence.functions.calendar import MONTH_PREFIX, MONTHS, TOTAL_COLUMN, month_label
 from cadence.functions.rules import CATEGORY_TYPE, MAKER_TYPE
 from cadence.operators.reshape import keep_positive, unpivot_monthly
 from cadence.session import materialize
@@ -168,6 +168,19 @@ class FactSet:
     def monthly(self, keep_zero: bool = True) -> DataFrame:
         return monthly_from_counts(self.counts, keep_zero)
 
+    @property
+    def monthly_positive(self) -> DataFrame:
+        """Store-profile monthly facts (counts > 0) straight from the counts: the
+        same rows as ``monthly(keep_zero=False)`` without the dense round trip
+        (every count cell is >= 1)."""
+        return self.counts.select(
+            "Name",
+            "DataType",
+            "Year",
+            month_label("MonthNum").alias("Month"),
+            F.col("n").cast("bigint").alias("MonthlyRegistrations"),
+        )
+
     @property
     def wide_monthly(self) -> DataFrame:
         return wide_monthly(self.counts)

@@ -155,7 +155,7 @@ def q_yoy_growth_store(spark, d):
 
 
 def q_qoq_growth_store(spark, d):
-    m = fact_set(spark, d).monthly(keep_zero=False)
+    m = fact_set(spark, d, reuse=False).monthly_positive
     m = m.withColumn("MappedName", group_name("DataType", "Name", STORE_RULES))
     return qoq_growth(m, group_col="MappedName")
 
@@ -432,14 +432,14 @@ def _store_split(spark, d):
     """The store-profile facts split by year into an initial load and a
     later batch that overlaps it by one year."""
     fs = fact_set(spark, d)
-    m = fs.monthly(keep_zero=False)
+    m = fs.monthly_positive
     last = fs.counts.agg(F.max("Year")).first()[0]
     return m.where(F.col("Year") < last), m.where(F.col("Year") >= last - 1)
 
 
 def q_store_roundtrip(spark, d):
     store = FactStore.monthly(spark, scratch_path(spark, "store"))
-    store.create(fact_set(spark, d).monthly(keep_zero=False))
+    store.create(fact_set(spark, d, reuse=False).monthly_positive)
     return store.read()
 
 
@@ -479,9 +479,11 @@ def q_stream_ingest(spark, d):
 
 def q_entity_catalog(spark, d):
     fs = fact_set(spark, d)
+    # Names (and years) of the dense monthly facts are those of the counts; the
+    # zero rows the dense grid adds never introduce a name.
     return entity_catalog(
         grouped(fs.annual),
-        grouped(fs.monthly()),
+        grouped(fs.monthly_positive),
         ensure_groups=("2W", "3W", "4W"),
         grouped_type=CATEGORY_TYPE,
     )
@@ -489,7 +491,7 @@ def q_entity_catalog(spark, d):
 
 def q_year_bounds(spark, d):
     fs = fact_set(spark, d)
-    return year_bounds(fs.annual, fs.monthly())
+    return year_bounds(fs.annual, fs.monthly_positive)
 
 
 def q_preview_head(spark, d):
