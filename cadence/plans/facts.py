@@ -6,10 +6,12 @@ the part's brand (kind ``Manufacturer``) and a detailed category derived from
 the part type (kind ``Vehicle Category``). Facts come in the two grains of the
 model: annual and monthly, and as the wide reports the loader reads.
 
-Plan at scale: lineitem (projected to 2 columns) joins part on the part key
-(sort-merge; AQE splits a hot part key, auto-broadcast only under the size
-threshold), then a partial aggregate in the same stage collapses the join
-output to (brand, category, year, month) cells before the only other shuffle.
+Plan at scale: lineitem (read as 2 columns, projected to part key, year,
+month) joins part on the part key (sort-merge; AQE splits a hot part key, or
+the lineitem side is pre-aggregated map-side when AQE cannot; auto-broadcast
+only under the size threshold), then a partial aggregate in the same stage
+collapses the join output to (brand, category, year, month) cells before the
+next shuffle. Everything after that works on those small cells.
 """
 
 from __future__ import annotations
