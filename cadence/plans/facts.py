@@ -116,7 +116,10 @@ def wide_monthly(counts: DataFrame) -> DataFrame:
     """
     # Bounded by kinds x years (one row per report), so broadcasting it is safe.
     last = counts.groupBy("DataType", "Year").agg(F.max("MonthNum").alias("LastMonth"))
-    piv = counts.groupBy("DataType", "Name", "Year").pivot("MonthNum", list(range(1, 13))).agg(F.sum("n"))
+    # A conditional aggregate is the pivot in one aggregation (one exchange);
+    # DataFrame.pivot would aggregate per month first, then pivot (two).
+    by_month = [F.sum(F.when(F.col("MonthNum") == F.lit(i), F.col("n"))).alias(str(i)) for i in range(1, 13)]
+    piv = counts.groupBy("DataType", "Name", "Year").agg(*by_month)
     piv = piv.join(F.broadcast(last), ["DataType", "Year"])
     cells = {}
     for i, m in enumerate(MONTHS, 1):
