@@ -3,7 +3,7 @@
 Runs on ``local[$BENCH_CPUS]`` over ``$BENCH_SF_DIR`` (default sf0.1) and
 prints ONE JSON line: {"metric", "value", "unit", "queries", "sf"}.
 Each query is built and executed in full (noop sink, no collect to the
-driver) ``$BENCH_REPEAT`` times (default 2); a query's time is its best run
+driver) ``$BENCH_REPEAT`` times (default 3); a query's time is its best run
 (the VM's timings are noisy), and the value is the sum over queries. One
 warm-up query runs first (JIT, file listing caches).
 """
@@ -48,7 +48,7 @@ def main() -> None:
     keys = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "8")))
     run(QUERIES["agg_annual"](spark, sf_dir))  # warm-up: JIT, file listing caches
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     times = {}
     for k in keys:
         best = None
