@@ -86,7 +86,8 @@ def aggregate_quarterly(monthly: DataFrame, group_col: str = "Name") -> DataFram
     ).agg(F.sum(F.col("MonthlyRegistrations").cast("bigint")).alias("QuarterlyRegistrations"))
 
 
-def _entity_window(*order_cols: str):
+def entity_window(*order_cols: str):
+    """The per-entity series window: partitioned by (DataType, Name), ordered by period."""
     return Window.partitionBy("DataType", "Name").orderBy(*order_cols)
 
 
@@ -96,7 +97,7 @@ def yoy_growth(annual: DataFrame, group_col: str = "Name") -> DataFrame:
     if not has_columns(annual, ["DataType", group_col, "Year", "Registrations"]):
         return empty_like(annual, YOY_SCHEMA)
     agg = aggregate_annual(annual, group_col)
-    prev = F.lag("Registrations").over(_entity_window("Year"))
+    prev = F.lag("Registrations").over(entity_window("Year"))
     return agg.select("DataType", "Name", "Year", "Registrations", prev.alias("PrevYearRegistrations")).withColumn(
         "YoYGrowth", pct_change("Registrations", "PrevYearRegistrations")
     )
@@ -110,7 +111,7 @@ def qoq_growth(monthly: DataFrame, group_col: str = "Name") -> DataFrame:
     ):
         return empty_like(monthly, QOQ_SCHEMA)
     q = aggregate_quarterly(monthly, group_col)
-    prev = F.lag("QuarterlyRegistrations").over(_entity_window("Year", "Quarter"))
+    prev = F.lag("QuarterlyRegistrations").over(entity_window("Year", "Quarter"))
     return q.select(
         "DataType",
         "Name",

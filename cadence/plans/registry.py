@@ -48,7 +48,7 @@ from cadence.operators import (
     year_bounds,
     yoy_growth,
 )
-from cadence.operators.growth import _entity_window
+from cadence.operators.growth import entity_window
 from cadence.plans import facts
 from cadence.session import scratch_path
 from cadence.sources import wide_csv
@@ -102,7 +102,7 @@ def q_agg_annual(spark, d):
 
 def q_lag_year(spark, d):
     a = aggregate_annual(grouped(annual_once(spark, d)))
-    return a.withColumn("PrevYearRegistrations", F.lag("Registrations").over(_entity_window("Year")))
+    return a.withColumn("PrevYearRegistrations", F.lag("Registrations").over(entity_window("Year")))
 
 
 def q_pct_change(spark, d):
@@ -127,7 +127,7 @@ def q_agg_quarterly(spark, d):
 def q_lag_quarter(spark, d):
     q = aggregate_quarterly(grouped(fact_set(spark, d).monthly()))
     return q.withColumn(
-        "PrevQuarterRegistrations", F.lag("QuarterlyRegistrations").over(_entity_window("Year", "Quarter"))
+        "PrevQuarterRegistrations", F.lag("QuarterlyRegistrations").over(entity_window("Year", "Quarter"))
     )
 
 
