@@ -258,3 +258,14 @@ def test_save_table_then_load_as_report(spark, tmp_dir):
     assert path.endswith("/Y_Maker_X_Calendar_Year_Year_2024.csv")
     f = wide_csv.load_reports(spark, tmp_dir, "annual").facts
     assert rows(f, "Name", "Year", "Registrations") == [("A", 2024, 1234), ("B", 2024, 5)]
+
+
+def test_shuffled_column_order_binds_by_name(spark, tmp_dir):
+    monthly_report(tmp_dir, "Maker", 2023, MONTHS12[:3], [("A", [1, 2, 3])])
+    write(
+        f"{tmp_dir}/Y_Maker_X_Month_Wise_Year_2024.csv",
+        ["TOTAL_TOTAL,Month Wise_MAR,Maker_Maker,S No_S No,Month Wise_JAN", "13,3,A,1,10"],
+    )
+    f = wide_csv.load_reports(spark, tmp_dir, "monthly").facts
+    assert rows(f.where("Year = 2024"), "Name", "Month", "MonthlyRegistrations") == [("A", "JAN", 10), ("A", "MAR", 3)]
+    assert rows(f.where("Year = 2023"), "Month", "MonthlyRegistrations") == [("FEB", 2), ("JAN", 1), ("MAR", 3)]
