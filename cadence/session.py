@@ -89,6 +89,30 @@ def materialize(df, name: str = "materialized"):
 
 
 _SHIPPED: set[tuple[str, str]] = set()
+_ZIP: tuple[bytes, str] | None = None
+
+
+def _package_zip() -> tuple[bytes, str]:
+    """The package's .py files as a zip (built once per process) and its digest."""
+    global _ZIP
+    if _ZIP is None:
+        import hashlib
+        import io
+        import zipfile
+
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+            for root, _dirs, files in sorted(os.walk(pkg_dir)):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        arc = os.path.join("cadence", os.path.relpath(full, pkg_dir))
+                        with open(full, "rb") as fh:
+                            zf.writestr(zipfile.ZipInfo(arc, date_time=(2020, 1, 1, 0, 0, 0)), fh.read())
+        data = buf.getvalue()
+        _ZIP = (data, hashlib.sha1(data).hexdigest()[:16])
+    return _ZIP
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -99,22 +123,8 @@ def ship_package(spark: SparkSession) -> None:
     package once per application into the shared checkpoint folder and adds it
     with ``addPyFile`` (the standard way to ship a library to executors).
     """
-    import hashlib
-    import io
-    import zipfile
-
     sc = spark.sparkContext
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
-        for root, _dirs, files in sorted(os.walk(pkg_dir)):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(root, f)
-                    arc = os.path.join("cadence", os.path.relpath(full, pkg_dir))
-                    zf.writestr(zipfile.ZipInfo(arc, date_time=(2020, 1, 1, 0, 0, 0)), open(full, "rb").read())
-    data = buf.getvalue()
-    digest = hashlib.sha1(data).hexdigest()[:16]
+    data, digest = _package_zip()
     key = (sc.applicationId, digest)
     if key in _SHIPPED:
         return
