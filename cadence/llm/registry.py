@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import stream_dedup
+from . import quality, stream_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,13 @@ def op4_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_stream_dedup": op4_stream_dedup,
+    "op7_quality_rules": op7_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_stream_dedup": stream_dedup.ORACLE,
