@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, stream_dedup
+from . import packing, quality, stream_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_stream_dedup": op4_stream_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_stream_dedup": stream_dedup.ORACLE,
