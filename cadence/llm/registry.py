@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, stream_dedup
+from . import lang_id, packing, quality, stream_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.report(table(spark, sf_dir, "documents"))
+
+
 def op4_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_language_id": op3_language_id,
     "op4_stream_dedup": op4_stream_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op10_packing": op10_packing,
