@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, packing, quality, stream_dedup
+from . import lang_id, packing, pii, quality, stream_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.report(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_pii_deobfuscation": op2_pii_deobfuscation,
     "op3_language_id": op3_language_id,
     "op4_stream_dedup": op4_stream_dedup,
     "op7_quality_rules": op7_quality_rules,
