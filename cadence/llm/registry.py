@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_id, packing, pii, quality, stream_dedup
-from .common import table
+from . import id_files, lang_id, packing, pii, quality, stream_dedup
+from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_id_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    id_files.write_ids(table(spark, sf_dir, "documents"), path)
+    return id_files.read_ids(spark, path)
+
+
 def op2_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_id_codec": op1_id_codec,
     "op2_pii_deobfuscation": op2_pii_deobfuscation,
     "op3_language_id": op3_language_id,
     "op4_stream_dedup": op4_stream_dedup,
