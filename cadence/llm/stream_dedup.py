@@ -58,6 +58,8 @@ def update_state(spark: SparkSession, landing: str, state: str, files_per_trigge
     conf = {
         "spark.sql.streaming.stateStore.providerClass": PROVIDER,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # one small store a partition: no megabytes set aside for logs that stay short
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
     was = {k: spark.conf.get(k, None) for k in conf}
