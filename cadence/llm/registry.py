@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_files, lang_id, packing, pii, quality, stream_dedup
+from . import id_files, lang_id, mixing, packing, pii, quality, stream_dedup, url_lists
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,14 @@ def op4_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.report(table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,9 +51,13 @@ QUERIES: dict[str, Query] = {
     "op2_pii_deobfuscation": op2_pii_deobfuscation,
     "op3_language_id": op3_language_id,
     "op4_stream_dedup": op4_stream_dedup,
+    "op5_url_lists": op5_url_lists,
+    "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_stream_dedup": stream_dedup.ORACLE,
+    "op5_url_lists": url_lists.ORACLE,
+    "op6_mixing": mixing.ORACLE,
 }

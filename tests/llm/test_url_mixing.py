@@ -1,0 +1,127 @@
+"""URL lists with validity intervals, and hierarchical mixing: SQL oracles, plain models, defined cases."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+from collections import defaultdict
+
+import duckdb
+from pyspark.sql import functions as F
+
+from cadence.llm import mixing, url_lists
+from cadence.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def same_as_sql(df, name: str, sql: str) -> None:
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {name} AS FROM '{SF}/{name}.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
+    key = lambda r: tuple((x is not None, str(x)) for x in r)
+    assert sorted((tuple(r) for r in df.collect()), key=key) == sorted(want, key=key)
+
+
+def test_sql_oracles(spark):
+    same_as_sql(url_lists.report(table(spark, SF, "pages")), "pages", url_lists.ORACLE)
+    same_as_sql(mixing.report(table(spark, SF, "documents")), "documents", mixing.ORACLE)
+
+
+def test_as_of_join_matches_a_plain_scan(spark):
+    rng = random.Random(4)
+    day = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randrange(30))
+    names = ["a.com", "x.a.com", "y.x.a.com", "b.org", "org", "com"]
+    entries = [(rng.choice(names), rng.choice(["block", "allow", "remove"]), day()) for _ in range(60)]
+    entries += [(None, "block", day()), ("a.com", "block", None)]
+    urls = ["http://Y.x.a.com./p", "https://u:p@x.a.com:80/?q", "ftp://b.org", "http://xa.com/", None, "not a url", "http://", "//b.org/x"]
+    caps = [(k, rng.choice(urls), day() if rng.random() < 0.95 else None, "e") for k in range(300)]
+    hosts = dict(zip(urls, ["y.x.a.com", "x.a.com", "b.org", "xa.com", None, None, None, None], strict=True))
+
+    def judge(url, at):
+        host = hosts[url]
+        if host is None or at is None:
+            return None
+        for i in range(len(host.split("."))):
+            name = ".".join(host.split(".")[i:])
+            log = [(s, {"block": 3, "allow": 2, "remove": 1}[a], a) for p, a, s in entries if p == name and s is not None and s <= at]
+            if log and max(log)[2] != "remove":
+                return max(log)[2]
+        return None
+
+    cdf = spark.createDataFrame(caps, "id long, url string, fetched timestamp_ntz, pattern string")
+    edf = spark.createDataFrame(entries, "pattern string, action string, since timestamp_ntz")
+    got = {r.id: r["__action"] for r in url_lists.verdicts(cdf, edf).collect()}
+    assert got == {k: judge(u, t) for k, u, t, _ in caps}
+    keep = url_lists.allowed(cdf, edf)
+    assert keep.columns == cdf.columns and {r.id for r in keep.collect()} == {k for k, v in got.items() if v != "block"}
+    assert url_lists.verdicts(cdf, edf.limit(0)).filter("__action IS NOT NULL").count() == 0
+    assert url_lists.verdicts(cdf.limit(0), edf).count() == 0
+
+
+def water(budget: float, nodes: list[tuple[float, float]]) -> list[float]:
+    """Shares by repeated passing of what full nodes leave."""
+    out, left, live = [0.0] * len(nodes), budget, [k for k, (w, c) in enumerate(nodes) if w > 0 and c > 0]
+    while live and left > 1e-9:
+        total = sum(nodes[k][0] for k in live)
+        full = [k for k in live if nodes[k][1] <= left * nodes[k][0] / total]
+        if not full:
+            for k in live:
+                out[k] = left * nodes[k][0] / total
+            return out
+        for k in full:
+            out[k] = nodes[k][1]
+        left, live = left - sum(nodes[k][1] for k in full), [k for k in live if k not in full]
+    return out
+
+
+def test_water_filling_passes_shortages_to_siblings_first(spark):
+    rng = random.Random(8)
+    leaves = [(d, l, s, rng.randrange(1, 400)) for d in ("p", "q", None) for l in ("en", "fr", None) for s in ("s1", "s2", None) if rng.random() < 0.85]
+    weights = [("domain", "p", 5.0), ("domain", "q", 0.5), ("language", "en", 3.0), ("source", "s1", 0.0), ("source", "s2", 4.0)]
+    w = {(a, b): c for a, b, c in weights}
+    for total in (50.0, 900.0, 4000.0, 1e9):
+        got = mixing.budgets(spark.createDataFrame(leaves, "domain string, language string, source string, tokens long"), mixing.weight_table(spark, weights), F.lit(total), 3)
+        got = {(r.domain, r.language, r.source): r.budget for r in got.collect()}
+
+        def split(rows, depth, budget):
+            if depth == 3:
+                return {rows[0][:3]: budget}
+            kids = defaultdict(list)
+            for r in rows:
+                kids[r[depth]].append(r)
+            names = list(kids)
+            # what a child can give is all its leaves have
+            shares = water(budget, [(w.get((mixing.LEVELS[depth], n), 1.0), 3.0 * sum(r[3] for r in kids[n])) for n in names])
+            out = {}
+            for n, x in zip(names, shares, strict=True):
+                out |= split(kids[n], depth + 1, x)
+            return out
+
+        want = split(leaves, 0, total)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 1 for k in want), (total, got, want)
+
+
+def test_mixing_epochs_and_defined_cases(spark):
+    schema = "doc_id long, text string, source string, lang string, budget int, whole string"
+    rows = [(k, "w " * (k % 7), f"src{k % 3}", "en", 1, "a") for k in range(200)]
+    rows += [(None, "x y z", None, None, 1, None), (3, "x y z", None, None, None, None), (3, "x y z", None, None, 2, ""), (900, None, "s", "fr", 1, ""), (901, "", "s", "fr", 1, "")]
+    docs = spark.createDataFrame(rows, schema)
+    got = mixing.mixed(docs, max_epochs=3)
+    assert got.columns[:6] == docs.columns
+    taken = got.collect()
+    assert all(r["__take"] > 0 for r in taken)
+    leaf = defaultdict(int)
+    for r in taken:
+        leaf[(r.source, r.lang, r["__budget"])] += r["__take"]
+    assert all(n == b for (_, _, b), n in leaf.items())  # each leaf spends its budget exactly
+    again = sorted((str(r.asDict()) for r in mixing.mixed(docs, max_epochs=3).repartition(7).collect()))
+    assert again == sorted(str(r.asDict()) for r in taken)
+    assert mixing.chosen(docs).columns == docs.columns
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_no_python_in_the_plans(spark):
+    for df in (url_lists.report(table(spark, SF, "pages")), mixing.report(table(spark, SF, "documents"))):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
