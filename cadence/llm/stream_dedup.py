@@ -130,6 +130,8 @@ def decisions(
     hits = rows.select(F.col("__file").alias("file"), F.col("__row").alias("row"), text.alias("body")).join(
         found.filter("n > 1").select("key", "id", "file", "row", "keep_file", "keep_row", salts.alias("salts")), ["file", "row"]
     )
+    # a copy of the hits' texts only, so that the shuffle of all texts runs once
+    hits = materialize(hits, "dedup-hits")
     own = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
     kept = hits.filter(own).select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("body").alias("kept_body"))
     spread = F.pmod(F.xxhash64("file", "row"), F.col("salts")).cast("int")
