@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_files, jaccard_join, lang_id, mixing, packing, pii, quality, stream_dedup, url_lists
+from . import id_files, jaccard_join, lang_id, mixing, packing, pii, quality, repeat_removal, stream_dedup, url_lists
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_removal.removed(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op5_url_lists": op5_url_lists,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_repeat_removal": op8_repeat_removal,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
 }
