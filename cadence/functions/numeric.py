@@ -12,21 +12,37 @@ from pyspark.sql import functions as F
 from cadence.functions._util import as_col
 
 
+#: What counts as a number in a text cell (blanks around it are allowed); no type suffixes, no hex, no "inf".
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+INTEGER = r"^[+-]?[0-9]+$"
+
+
+def parse_number(c: Column | str) -> Column:
+    """A cell as double; NULL when it is no number."""
+    s = F.trim(as_col(c).cast("string"))
+    return F.when(s.rlike(NUMBER), s.try_cast("double"))
+
+
+def parse_integer(c: Column | str) -> Column:
+    """A cell as bigint, exact to 64 bits; NULL when it is no whole number in range."""
+    s = F.trim(as_col(c).cast("string"))
+    return F.when(s.rlike(INTEGER), s.try_cast("bigint"))
+
+
 def coerce_or_zero(c: Column | str) -> Column:
     """Any cell to double; unparsable, empty, null or NaN become 0.0."""
-    d = as_col(c).try_cast("double")
-    return F.coalesce(F.nanvl(d, F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(parse_number(c), F.lit(0.0))
 
 
 def coerce_count(c: Column | str) -> Column:
-    """``coerce_or_zero`` as a BIGINT count (fractions truncate toward zero)."""
-    return F.coalesce(coerce_or_zero(c).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """A cell as a BIGINT count: whole numbers exactly, fractions cut toward zero, anything else 0."""
+    return F.coalesce(parse_integer(c), parse_number(c).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def is_fractional(c: Column | str) -> Column:
     """True when a cell parses to a number with a fractional part."""
-    d = as_col(c).try_cast("double")
-    return d.isNotNull() & ~F.isnan(d) & (d != F.floor(d))
+    d = parse_number(c)
+    return F.coalesce(parse_integer(c).isNull() & d.isNotNull() & (d != F.floor(d)), F.lit(False))
 
 
 def strip_thousands(c: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.functions.calendar import MONTH_PREFIX, TOTAL_COLUMN, YEAR_PREFIX
-from cadence.functions.numeric import coerce_count, strip_thousands
+from cadence.functions.numeric import coerce_count, parse_integer, parse_number, strip_thousands
 
 _YEAR_COL = re.compile(re.escape(YEAR_PREFIX) + r"\d{4}")
 
@@ -50,16 +50,29 @@ def unpivot_monthly(
     id_cols = _id_columns(wide, mcols, ids)
     if not mcols:
         return wide.select(*id_cols, F.lit(None).cast("string").alias("Month"), F.lit(None).cast("bigint").alias(value_name)).limit(0)
-    long = wide.select(*id_cols, *[F.col(f"`{c}`").cast("string").alias(c) for c in mcols]).unpivot(
-        id_cols, mcols, "MonthColumn", "Cell"
-    )
+    labels = {c: c.removeprefix(MONTH_PREFIX) for c in mcols}
+    long = _typed_unpivot(wide, id_cols, labels, "Month")
     if not keep_null_cells:
         long = long.where(F.col("Cell").isNotNull())
-    return long.select(
-        *id_cols,
-        F.regexp_replace("MonthColumn", "^" + re.escape(MONTH_PREFIX), "").alias("Month"),
-        (coerce_count("Cell") if coerce else F.col("Cell").try_cast("bigint")).alias(value_name),
-    )
+    return long.select(*id_cols, "Month", (_count("Cell", long) if coerce else _whole("Cell", long)).alias(value_name))
+
+
+def _typed_unpivot(wide: DataFrame, ids: list[str], labels: dict[str, str], name: str) -> DataFrame:
+    """Columns -> rows (label, Cell) without a text round trip: whole-number columns stay BIGINT, anything else is text."""
+    kinds = dict(wide.dtypes)
+    whole = all(kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in labels)
+    kind = "bigint" if whole else "string"
+    cells = [F.col(f"`{c}`").cast(kind).alias(label) for c, label in labels.items()]
+    return wide.select(*[F.col(f"`{c}`") for c in ids], *cells).unpivot(ids, list(labels.values()), name, "Cell")
+
+
+def _count(cell: str, df: DataFrame):
+    """The cell as a count, 0 when it is none."""
+    return F.coalesce(F.col(cell), F.lit(0).cast("bigint")) if dict(df.dtypes)[cell] == "bigint" else coerce_count(cell)
+
+
+def _whole(cell: str, df: DataFrame):
+    return F.col(cell) if dict(df.dtypes)[cell] == "bigint" else parse_integer(cell)
 
 
 def unpivot_annual(
@@ -73,16 +86,11 @@ def unpivot_annual(
     id_cols = _id_columns(wide, ycols, ids)
     if not ycols:
         return wide.select(*id_cols, F.lit(None).cast("int").alias("Year"), F.lit(None).cast("bigint").alias(value_name)).limit(0)
-    long = wide.select(*id_cols, *[F.col(f"`{c}`").cast("string").alias(c) for c in ycols]).unpivot(
-        id_cols, ycols, "YearColumn", "Cell"
-    )
+    labels = {c: _YEAR_COL.match(c).group()[-4:] for c in ycols}
+    long = _typed_unpivot(wide, id_cols, labels, "YearText")
     if not keep_null_cells:
         long = long.where(F.col("Cell").isNotNull())
-    return long.select(
-        *id_cols,
-        F.regexp_extract("YearColumn", r"(\d{4})", 1).try_cast("int").alias("Year"),
-        coerce_count("Cell").alias(value_name),
-    )
+    return long.select(*id_cols, F.col("YearText").cast("int").alias("Year"), _count("Cell", long).alias(value_name))
 
 
 def drop_nulls(df: DataFrame, subset: Sequence[str]) -> DataFrame:
@@ -125,8 +133,8 @@ def clean_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     for c in text_cols:
         s = strip_thousands(F.col(f"`{c}`"))
         present = s.isNotNull() & (s != "")
-        flags.append(F.bool_and(~present | s.try_cast("bigint").isNotNull()).alias(f"i{len(flags)}"))
-        flags.append(F.bool_and(~present | s.try_cast("double").isNotNull()).alias(f"d{len(flags)}"))
+        flags.append(F.bool_and(~present | parse_integer(s).isNotNull()).alias(f"i{len(flags)}"))
+        flags.append(F.bool_and(~present | parse_number(s).isNotNull()).alias(f"d{len(flags)}"))
     row = df.agg(*flags).first()
     out = []
     k = 0
@@ -136,9 +144,9 @@ def clean_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
             is_int, is_dbl = row[k], row[k + 1]
             k += 2
             if is_int is not False:
-                out.append(F.when(s != "", s).try_cast("bigint").alias(f.name))
+                out.append(parse_integer(s).alias(f.name))
             elif is_dbl:
-                out.append(F.when(s != "", s).try_cast("double").alias(f.name))
+                out.append(parse_number(s).alias(f.name))
             else:
                 out.append(s.alias(f.name))
         else:

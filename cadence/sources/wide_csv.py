@@ -2,37 +2,33 @@
 
 A report is one kind (maker / category) x one axis (calendar year / month
 wise) x one year. Its columns drift: the year sits inside a column name and a
-partial year has fewer month columns. Spark's CSV reader binds columns by
-position across files, so files are grouped by their header line and each
-group is read with its own all-string schema, then unpivoted and unioned.
+partial year has fewer month columns. So files are read as text lines, each
+line meets the header of its own file, and cells are picked by column name.
 
 Scale notes
-* Listing uses the ``binaryFile`` source with only ``path`` selected: Spark's
-  parallel file index lists, no file content is read.
-* Headers are read on the executors (``mapInPandas``), first line only.
-* The driver only sees one row per *distinct header* (plus its file list),
-  never data rows.
+* Listing uses the ``binaryFile`` source with only metadata selected: Spark's
+  parallel file index lists, no file content is read. No path list reaches the driver.
+* The header table has one row per file and joins the lines on the file's path
+  (broadcast by Spark's own size check; a hot file's lines are split by AQE).
+* A line with more cells than its header refuses the whole report; a read error fails the job.
 * A report may be a single file or a Spark-written folder of part files: the
   report name is the path component that starts with ``Y_``.
 """
 
 from __future__ import annotations
 
-import csv
-import io
 import re
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.functions.calendar import MONTH_PREFIX, TOTAL_COLUMN, YEAR_PREFIX, month_date, month_num
-from cadence.functions.numeric import coerce_count, is_fractional
+from cadence.functions.numeric import coerce_count, is_fractional, parse_number
 from cadence.functions.rules import CATEGORY_TYPE, MAKER_TYPE
-from cadence.session import materialize, ship_package
+from cadence.session import materialize
 
 # Report naming and header conventions.
 REPORT_PREFIX = "Y_"
@@ -51,7 +47,8 @@ R_UNKNOWN_KIND = "unknown report kind"
 R_NO_ENTITY = "no entity column"
 R_NO_PERIODS = "no period columns"
 R_NO_YEAR = "no year in file name"
-R_UNREADABLE = "unreadable or empty"
+R_EMPTY = "empty report"
+R_RAGGED = "row does not fit header"
 
 REJECT_SCHEMA = T.StructType([T.StructField("Report", T.StringType()), T.StructField("Reason", T.StringType())])
 
@@ -66,7 +63,7 @@ def report_name(axis: str, data_type: str, year: int) -> str:
 def report_of_path(path: Column) -> Column:
     """The report name inside a file URI: the last component starting with 'Y_'
     (a file, a folder of part files, or a ``Report=<name>`` partition folder)."""
-    return F.regexp_extract(path, r"/(?:Report=)?(" + re.escape(REPORT_PREFIX) + r"[^/]*)(/[^/]*)?$", 1)
+    return F.regexp_extract(path, r".*/(?:Report=)?(" + re.escape(REPORT_PREFIX) + r"[^/]*)(?:/[^/]*){0,2}$", 1)
 
 
 def kind_of_report(report: Column) -> Column:
@@ -83,65 +80,58 @@ def year_of_report(report: Column) -> Column:
 
 # ---------------------------------------------------------------- discovery
 
+def _paths(source: str | Iterable[str]) -> list[str]:
+    return [source] if isinstance(source, str) else list(source)
+
+
 def list_report_files(spark: SparkSession, source: str | Iterable[str], axis: str) -> DataFrame:
     """(path, Report, Kind) for every file of the axis under ``source``."""
-    paths = [source] if isinstance(source, str) else list(source)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*" + REPORT_SUFFIX)
-        .load(paths)
-        .select("path")
-    )
-    rep = report_of_path(F.col("path"))
-    return (
-        files.select("path", rep.alias("Report"))
-        .where(F.col("Report").contains(AXES[axis]) & F.col("Report").endswith(REPORT_SUFFIX))
-        .withColumn("Kind", kind_of_report(F.col("Report")))
+        .load(_paths(source))
+        .select(F.col("_metadata.file_path").alias("path"))
     )
+    return _of_axis(files, axis).withColumn("Kind", kind_of_report(F.col("Report")))
 
 
-def _local_path(uri: str) -> str | None:
-    from urllib.parse import unquote, urlparse
+def _of_axis(files: DataFrame, axis: str) -> DataFrame:
+    out = files.withColumn("Report", report_of_path(F.col("path")))
+    return out.where(F.col("Report").contains(AXES[axis]) & F.col("Report").endswith(REPORT_SUFFIX))
 
-    if uri.startswith("file:"):
-        return unquote(urlparse(uri).path)
-    if "://" not in uri and uri.startswith("/"):
-        return uri
-    return None
+
+def read_lines(spark: SparkSession, source: str | Iterable[str], axis: str) -> DataFrame:
+    """(path, Report, line, first_block, place): the non-blank lines of every report file of the axis."""
+    text = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*" + REPORT_SUFFIX).text(_paths(source))
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.regexp_replace("value", "^\ufeff", "").alias("line"),
+            (F.col("_metadata.file_block_start") == 0).alias("first_block"),
+            F.monotonically_increasing_id().alias("place"),
+        )
+    )
+    return _of_axis(text.where(F.trim("line") != ""), axis)
 
 
-def _first_line_columns(uri: str) -> list[str] | None:
-    """Header cells of a CSV file: first line only; None if unreadable/empty."""
-    try:
-        local = _local_path(uri)
-        if local is not None:
-            with open(local, "rb") as fh:
-                raw = fh.readline()
-        else:
-            import pyarrow.fs as pafs
+#: A comma outside quotes.
+_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
-            fs, p = pafs.FileSystem.from_uri(uri)
-            with fs.open_input_stream(p) as fh:
-                raw = fh.read(1 << 16).split(b"\n", 1)[0]
-        line = raw.decode("utf-8-sig").rstrip("\r\n")
-        if not line.strip():
-            return None
-        return next(csv.reader(io.StringIO(line)))
-    except Exception:  # an unreadable file is a reject, not a failure
-        return None
 
+def split_line(line: Column) -> Column:
+    """Cells of a CSV line; quoted cells lose their quotes, empty cells are NULL."""
+    def cell(c: Column) -> Column:
+        body = F.when(c.rlike('^".*"$'), F.regexp_replace(F.substr(c, F.lit(2), F.length(c) - 2), '""', '"')).otherwise(c)
+        return F.when(body != "", body)
 
-def _headers_udf(batches):
-    for pdf in batches:
-        yield pdf.assign(Columns=[_first_line_columns(p) for p in pdf["path"]])
+    return F.transform(F.split(line, _COMMA, -1), cell)
 
 
-def read_headers(files: DataFrame) -> DataFrame:
-    """files + Columns (array<string>), read on the executors (no shuffle)."""
-    ship_package(files.sparkSession)  # the header reader runs in executor Python workers
-    schema = T.StructType(files.schema.fields + [T.StructField("Columns", T.ArrayType(T.StringType()))])
-    return files.mapInPandas(_headers_udf, schema)
+def read_headers(lines: DataFrame) -> DataFrame:
+    """(path, Header, Columns): the first line of each file. Lines of a file's first block come in order."""
+    first = lines.where("first_block").groupBy("path").agg(F.min_by("line", "place").alias("Header"))
+    return first.withColumn("Columns", F.transform(split_line(F.col("Header")), lambda c: F.coalesce(c, F.lit(""))))
 
 
 # ---------------------------------------------------------------- rejects
@@ -168,7 +158,7 @@ def classify(headers: DataFrame, axis: str) -> DataFrame:
     has_entity = F.exists(F.col("Columns"), lambda c: c.contains(ent))
     reason = (
         F.when(F.col("Kind").isNull(), F.lit(R_UNKNOWN_KIND))
-        .when(F.col("Columns").isNull(), F.lit(R_UNREADABLE))
+        .when(F.col("Columns").isNull(), F.lit(R_EMPTY))
         .when(~has_entity, F.lit(R_NO_ENTITY))
         .when(_period_count(axis) == 0, F.lit(R_NO_PERIODS))
     )
@@ -193,191 +183,159 @@ class Loaded:
     by_report: DataFrame | None = None  # facts + the Report each row came from
 
 
-def unique_reports(loaded: Loaded, key: list[str]) -> Loaded:
-    """Enforce a unique key the way a file-by-file insert does: a report whose
-    rows repeat a key (inside itself, or of a report accepted before it, in
-    report-name order) is refused whole and listed in the rejects.
+def _without(df: DataFrame, reports: DataFrame) -> DataFrame:
+    return df.join(reports.select("Report").distinct(), "Report", "left_anti").select(*df.columns)
+
 
-    One aggregate finds the duplicated keys; only the small sets of report
-    names that share a key reach the driver, where "first report wins" is
-    resolved over report names (not rows).
+def refused_reports(by_report: DataFrame, key: list[str]) -> DataFrame:
+    """(Report, Reason): reports that repeat a key, in themselves or of a report accepted before them.
+
+    Reports are taken in name order, as a file-by-file insert would. All steps
+    are aggregates and joins: a report that holds a key twice goes first; of
+    the rest, in rounds, every report that is the first undecided one on all keys it shares is
+    accepted, and those that share a key with it are refused. Only a row count per round reaches the driver.
     """
+    held = by_report.groupBy("Report", *key).agg(F.count(F.lit(1)).alias("n"))
+    held = materialize(held, "report-keys")
+    inside = materialize(held.where("n > 1").select("Report").distinct(), "reports-inside")
+    # keys that several of the other reports hold
+    rest = _without(held.drop("n"), inside)
+    many = rest.groupBy(*key).agg(F.min("Report").alias("lo"), F.max("Report").alias("hi")).where("lo < hi").select(*key)
+    open_ = materialize(rest.join(many, key, "left_semi"), "reports-open")
+    refused = inside
+    while not open_.isEmpty():
+        first = open_.groupBy(*key).agg(F.min("Report").alias("First"))
+        seen = open_.join(first, key)
+        waits = seen.where("Report <> First").select("Report").distinct()
+        accepted = materialize(_without(seen, waits).select("Report").distinct(), "reports-accepted")
+        taken = open_.join(accepted, "Report", "left_semi").select(*key).distinct()
+        clash = open_.join(taken, key, "left_semi").select("Report").distinct()
+        clash = materialize(_without(clash, accepted), "reports-clash")
+        refused = refused.unionByName(clash)
+        open_ = materialize(_without(open_, accepted.unionByName(clash)), "reports-open")
+    return materialize(refused.select("Report", F.lit(R_DUP_KEY).alias("Reason")), "reports-refused")
+
+
+def unique_reports(loaded: Loaded, key: list[str]) -> Loaded:
+    """Enforce a unique key the way a file-by-file insert does: see ``refused_reports``."""
     if loaded.by_report is None:
         return loaded
-    dup = (
-        loaded.by_report.groupBy(*key)
-        .agg(F.sort_array(F.collect_set("Report")).alias("reps"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-    )
-    sets = [list(r["reps"]) for r in dup.select("reps").distinct().collect()]
-    inside = {s[0] for s in sets if len(s) == 1}
-    refused: set[str] = set()
-    accepted: set[str] = set()
-    for rep in sorted({r for s in sets for r in s}):
-        clash = any(rep in s and accepted.intersection(s) for s in sets)
-        (refused if rep in inside or clash else accepted).add(rep)
-    if not refused:
-        return loaded
-    spark = loaded.facts.sparkSession
-    gone = spark.createDataFrame([(r, R_DUP_KEY) for r in sorted(refused)], REJECT_SCHEMA)
-    kept = loaded.by_report.where(~F.col("Report").isin(sorted(refused)))
-    return Loaded(kept.drop("Report"), loaded.rejects.unionByName(gone), loaded.warnings, kept)
-
-
-def _scan_group(spark: SparkSession, columns: list[str], paths: list[str], axis: str) -> DataFrame:
-    """One all-string scan for the files that share one header line."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", "true")
-        .option("mode", "PERMISSIVE")
-        .option("ignoreCorruptFiles", "true")
-        .csv(paths)
-        .withColumn("_report", report_of_path(F.col("_metadata.file_path")))
-    )
-    kind = kind_of_report(F.col("_report"))
-    # The entity column position depends on the kind: pick per row.
-    name = None
-    for data_type, ent in ENTITY_COLUMNS.items():
-        idx = next((i for i, c in enumerate(columns) if ent in c), None)
-        if idx is None:
-            continue
-        cond = kind == F.lit(data_type)
-        name = F.when(cond, F.col(f"c{idx}")) if name is None else name.when(cond, F.col(f"c{idx}"))
-    ids = [name.alias("Name"), kind.alias("DataType")]
+    refused = refused_reports(loaded.by_report, key)
+    kept = _without(loaded.by_report, refused)
+    return Loaded(kept.drop("Report"), loaded.rejects.unionByName(refused), loaded.warnings, kept)
+
+
+def _period_columns(axis: str) -> Column:
+    """Array of (pos, label) of the period columns of a header."""
+    named = F.transform(F.col("Columns"), lambda c, i: F.struct(i.alias("pos"), c.alias("label")))
     if axis == "annual":
-        pcols = [(i, c) for i, c in enumerate(columns) if re.match(re.escape(YEAR_PREFIX) + r"\d{4}", c)]
-        long = raw.select(*ids, "_report", *[F.col(f"c{i}").alias(c) for i, c in pcols]).unpivot(
-            ["Name", "DataType", "_report"], [c for _, c in pcols], "YearColumn", "Cell"
-        )
-        return long.select(
-            "Name",
-            "DataType",
-            F.regexp_extract("YearColumn", r"(\d{4})", 1).try_cast("int").alias("Year"),
-            coerce_count("Cell").alias("Registrations"),
-            "_report",
-            is_fractional("Cell").alias("_fractional"),
-        )
-    pcols = [(i, c) for i, c in enumerate(columns) if MONTH_PREFIX in c]
-    year = year_of_report(F.col("_report")).alias("Year")
-    long = raw.select(*ids, year, "_report", *[F.col(f"c{i}").alias(c) for i, c in pcols]).unpivot(
-        ["Name", "DataType", "Year", "_report"], [c for _, c in pcols], "MonthColumn", "Cell"
-    )
-    return long.select(
-        "Name",
-        "DataType",
-        "Year",
-        F.regexp_replace("MonthColumn", "^" + re.escape(MONTH_PREFIX), "").alias("Month"),
-        coerce_count("Cell").alias("MonthlyRegistrations"),
-        "_report",
-        is_fractional("Cell").alias("_fractional"),
-    )
+        return F.filter(named, lambda x: x["label"].rlike("^" + re.escape(YEAR_PREFIX) + r"\d{4}"))
+    return F.filter(named, lambda x: x["label"].contains(MONTH_PREFIX))
 
 
 def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, keep_zero: bool = True) -> Loaded:
     """Load every report of one axis under ``source``.
 
     keep_zero=True is the file profile (0 counts are rows); False is the store
-    profile (NULL names and counts <= 0 are not facts).
+    profile (NULL names and counts <= 0 are not facts; a fraction above 0 counts, then is cut).
     Monthly facts carry MonthNum and Date; rows of an unknown month are dropped.
     """
-    # One row per file; written once so the rejects (evaluated later) and the
-    # header groups read the same table instead of re-reading every header.
-    headers = materialize(classify(read_headers(list_report_files(spark, source, axis)), axis), "headers")
-    rejects = headers.where(F.col("Reason").isNotNull()).select("Report", "Reason").distinct()
-    groups = (
-        headers.where(F.col("Reason").isNull())
-        .groupBy("Columns")
-        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
-        .collect()  # one row per distinct header line: metadata, not data
+    lines = read_lines(spark, source, axis)
+    files = list_report_files(spark, source, axis).join(read_headers(lines), "path", "left")
+    headers = materialize(classify(files, axis), "headers")  # one row per file
+    width = F.size("Columns")
+    good = headers.where(F.col("Reason").isNull()).select(
+        "path", "Kind", "Header", width.alias("Width"), _period_columns(axis).alias("Periods"),
+        F.array_position(F.transform("Columns", lambda c: c.contains(_entity_column(F.col("Kind")))), True).cast("int").alias("Entity"),
+    )
+    # a report of several files goes whole when one of them is refused
+    rows = lines.join(good, "path").where(F.col("line") != F.col("Header")).withColumn("Cells", split_line(F.col("line")))
+    ragged = materialize(rows.where(F.size("Cells") > F.col("Width")).select("Report").distinct(), "ragged")
+    bad = headers.where(F.col("Reason").isNotNull()).select("Report", "Reason").distinct()
+    bad = bad.unionByName(_without(ragged, bad).select("Report", F.lit(R_RAGGED).alias("Reason")))
+    cells = _without(rows, bad).select(
+        "Report", F.col("Kind").alias("DataType"), F.get("Cells", F.col("Entity") - 1).alias("Name"), "Cells", F.explode("Periods").alias("Period")
     )
-    frames = [_scan_group(spark, list(g["Columns"]), list(g["paths"]), axis) for g in groups]
+    cells = cells.select("Report", "DataType", "Name", F.col("Period.label").alias("label"), F.get("Cells", F.col("Period.pos")).alias("Cell"))
     value = "Registrations" if axis == "annual" else "MonthlyRegistrations"
-    if frames:
-        cells = frames[0]
-        for f in frames[1:]:
-            cells = cells.unionByName(f)
-        warnings = (
-            cells.where(F.col("_fractional"))
-            .groupBy(F.col("_report").alias("Report"))
-            .agg(F.count(F.lit(1)).alias("Cells"))
-            .select("Report", F.lit(R_FRACTIONAL).alias("Reason"), "Cells")
-        )
-        facts = cells.drop("_fractional").withColumnRenamed("_report", "Report")
+    if axis == "annual":
+        period = [F.regexp_extract("label", r"(\d{4})", 1).try_cast("int").alias("Year")]
     else:
-        facts = _empty_facts(spark, axis).withColumn("Report", F.lit(None).cast("string"))
-        warnings = spark.createDataFrame([], "Report string, Reason string, Cells bigint")
+        month = F.regexp_replace("label", "^" + re.escape(MONTH_PREFIX), "")
+        period = [year_of_report(F.col("Report")).alias("Year"), month.alias("Month")]
+    warnings = (
+        cells.where(is_fractional("Cell")).groupBy("Report").agg(F.count(F.lit(1)).alias("Cells"))
+        .select("Report", F.lit(R_FRACTIONAL).alias("Reason"), "Cells")
+    )
+    if not keep_zero:
+        cells = cells.where(F.col("Name").isNotNull() & (parse_number("Cell") > 0))
+    facts = cells.select("Name", "DataType", *period, coerce_count("Cell").alias(value), "Report")
     if axis == "monthly":
         facts = facts.withColumn("MonthNum", month_num("Month")).withColumn(
             "Date", month_date(F.col("Year"), F.col("MonthNum"))
         ).where(F.col("Date").isNotNull())
-    if not keep_zero:
-        facts = facts.where(F.col("Name").isNotNull() & (F.col(value) > 0))
-    return Loaded(facts.drop("Report"), rejects, warnings, facts)
+    return Loaded(facts.drop("Report"), bad, warnings, facts)
 
 
-def _empty_facts(spark: SparkSession, axis: str) -> DataFrame:
-    if axis == "annual":
-        ddl = "Name string, DataType string, Year int, Registrations bigint"
-    else:
-        ddl = "Name string, DataType string, Year int, Month string, MonthlyRegistrations bigint"
-    return spark.createDataFrame([], ddl)
+# ---------------------------------------------------------------- writing (CSV sink)
 
+#: Rows of one file of a written report, about.
+CHUNK_ROWS = 100_000
 
-# ---------------------------------------------------------------- writing (CSV sink)
 
-def write_reports(wide: DataFrame, out_dir: str, axis: str, threads: int = 4, buckets: int = 4) -> list[str]:
+def _csv_cell(c: Column) -> Column:
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.regexp_replace(text, '"', '""'), F.lit('"'))).otherwise(text)
+
+
+def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CHUNK_ROWS) -> list[str]:
     """Write one report per (DataType, Year) of a wide frame.
 
     ``wide`` is (DataType, Name, Year, period columns..., TOTAL_TOTAL); a
-    monthly report only gets the month columns that have a value in that
-    (kind, year) — a partial year writes fewer columns.
+    report only gets the period columns that have a value in that (kind, year):
+    a partial year writes fewer columns. Rows are numbered 1..n within the report.
 
-    Reports that share a header line are written by one job with
-    ``partitionBy("Report")`` into their own sub-folder (concurrent jobs never
-    share an output folder), so the number of jobs is the number of distinct
-    headers, not of reports. Returns the report names written.
+    One pass writes all reports: rows become CSV lines, a report's rows are
+    dealt to chunks of about ``chunk_rows`` (a folder and a task each), and every chunk starts with
+    its report's header line. Serials are a chunk's own numbers plus the sizes of the chunks before it.
+    Returns the report names written.
     """
-    if axis == "annual":
-        periods = [c for c in wide.columns if c.startswith(YEAR_PREFIX)]
-    else:
-        periods = [c for c in wide.columns if c.startswith(MONTH_PREFIX)]
-    covered = [F.max(F.col(f"`{c}`").isNotNull().cast("int")).alias(c) for c in periods]
-    reports = wide.groupBy("DataType", "Year").agg(*covered).collect()  # one row per report
-    groups: dict[tuple, list[int]] = {}
-    for r in reports:
-        groups.setdefault((r["DataType"], tuple(c for c in periods if r[c])), []).append(r["Year"])
-
-    def name_expr(data_type: str) -> Column:
-        token = KIND_TOKENS[data_type]
-        return F.concat(F.lit(token + AXES[axis]), F.col("Year").cast("string"), F.lit(REPORT_SUFFIX))
-
-    def one(item) -> None:
-        i, ((data_type, cols), years) = item
-        part = wide.where((F.col("DataType") == data_type) & F.col("Year").isin(years))
-        # At most `buckets` part files per report, and a large report is
-        # written by `buckets` tasks rather than one.
-        bucket = F.pmod(F.xxhash64(F.col("Name")), F.lit(buckets))
-        (
-            part.select(
-                name_expr(data_type).alias("Report"),
-                (F.monotonically_increasing_id() + 1).alias(SERIAL_COLUMN),
-                F.col("Name").alias(ENTITY_COLUMNS[data_type]),
-                *[F.col(f"`{c}`") for c in cols],
-                F.col(TOTAL_COLUMN),
-                bucket.alias("_bucket"),
-            )
-            .repartition("Report", "_bucket")
-            .drop("_bucket")
-            .write.mode("overwrite")
-            .partitionBy("Report")
-            .option("header", "true")
-            .csv(f"{out_dir.rstrip('/')}/part{i}")
-        )
-
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        list(pool.map(one, enumerate(sorted(groups.items()))))
-    return sorted(report_name(axis, r["DataType"], r["Year"]) for r in reports)
+    prefix = YEAR_PREFIX if axis == "annual" else MONTH_PREFIX
+    periods = [c for c in wide.columns if c.startswith(prefix)]
+    pick = lambda c: F.col(f"`{c}`")
+    cells = F.array(*[F.struct(F.lit(c).alias("label"), pick(c).cast("string").alias("cell")) for c in periods])
+    token = F.coalesce(*[F.when(F.col("DataType") == k, F.lit(t + AXES[axis])) for k, t in KIND_TOKENS.items()])
+    entity = F.coalesce(*[F.when(F.col("DataType") == k, F.lit(e)) for k, e in ENTITY_COLUMNS.items()])
+    rows = materialize(
+        wide.select(
+            F.concat(token, F.col("Year").cast("string"), F.lit(REPORT_SUFFIX)).alias("Report"),
+            entity.alias("Entity"), "Name", cells.alias("Cells"), F.col(TOTAL_COLUMN).alias("Total"),
+        ),
+        "report-rows",
+    )
+    covered = [F.max(F.col("Cells")[i]["cell"].isNotNull()).alias(f"p{i}") for i in range(len(periods))]
+    reports = rows.groupBy("Report").agg(F.count(F.lit(1)).alias("n"), F.first("Entity").alias("Entity"), *covered)
+    labels = F.filter(F.array(*[F.when(F.col(f"p{i}"), F.lit(c)) for i, c in enumerate(periods)]), lambda c: c.isNotNull())
+    reports = materialize(reports.select("Report", "Entity", "n", labels.alias("Labels"), F.ceil(F.col("n") / chunk_rows).cast("int").alias("Chunks")), "report-heads")
+
+    dealt = rows.drop("Entity").join(reports.select("Report", "Labels", "Chunks"), "Report")
+    dealt = dealt.withColumn("Chunk", F.pmod(F.xxhash64("Name"), F.col("Chunks")).cast("int"))
+    sizes = dealt.groupBy("Report", "Chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("Report").orderBy("Chunk")) - F.col("n")
+    sizes = sizes.select("Report", "Chunk", before.alias("Before"))
+    serial = F.row_number().over(Window.partitionBy("Report", "Chunk").orderBy("Name", "Total"))
+    body = dealt.withColumn("Serial", serial).join(sizes, ["Report", "Chunk"]).withColumn("Serial", F.col("Serial") + F.col("Before"))
+    shown = F.transform(F.filter("Cells", lambda x: F.array_contains("Labels", x["label"])), lambda x: F.coalesce(x["cell"], F.lit("")))
+    line = F.concat_ws(",", F.col("Serial").cast("string"), _csv_cell(F.col("Name")), F.concat_ws(",", shown), _csv_cell(F.col("Total")))
+    head = F.concat_ws(",", F.lit(SERIAL_COLUMN), F.col("Entity"), F.concat_ws(",", "Labels"), F.lit(TOTAL_COLUMN))
+    heads = reports.join(sizes.select("Report", "Chunk"), "Report").select("Report", "Chunk", F.lit(0).cast("long").alias("Serial"), head.alias("line"))
+    out = body.select("Report", "Chunk", F.col("Serial").cast("long").alias("Serial"), line.alias("line")).unionByName(heads)
+    (
+        out.repartition("Report", "Chunk").sortWithinPartitions("Report", "Chunk", "Serial").select("Report", "Chunk", "line")
+        .write.mode("append").partitionBy("Report", "Chunk")
+        .option("sep", "\u0001").option("quote", "\u0000").option("emptyValue", "").csv(out_dir)
+    )
+    return sorted(r[0] for r in reports.select("Report").collect())  # one name per report
 
 
 def wide_annual(annual: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def test_rejects_and_annual_multi_year(spark, tmp_dir):
     ]
     assert rows(loaded.rejects) == [
         ("Y_Fuel_X_Calendar_Year_Year_2024.csv", wide_csv.R_UNKNOWN_KIND),
-        ("Y_Maker_X_Calendar_Year_Year_2021.csv", wide_csv.R_UNREADABLE),
+        ("Y_Maker_X_Calendar_Year_Year_2021.csv", wide_csv.R_EMPTY),
         ("Y_Maker_X_Calendar_Year_Year_2022.csv", wide_csv.R_NO_PERIODS),
         ("Y_Maker_X_Calendar_Year_Year_2023.csv", wide_csv.R_NO_ENTITY),
     ]
