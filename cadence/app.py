@@ -27,6 +27,10 @@ from cadence.sources import wide_csv
 from cadence.sources.store import FactStore
 
 
+R_NO_TABLE = "table is missing"
+R_NO_DATA = "no sufficient data for the selection"
+
+
 @dataclass(frozen=True)
 class Profile:
     name: str
@@ -46,6 +50,7 @@ class Facts:
     monthly: DataFrame
     rejects: DataFrame
     profile: Profile
+    warnings: DataFrame | None = None  # (Report, Reason, Cells) of loaded reports; (Table, Reason) of a store
 
 
 def _apply_groups(df: DataFrame, profile: Profile) -> DataFrame:
@@ -58,21 +63,28 @@ def load_facts(spark: SparkSession, source: str, profile: Profile = FILE_PROFILE
     a = wide_csv.load_reports(spark, source, "annual", keep_zero=profile.keep_zero)
     m = wide_csv.load_reports(spark, source, "monthly", keep_zero=profile.keep_zero)
     return Facts(
-        _apply_groups(a.facts, profile), _apply_groups(m.facts, profile), a.rejects.unionByName(m.rejects), profile
+        _apply_groups(a.facts, profile), _apply_groups(m.facts, profile), a.rejects.unionByName(m.rejects), profile,
+        a.warnings.unionByName(m.warnings),
     )
 
 
-def build_store(spark: SparkSession, source: str, store_dir: str) -> DataFrame:
+@dataclass
+class StoreBuild:
+    rejects: DataFrame  # (Report, Reason)
+    warnings: DataFrame  # (Report, Reason, Cells)
+
+
+def build_store(spark: SparkSession, source: str, store_dir: str) -> StoreBuild:
     """Replace the two fact tables with the reports under ``source`` (store
     profile: zero counts and nameless rows are not facts). A report that would
-    repeat a key is refused whole (first report by name wins). Returns the rejects."""
+    repeat a key is refused whole (first report by name wins)."""
     annual = FactStore.annual(spark, f"{store_dir}/annual_registrations")
     monthly = FactStore.monthly(spark, f"{store_dir}/monthly_registrations")
     a = wide_csv.unique_reports(wide_csv.load_reports(spark, source, "annual", keep_zero=False), annual.key)
     m = wide_csv.unique_reports(wide_csv.load_reports(spark, source, "monthly", keep_zero=False), monthly.key)
     annual.create(a.facts)
     monthly.create(m.facts)
-    return a.rejects.unionByName(m.rejects)
+    return StoreBuild(a.rejects.unionByName(m.rejects), a.warnings.unionByName(m.warnings))
 
 
 def safe_file_name(name: str) -> str:
@@ -93,11 +105,20 @@ def save_table(df: DataFrame, name: str, out_dir: str) -> str:
 
 
 def load_store(spark: SparkSession, store_dir: str, profile: Profile = STORE_PROFILE) -> Facts:
-    """Facts from the store; monthly rows get their Date (unknown months dropped)."""
-    a = FactStore.annual(spark, f"{store_dir}/annual_registrations").read()
-    m = with_month_dates(FactStore.monthly(spark, f"{store_dir}/monthly_registrations").read()).drop("MonthNum")
+    """Facts from the store; monthly rows get their Date (unknown months dropped).
+
+    A missing table has no facts and a row in ``warnings``; the other one is read.
+    """
+    tables = {
+        "annual_registrations": FactStore.annual(spark, f"{store_dir}/annual_registrations"),
+        "monthly_registrations": FactStore.monthly(spark, f"{store_dir}/monthly_registrations"),
+    }
+    missing = [(name, R_NO_TABLE) for name, t in tables.items() if not t.exists()]
+    a = tables["annual_registrations"].read()
+    m = with_month_dates(tables["monthly_registrations"].read()).drop("MonthNum")
     empty = spark.createDataFrame([], wide_csv.REJECT_SCHEMA)
-    return Facts(_apply_groups(a, profile), _apply_groups(m, profile), empty, profile)
+    warnings = spark.createDataFrame(missing, "Table string, Reason string")
+    return Facts(_apply_groups(a, profile), _apply_groups(m, profile), empty, profile, warnings)
 
 
 @dataclass
@@ -106,6 +127,7 @@ class GrowthReport:
     table: DataFrame  # formatted table
     series: DataFrame  # (x, y) trend series
     insight: DataFrame  # one row per entity: trend, best period, sentence
+    notice: DataFrame  # one row (Reason) when the selection has no rows, else none
 
 
 def growth_report(
@@ -115,7 +137,7 @@ def growth_report(
     name: str | None = None,
     year_range: tuple[int, int] | None = None,
 ) -> GrowthReport:
-    """The dashboard's growth section for one kind (all entities, or one)."""
+    """The dashboard's growth section for one kind (all entities, or one); view and table come by name and period."""
     lo, hi = year_range if year_range else (None, None)
     col = facts.profile.group_col
     if metric == "yoy":
@@ -126,7 +148,10 @@ def growth_report(
         view = growth_view_qoq(g, data_type, name, lo, hi)
     else:
         raise ValueError("metric must be 'yoy' or 'qoq'")
-    return GrowthReport(view, format_growth_table(view, metric), trend_series(view, metric), insights(view, metric))
+    period = ["Year"] if metric == "yoy" else ["Year", "Quarter"]
+    shown = view.orderBy("Name", *period)
+    notice = view.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(R_NO_DATA).alias("Reason"))
+    return GrowthReport(shown, format_growth_table(shown, metric), trend_series(view, metric), insights(view, metric), notice)
 
 
 def entity_choices(facts: Facts, data_type: str) -> DataFrame:

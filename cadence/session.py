@@ -59,8 +59,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder path under the shared checkpoint root."""
-    return f"{checkpoint_root(spark)}/cadence/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique folder path under the shared checkpoint root; ``drop_scratch`` removes it."""
+    path = f"{checkpoint_root(spark)}/cadence/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -72,6 +74,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return root
 
 
+def _hadoop(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(sc._jsc.hadoopConfiguration()), jpath
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _hadoop(spark, path)
+    return bool(fs.exists(jpath))
+
+
+_MADE: dict[str, list[str]] = {}
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the scratch folders that this application has made; call it when no plan reads them any more."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        fs, jpath = _hadoop(spark, path)
+        fs.delete(jpath, True)
+    return len(made)
+
+
 def materialize(df, name: str = "materialized"):
     """Run ``df`` once and cut its lineage with a written table.
 
@@ -128,21 +153,11 @@ def ship_package(spark: SparkSession) -> None:
     key = (sc.applicationId, digest)
     if key in _SHIPPED:
         return
-    root = checkpoint_root(spark)
-    path = f"{root}/cadence-pkg-{digest}.zip"
-    if root.startswith("/") or root.startswith("file:"):
-        local = path[5:] if path.startswith("file:") else path
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        if not os.path.exists(local):
-            with open(local, "wb") as fh:
-                fh.write(data)
-    else:  # a shared (e.g. HDFS / object store) folder: write through Hadoop FS
-        jvm = sc._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
-        if not fs.exists(jpath):
-            out = fs.create(jpath)
-            out.write(bytearray(data))
-            out.close()
+    path = f"{checkpoint_root(spark)}/cadence-pkg-{digest}.zip"
+    if not path_exists(spark, path):  # always through Hadoop, whatever file system the folder is on
+        fs, jpath = _hadoop(spark, path)
+        out = fs.create(jpath)
+        out.write(bytearray(data))
+        out.close()
     sc.addPyFile(path)
     _SHIPPED.add(key)

@@ -8,18 +8,22 @@ folders whose (DataType, Year) does not occur in the batch.
 
 Appends in ``skip`` mode are idempotent: re-running a batch after a lost
 executor or a failed job appends nothing twice.
+
+Writes go through Spark's rebalance hint on the folder columns: adaptive
+execution sizes files by bytes, so a hot folder is written by many tasks and a small one by one.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadence.session import materialize, path_exists
+
 ANNUAL_SCHEMA = T.StructType(
     [
         T.StructField("Name", T.StringType(), False),
@@ -47,7 +51,8 @@ R_DUP_IN_BATCH = "duplicate key in batch"
 @dataclass
 class AppendResult:
     appended: bool
-    conflicts: DataFrame
+    conflicts: DataFrame  # keys with a Reason
+    dropped: DataFrame  # rows of the batch that were not appended, with a Reason
 
 
 class FactStore:
@@ -60,14 +65,12 @@ class FactStore:
         schema: T.StructType,
         key: Sequence[str],
         partition_by: Sequence[str] = ("DataType", "Year"),
-        write_buckets: int = 8,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
         self.key = list(key)
         self.partition_by = list(partition_by)
-        self.write_buckets = write_buckets
 
     @classmethod
     def annual(cls, spark: SparkSession, path: str) -> FactStore:
@@ -84,32 +87,31 @@ class FactStore:
         return df.select(*cols).dropna(subset=not_null)
 
     def _write(self, df: DataFrame, mode: str) -> None:
-        """Partitioned write. Rows are first hash-distributed on the partition
-        columns plus a bucket of the key: each partition folder gets at most
-        ``write_buckets`` files however many tasks produced the rows, and a hot
-        (DataType, Year) folder is written by ``write_buckets`` tasks, not one."""
-        out = self._conform(df)
-        if self.write_buckets > 0:
-            bucket = F.pmod(F.xxhash64(*[F.col(k) for k in self.key]), F.lit(self.write_buckets))
-            out = out.repartition(*[F.col(c) for c in self.partition_by], bucket)
+        out = self._conform(df).hint("rebalance", *self.partition_by)
         out.write.mode(mode).partitionBy(*self.partition_by).parquet(self.path)
 
     def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = jpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(jpath))
+        return path_exists(self.spark, self.path)
 
     def create(self, df: DataFrame | None = None, replace: bool = True) -> None:
-        """replace=True: drop and recreate; False: create only if missing."""
+        """replace=True: drop and recreate; False: create only if missing. Rows that repeat a key are an error."""
+        if not replace and self.exists():
+            return
         if df is None:
             df = self.spark.createDataFrame([], self.schema)
-        if replace:
-            self._write(df, "overwrite")
-        elif not self.exists():
-            self._write(df, "errorifexists")
+        else:
+            df = materialize(self._conform(df), "store-rows")
+            if not self._repeated(df).isEmpty():
+                raise ValueError(f"rows repeat a key {self.key}")
+        self._write(df, "overwrite")
+
+    def _repeated(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*self.key)
 
     def read(self) -> DataFrame:
+        """The stored facts; a missing table has none."""
+        if not self.exists():
+            return self.spark.createDataFrame([], self.schema)
         return (
             self.spark.read.schema(self.schema)
             .option("basePath", self.path)
@@ -117,38 +119,44 @@ class FactStore:
             .select(*[f.name for f in self.schema.fields])
         )
 
+    def _stored(self, keys: DataFrame) -> DataFrame:
+        return self.read().select(*self.key).join(keys, self.key, "left_semi")
+
     def conflicts(self, batch: DataFrame) -> DataFrame:
         """Keys of the batch that are duplicated inside it or already stored."""
-        b = self._conform(batch)
-        keys = b.select(*self.key)
-        stored = self.read().select(*self.key).join(keys, self.key, "left_semi")
-        dup = keys.groupBy(*self.key).count().where(F.col("count") > 1).select(*self.key)
-        return stored.withColumn("Reason", F.lit(R_KEY_EXISTS)).unionByName(
-            dup.withColumn("Reason", F.lit(R_DUP_IN_BATCH))
+        keys = materialize(self._conform(batch).select(*self.key), "batch-keys")
+        return self._stored(keys).withColumn("Reason", F.lit(R_KEY_EXISTS)).unionByName(
+            self._repeated(keys).withColumn("Reason", F.lit(R_DUP_IN_BATCH))
         )
 
     def append(self, batch: DataFrame, on_conflict: str = "skip") -> AppendResult:
         """Append a batch.
 
-        ``skip``: rows with a conflicting key are left out, the rest appended.
+        ``skip``: of rows with one key in the batch the least by its other columns is
+        taken, unless the store has the key; every other row comes back in ``dropped``.
         ``refuse``: any conflict refuses the whole batch (nothing appended).
         An empty batch writes nothing. A missing table is created first.
         """
+        if on_conflict not in ("skip", "refuse"):
+            raise ValueError("on_conflict must be 'skip' or 'refuse'")
         if not self.exists():
             self.create(replace=False)
-        bad = self.conflicts(batch)
-        if on_conflict == "refuse":
-            if not bad.isEmpty():
-                return AppendResult(False, bad)
-            self._write(batch, "append")
-            return AppendResult(True, bad)
-        if on_conflict != "skip":
-            raise ValueError("on_conflict must be 'skip' or 'refuse'")
-        # Materialize the conflict keys (a written table cuts the lineage) before
-        # writing into the folder they were read from.
-        bad_path = f"{self.path}__conflicts-{uuid.uuid4().hex[:12]}"
-        bad.select(*self.key, "Reason").write.mode("overwrite").parquet(bad_path)
-        bad_keys = self.spark.read.parquet(bad_path)
-        new = self._conform(batch).join(bad_keys.select(*self.key).distinct(), self.key, "left_anti")
-        self._write(new, "append")
-        return AppendResult(True, bad_keys)
+        # the batch is evaluated once; conflicts are written before the folder they were read from changes
+        rows = materialize(self._conform(batch), "batch")
+        bad = materialize(self.conflicts(rows), "batch-conflicts")
+        if on_conflict == "refuse" and not bad.isEmpty():
+            return AppendResult(False, bad, rows.withColumn("Reason", F.lit("batch refused")))
+        others = [c for c in rows.columns if c not in self.key]
+        held = bad.where(F.col("Reason") == R_KEY_EXISTS).select(*self.key)
+        new = rows.join(held, self.key, "left_anti")
+        twice = self._repeated(rows)
+        first = new.join(twice, self.key, "left_semi").groupBy(*self.key).agg(F.min(F.struct(*others)).alias("kept"), F.count(F.lit(1)).alias("n"))
+        one = first.select(*self.key, "kept.*").select(*rows.columns)
+        self._write(new.join(twice, self.key, "left_anti").unionByName(one), "append")
+        # what stayed out: every row whose key is stored, and all but the kept row of a repeated key
+        rank = F.row_number().over(Window.partitionBy(*self.key).orderBy(*others))
+        again = new.join(twice, self.key, "left_semi").withColumn("rank", rank).where("rank > 1").drop("rank")
+        dropped = rows.join(held, self.key, "left_semi").withColumn("Reason", F.lit(R_KEY_EXISTS)).unionByName(
+            again.withColumn("Reason", F.lit(R_DUP_IN_BATCH))
+        )
+        return AppendResult(True, bad, materialize(dropped, "batch-dropped"))

@@ -3,12 +3,16 @@
 New wide reports landing in a folder (one per kind x axis x year, e.g. from
 a scraper run) are picked up by a Structured Streaming file source. Each
 micro-batch carries only file paths (the ``binaryFile`` source with just
-``path`` selected reads no content); ``foreachBatch`` loads those reports
-with the batch loader and appends them to the store in ``skip`` mode.
+``path`` selected reads no content); ``foreachBatch`` loads those reports with the batch loader.
+
+A report that repeats a key -- in itself, of a report taken before it in the
+batch (by name), or of the store -- is refused whole, with a reason, as a
+file-by-file insert would; so the store does not depend on how many files a batch holds.
 
 Fault tolerance: the stream's offsets live in a checkpoint folder on shared
-storage, and the skip-mode append is idempotent, so a micro-batch replayed
-after a failure adds no duplicate keys (effectively exactly-once).
+storage. A batch writes its decision (which reports it takes, which it refuses and
+why) under its number before it appends, and a replayed batch finds that decision
+again; the append skips keys that a first try has already written.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cadence.session import materialize, path_exists
 from cadence.sources import wide_csv
 from cadence.sources.store import FactStore
 
@@ -49,6 +55,21 @@ def _store(spark: SparkSession, cfg: IngestConfig) -> FactStore:
     return FactStore.annual(spark, cfg.store_path) if cfg.axis == "annual" else FactStore.monthly(spark, cfg.store_path)
 
 
+R_STORED = "key exists in store"
+_DECISION = "Report string, Reason string"  # a taken report has no reason
+
+
+def _decide(spark: SparkSession, store: FactStore, loaded: wide_csv.Loaded) -> DataFrame:
+    """(Report, Reason) of every report of the batch."""
+    rows = loaded.by_report
+    refused = wide_csv.refused_reports(rows, store.key)
+    rest = rows.join(refused.select("Report"), "Report", "left_anti")
+    clash = rest.join(store.read().select(*store.key), store.key, "left_semi").select("Report", F.lit(R_STORED).alias("Reason")).distinct()
+    out = materialize(loaded.rejects.unionByName(refused).unionByName(clash), "ingest-refused")
+    taken = rows.select("Report").distinct().join(out.select("Report"), "Report", "left_anti")
+    return out.unionByName(taken.withColumn("Reason", F.lit(None).cast("string")))
+
+
 def make_batch_writer(cfg: IngestConfig):
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -56,9 +77,17 @@ def make_batch_writer(cfg: IngestConfig):
         paths = sorted(r[0] for r in batch.select("path").distinct().collect())
         if not paths:
             return
+        store = _store(spark, cfg)
         loaded = wide_csv.load_reports(spark, paths, cfg.axis, keep_zero=cfg.keep_zero)
-        loaded.rejects.write.mode("append").parquet(cfg.rejects_path)
-        _store(spark, cfg).append(loaded.facts, on_conflict="skip")
+        decided = f"{cfg.rejects_path}-decisions/batch={int(epoch_id)}"
+        if not path_exists(spark, f"{decided}/_SUCCESS"):
+            _decide(spark, store, loaded).write.mode("overwrite").parquet(decided)
+        decision = spark.read.schema(_DECISION).parquet(decided)
+        refused = decision.where(F.col("Reason").isNotNull())
+        refused.coalesce(1).write.mode("overwrite").parquet(f"{cfg.rejects_path}/batch={int(epoch_id)}")
+        taken = loaded.by_report.join(decision.where(F.col("Reason").isNull()).select("Report"), "Report", "left_semi")
+        store.append(taken.drop("Report"), on_conflict="skip")
+        loaded.warnings.write.mode("overwrite").parquet(f"{cfg.rejects_path}-warnings/batch={int(epoch_id)}")
 
     return write_batch
 

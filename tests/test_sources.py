@@ -180,13 +180,17 @@ def test_store_strict_skip_idempotent(spark, tmp_dir):
     assert conf == [("A", MAKER_TYPE, 2024, "FEB", R_KEY_EXISTS), ("B", MAKER_TYPE, 2024, "JAN", R_DUP_IN_BATCH)]
     res = store.append(batch, on_conflict="refuse")
     assert not res.appended and store.read().count() == 2
-    store.append(batch, on_conflict="skip")
-    assert rows(store.read(), "Month", "MonthlyRegistrations") == [("FEB", 2), ("JAN", 1), ("MAR", 3)]
+    res = store.append(batch, on_conflict="skip")  # of a key repeated in the batch the least row is taken
+    assert rows(store.read(), "Month", "MonthlyRegistrations") == [("FEB", 2), ("JAN", 1), ("JAN", 4), ("MAR", 3)]
+    assert rows(res.dropped, "Name", "Month", "MonthlyRegistrations", "Reason") == [
+        ("A", "FEB", 9, R_KEY_EXISTS),
+        ("B", "JAN", 5, R_DUP_IN_BATCH),
+    ]
     store.append(batch, on_conflict="skip")  # a re-run appends nothing twice
-    assert store.read().count() == 3
+    assert store.read().count() == 4
     empty = spark.createDataFrame([], ddl)
     assert store.append(empty, on_conflict="refuse").appended
-    assert store.read().count() == 3
+    assert store.read().count() == 4
     with pytest.raises(ValueError):
         store.append(batch, on_conflict="merge")
 
@@ -201,17 +205,45 @@ def test_store_create_if_missing_keeps_data(spark, tmp_dir):
     assert rows(store.read(), "Name") == [("B",)]
 
 
-def test_store_write_bounds_files_per_folder(spark, tmp_dir):
+def test_store_writes_are_sized_by_bytes(spark, tmp_dir):
     import glob
 
     ddl = "Name string, DataType string, Year int, Registrations bigint"
-    data = [(f"M{i}", MAKER_TYPE, 2020 + (i % 2), i) for i in range(400)]
-    store = FactStore.annual(spark, f"{tmp_dir}/annual")
-    store.write_buckets = 3
-    store.create(spark.createDataFrame(data, ddl).repartition(40))
-    for folder in glob.glob(f"{tmp_dir}/annual/DataType=*/Year=*"):
-        assert len(glob.glob(f"{folder}/*.parquet")) <= 3
-    assert store.read().count() == 400
+    data = [(f"M{i}", MAKER_TYPE, 2020 + (i % 7 == 0), i) for i in range(40_000)]
+    small = FactStore.annual(spark, f"{tmp_dir}/small")
+    small.create(spark.createDataFrame(data, ddl).repartition(40))
+    for folder in glob.glob(f"{tmp_dir}/small/DataType=*/Year=*"):
+        assert len(glob.glob(f"{folder}/*.parquet")) == 1  # forty tasks' rows, one small file
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+            "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}  # many tasks to read, as at scale
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        large = FactStore.annual(spark, f"{tmp_dir}/large")
+        large.create(spark.createDataFrame(data, ddl).repartition(40))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len(glob.glob(f"{tmp_dir}/large/DataType=*/Year=2020/*.parquet")) > 8  # a hot folder is split
+    assert large.read().count() == small.read().count() == 40_000
+
+
+def test_store_create_refuses_repeated_keys_and_missing_tables_are_empty(spark, tmp_dir):
+    from cadence import app
+
+    ddl = "Name string, DataType string, Year int, Registrations bigint"
+    store = FactStore.annual(spark, f"{tmp_dir}/annual_registrations")
+    with pytest.raises(ValueError, match="repeat a key"):
+        store.create(spark.createDataFrame([("A", MAKER_TYPE, 2024, 1), ("A", MAKER_TYPE, 2024, 2)], ddl))
+    assert store.read().count() == 0
+    store.create(spark.createDataFrame([("A", MAKER_TYPE, 2023, 1), ("A", MAKER_TYPE, 2024, 2)], ddl))
+    facts = app.load_store(spark, tmp_dir)
+    assert facts.annual.count() == 2 and facts.monthly.count() == 0
+    assert rows(facts.warnings) == [("monthly_registrations", app.R_NO_TABLE)]
+    rep = app.growth_report(facts, MAKER_TYPE, "yoy")
+    assert [r["Year"] for r in rep.view.collect()] == [2023, 2024] and rep.notice.count() == 0
+    assert rows(app.growth_report(facts, MAKER_TYPE, "yoy", "nobody").notice) == [(app.R_NO_DATA,)]
 
 
 def test_append_creates_missing_store(spark, tmp_dir):
@@ -269,3 +301,59 @@ def test_shuffled_column_order_binds_by_name(spark, tmp_dir):
     f = wide_csv.load_reports(spark, tmp_dir, "monthly").facts
     assert rows(f.where("Year = 2024"), "Name", "Month", "MonthlyRegistrations") == [("A", "JAN", 10), ("A", "MAR", 3)]
     assert rows(f.where("Year = 2023"), "Month", "MonthlyRegistrations") == [("FEB", 2), ("JAN", 1), ("MAR", 3)]
+
+
+def test_ragged_report_is_refused_whole(spark, tmp_dir):
+    write(
+        f"{tmp_dir}/Y_Maker_X_Calendar_Year_Year_2023.csv",
+        ["S No_S No,Maker_Maker,Calendar Year_2023,TOTAL_TOTAL", "1,A,3,3", "2,B,1,234,1234"],
+    )
+    write(  # fewer cells than the header are empty cells
+        f"{tmp_dir}/Y_Maker_X_Calendar_Year_Year_2024.csv",
+        ["S No_S No,Maker_Maker,Calendar Year_2024,TOTAL_TOTAL", '1,"A, ""x""","1,5",5', "2,B", "", "3,C,7,7"],
+    )
+    loaded = wide_csv.load_reports(spark, tmp_dir, "annual")
+    assert rows(loaded.facts, "Name", "Year", "Registrations") == [('A, "x"', 2024, 0), ("B", 2024, 0), ("C", 2024, 7)]
+    assert rows(loaded.rejects) == [("Y_Maker_X_Calendar_Year_Year_2023.csv", wide_csv.R_RAGGED)]
+
+
+def test_long_header_is_read_whole(spark, tmp_dir):
+    wide = [f"Extra_{i:05d}" for i in range(9000)]  # far over 64 KiB
+    write(
+        f"{tmp_dir}/Y_Maker_X_Calendar_Year_Year_2024.csv",
+        [",".join(["Maker_Maker", *wide, "Calendar Year_2024"]), ",".join(["A", *["0"] * 9000, "5"])],
+    )
+    assert rows(wide_csv.load_reports(spark, tmp_dir, "annual").facts, "Name", "Registrations") == [("A", 5)]
+
+
+def test_fraction_above_zero_is_a_store_fact(spark, tmp_dir):
+    write(
+        f"{tmp_dir}/Y_Maker_X_Calendar_Year_Year_2024.csv",
+        ["Maker_Maker,Calendar Year_2024", "A,0.5", "B,0", "C,12d", "D,9007199254740993", "E,-1", "F,1e3"],
+    )
+    got = wide_csv.load_reports(spark, tmp_dir, "annual", keep_zero=False)
+    assert rows(got.facts, "Name", "Registrations") == [("A", 0), ("D", 9007199254740993), ("F", 1000)]
+    assert rows(got.warnings, "Reason", "Cells") == [(wide_csv.R_FRACTIONAL, 1)]
+
+
+def test_key_twice_in_a_report_frees_it_for_the_next(spark, tmp_dir):
+    head = "S No_S No,Maker_Maker,Calendar Year_2020,TOTAL_TOTAL"
+    for tag, lines in (("1", ["1,A,5,5", "2,A,7,7"]), ("2", ["1,A,6,6"]), ("3", ["1,A,8,8", "2,B,1,1"]), ("4", ["1,B,9,9"])):
+        write(f"{tmp_dir}/Y_Maker_X_Calendar_Year_Year_{tag}.csv", [head, *lines])
+    got = wide_csv.unique_reports(wide_csv.load_reports(spark, tmp_dir, "annual"), ["Name", "DataType", "Year"])
+    assert rows(got.facts, "Name", "Registrations") == [("A", 6), ("B", 9)]
+    assert rows(got.rejects, "Report") == [("Y_Maker_X_Calendar_Year_Year_1.csv",), ("Y_Maker_X_Calendar_Year_Year_3.csv",)]
+
+
+def test_written_reports_are_numbered_and_chunked(spark, tmp_dir):
+    wide = spark.range(2500).selectExpr(
+        f"'{MAKER_TYPE}' AS DataType", "concat('M', id) AS Name", "2020 + int(id % 3 = 0) AS Year",
+        "CASE WHEN id % 3 > 0 THEN id END AS `Calendar Year_2020`", "CASE WHEN id % 3 = 0 THEN id END AS `Calendar Year_2021`", "id AS TOTAL_TOTAL",
+    )
+    names = wide_csv.write_reports(wide, tmp_dir, "annual", chunk_rows=300)
+    assert names == [f"Y_Maker_X_Calendar_Year_Year_{y}.csv" for y in (2020, 2021)]
+    lines = wide_csv.read_lines(spark, tmp_dir, "annual").where("line NOT LIKE 'S No%'")
+    for report, serials in lines.groupBy("Report").agg(F.collect_list(wide_csv.split_line(F.col("line"))[0].cast("int"))).collect():
+        assert sorted(serials) == list(range(1, 1 + (834 if "2021" in report else 1666)))
+    f = wide_csv.load_reports(spark, tmp_dir, "annual").facts
+    assert f.count() == 2500 and rows(f.where("Name = 'M7'"), "Year", "Registrations") == [(2020, 7)]

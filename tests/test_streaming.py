@@ -38,3 +38,31 @@ def test_two_waves_and_replay(spark, tmp_dir):
     batch = spark.createDataFrame([(f"file:{landing}/Y_Maker_X_Month_Wise_Year_2023.csv",)], "path string")
     writer(batch, 0)
     assert FactStore.monthly(spark, cfg.store_path).read().count() == 4
+
+
+def test_store_and_rejects_do_not_depend_on_batch_size(spark, tmp_dir):
+    import os
+
+    got = []
+    for most in (1, 100):
+        base = f"{tmp_dir}/{most}"
+        landing = f"{base}/landing"
+        head = "S No_S No,Maker_Maker,Month Wise_JAN,TOTAL_TOTAL"
+        reports = {
+            "Y_Maker_X_Month_Wise_Year_2020.csv": ["1,A,5,5", "2,A,7,7"],  # a key twice: refused
+            "Y_Maker_X_Month_Wise_Year_2021.csv": ["1,A,5,5"],
+            "Y_Maker_X_Month_Wise_Year_2021.csv_b_Year_2021.csv": ["1,A,6,6", "2,B,1,1"],  # A of 2021 again: refused whole
+            "Y_Maker_X_Month_Wise_Year_2021.csv_c_Year_2021.csv": ["1,B,2,2"],
+        }
+        os.makedirs(landing)
+        for at, (name, lines) in enumerate(reports.items()):
+            with open(f"{landing}/{name}", "w") as fh:
+                fh.write("\n".join([head, *lines]) + "\n")
+            os.utime(f"{landing}/{name}", (1_700_000_000 + 60 * at,) * 2)
+        cfg = IngestConfig(f"{landing}/*.csv", "monthly", f"{base}/store", f"{base}/rejects", f"{base}/ckpt", max_files_per_trigger=most)
+        store = ingest_available(spark, cfg)
+        rejects = spark.read.parquet(cfg.rejects_path).select("Report").distinct()
+        got.append((rows(store, "Name", "Year", "MonthlyRegistrations"), rows(rejects)))
+    assert got[0] == got[1]
+    assert got[0][0] == [("A", 2021, 5), ("B", 2021, 2)]
+    assert [r[0] for r in got[0][1]] == ["Y_Maker_X_Month_Wise_Year_2020.csv", "Y_Maker_X_Month_Wise_Year_2021.csv_b_Year_2021.csv"]
