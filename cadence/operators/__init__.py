@@ -7,6 +7,7 @@ from cadence.operators.growth import (
     has_columns,
     mask_first_period,
     qoq_growth,
+    qoq_of_quarters,
     with_month_dates,
     yoy_growth,
 )
@@ -47,6 +48,7 @@ __all__ = [
     "mask_first_period",
     "preview",
     "qoq_growth",
+    "qoq_of_quarters",
     "trend_series",
     "unpivot_annual",
     "unpivot_monthly",

@@ -110,7 +110,11 @@ def qoq_growth(monthly: DataFrame, group_col: str = "Name") -> DataFrame:
         "Date" in monthly.columns or has_columns(monthly, ["Year", "Month"])
     ):
         return empty_like(monthly, QOQ_SCHEMA)
-    q = aggregate_quarterly(monthly, group_col)
+    return qoq_of_quarters(aggregate_quarterly(monthly, group_col))
+
+
+def qoq_of_quarters(q: DataFrame) -> DataFrame:
+    """Quarter-over-quarter growth of quarterly sums."""
     prev = F.lag("QuarterlyRegistrations").over(entity_window("Year", "Quarter"))
     return q.select(
         "DataType",

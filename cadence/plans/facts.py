@@ -1,17 +1,19 @@
 """Registration facts derived from the driver tables.
 
 The driver tables hold no vehicle data, so the data model is re-based:
-every ``lineitem`` is one registration on its ``l_shipdate``; its entity is
-the part's brand (kind ``Manufacturer``) and a detailed category derived from
-the part type (kind ``Vehicle Category``). Facts come in the two grains of the
-model: annual and monthly, and as the wide reports the loader reads.
-
-Plan at scale: lineitem (read as 2 columns, projected to part key, year,
+every ``lineitem`` is one registration on its ``l_shipdate``; its maker (kind
+``Manufacturer``) is the part's brand at the line's supplier, fine enough that
+months, quarters and whole years without a registration occur; its detailed category (kind
+``Vehicle Category``) is a text chosen by the part key, so that every keyword of
+the rule sets occurs. Facts come in the two grains of the model: annual and
+monthly, and as the wide reports the loader reads.
+
+Plan at scale: lineitem (its needed columns only, projected to year and
 month) joins part on the part key (sort-merge; AQE splits a hot part key, or
 the lineitem side is pre-aggregated map-side when AQE cannot; auto-broadcast
 only under the size threshold), then a partial aggregate in the same stage
-collapses the join output to (brand, category, year, month) cells before the
-next shuffle. Everything after that works on those small cells.
+collapses the join output to one row per entity and period before the next shuffle.
+A selected kind, brand, supplier or category group is filtered below the join.
 """
 
 from __future__ import annotations
@@ -21,27 +23,25 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.functions.calendar import MONTH_PREFIX, MONTHS, TOTAL_COLUMN, month_label
-from cadence.functions.rules import CATEGORY_TYPE, MAKER_TYPE
+from cadence.functions.calendar import MONTH_PREFIX, MONTHS, TOTAL_COLUMN, month_label, quarter_label
+from cadence.functions.rules import CATEGORY_TYPE, FILE_RULES, MAKER_TYPE, Rules, categorize, group_name
 from cadence.operators.reshape import keep_positive, unpivot_monthly
 from cadence.session import materialize
 
-# Detailed category for each driver part type (rebase rule).
-CATEGORY_OF_PART_TYPE = {
-    "ECONOMY": "TWO WHEELER(NT)",
-    "SMALL": "THREE WHEELER(T)",
-    "MEDIUM": "LIGHT MOTOR VEHICLE",
-    "LARGE": "HEAVY GOODS VEHICLE",
-    "PROMO": "BUS",
-    "STANDARD": "OTHER THAN MENTIONED ABOVE",
-}
+# Detailed category texts, by part key (rebase rule).
+CATEGORY_TEXTS = (
+    "TWO WHEELER(NT)", " two wheeler(t) ", "THREE WHEELER(T)", "THREE WHEELER(NT)", "FOUR WHEELER (INVALID CARRIAGE)",
+    "LIGHT MOTOR VEHICLE", "MEDIUM MOTOR VEHICLE", "HEAVY MOTOR VEHICLE", "MOTOR VEHICLE", "LIGHT GOODS VEHICLE",
+    "HEAVY GOODS VEHICLE", "MEDIUM PASSENGER VEHICLE", "BUS", "TRACTOR", "CONTRACTOR", "EARTH MOVING EQUIPMENT",
+    "DUMPER", "CRANE MOUNTED", "OTHER THAN MENTIONED ABOVE", "THREE WHEELER AND TWO WHEELER", "AMBULANCE",
+)
 
 
 # Columns of the driver tables that the queries read (explicit schemas skip the
 # footer-inference job and pin the scan's ReadSchema to these columns).
 TABLE_SCHEMAS = {
-    "lineitem": "l_partkey bigint, l_shipdate timestamp_ntz",
-    "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+    "lineitem": "l_partkey bigint, l_suppkey bigint, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
     "o_orderdate timestamp_ntz, o_orderpriority string",
     "pages": "page_id bigint, url string",
@@ -54,11 +54,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
-_CATEGORY_MAP = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in CATEGORY_OF_PART_TYPE.items()) + ")"
+def part_category(p_partkey) -> F.Column:
+    texts = F.array(*[F.lit(t) for t in CATEGORY_TEXTS])
+    return F.element_at(texts, (F.pmod(p_partkey, F.lit(len(CATEGORY_TEXTS))) + 1).cast("int"))
 
 
-def part_category(p_type) -> F.Column:
-    return F.coalesce(F.try_element_at(F.expr(_CATEGORY_MAP), p_type), p_type)
+def maker_name(brand, supplier) -> F.Column:
+    return F.concat(brand, F.lit(" S"), supplier.cast("string"))
 
 
 def _aqe_splits_skew(spark: SparkSession) -> bool:
@@ -67,46 +69,86 @@ def _aqe_splits_skew(spark: SparkSession) -> bool:
 
 
 def monthly_counts(
-    spark: SparkSession, sf_dir: str, pre_aggregate: bool | None = None, by_month: bool = True
+    spark: SparkSession,
+    sf_dir: str,
+    pre_aggregate: bool | None = None,
+    by_month: bool = True,
+    kind: str | None = None,
+    brand: str | None = None,
+    supplier: int | None = None,
+    group: str | None = None,
+    rules: Rules = FILE_RULES,
 ) -> DataFrame:
     """(DataType, Name, Year, MonthNum, n): registrations per entity and month
     (``by_month=False``: per entity and year, MonthNum NULL — for annual-only plans).
 
+    ``kind`` keeps one kind and reads only its columns; ``brand`` and
+    ``supplier`` select makers, ``group`` (of ``rules``) categories: these
+    filters sit on the tables, below the join.
+
     Join-first plan: one shuffle of the narrow lineitem projection for the join
     (AQE's skew-join splits a hot part key), the partial aggregate in the
     join's stage. Pre-aggregated plan: lineitems are first counted per
-    (part key, year, month) map-side, so a part key holding a third of all
-    rows shuffles at most one row per month per map task without relying on
+    part key (and supplier) and period map-side, so a part key holding a third of all
+    rows shuffles at most that many rows per map task without relying on
     AQE, at the cost of a second (smaller) shuffle into the join.
     ``pre_aggregate=None`` picks join-first when the session has AQE skew-join
     splitting on, else the pre-aggregated plan.
     """
     if pre_aggregate is None:
         pre_aggregate = not _aqe_splits_skew(spark)
+    makers, categories = kind in (None, MAKER_TYPE), kind in (None, CATEGORY_TYPE)
     period = ["Year", "MonthNum"] if by_month else ["Year"]
     cols = [F.year("l_shipdate").alias("Year")] + ([F.month("l_shipdate").alias("MonthNum")] if by_month else [])
-    li = table(spark, sf_dir, "lineitem").select("l_partkey", *cols)
+    li = table(spark, sf_dir, "lineitem")
+    if supplier is not None:
+        li = li.where(F.col("l_suppkey") == supplier)
+    keys = ["l_partkey", "l_suppkey"] if makers else ["l_partkey"]
+    li = li.select(*keys, *cols)
     if pre_aggregate:
-        li = li.groupBy("l_partkey", *period).agg(F.count(F.lit(1)).alias("k"))
+        li = li.groupBy(*keys, *period).agg(F.count(F.lit(1)).alias("k"))
     else:
         li = li.withColumn("k", F.lit(1).cast("bigint"))
-    pt = table(spark, sf_dir, "part").select(
-        "p_partkey", F.col("p_brand").alias(MAKER_TYPE), part_category(F.col("p_type")).alias(CATEGORY_TYPE)
-    )
-    cells = (
-        li.join(pt, li.l_partkey == pt.p_partkey)
-        .groupBy(MAKER_TYPE, CATEGORY_TYPE, *period)
-        .agg(F.sum("k").alias("n"))
-    )
-    # One row per cell and kind; the cells are already tiny, the re-aggregation is cheap.
-    kinds = cells.unpivot([*period, "n"], [MAKER_TYPE, CATEGORY_TYPE], "DataType", "Name")
-    counts = kinds.groupBy("DataType", "Name", *period).agg(F.sum("n").alias("n"))
+    pt = table(spark, sf_dir, "part")
+    if brand is not None:
+        pt = pt.where(F.col("p_brand") == brand)
+    if group is not None:
+        pt = pt.where(categorize(part_category(F.col("p_partkey")), rules) == group)
+    pt = pt.select("p_partkey", *["p_brand"] * makers, *[part_category(F.col("p_partkey")).alias(CATEGORY_TYPE)] * categories)
+    rows = li.join(pt, li.l_partkey == pt.p_partkey)
+    if makers:
+        rows = rows.withColumn(MAKER_TYPE, maker_name(F.col("p_brand"), F.col("l_suppkey")))
+    kinds = [MAKER_TYPE] * makers + [CATEGORY_TYPE] * categories
+    cells = rows.groupBy(*kinds, *period).agg(F.sum("k").alias("n"))
+    if kind is None:  # one row per cell and kind; the cells are small, the re-aggregation is cheap
+        counts = cells.unpivot([*period, "n"], kinds, "DataType", "Name").groupBy("DataType", "Name", *period).agg(F.sum("n").alias("n"))
+    else:
+        counts = cells.select(F.lit(kind).alias("DataType"), F.col(kind).alias("Name"), *period, "n")
     if not by_month:  # keep the shape; MonthNum is not a grouping key, so the
         # (DataType, Name, Year) partitioning carries on to the annual aggregate
         counts = counts.select("DataType", "Name", "Year", F.lit(None).cast("int").alias("MonthNum"), "n")
     return counts
 
 
+def quarterly_from_counts(counts: DataFrame, rules: Rules | None = FILE_RULES) -> DataFrame:
+    """Dense quarterly facts straight from the counts: (DataType, Name, Year, Quarter, QuarterYear, QuarterlyRegistrations).
+
+    Names are mapped by ``rules`` before the sum. A quarter that the (kind,
+    year) covers and the entity has no registration in is 0. One aggregate with a column a
+    quarter; the covered quarters are one row per kind and year.
+    """
+    named = counts if rules is None else counts.withColumn("Name", group_name("DataType", "Name", rules))
+    last = counts.groupBy("DataType", "Year").agg(F.ceil(F.max("MonthNum") / 3).cast("int").alias("LastQuarter"))
+    quarter = F.ceil(F.col("MonthNum") / 3)
+    sums = [F.coalesce(F.sum(F.when(quarter == q, F.col("n"))), F.lit(0)).cast("bigint").alias(f"q{q}") for q in range(1, 5)]
+    wide = named.where(F.col("Name").isNotNull()).groupBy("DataType", "Name", "Year").agg(*sums).join(last, ["DataType", "Year"])
+    long = wide.select("DataType", "Name", "Year", "LastQuarter", F.posexplode(F.array("q1", "q2", "q3", "q4")).alias("pos", "QuarterlyRegistrations"))
+    long = long.withColumn("Quarter", F.col("pos") + 1).where(F.col("Quarter") <= F.col("LastQuarter"))
+    return long.select(
+        "DataType", "Name", "Year", "Quarter", quarter_label(F.col("Year"), F.col("Quarter")).alias("QuarterYear"), "QuarterlyRegistrations"
+    )
+
+
 def wide_monthly(counts: DataFrame) -> DataFrame:
     """Wide monthly report rows: (DataType, Name, Year, 'Month Wise_JAN'.., TOTAL_TOTAL).
 
@@ -114,13 +156,12 @@ def wide_monthly(counts: DataFrame) -> DataFrame:
     month after the last covered month of a (kind, year) is NULL (not in the
     report), like a partial-year report with fewer columns.
     """
-    # Bounded by kinds x years (one row per report), so broadcasting it is safe.
     last = counts.groupBy("DataType", "Year").agg(F.max("MonthNum").alias("LastMonth"))
     # A conditional aggregate is the pivot in one aggregation (one exchange);
     # DataFrame.pivot would aggregate per month first, then pivot (two).
     by_month = [F.sum(F.when(F.col("MonthNum") == F.lit(i), F.col("n"))).alias(str(i)) for i in range(1, 13)]
     piv = counts.groupBy("DataType", "Name", "Year").agg(*by_month)
-    piv = piv.join(F.broadcast(last), ["DataType", "Year"])
+    piv = piv.join(last, ["DataType", "Year"])  # one row per report: AQE broadcasts it
     cells = {}
     for i, m in enumerate(MONTHS, 1):
         covered = F.lit(i) <= F.col("LastMonth")

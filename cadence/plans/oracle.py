@@ -1,17 +1,49 @@
 """DuckDB SQL equivalents of the registered queries (the correctness oracle).
 
-Written independently of the Spark plans: CTEs over the raw driver tables,
+Written independently of the Spark plans, constants included (only the parameters of
+the dashboard-style queries are shared): CTEs over the raw driver tables,
 ``lag`` windows, ``round_even`` for the half-even rounding, ``nullif`` for the
 zero predecessor, ``row_number`` for latest / best period.
 """
 
 from __future__ import annotations
 
-from cadence.functions.calendar import MONTHS
-from cadence.functions.rules import FILE_RULES, STORE_RULES
 from cadence.plans import registry as R
-from cadence.plans.facts import CATEGORY_OF_PART_TYPE
-from cadence.operators.insight import QOQ_TEXT, YOY_TEXT
+
+# Fixed values, written out here on their own so that a slip in the engine's tables shows.
+MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
+FILE_RULES = [
+    ("2W", ["TWO WHEELER"]),
+    ("3W", ["THREE WHEELER"]),
+    ("4W", ["FOUR WHEELER", "GOODS VEHICLE", "PASSENGER VEHICLE", "MOTOR VEHICLE", "TRAC", "EARTH MOVING"]),
+]
+STORE_RULES = [
+    ("2W", ["TWO WHEELER"]),
+    ("3W", ["THREE WHEELER"]),
+    ("4W", ["FOUR WHEELER", "LIGHT MOTOR VEHICLE", "MEDIUM MOTOR VEHICLE", "HEAVY MOTOR VEHICLE", "GOODS VEHICLE",
+            "PASSENGER VEHICLE", "BUS", "TRAC", "EARTH MOVING", "DUMPER", "CRANE"]),
+]
+CUSTOM_RULES = [("METAL", ["BOLT", "GEAR", "RING", "ROD", "PLATE", "ANVIL"]), ("GADGET", ["WIDGET", "GIZMO"])]
+CATEGORY_TEXTS = [
+    "TWO WHEELER(NT)", " two wheeler(t) ", "THREE WHEELER(T)", "THREE WHEELER(NT)", "FOUR WHEELER (INVALID CARRIAGE)",
+    "LIGHT MOTOR VEHICLE", "MEDIUM MOTOR VEHICLE", "HEAVY MOTOR VEHICLE", "MOTOR VEHICLE", "LIGHT GOODS VEHICLE",
+    "HEAVY GOODS VEHICLE", "MEDIUM PASSENGER VEHICLE", "BUS", "TRACTOR", "CONTRACTOR", "EARTH MOVING EQUIPMENT",
+    "DUMPER", "CRANE MOUNTED", "OTHER THAN MENTIONED ABOVE", "THREE WHEELER AND TWO WHEELER", "AMBULANCE",
+]
+YOY_TEXT = {
+    "head": "The **{name}** shows a **{trend} YoY growth of {growth}%** in the latest available year within the selected range.",
+    "positive": " This indicates a strong expansion compared to the previous year.",
+    "negative": " This suggests a contraction in registrations compared to the previous year.",
+    "stable": " This indicates a relatively stable registration count compared to the previous year.",
+    "best": "\n\nIts highest YoY growth was **{growth}%** in **{period}**.",
+}
+QOQ_TEXT = {
+    "head": "The **{name}** shows a **{trend} QoQ growth of {growth}%** in the latest available quarter within the selected range.",
+    "positive": " This indicates healthy sequential growth.",
+    "negative": " This suggests a slowdown in registrations compared to the previous quarter.",
+    "stable": " This indicates a relatively stable registration count compared to the previous quarter.",
+    "best": "\n\nIts highest QoQ growth was **{growth}%** in **{period}**.",
+}
 
 
 def _q(s: str) -> str:
@@ -22,7 +54,7 @@ def _q(s: str) -> str:
 
 MONTH_LIST = "[" + ", ".join(f"'{m}'" for m in MONTHS) + "]"
 MONTH_NUM = "CASE Month " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(MONTHS, 1)) + " END"
-CAT_CASE = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY_OF_PART_TYPE.items()) + " ELSE p_type END"
+CAT_CASE = "[" + ", ".join(f"'{t}'" for t in CATEGORY_TEXTS) + f"][p_partkey % {len(CATEGORY_TEXTS)} + 1]"
 
 
 def rules_sql(text: str, rules, fallback: str = "Other") -> str:
@@ -48,16 +80,31 @@ def growth_sql(cur: str, prev: str) -> str:
 PRICE_TEXT = "format('{:,.2f}', o_totalprice)"
 
 
+NUMBER = "[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+
 def coz(x: str) -> str:
-    d = f"TRY_CAST({x} AS DOUBLE)"
-    return f"CAST(coalesce(CASE WHEN isnan({d}) THEN 0 ELSE {d} END, 0) AS DOUBLE)"
+    return f"CAST(CASE WHEN regexp_full_match(trim({x}), '{NUMBER}') THEN coalesce(TRY_CAST(trim({x}) AS DOUBLE), 0) ELSE 0 END AS DOUBLE)"
+
+
+def count_of(x: str) -> str:
+    return (
+        f"CAST(CASE WHEN regexp_full_match(trim({x}), '[+-]?[0-9]+') THEN TRY_CAST(trim({x}) AS BIGINT) "
+        f"WHEN regexp_full_match(trim({x}), '{NUMBER}') THEN TRY_CAST(trunc(TRY_CAST(trim({x}) AS DOUBLE)) AS BIGINT) ELSE 0 END AS BIGINT)"
+    )
+
+
+CELL = (
+    "CASE o_orderkey % 11 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN '12d' WHEN 2 THEN '' WHEN 3 THEN '12.5' "
+    "WHEN 4 THEN '9007199254740993' WHEN 5 THEN '-' WHEN 6 THEN ' 7 ' WHEN 7 THEN '1e3' WHEN 8 THEN '0x1F' WHEN 9 THEN '-4' END"
+)
 
 
 # ---------------------------------------------------------------- shared CTEs
 
 FACTS = f"""
 cells AS (
-  SELECT p_brand AS mk, {CAT_CASE} AS vc,
+  SELECT p_brand || ' S' || CAST(l_suppkey AS VARCHAR) AS mk, {CAT_CASE} AS vc,
          CAST(year(l_shipdate) AS INTEGER) AS Year, CAST(month(l_shipdate) AS INTEGER) AS MonthNum,
          count(*) AS n
   FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -219,7 +266,10 @@ def build() -> dict[str, str]:
     sql["agg_annual"] = with_ctes(F_, G, body="SELECT * FROM aa")
     sql["lag_year"] = with_ctes(F_, G, body="SELECT * FROM ly")
     sql["pct_change"] = with_ctes(F_, G, body="SELECT DataType, Name, Year, YoYGrowth FROM yoy")
-    sql["first_period_mask"] = with_ctes(F_, G, body="SELECT * FROM yoy")
+    sql["first_period_mask"] = with_ctes(F_, G, body="""SELECT DataType, Name, Year,
+      CASE WHEN Year > min(Year) OVER w THEN Registrations END AS Registrations,
+      CASE WHEN Year > min(Year) OVER w THEN PrevYearRegistrations END AS PrevYearRegistrations,
+      CASE WHEN Year > min(Year) OVER w THEN YoYGrowth END AS YoYGrowth FROM yoy WINDOW w AS (PARTITION BY DataType, Name)""")
     sql["yoy_growth"] = with_ctes(F_, G, body="SELECT * FROM yoy")
     sql["agg_quarterly"] = with_ctes(F_, G, body="SELECT * FROM aq")
     sql["lag_quarter"] = with_ctes(F_, G, body="SELECT * FROM lq")
@@ -239,12 +289,12 @@ def build() -> dict[str, str]:
     sql["growth_view_yoy"] = with_ctes(F_, G, body=_view_yoy(t, n, lo, hi))
     qt, qn = R.QOQ_ENTITY
     sql["growth_view_qoq"] = with_ctes(F_, G, body=_view_qoq(qt, qn, lo, hi))
-    pt, pn = R.PROJECT_ENTITY
+    pt, pb, ps = R.PROJECT_ENTITY
     sql["project_growth_view"] = with_ctes(
         F_,
         G,
         body="SELECT Year, Registrations, PrevYearRegistrations, YoYGrowth FROM yoy "
-        f"WHERE DataType = '{pt}' AND Name = '{pn}'",
+        f"WHERE DataType = '{pt}' AND Name = '{pb} S{ps}'",
     )
     slo, shi = R.SERIES_RANGE
     sql["trend_series"] = with_ctes(
@@ -294,11 +344,6 @@ def build() -> dict[str, str]:
     # profiles and cleaning
     sql["keep_positive"] = with_ctes(F_, body="SELECT * FROM monthly WHERE MonthlyRegistrations > 0")
     sql["drop_nulls"] = with_ctes(F_, body="SELECT * FROM monthly")
-    sql["guard_missing_cols"] = (
-        "SELECT CAST(NULL AS VARCHAR) AS DataType, CAST(NULL AS VARCHAR) AS Name, CAST(NULL AS INTEGER) AS Year, "
-        "CAST(NULL AS BIGINT) AS Registrations, CAST(NULL AS BIGINT) AS PrevYearRegistrations, "
-        "CAST(NULL AS DOUBLE) AS YoYGrowth WHERE false"
-    )
     sql["month_dates"] = with_ctes(F_, body="SELECT * FROM mdates")
     sql["unpivot_monthly"] = with_ctes(F_, body="SELECT * FROM monthly")
     sql["unpivot_annual"] = with_ctes(F_, body="SELECT * FROM annual")
@@ -306,7 +351,7 @@ def build() -> dict[str, str]:
         f"SELECT o_orderkey, {coz('o_orderpriority')} AS PriorityValue, "
         f"{coz('substring(o_orderpriority, 1, 1)')} AS PriorityCode, "
         f"{coz('CAST(o_totalprice AS VARCHAR)')} AS PriceValue, "
-        f"{coz(PRICE_TEXT)} AS PriceTextValue "
+        f"{coz(PRICE_TEXT)} AS PriceTextValue, coalesce({coz(CELL)}, 0) AS CellValue, coalesce({count_of(CELL)}, 0) AS CellCount "
         "FROM orders"
     )
     sql["clean_numeric"] = (
@@ -324,7 +369,7 @@ def build() -> dict[str, str]:
         f"SELECT p_partkey, {CAT_CASE} AS CategoryText, {rules_sql(CAT_CASE, STORE_RULES)} AS GroupName FROM part"
     )
     sql["category_custom_rules"] = (
-        f"SELECT p_partkey, p_name, {rules_sql('p_name', R.CUSTOM_RULES)} AS GroupName FROM part"
+        f"SELECT p_partkey, p_name, {rules_sql('p_name', CUSTOM_RULES)} AS GroupName FROM part"
     )
     sql["group_name"] = with_ctes(
         F_, body=f"SELECT Name, DataType, Year, Registrations, {group_sql(STORE_RULES)} AS GroupName FROM annual"
@@ -337,13 +382,20 @@ def build() -> dict[str, str]:
         body=f"SELECT {_report('X_Month_Wise_Year_')} AS Report, DataType, Year, count(DISTINCT Name) AS Entities "
         "FROM counts GROUP BY ALL",
     )
+    maker_years = "(SELECT DISTINCT Year FROM annual WHERE DataType = 'Manufacturer')"
+    bad = [("_totals", "no period columns"), ("_nameless", "no entity column"), ("_ragged", "row does not fit header"), ("_empty", "empty report")]
     sql["src_rejects"] = with_ctes(
         F_,
         body="SELECT 'Y_Fuel_X_Calendar_Year_Year_' || CAST(Year AS VARCHAR) || '.csv' AS Report, "
         "'unknown report kind' AS Reason FROM (SELECT DISTINCT Year FROM annual WHERE DataType = 'Vehicle Category') "
-        "UNION ALL "
-        "SELECT 'Y_Maker_X_Calendar_Year_Year_' || CAST(Year AS VARCHAR) || '_totals.csv' AS Report, "
-        "'no period columns' AS Reason FROM (SELECT DISTINCT Year FROM annual WHERE DataType = 'Manufacturer')",
+        + " ".join(
+            f"UNION ALL SELECT 'Y_Maker_X_Calendar_Year_Year_' || CAST(Year AS VARCHAR) || '{tag}.csv' AS Report, '{why}' AS Reason FROM {maker_years}"
+            for tag, why in bad
+        ),
+    )
+    sql["csv_sink"] = with_ctes(
+        F_,
+        body=f"SELECT {_report('X_Calendar_Year_Year_')} AS Report, row_number() OVER (PARTITION BY DataType, Year ORDER BY Name) AS Serial FROM annual",
     )
     sql["load_file_profile"] = with_ctes(
         F_,
@@ -360,6 +412,17 @@ def build() -> dict[str, str]:
     sql["store_roundtrip"] = with_ctes(F_, body=positive)
     sql["store_append_new"] = with_ctes(F_, body=positive)
     sql["stream_ingest"] = with_ctes(F_, body=positive)
+    sql["store_infile_dup"] = with_ctes(F_, body="SELECT Name, DataType, Year, Registrations FROM annual")
+    # the batch holds the last two years twice, once with five more; the last but one is stored already
+    late = "SELECT Name, DataType, Year, Month, MonthlyRegistrations{more} AS MonthlyRegistrations, {why} AS Reason FROM monthly WHERE MonthlyRegistrations > 0 AND Year = (SELECT max(Year) FROM counts){ago}"
+    stored, twice = "'key exists in store'", "'duplicate key in batch'"
+    sql["store_inbatch_dup"] = with_ctes(
+        F_,
+        body=" UNION ALL ".join([
+            f"SELECT *, CAST(NULL AS VARCHAR) AS Reason FROM ({positive})",
+            late.format(more="", why=stored, ago=" - 1"), late.format(more=" + 5", why=stored, ago=" - 1"), late.format(more=" + 5", why=twice, ago=""),
+        ]),
+    )
     sql["store_unique_reports"] = with_ctes(
         F_,
         body="SELECT 'Y_Maker_X_Calendar_Year_Year_' || CAST(Year AS VARCHAR) || '_copy.csv' AS Report, "

@@ -1,8 +1,9 @@
 """Registered queries: one per operator / composite query of the survey.
 
-Each callable takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-whole driver tables (sources and store queries write their inputs to the
-shared scratch folder first). Column names match ``plans.oracle``.
+Each callable takes ``(spark, sf_dir)`` and returns a DataFrame over the
+whole driver tables. Growth queries are lazy; source, store and catalog
+queries run jobs while they are built, as they write reports, stores and shared counts to
+the scratch folder first. Column names match ``plans.oracle``.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from cadence.functions import (
     MAKER_TYPE,
     STORE_RULES,
     categorize,
+    coerce_count,
     coerce_or_zero,
     group_name,
+    month_label,
     pct_change,
     safe_name,
     trend_label,
@@ -41,6 +44,7 @@ from cadence.operators import (
     mask_first_period,
     preview,
     qoq_growth,
+    qoq_of_quarters,
     trend_series,
     unpivot_annual,
     unpivot_monthly,
@@ -50,7 +54,7 @@ from cadence.operators import (
 )
 from cadence.operators.growth import entity_window
 from cadence.plans import facts
-from cadence.session import scratch_path
+from cadence.session import materialize, scratch_path
 from cadence.sources import wide_csv
 from cadence.sources.store import FactStore
 
@@ -60,7 +64,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 VIEW_RANGE = (1997, 2000)
 YOY_ENTITY = (CATEGORY_TYPE, "4W")
 QOQ_ENTITY = (CATEGORY_TYPE, "3W")
-PROJECT_ENTITY = (MAKER_TYPE, "Brand#1")
+PROJECT_ENTITY = (MAKER_TYPE, "Brand#1", 3)  # kind, brand, supplier
 SERIES_RANGE = (1996, 2001)
 # A user-supplied rule list over part names (category_custom_rules).
 CUSTOM_RULES = (
@@ -90,8 +94,17 @@ def yoy_all(spark, d):
     return yoy_growth(grouped(annual_once(spark, d)))
 
 
+def quarters(spark, d, **only):
+    return facts.quarterly_from_counts(facts.monthly_counts(spark, d, **only))
+
+
 def qoq_all(spark, d):
-    return qoq_growth(grouped(fact_set(spark, d).monthly()))
+    return qoq_of_quarters(quarters(spark, d))
+
+
+def yoy_of(spark, d, **only):
+    """YoY growth of one selection: its filters sit below the join."""
+    return yoy_growth(grouped(facts.annual_from_counts(facts.monthly_counts(spark, d, by_month=False, **only))))
 
 
 # ---------------------------------------------------------------- growth core
@@ -113,7 +126,8 @@ def q_pct_change(spark, d):
 
 
 def q_first_period_mask(spark, d):
-    return mask_first_period(yoy_all(spark, d), "Year", ["PrevYearRegistrations", "YoYGrowth"])
+    # Registrations of the first year are known, so only the mask can hide them
+    return mask_first_period(yoy_all(spark, d), "Year", ["Registrations", "PrevYearRegistrations", "YoYGrowth"])
 
 
 def q_yoy_growth(spark, d):
@@ -125,7 +139,7 @@ def q_agg_quarterly(spark, d):
 
 
 def q_lag_quarter(spark, d):
-    q = aggregate_quarterly(grouped(fact_set(spark, d).monthly()))
+    q = quarters(spark, d)
     return q.withColumn(
         "PrevQuarterRegistrations", F.lag("QuarterlyRegistrations").over(entity_window("Year", "Quarter"))
     )
@@ -163,7 +177,7 @@ def q_qoq_growth_store(spark, d):
 # ---------------------------------------------------------------- views
 
 def q_filter_entity(spark, d):
-    return filter_entity(yoy_all(spark, d), *YOY_ENTITY)
+    return filter_entity(yoy_of(spark, d, kind=YOY_ENTITY[0], group=YOY_ENTITY[1]), *YOY_ENTITY)
 
 
 def q_filter_year_range(spark, d):
@@ -171,15 +185,17 @@ def q_filter_year_range(spark, d):
 
 
 def q_growth_view_yoy(spark, d):
-    return growth_view_yoy(yoy_all(spark, d), *YOY_ENTITY, *VIEW_RANGE)
+    return growth_view_yoy(yoy_of(spark, d, kind=YOY_ENTITY[0], group=YOY_ENTITY[1]), *YOY_ENTITY, *VIEW_RANGE)
 
 
 def q_growth_view_qoq(spark, d):
-    return growth_view_qoq(qoq_all(spark, d), *QOQ_ENTITY, *VIEW_RANGE)
+    q = qoq_of_quarters(quarters(spark, d, kind=QOQ_ENTITY[0], group=QOQ_ENTITY[1]))
+    return growth_view_qoq(q, *QOQ_ENTITY, *VIEW_RANGE)
 
 
 def q_project_growth_view(spark, d):
-    v = growth_view_yoy(yoy_all(spark, d), *PROJECT_ENTITY)
+    kind, brand, supplier = PROJECT_ENTITY
+    v = growth_view_yoy(yoy_of(spark, d, kind=kind, brand=brand, supplier=supplier), kind, f"{brand} S{supplier}")
     return v.select("Year", "Registrations", "PrevYearRegistrations", "YoYGrowth")
 
 
@@ -236,10 +252,6 @@ def q_drop_nulls(spark, d):
     return drop_nulls(long, ["MonthlyRegistrations"])
 
 
-def q_guard_missing_cols(spark, d):
-    return yoy_growth(annual_once(spark, d).drop("Registrations"))
-
-
 def q_month_dates(spark, d):
     return with_month_dates(fact_set(spark, d).monthly()).select(
         "Name", "DataType", "Year", "Month", "MonthNum", "Date", "MonthlyRegistrations"
@@ -260,14 +272,26 @@ def _orders(spark, d):
     return facts.table(spark, d, "orders")
 
 
+def _mixed_cell() -> F.Column:
+    """A text cell by order key: good, bad, suffixed, empty, fractional, beyond 2**53, blank-padded, exponent, null."""
+    k = F.pmod("o_orderkey", F.lit(11))
+    cells = {1: "12d", 2: "", 3: "12.5", 4: "9007199254740993", 5: "-", 6: " 7 ", 7: "1e3", 8: "0x1F", 9: "-4", 10: None}
+    out = F.when(k == 0, F.col("o_custkey").cast("string"))
+    for i, x in cells.items():
+        out = out.when(k == i, F.lit(x))
+    return out
+
+
 def q_coerce_or_zero(spark, d):
-    o = _orders(spark, d)
+    o = _orders(spark, d).withColumn("cell", _mixed_cell())
     return o.select(
         "o_orderkey",
         coerce_or_zero("o_orderpriority").alias("PriorityValue"),
         coerce_or_zero(F.substring("o_orderpriority", 1, 1)).alias("PriorityCode"),
         coerce_or_zero(F.col("o_totalprice").cast("string")).alias("PriceValue"),
         coerce_or_zero(F.format_number("o_totalprice", 2)).alias("PriceTextValue"),
+        coerce_or_zero("cell").alias("CellValue"),
+        coerce_count("cell").alias("CellCount"),
     )
 
 
@@ -293,7 +317,7 @@ def q_flatten_columns(spark, d):
 
 def _part_text(spark, d):
     p = facts.table(spark, d, "part")
-    return p.select("p_partkey", "p_name", facts.part_category(F.col("p_type")).alias("CategoryText"))
+    return p.select("p_partkey", "p_name", facts.part_category(F.col("p_partkey")).alias("CategoryText"))
 
 
 def q_category_file_rules(spark, d):
@@ -351,55 +375,73 @@ def q_src_file_meta(spark, d):
     return reports.join(per_report, ["DataType", "Year"]).select("Report", "DataType", "Year", "Entities")
 
 
+def _write_lines(lines: DataFrame, out: str) -> None:
+    """(Report, n, line) -> one CSV file per report, lines in the order of n."""
+    (
+        lines.repartition("Report").sortWithinPartitions("Report", "n").select("Report", "line").write.mode("append")
+        .partitionBy("Report").option("sep", "\u0001").option("quote", "\u0000")
+        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(out)
+    )
+
+
+def _extra_reports(annual: DataFrame, kind: str, prefix: str, suffix: str, head: str, row: str) -> DataFrame:
+    """Reports made of the annual facts of one kind, one a year: ``head`` and ``row`` are SQL for their lines."""
+    a = annual.where(F.col("DataType") == kind).withColumn("Report", F.concat(F.lit(prefix), F.col("Year").cast("string"), F.lit(suffix)))
+    heads = a.select("Report", "Year").distinct().select("Report", F.lit(0).alias("n"), F.expr(head).alias("line"))
+    return heads.unionByName(a.select("Report", F.lit(1).alias("n"), F.expr(row).alias("line")))
+
+
 def q_src_rejects(spark, d):
+    """Good reports beside reports of every reject reason of the annual axis."""
     out = scratch_path(spark, "reports")
-    a = wide_csv.annual_report_frame(fact_set(spark, d).annual)
-    wide_csv.write_reports(a, out, "annual")
-    ent = wide_csv.ENTITY_COLUMNS
-    # Reports of an unknown kind (category reports under another kind token) and
-    # maker reports that lost their period column (totals only): one job each.
-    bad = [
-        (CATEGORY_TYPE, "Y_Fuel_" + wide_csv.ANNUAL_MARKER, ".csv", "fuel"),
-        (MAKER_TYPE, "Y_Maker_" + wide_csv.ANNUAL_MARKER, "_totals.csv", "totals"),
-    ]
-    for data_type, prefix, suffix, folder in bad:
-        (
-            a.where(F.col("DataType") == data_type)
-            .select(
-                F.concat(F.lit(prefix), F.col("Year").cast("string"), F.lit(suffix)).alias("Report"),
-                F.col("Name").alias(ent[data_type]),
-                F.col(wide_csv.TOTAL_COLUMN),
-            )
-            .write.mode("overwrite")
-            .partitionBy("Report")
-            .option("header", "true")
-            .csv(f"{out}/{folder}")
-        )
+    fs = fact_set(spark, d, by_month=False)
+    annual = materialize(fs.annual, "annual")
+    wide_csv.write_reports(wide_csv.annual_report_frame(annual), out, "annual")
+    maker = "Y_Maker_" + wide_csv.ANNUAL_MARKER
+    fuel = "Y_Fuel_" + wide_csv.ANNUAL_MARKER
+    year = "concat('Maker_Maker,Calendar Year_', Year)"
+    for tag, kind, prefix, suffix, head, row in (
+        ("fuel", CATEGORY_TYPE, fuel, ".csv", "concat('Fuel_Fuel,Calendar Year_', Year)", "concat(Name, ',', Registrations)"),
+        ("totals", MAKER_TYPE, maker, "_totals.csv", "'Maker_Maker,TOTAL_TOTAL'", "concat(Name, ',', Registrations)"),
+        ("nameless", MAKER_TYPE, maker, "_nameless.csv", "concat('Other,Calendar Year_', Year)", "concat(Name, ',', Registrations)"),
+        ("ragged", MAKER_TYPE, maker, "_ragged.csv", year, "concat(Name, ',', Registrations, ',', '1,234')"),
+        ("empty", MAKER_TYPE, maker, "_empty.csv", "' '", "' '"),  # blank lines only
+    ):
+        _write_lines(_extra_reports(annual, kind, prefix, suffix, head, row), f"{out}/{tag}")
     return wide_csv.load_reports(spark, out, "annual").rejects
 
 
+def q_csv_sink(spark, d):
+    """Serial numbers and names of the written annual reports, as they stand in the files."""
+    out = _write_annual_reports(spark, d)
+    lines = wide_csv.read_lines(spark, out, "annual")
+    heads = wide_csv.read_headers(lines)
+    cells = wide_csv.split_line(F.col("line"))
+    body = lines.join(heads, "path").where(F.col("line") != F.col("Header"))
+    return body.select("Report", cells[0].cast("bigint").alias("Serial"))
+
+
+def q_store_infile_dup(spark, d):
+    """Store facts where, beside each maker report, one that holds every key twice arrives before it by name: refused whole."""
+    out = scratch_path(spark, "reports")
+    annual = materialize(fact_set(spark, d, by_month=False).annual, "annual")
+    wide_csv.write_reports(wide_csv.annual_report_frame(annual), out, "annual")
+    twice = annual.unionByName(annual.withColumn("Registrations", F.col("Registrations") + 1))
+    prefix = "Y_Maker_" + wide_csv.ANNUAL_MARKER + "0_"
+    _write_lines(_extra_reports(twice, MAKER_TYPE, prefix, ".csv", "concat('Maker_Maker,Calendar Year_', Year)", "concat(Name, ',', Registrations)"), f"{out}/twice")
+    loaded = wide_csv.load_reports(spark, out, "annual", keep_zero=False)
+    return wide_csv.unique_reports(loaded, ["Name", "DataType", "Year"]).facts
+
+
 def q_store_unique_reports(spark, d):
     """Store build over reports where every maker report arrives twice (a
     second copy under a later name): the copies repeat keys and are refused."""
     out = scratch_path(spark, "reports")
-    a = wide_csv.annual_report_frame(fact_set(spark, d, by_month=False).annual)
-    wide_csv.write_reports(a, out, "annual")
-    mk = a.where(F.col("DataType") == MAKER_TYPE)
-    cols = [c for c in mk.columns if c.startswith(wide_csv.YEAR_PREFIX)]
-    (
-        mk.select(
-            F.concat(F.lit("Y_Maker_" + wide_csv.ANNUAL_MARKER), F.col("Year").cast("string"), F.lit("_copy.csv")).alias(
-                "Report"
-            ),
-            F.col("Name").alias(wide_csv.ENTITY_COLUMNS[MAKER_TYPE]),
-            *[F.col(f"`{c}`") for c in cols],
-            F.col(wide_csv.TOTAL_COLUMN),
-        )
-        .write.mode("overwrite")
-        .partitionBy("Report")
-        .option("header", "true")
-        .csv(f"{out}/copies")
-    )
+    annual = materialize(fact_set(spark, d, by_month=False).annual, "annual")
+    wide_csv.write_reports(wide_csv.annual_report_frame(annual), out, "annual")
+    prefix = "Y_Maker_" + wide_csv.ANNUAL_MARKER
+    copies = _extra_reports(annual, MAKER_TYPE, prefix, "_copy.csv", "concat('Maker_Maker,Calendar Year_', Year)", "concat(Name, ',', Registrations)")
+    _write_lines(copies, f"{out}/copies")
     loaded = wide_csv.load_reports(spark, out, "annual", keep_zero=False)
     return wide_csv.unique_reports(loaded, ["Name", "DataType", "Year"]).rejects
 
@@ -458,11 +500,32 @@ def q_store_append_new(spark, d):
     return store.read()
 
 
+def q_store_inbatch_dup(spark, d):
+    """A batch that holds keys of its last year twice: the lesser row of a key is taken, the other handed back."""
+    initial, batch = _store_split(spark, d)
+    store = FactStore.monthly(spark, scratch_path(spark, "store"))
+    store.create(initial)
+    more = batch.withColumn("MonthlyRegistrations", F.col("MonthlyRegistrations") + 5)
+    res = store.append(batch.unionByName(more), on_conflict="skip")
+    kept = store.read().withColumn("Reason", F.lit(None).cast("string"))
+    return kept.unionByName(res.dropped)
+
+
 def q_stream_ingest(spark, d):
-    """Reports land in a folder; a file stream ingests them into the store."""
+    """Reports land in a folder; a file stream ingests them into the store. Every maker
+    report has a later copy with other counts, which is refused whole."""
     from cadence.streaming.ingest import IngestConfig, ingest_available
 
-    landing = _write_monthly_reports(spark, d)
+    landing = scratch_path(spark, "reports")
+    fs = fact_set(spark, d)
+    wide_csv.write_reports(fs.wide_monthly, landing, "monthly")
+    clash = fs.counts.groupBy("DataType", "Name", "Year").agg(F.min("MonthNum").alias("MonthNum")).withColumn(
+        "Registrations", F.lit(77)
+    ).withColumn("Month", month_label("MonthNum"))
+    head = "'Maker_Maker,Month Wise_JAN,Month Wise_FEB,Month Wise_MAR,Month Wise_APR,Month Wise_MAY,Month Wise_JUN,Month Wise_JUL,Month Wise_AUG,Month Wise_SEP,Month Wise_OCT,Month Wise_NOV,Month Wise_DEC'"
+    row = "concat(Name, ',', array_join(transform(sequence(1, 12), i -> if(i = MonthNum, '77', '0')), ','))"
+    copies = _extra_reports(clash, MAKER_TYPE, "Y_Maker_" + wide_csv.MONTHLY_MARKER + "z_Year_", ".csv", head, row)
+    _write_lines(copies, f"{landing}/copies")
     base = scratch_path(spark, "ingest")
     cfg = IngestConfig(
         landing_glob=f"{landing}/*/*/*.csv",
@@ -535,7 +598,6 @@ QUERIES: dict[str, Query] = {
     "insight_qoq": q_insight_qoq,
     "keep_positive": q_keep_positive,
     "drop_nulls": q_drop_nulls,
-    "guard_missing_cols": q_guard_missing_cols,
     "month_dates": q_month_dates,
     "unpivot_monthly": q_unpivot_monthly,
     "unpivot_annual": q_unpivot_annual,
@@ -549,6 +611,7 @@ QUERIES: dict[str, Query] = {
     "src_wide_csv": q_src_wide_csv,
     "src_file_meta": q_src_file_meta,
     "src_rejects": q_src_rejects,
+    "csv_sink": q_csv_sink,
     "union_all": q_union_all,
     "load_file_profile": q_load_file_profile,
     "load_store_profile": q_load_store_profile,
@@ -556,6 +619,8 @@ QUERIES: dict[str, Query] = {
     "store_dup_keys": q_store_dup_keys,
     "store_append_new": q_store_append_new,
     "store_unique_reports": q_store_unique_reports,
+    "store_inbatch_dup": q_store_inbatch_dup,
+    "store_infile_dup": q_store_infile_dup,
     "stream_ingest": q_stream_ingest,
     "entity_catalog": q_entity_catalog,
     "year_bounds": q_year_bounds,

@@ -10,6 +10,7 @@ Scale notes
   parallel file index lists, no file content is read. No path list reaches the driver.
 * The header table has one row per file and joins the lines on the file's path
   (broadcast by Spark's own size check; a hot file's lines are split by AQE).
+* Files of no bytes are not listed by Spark's sources; a file of blank lines is an empty report.
 * A line with more cells than its header refuses the whole report; a read error fails the job.
 * A report may be a single file or a Spark-written folder of part files: the
   report name is the path component that starts with ``Y_``.
@@ -333,7 +334,8 @@ def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CH
     (
         out.repartition("Report", "Chunk").sortWithinPartitions("Report", "Chunk", "Serial").select("Report", "Chunk", "line")
         .write.mode("append").partitionBy("Report", "Chunk")
-        .option("sep", "\u0001").option("quote", "\u0000").option("emptyValue", "").csv(out_dir)
+        .option("sep", "\u0001").option("quote", "\u0000")
+        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(out_dir)
     )
     return sorted(r[0] for r in reports.select("Report").collect())  # one name per report
 

@@ -43,7 +43,7 @@ def test_facts_scan_prunes_columns(spark):
     counts = facts.monthly_counts(spark, SF_SMALL)
     p = plan(counts)
     li = [line for line in p.splitlines() if "lineitem" in line and "FileScan" in line][0]
-    assert "ReadSchema: struct<l_partkey:bigint,l_shipdate:timestamp_ntz>" in li
+    assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_shipdate:timestamp_ntz>" in li
 
 
 def test_window_exchange_is_on_entity_key(spark):
@@ -72,3 +72,25 @@ def test_pre_aggregation_is_chosen_when_aqe_cannot_split_skew(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", before)
     assert off.count("HashAggregate") > on.count("HashAggregate")
+
+
+def test_a_selection_is_filtered_below_the_join(spark):
+    from cadence.plans.registry import QUERIES
+
+    p = plan(QUERIES["project_growth_view"](spark, SF_SMALL))
+    part = [x for x in p.splitlines() if "part.parquet" in x and "FileScan" in x][0]
+    line = [x for x in p.splitlines() if "lineitem.parquet" in x and "FileScan" in x][0]
+    assert "EqualTo(p_brand,Brand#1)" in part and "EqualTo(l_suppkey,3)" in line
+    assert "Expand" not in p  # the other kind is not computed
+    view = plan(QUERIES["growth_view_yoy"](spark, SF_SMALL))
+    assert "l_suppkey" not in view and "p_brand" not in view and "Expand" not in view
+
+
+def test_quarters_come_straight_from_the_counts(spark):
+    from cadence.plans.registry import QUERIES
+
+    p = plan(QUERIES["qoq_growth"](spark, SF_SMALL))
+    assert "counts-" not in p and p.count("Expand") <= 2  # the two kinds of the counts, no month columns
+    fs = facts.FactSet(spark, SF_SMALL)
+    dense = qoq_growth(fs.monthly().withColumn("Name", group_name("DataType", "Name", FILE_RULES)))
+    assert sorted(dense.collect()) == sorted(QUERIES["qoq_growth"](spark, SF_SMALL).collect())
