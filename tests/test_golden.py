@@ -117,7 +117,7 @@ def test_app_file_and_store_profiles(spark, tmp_dir, capsys):
     assert rows(rep.table, "Period", "GrowthText")[0] == ("2017", "3.94%")
     assert [r[0] for r in app.entity_choices(facts, CATEGORY_TYPE).collect()] == ["2W", "3W", "4W", "Other"]
     store_dir = f"{tmp_dir}/store"
-    assert app.build_store(spark, SAMPLE_DIR, store_dir).count() == 0
+    assert app.build_store(spark, SAMPLE_DIR, store_dir).rejects.count() == 0
     sfacts = app.load_store(spark, store_dir)
     assert (sfacts.annual.count(), sfacts.monthly.count()) == (406, 3574)
     srep = app.growth_report(sfacts, MAKER_TYPE, "qoq", "3EV INDUSTRIES PVT LTD", (2016, 2016))
