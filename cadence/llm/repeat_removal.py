@@ -42,9 +42,9 @@ LENGTH, GRAM = 200, 48
 #: Different regions of an anchor that one shard sorts; anchors with more are split.
 HOT = 4096
 #: Region bytes of one suffix array, about.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 #: Rows (of 16 to 32 bytes) that may be broadcast; more go through a shuffled join.
-_BROADCAST_ROWS = 2_000_000
+_BROADCAST_ROWS = 50_000
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
@@ -131,7 +131,7 @@ def repeated_windows(raws: list[bytes], several: np.ndarray, length: int) -> lis
     """For each region, which of its windows are repeated: by the suffix array of all regions, or as the region has ``several`` places."""
     sizes = np.array([len(r) for r in raws])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    t = np.frombuffer(b"".join(r + b"\0" for r in raws) + b"\0", np.uint8).astype(np.int64) + 2
+    t = np.frombuffer(b"".join(r + b"\0" for r in raws) + b"\0", np.uint8).astype(np.int32) + 2
     t[begin + sizes] = 1  # between regions
     t[-1] = 0
     sa = suffix_array(t, 258)

@@ -8,7 +8,9 @@ scans, L types by rising and S types by falling first symbol.
 
 A scan takes a symbol's bucket at a time: within a bucket, the part filled so far is one
 array operation, and what it adds to the same bucket is the next. Strings of
-very many different symbols (deep in the recursion) are scanned one by one.
+many different symbols are scanned one by one. The recursion ends where no
+name repeats, or most do not: a symbol that occurs once gives its suffix's
+place, and the few others are told apart by the places of the suffixes that follow.
 """
 
 from __future__ import annotations
@@ -94,35 +96,59 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.nda
 
 
 def _induce_singly(t: np.ndarray, s: np.ndarray, lms: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    n, text, kind = len(t), t.tolist(), s.tolist()
+    """The two scans one by one, over plain lists; a scan sees what it has put further on."""
+    n = len(t)
     sa, tail = [-1] * n, (end - 1).tolist()
-    for p in reversed(lms.tolist()):
-        c = text[p]
+    for p, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist(), strict=True):
         sa[tail[c]] = p
         tail[c] -= 1
-    seeds = [x for x in range(n) if sa[x] >= 0]
-    head = start.tolist()
-    for x in range(n):
-        p = sa[x] - 1
-        if p >= 0 and not kind[p]:
-            c = text[p]
-            sa[head[c]] = p
-            head[c] += 1
+    seeds = np.flatnonzero(np.array(sa) >= 0).tolist()
+    # symbol of the position before, where that is of the scan's type; the last entry answers for empty places
+    before = np.full(n + 1, -1, np.int64)
+    before[1:n] = np.where(s[:-1], -1, t[:-1])
+    sym, head = before.tolist(), start.tolist()
+    for p in sa:
+        c = sym[p]
+        if c >= 0:
+            h = head[c]
+            sa[h] = p - 1
+            head[c] = h + 1
     for x in seeds:
-        if kind[sa[x]]:
-            sa[x] = -1
-    sa[0] = n - 1
-    tail = (end - 1).tolist()
-    tail[text[-1]] -= 1
-    for x in range(n - 1, -1, -1):
-        p = sa[x] - 1
-        if p >= 0 and kind[p]:
-            c = text[p]
-            sa[tail[c]] = p
-            tail[c] -= 1
+        sa[x] = -1
+    sa[0] = n - 1  # the last symbol's suffix, alone in the first bucket
+    before[1:n] = np.where(s[:-1], t[:-1], -1)
+    sym, tail = before.tolist(), (end - 1).tolist()
+    for p in reversed(sa):
+        c = sym[p]
+        if c >= 0:
+            h = tail[c]
+            sa[h] = p - 1
+            tail[c] = h - 1
     return np.array(sa, np.int64)
 
 
+def _few_ties(t: np.ndarray, sigma: int) -> np.ndarray:
+    """Suffix array of a string in which most symbols occur once: ties are split by the ranks 1, 2, 4 ... symbols on."""
+    n = len(t)
+    count = np.bincount(t, minlength=sigma)
+    rank = (np.cumsum(count) - count)[t]
+    tied, h = np.flatnonzero(count[t] > 1), 1
+    while len(tied):
+        first = rank[tied]
+        second = np.where(tied + h < n, rank[np.minimum(tied + h, n - 1)], -1)
+        order = np.lexsort((second, first))
+        tied, first, second = tied[order], first[order], second[order]
+        group = np.concatenate([[True], first[1:] != first[:-1]])
+        part = group | np.concatenate([[True], second[1:] != second[:-1]])
+        at = np.arange(len(tied))
+        rank[tied] = first + np.maximum.accumulate(np.where(part, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        alone = part & np.append(part[1:], True)
+        tied, h = tied[~alone], 2 * h
+    sa = np.empty(n, np.int64)
+    sa[rank] = np.arange(n)
+    return sa
+
+
 def _equal(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Are the ``size`` symbols at a and at b the same, element by element."""
     same = np.ones(len(a), bool)
@@ -140,6 +166,8 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
+    if 2 * sigma > n:
+        return _few_ties(t, sigma)
     s = _types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     if len(lms) <= 1:
@@ -150,12 +178,13 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     place[lms] = np.arange(len(lms))
     rank = place[order]
     rank = rank[rank >= 0]  # LMS substrings in order
+    del order, place
     a, b = rank[:-1], rank[1:]
     # substrings that differ only in how far they run differ in length; of equal lengths and symbols the types agree too
     same = size[a] == size[b]
     same[same] = _equal(t, lms[a[same]], lms[b[same]], size[a[same]])
     name = np.concatenate([[0], np.cumsum(~same)])
-    names = np.empty(len(lms), np.int64)
+    names = np.empty(len(lms), np.int32)
     names[rank] = name
     if name[-1] + 1 < len(lms):
         rank = suffix_array(names, int(name[-1]) + 1)
