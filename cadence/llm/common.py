@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cadence.session import materialize, scratch_path, ship_package
 
 __all__ = [
-    "Text", "doc_slices", "has_column", "materialize", "pick", "scratch_path", "ship_package", "table", "text_slices",
+    "Text", "doc_slices", "few", "materialize", "pick", "scratch_path", "ship_package", "table", "text_slices",
 ]
 
 #: ASCII white space of the contracts: space, tab, \n, \v, \f, \r.
@@ -26,8 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def has_column(df: DataFrame, name: str) -> bool:
-    return name in df.columns
+#: Rows of one or two numbers (a few dozen MB as a hash table) that may be broadcast; more go through a shuffled join.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, of one or two numbers a row, marked for broadcast when its checked number of rows (or a bound on it) allows."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def pick(df: DataFrame, name: str) -> Column:

@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every round is joins and minimum aggregates on the edge table, written to the
-shared folder; the number of rounds grows with the logarithm of the longest
+shared folder (a side of few rows, by the known count, is broadcast); the number of rounds grows with the logarithm of the longest
 path. Nothing of the graph reaches the driver but a count and a checksum.
 """
 
@@ -10,36 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import few, materialize
 
 
-def _both(e: DataFrame) -> DataFrame:
-    return e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-
-
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, n: int) -> DataFrame:
     """Greater neighbours of each node move to its least neighbour (or itself)."""
-    n = _both(e)
-    least = n.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return n.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    ends = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return ends.filter("v > u").join(few(least, 2 * n), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, n: int) -> DataFrame:
     """Lesser neighbours of each node, and the node, move to the least of them."""
     down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = down.join(few(least, n), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(id, root)`` for every node of ``edges (a, b)``; root is the least id of the component."""
     e = materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    seen = None
-    while True:
-        e = materialize(_small(_large(e)), "stars")
+    n, seen = e.count(), None
+    while n:
+        e = materialize(_small(_large(e, n), n), "stars")
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
-        seen = tuple(state)
-    return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
+        n, seen = state[0], tuple(state)
+    return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

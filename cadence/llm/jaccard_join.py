@@ -2,9 +2,10 @@
 
 1. A document's set: 64-bit hashes of its distinct k-word shingles. Documents
    with equal sets (same 64-bit set digest) count once from here on.
-2. Linked sets share a token among their first ``n - ceil(t n) + 1`` tokens in
-   any one global order. The order puts tokens that a corpus-wide sketch of
-   counts calls frequent last, ties by hash. Sets that share such a token form a shard.
+2. In any one global order, linked sets have at least ``c`` tokens in common among
+   their first ``n - ceil(t n) + c`` ones; c is 1 + n / 50, the lesser of the two sets'. The order
+   puts tokens that a corpus-wide sketch of counts calls frequent last, ties by hash. Sets
+   that share such a token form a shard; a set with fewer than c tokens in shards links with none.
 3. Near copies first: within a shard and size band every set is compared with
    the shard's least set; exact links found so join sets to groups.
 4. Signature trees for the rest: each shard that still spans several groups is
@@ -33,20 +34,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import LOWER, RangeHash, Words, mix, window_hash
-from .common import Text, doc_slices, materialize, pick, ship_package
+from .common import Text, doc_slices, few, materialize, pick, ship_package
 from .components import components
 from .stream_dedup import file_backed, located
 
-#: Counters of the frequency sketch (2**_SKETCH) and of one of its rows in a shuffle.
-_SKETCH, _CHUNK = 20, 1 << 14
+#: Counters of the frequency sketch (2**_SKETCH, a byte each: 32 MB) and of one of its rows in a shuffle. Counts end at
+#: 255. The sketch orders tokens only; the more tokens a counter stands for, the more sets meet by chance.
+_SKETCH, _CHUNK = 25, 1 << 14
 #: Bits of a set's token bitmap.
-_BITS = 1024
+_BITS = 2048
 #: Sets of one shard that one task compares; larger shards are dealt in block pairs.
 BLOCK = 2048
+#: A set of n elements needs 1 + n // _EACH common tokens among its first ones; higher counts drop more chance meetings.
+_EACH = 50
+#: Times that sets with too few shared tokens are dropped, and shards left with one set after them.
+_PEELS = 1
+#: Rounds that compare near copies with the first of their shard before all others are.
+_ROUNDS = 2
 #: Children of a tree node.
 _FAN = 8
-#: Rows whose locators may be broadcast (16 bytes each); more go through a shuffled join.
-_BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(t: Text, k: int) -> list[np.ndarray]:
@@ -68,8 +74,8 @@ def shingle_sets(t: Text, k: int) -> list[np.ndarray]:
 
 def set_digest(s: np.ndarray) -> int:
     """64-bit digest of a set, as a signed number."""
-    total = mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64) + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+    total = mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total ^ mix(np.array([len(s) + 1], np.uint64))).view(np.int64)[0])
 
 
 def _cell(s: np.ndarray) -> np.ndarray:
@@ -92,54 +98,57 @@ def _read(rows: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "loc", "n", "sid", "chunk", "counts"]
-        sketch = np.zeros(1 << _SKETCH, np.uint32)
+        sketch = np.zeros(1 << _SKETCH, np.uint8)
         for part, t in doc_slices(batches, "t"):
             sets = shingle_sets(t, k)
             cells = [_cell(s) for s in sets]
-            sketch += np.bincount(np.concatenate(cells), minlength=1 << _SKETCH).astype(np.uint32)
+            cell, seen = np.unique(np.concatenate(cells), return_counts=True)
+            sketch[cell] = np.minimum(sketch[cell] + seen, 255)
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"], part["loc"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64()),
                  pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names,
             )
         if sketch.any():
             parts = sketch.reshape(-1, _CHUNK)
-            n = len(parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64())] * 4 + [pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names
-            )
+            for at in range(0, len(parts), 64):
+                some = [p.tobytes() for p in parts[at : at + 64]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(some), pa.int64())] * 4 + [pa.array(range(at, at + len(some)), pa.int32()), pa.array(some, pa.binary())], names=names
+                )
 
     return rows.mapInArrow(run, "doc_id long, loc long, n long, sid long, chunk int, counts binary")
 
 
 def _levels(seen: DataFrame) -> np.ndarray:
-    """Frequency level of each sketch cell (a fixed number of bytes, whatever the corpus): 8 steps a doubling above the mean."""
+    """Counts of all sketch cells (a fixed number of bytes, whatever the corpus)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for c, raw in zip(b["chunk"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                sums[c] = sums.get(c, 0) + np.frombuffer(raw, np.uint32).astype(np.float64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+            for c, raw in zip(b["chunk"].to_pylist(), b["counts"], strict=True):
+                sums[c] = sums.get(c, 0) + np.frombuffer(raw.as_buffer(), np.uint8).astype(np.uint32)
+        for c, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "counts"])
 
-    parts = seen.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    total = np.zeros((1 << _SKETCH) // _CHUNK * _CHUNK).reshape(-1, _CHUNK)
-    for r in parts:
-        total[r.chunk] = np.frombuffer(r.counts, np.float64)
-    total = total.ravel()
-    return np.minimum(8 * np.log2(1 + total / max(total.mean(), 1e-9)), 255).astype(np.uint8)
+    level = np.zeros(1 << _SKETCH, np.uint8)
+    parts = seen.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
+    for r in parts.toLocalIterator():
+        level[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint8)
+    return level
 
 
-def _prefixes(rows: DataFrame, k: int, level: np.ndarray, num: int, den: int) -> DataFrame:
+def _prefixes(rows: DataFrame, k: int, counts: np.ndarray, num: int, den: int) -> DataFrame:
     """Second pass: ``token, sid, n`` for the prefix tokens of every set."""
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = shared.value
         for _, t in doc_slices(batches, "t"):
             tokens, sids, sizes = [], [], []
             for s in shingle_sets(t, k):
                 n = len(s)
                 if n:
-                    head = s[np.argsort(level[_cell(s)], kind="stable")[: n - (-(-num * n // den)) + 1]]
+                    head = s[np.argsort(level[_cell(s)], kind="stable")[: n - (-(-num * n // den)) + 1 + n // _EACH]]
                     tokens.append(head)
                     sids.append(np.full(len(head), set_digest(s)))
                     sizes.append(np.full(len(head), n))
@@ -284,6 +293,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows whose token two sets or more have; the sets of a hot token meet as one row a task."""
+    tokens = rows.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("token")
+    return rows.join(few(materialize(tokens, "jaccard-tokens")), "token")
+
+
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """``(rows, edges)``: ``doc_id, loc, n, sid`` of every row, and linked set pairs ``a, b`` that give the same components as all links."""
     ship_package(docs.sparkSession)
@@ -296,27 +311,37 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     seen = seen.filter("chunk IS NULL").drop("chunk", "counts")
 
     heads = materialize(_prefixes(rows, k, level, num, den), "jaccard-prefixes")
-    # tokens of two sets or more; sums of a hot token meet as one row a task
-    shared = heads.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("token")
-    shared = materialize(heads.join(shared, "token").distinct(), "jaccard-shards")
+    shared = materialize(_several(heads).distinct(), "jaccard-shards")
+    for _ in range(_PEELS):
+        enough = shared.groupBy("sid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("m")).filter(f"c >= 1 + m DIV {_EACH}").select("sid")
+        enough = materialize(enough, "jaccard-enough")
+        shared = materialize(_several(shared.join(few(enough), "sid")), "jaccard-shards")
 
-    reps = seen.groupBy("sid").agg(F.min("loc").alias("loc")).join(shared.select("sid").distinct(), "sid", "left_semi").select("loc")
-    reps = materialize(reps, "jaccard-reps")
-    few = F.broadcast(reps) if reps.count() <= _BROADCAST_ROWS else reps
-    sets = materialize(_candidates(rows.join(few, "loc", "left_semi"), k), "jaccard-sets")
+    reps = seen.groupBy("sid").agg(F.min("loc").alias("loc")).join(few(materialize(shared.select("sid").distinct(), "jaccard-sids")), "sid", "left_semi")
+    near_reps = few(materialize(reps.select("loc"), "jaccard-reps"))
+    sets = materialize(_candidates(rows.join(near_reps, "loc", "left_semi"), k), "jaccard-sets")
 
-    # near copies: each set with the least one of its shard and size band, the most promising of them
+    # near copies: each set with the first one, in a seeded order, of its shard and size band; the most promising of them
     signs = sets.select("sid", "bits")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.08)))
-    banded = shared.withColumn("band", band)
-    first = banded.groupBy("token", "band").agg(F.min("sid").alias("b"))
-    star = banded.join(first, ["token", "band"]).filter("sid <> b").groupBy(F.col("sid").alias("a"), "b").agg(F.count(F.lit(1)).alias("votes"))
-    best = star.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    near = materialize(_verified(best, sets, num, den), "jaccard-near")
-    group = materialize(components(near), "jaccard-groups")
+    banded = shared.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.08))))
+    near = rooted = None
+    for seed in range(_ROUNDS):
+        first = banded.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("sid", F.lit(seed)).alias("h"), F.col("sid"))).alias("f"))
+        first = first.select("token", "band", F.col("f.sid").alias("b"))
+        star = banded.join(first, ["token", "band"]).filter("sid <> b").groupBy(F.col("sid").alias("a"), "b").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
+        star = star.filter(f"votes > n DIV {2 * _EACH}")
+        if rooted is not None:  # groups that have met need no more links
+            ends = {c: group.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"}
+            star = star.join(few(ends["a"], count), "a", "left").join(few(ends["b"], count), "b", "left")
+            star = star.filter("coalesce(ra, a) <> coalesce(rb, b)")
+        best = star.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        found = materialize(_verified(best, sets, num, den), "jaccard-near")
+        near = found if near is None else near.unionByName(found)
+        group = materialize(components(near), "jaccard-groups")
+        count = group.count()
+        rooted = shared.join(few(group.withColumnRenamed("id", "sid"), count), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
     # signature trees over shards that span several groups
-    rooted = shared.join(group.select(F.col("id").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rooted = materialize(rooted, "jaccard-rooted")
     wide = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")

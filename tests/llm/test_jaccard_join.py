@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from cadence.llm import jaccard_join
+from cadence.llm import common, jaccard_join
 from cadence.llm.common import table
 from cadence.llm.components import components
 
@@ -91,7 +91,7 @@ def test_chains_near_the_threshold_and_hot_passages(spark, monkeypatch):
     want = brute(rows)
     assert got(jaccard_join.report(docs)) == want
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
-    monkeypatch.setattr(jaccard_join, "_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert got(jaccard_join.report(docs)) == want
     one = jaccard_join.one_each(docs)
     assert sorted(r.doc_id for r in one.collect()) == sorted({w[2] for w in want})
