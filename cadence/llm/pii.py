@@ -189,8 +189,13 @@ def homoglyphs(c: Copy) -> Copy:
     return c.rewritten(edits)
 
 
+def _low(word: str) -> str:
+    """Lower case as the patterns compare it: a dotted capital I is one i."""
+    return word.replace("İ", "i").lower()
+
+
 def bracketed(c: Copy) -> Copy:
-    return c.rewritten([(*m.span(), SIGN_WORDS[m[1].lower()] if m[1] else m[2]) for m in BRACKETED.finditer(c.text)])
+    return c.rewritten([(*m.span(), SIGN_WORDS[_low(m[1])] if m[1] else m[2]) for m in BRACKETED.finditer(c.text)])
 
 
 def spaced(c: Copy) -> Copy:
@@ -199,7 +204,7 @@ def spaced(c: Copy) -> Copy:
     for m in SPACED.finditer(c.text):
         for g in (1, 2, 3):
             for w in re.finditer(r"[ \t]*(?:[ \t](dot|punto|point|punkt|at|arroba|arobase)[ \t]|([@.]))[ \t]*", m[g], re.I):
-                edits.append((m.start(g) + w.start(), m.start(g) + w.end(), SIGN_WORDS[w[1].lower()] if w[1] else w[2]))
+                edits.append((m.start(g) + w.start(), m.start(g) + w.end(), SIGN_WORDS[_low(w[1])] if w[1] else w[2]))
     return c.rewritten(edits)
 
 
@@ -222,7 +227,7 @@ def spelled(c: Copy) -> Copy:
         for p in _SPELLED_PART.finditer(body):
             a, b = m.start() + p.start(), m.start() + p.end()
             if p[1]:
-                edits.append((a, b, DIGIT_WORDS[p[1].lower()]))
+                edits.append((a, b, DIGIT_WORDS[_low(p[1])]))
             elif p[2] or p[3] or p[4]:
                 edits.append((a, b, "." if p[2] else "-" if p[3] else "+"))
             elif p[6]:
@@ -230,20 +235,17 @@ def spelled(c: Copy) -> Copy:
     return c.rewritten(edits)
 
 
-#: Characters beyond the letters of western European languages.
-_STRANGE = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿŒœ¡¿«»ªº]")
-_AT_HOST = re.compile(rf" (?:{_AT}|@)[ \t]+[a-z0-9-]+(?:\.[a-z0-9-]|[ \t]+(?:{_DOT})[ \t])")
-_DIGIT_TOKENS = {a + w + b for w in DIGIT_WORDS for a in ("", "(") for b in ("", ",", ".", ")")}
+#: Characters beyond the letters of western European languages (ª and º count: they stand for a and o).
+_STRANGE = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿŒœ¡¿«»]")
+#: What every rewriting by ``spaced`` or ``dotted`` needs: a spelled dot or an @ next to white space, or `at` before a host.
+_SIGNS = re.compile(rf"[ \t](?:(?:{_DOT})[ \t]|@|(?:{_AT})[ \t]+{_LABEL}+(?:\.{_LABEL}|[ \t]+(?:{_DOT})[ \t]))|@[ \t]", re.I)
 
 
 def hints(t: str) -> tuple[bool, bool, bool]:
-    """May the text hold odd characters, disguised signs, spelled digits? Cheap, and never wrong when it says no."""
-    low = t.lower()
+    """May the text hold odd characters, disguised signs, spelled digits? Each is a condition that its rewriting cannot do without."""
     signs = "[" in t or "(" in t or "{" in t or "<" in t
-    signs = bool(signs and BRACKETED.search(t)) or any(f" {w}" in low for w in _DOT.split("|")) or " @" in t or "@ " in t or "@\t" in t
-    signs = signs or bool(_AT_HOST.search(low))
-    words = (low.replace("-", " ") if "-" in low else low).split()
-    return bool(_STRANGE.search(t)), signs, not _DIGIT_TOKENS.isdisjoint(words) and sum(w in _DIGIT_TOKENS for w in words) > 1
+    signs = bool(signs and BRACKETED.search(t)) or bool(_SIGNS.search(t))
+    return bool(_STRANGE.search(t)), signs, bool(_ANY_WORD.search(t))
 
 
 def disguised(t: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:

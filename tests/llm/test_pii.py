@@ -90,3 +90,41 @@ def test_defined_cases(spark):
     got = sorted((r.doc_id or 0, r.n_email, r.spans) for r in pii.report(docs).collect())
     assert got == [(0, 0, ""), (1, 0, ""), (2, 1, "email:0:6"), (2, 1, "email:0:6")]
     assert pii.report(docs.limit(0)).count() == 0
+
+
+MISSED = [
+    ("card", "4111 1111 1111 111 one"), ("phone", "+1 415 555 01 five 2"), ("card", "four," + "one," * 14 + "one"),
+    ("email", "john\tat\texample\tdot\tcom"), ("email", "john\t@example.com"), ("ip", "192\tdot\t168\tdot\t0\tdot\t12"), ("email", "jºhn@example.com"),
+]
+
+
+@pytest.mark.parametrize("kind,text", MISSED)
+def test_one_spelled_digit_and_tabs_are_found(kind, text):
+    for left, right in (("", ""), ("Nr: ", "\nOf the")):
+        t = left + text + right
+        assert (len(left), len(left) + len(text)) in pii.disguised(t, pii.detect(t))[kind], t
+
+
+def test_hints_lose_nothing(monkeypatch):
+    rng = random.Random(12)
+    bits = ["john", "example", "com", "a.b", "at", "AT", "arroba", "dot", "Punto", "point", "poİnt", "plus", "dash", "@", ".", "+", "-", "_", ",", "(at)", "[.]", "{ dot }", "<@>", "(", ")",
+            " ", " ", " ", "\t", "\t", "  ", "\n", "one", "Four", "nİne", "sıx", "ſix", "zéro", "FÜNF", "un", "none", "oneself", "4111", "1111", "192", "168", "0", "7", "555", "º", "ª", "é", "о", "１", "​", "．", "·"]
+    whole = ["john at example dot com", "192 dot 168 dot 0 dot 1", "4111 1111 1111 111 one", "+1 415 555 01 five 2", "four,one,one,one,one,one,one,one,one,one,one,one,one,one,one,one", "a@b.cd"]
+    texts = []
+    for _ in range(20_000):
+        texts.append("".join(rng.choice(bits) for _ in range(rng.randrange(30))))
+        w = rng.choice(whole)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(w))
+            w = w[:k] + rng.choice(bits) + w[k + rng.randrange(2) :]
+        texts.append(w.replace(" ", rng.choice([" ", "\t", "  "])))
+    got = [pii.disguised(t, pii.detect(t)) for t in texts]
+    monkeypatch.setattr(pii, "hints", lambda t: (True, True, True))
+    found = 0
+    for t, g in zip(texts, got, strict=True):
+        assert g == pii.disguised(t, pii.detect(t)), t
+        found += sum(map(len, g.values()))
+    assert found > 2000
+    for c in map(chr, range(0x110000)):  # characters that are not strange stay as they are
+        if c >= "\x80" and not pii._STRANGE.search(c):
+            assert pii.homoglyphs(pii.Copy(c, [0], [1])).text == c
