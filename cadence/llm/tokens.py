@@ -6,7 +6,11 @@ the ids of the whole text are those of its parts end to end. Parts repeat, so
 each part is encoded once per worker and kept (``KEEP`` parts at most, then the
 table starts anew). New parts of a batch of texts are encoded together, as one
 text, and told apart by the tokens that open with a space. Texts with other
-runs of white space at such a cut are encoded whole.
+runs of white space at such a cut, or with the string of a token that the
+tokenizer's file adds, are encoded whole.
+
+``encoder`` gives the library's own ids: the string of a special token in a
+text becomes that token.
 """
 
 from __future__ import annotations
@@ -31,14 +35,15 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, *, special_as_text: bool = True):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = special_as_text  # are their strings in a text ordinary text?
+        self.added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
         opens = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         for piece, i in self.tok.get_vocab().items():
             opens[i] = piece.startswith("Ġ")  # how the byte-level alphabet writes a space
@@ -71,7 +76,7 @@ class Encoder:
         whole = []
         inner = self.inner
         for i, t in enumerate(texts):
-            if _NOT_PLAIN.search(t) or t.startswith(" ") or t.endswith(" "):
+            if _NOT_PLAIN.search(t) or t.startswith(" ") or t.endswith(" ") or any(x in t for x in self.added):
                 cut.append(None)
                 whole.append(i)
                 continue
@@ -98,7 +103,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder for a tokenizer file."""
+    """This worker's encoder for a tokenizer file, with the ids that the library gives unless told otherwise."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, special_as_text=False)
     return _ENCODERS[path]

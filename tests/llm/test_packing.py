@@ -8,9 +8,9 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
-from cadence.llm import packing
-from cadence.llm.common import table
-from cadence.llm.tokens import Encoder, default_tokenizer
+from cadence.llm import id_files, packing
+from cadence.llm.common import scratch_path, table
+from cadence.llm.tokens import Encoder, default_tokenizer, encoder
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", " ", "a ", " a", "a  b", "a \n b", "a\n b", "a \nb", "don't 's x's ' s", "a\xa0b c", "x 　 y", "<|endoftext|> a",
@@ -89,3 +89,18 @@ def test_pack_defined_cases(spark):
     check(got, expect, 64)
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_special_tokens_are_the_librarys(spark):
+    t, texts = Tokenizer.from_file(default_tokenizer()), [*ODD, "a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|><|endoftext|> y  z", "a <|endof text|> b"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert 50256 in want[-4]
+    e = encoder(default_tokenizer())
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(packing.pack(docs).collect(), {i: [ids + [0]] for i, ids in enumerate(want)}, 1024)
+    path = scratch_path(spark, "ids-special")
+    id_files.write_ids(docs, path)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in id_files.read_ids(spark, path).collect()}
+    assert got == {i: (len(ids) + 1, zlib.crc32(np.array(ids + [0], "<u4").tobytes())) for i, ids in enumerate(want)}
