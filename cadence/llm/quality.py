@@ -4,7 +4,8 @@ Statistics of whole texts come from vectorised passes over Arrow batches. The
 base rules fail texts of under 20 words or with over 30 % of words in repeated
 8-word windows. Rows with a quality label teach monotone boosted trees; the
 sample is bounded (``sample``: the labelled rows with the smallest hash of the
-identifier). A document is kept when it passes the base rules and scores 0.5 or more.
+identifier; of an identifier's several rows the one with the smallest features
+teaches, so one identifier counts once). A document is kept when it passes the base rules and scores 0.5 or more.
 
 Defined cases: a null text has no words and fails the base rules; unlabelled
 or contradictory labels (the smaller counts) are no error; without labels, or
@@ -114,8 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             )
 
     schema = "doc_id long, y int, " + ", ".join(f"{f} double" for f in FEATURES)
-    got = rows.mapInArrow(measure, schema).toPandas().sort_values(["doc_id", *FEATURES], kind="stable")
-    got = got.iloc[: 2 * sample]  # repeated identifiers cannot grow the sample without bound
+    # one row of each identifier, chosen before the rows leave the executors: at most `sample` reach the driver
+    one = rows.mapInArrow(measure, schema).groupBy("doc_id").agg(F.min(F.struct("y", *FEATURES)).alias("r"))
+    got = one.select("doc_id", "r.*").toPandas().sort_values("doc_id", kind="stable")
     return train(got[list(FEATURES)].to_numpy(float), (got["y"] > 0).to_numpy(float), list(FEATURES.values()))
 
 

@@ -84,3 +84,22 @@ def test_defined_cases(spark):
     assert quality.kept_documents(docs, odd).count() == 0
     assert quality.kept_documents(docs, odd).columns == docs.columns
     assert quality.report(docs.limit(0), odd).count() == 0
+
+
+def test_repeated_identifiers_teach_once(spark):
+    rng = random.Random(8)
+    good = [" ".join(rng.choice("the of and a in to it is was for".split()) + "," for _ in range(60)) for _ in range(40)]
+    junk = ["| # " * 5 + " ".join(rng.choice("AB CD EF GH !!".split()) for _ in range(60)) for _ in range(40)]
+    once = [(i, x) for i, x in enumerate([*good, *junk])]
+    labels = spark.createDataFrame([(i, int(i < 40), 0) for i, _ in once], "doc_id long, quality int, toxic int")
+    grid = np.random.default_rng(1).random((300, len(quality.FEATURES))) * 4
+    want = quality.fit(spark.createDataFrame(once, "doc_id long, text string"), labels, sample=80)
+    assert len(want.root) and len(set(want.score(grid))) > 1
+    hot = [once[0]] * 400  # one identifier with most rows
+    three = once * 3  # three copies of each row
+    odd = [(0, "| # " + "ZZ !! " * 40)] * 3  # other texts under the same identifier: one of them teaches, whatever the order
+    for rows in (once + hot, three):
+        got = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample=80)
+        assert (got.score(grid) == want.score(grid)).all()
+    a, b = (quality.fit(spark.createDataFrame(x, "doc_id long, text string"), labels, sample=80).score(grid) for x in (once + odd, odd + once[::-1]))
+    assert (a == b).all()
