@@ -5,7 +5,7 @@
 2. In any one global order, linked sets have at least ``c`` tokens in common among
    their first ``n - ceil(t n) + c`` ones; c is 1 + n / 50, the lesser of the two sets'. The order
    puts tokens that a corpus-wide sketch of counts calls frequent last, ties by hash. Sets
-   that share such a token form a shard; a set with fewer than c tokens in shards links with none.
+   that share such a token form a shard; a set with fewer tokens in shards than the c of the smallest set it may link to links with none.
 3. Near copies first: within a shard and size band every set is compared with
    the shard's least set; exact links found so join sets to groups.
 4. Signature trees for the rest: each shard that still spans several groups is
@@ -45,7 +45,7 @@ _SKETCH, _CHUNK = 25, 1 << 14
 _BITS = 2048
 #: Sets of one shard that one task compares; larger shards are dealt in block pairs.
 BLOCK = 2048
-#: A set of n elements needs 1 + n // _EACH common tokens among its first ones; higher counts drop more chance meetings.
+#: Two linked sets, the smaller of n elements, have 1 + n // _EACH common tokens among their first ones; higher counts drop more chance meetings.
 _EACH = 50
 #: Times that sets with too few shared tokens are dropped, and shards left with one set after them.
 _PEELS = 1
@@ -312,8 +312,9 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
 
     heads = materialize(_prefixes(rows, k, level, num, den), "jaccard-prefixes")
     shared = materialize(_several(heads).distinct(), "jaccard-shards")
+    least = f"({num} * m + {den - 1}) DIV {den}"  # the smallest set that may link to one of m elements; its count is what a link promises
     for _ in range(_PEELS):
-        enough = shared.groupBy("sid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("m")).filter(f"c >= 1 + m DIV {_EACH}").select("sid")
+        enough = shared.groupBy("sid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("m")).filter(f"c >= 1 + ({least}) DIV {_EACH}").select("sid")
         enough = materialize(enough, "jaccard-enough")
         shared = materialize(_several(shared.join(few(enough), "sid")), "jaccard-shards")
 

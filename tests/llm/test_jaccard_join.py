@@ -134,3 +134,17 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 199), (199, 200)]
     got_ = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got_ == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 199: 199, 200: 199}
+
+
+def test_sets_inside_others_at_other_thresholds(spark):
+    rng = random.Random(21)
+    rows = []
+    for x in range(12):  # a text and its beginning: sets of 100 and 99, and of other sizes next to a multiple of 50
+        w = [f"w{x}x{i}" for i in range(400)]
+        for n in (103, 102) if x < 6 else (rng.randrange(49, 56) + 100, rng.randrange(49, 56) + 100):
+            rows.append((len(rows), " ".join(w[:n])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for num, den in ((99, 100), (1, 50)):
+        want = brute(rows, num, den)
+        assert len({w[2] for w in want}) < len(want) - 5
+        assert got(jaccard_join.report(docs, num=num, den=den)) == want
