@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from .common import pick
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
-#: Parent domains of a host that are looked up, at most (a host name has at most 127 labels).
-_LABELS = 127
 
 
 def host_of(url: Column) -> Column:
@@ -36,11 +34,9 @@ def host_of(url: Column) -> Column:
 
 
 def suffixes(host: Column) -> Column:
-    """A host and its parent domains, longest first."""
+    """A host and all its parent domains, longest first."""
     labels = F.split(host, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.least(F.size(labels), F.lit(_LABELS))), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels)))
-    )
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
 
 
 def intervals(entries: DataFrame) -> DataFrame:

@@ -125,3 +125,11 @@ def test_no_python_in_the_plans(spark):
     for df in (url_lists.report(table(spark, SF, "pages")), mixing.report(table(spark, SF, "documents"))):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hosts_of_many_labels_meet_their_parents_block(spark):
+    long = "a." * 300 + "bad.com"
+    cdf = spark.createDataFrame([(1, f"http://{long}/x", dt.datetime(2024, 2, 1)), (2, "http://bad.com.au/", dt.datetime(2024, 2, 1))], "id long, url string, fetched timestamp_ntz")
+    edf = spark.createDataFrame([("bad.com", "block", dt.datetime(2024, 1, 1))], "pattern string, action string, since timestamp_ntz")
+    assert {r.id: r["__pattern"] for r in url_lists.verdicts(cdf, edf).collect()} == {1: "bad.com", 2: None}
+    assert [r.id for r in url_lists.allowed(cdf, edf).collect()] == [2]
