@@ -1,0 +1,101 @@
+"""Whitening: bit-sliced sums against plain integer products, the report against a float64 model, defined cases."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import types as T
+
+from cadence.llm import whitening
+from cadence.llm.common import table
+
+VEC = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+
+@pytest.mark.parametrize("rows,dims,low,high", [(1, 1, 0, 1), (5, 3, -4, 9), (64, 4, 0, 2), (200, 7, 99_000, 101_000), (130, 3, -(2**61), 2**61)])
+def test_scatter_is_exact(rows, dims, low, high):
+    x = np.random.Generator(np.random.PCG64(rows)).integers(low, high, (rows, dims))
+    s, c = whitening.scatter(x)
+    wide = x.astype(object)
+    assert s.tolist() == wide.sum(axis=0).tolist()
+    assert c.tolist() == (wide.T @ wide).tolist()
+
+
+def test_integers():
+    c = np.array([0.0, -0.0, 1 / 1024, -1 / 2048, 0.5, 1e308, -1e308])
+    top = 2**62 + 100_000
+    assert whitening.integers(c).tolist() == [100_000, 100_000, 100_001, 99_999, 100_512, top, 100_000 - 2**62]
+
+
+def plain(rows, k=8):
+    """The contract on Python integers and one eigh."""
+    kept = [(i, v) for i, v in rows if v is not None and all(e is not None and math.isfinite(e) for e in v)]
+    x = [[math.floor(1024 * e) + 100_000 for e in v] for _, v in kept]
+    n, d = len(x), len(x[0])
+    s = [sum(r[j] for r in x) for j in range(d)]
+    off = [[n * r[j] - s[j] for j in range(d)] for r in x]
+    cov = np.array([[sum(r[i] * r[j] for r in off) / n**3 for j in range(d)] for i in range(d)])
+    e, q = np.linalg.eigh(cov)
+    e, q = e[::-1][:k], q[:, ::-1][:, :k]
+    w = np.array(off, float) / n @ q / np.sqrt(e)
+    return kept, n, [sum(v * v for v in r) for r in off], w, e / np.trace(cov)
+
+
+def test_whole_table(spark):
+    df = table(spark, "/root/testdata/sf0.001", "embeddings")
+    kept, n, deviation, w, explained = plain([(r.vec_id, list(r.embedding)) for r in df.collect()])
+    place = {i: p for p, (i, _) in enumerate(kept)}
+    got = whitening.report(df).collect()
+    assert len(got) == 8 * len(kept) and {r.n for r in got} == {n}
+    flip = {}
+    for r in got:
+        p, c = place[r.vec_id], r.component - 1
+        assert r.deviation == deviation[p] == int(r.deviation_exact)
+        sign = flip.setdefault(c, np.sign(r.whitened * w[p, c]))
+        assert abs(r.whitened - sign * w[p, c]) < 1e-8
+        assert abs(r.explained / explained[c] - 1) < 1e-9
+    assert len({r.identity_error for r in got}) == 1 and got[0].identity_error < 1e-8
+
+
+def test_defined_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    good = [(1, [0.5, 0.25]), (1, [0.5, 0.25]), (None, [-0.5, 0.125]), (4, [0.0, 0.75])]
+    bad = [(5, None), (6, []), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, [1.0]), (11, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(good + bad, VEC).selectExpr("*", "1 AS n", "'x' AS whitened", "2 AS `c`", "0 AS id")
+    got = whitening.report(df).collect()
+    _, n, deviation, w, _ = plain(good)
+    assert n == 4 and len(got) == 2 * n and sorted({r.deviation for r in got}) == sorted(set(deviation))
+    assert sorted(str(r.vec_id) for r in got) == sorted(["1", "1", "None", "4"] * 2)
+    assert got[0].identity_error < 1e-8
+    for c in (1, 2):
+        assert np.allclose(sorted(abs(r.whitened) for r in got if r.component == c), sorted(np.abs(w[:, c - 1])), atol=1e-9)
+
+
+def test_no_rows_one_row_and_no_variance(spark):
+    assert whitening.report(spark.createDataFrame([], VEC)).collect() == []
+    assert whitening.report(spark.createDataFrame([(1, None), (2, [])], VEC)).collect() == []
+    got = whitening.report(spark.createDataFrame([(1, [1.0, 2.0])], VEC)).collect()
+    assert [(r.n, r.deviation, r.whitened, r.identity_error, r.explained) for r in got] == [(1, 0, None, None, None)] * 2
+    flat = whitening.report(spark.createDataFrame([(i, [float(i), 7.0]) for i in range(6)], VEC)).collect()
+    assert {r.whitened is None for r in flat if r.component == 2} == {True}
+    assert {r.whitened is None for r in flat if r.component == 1} == {False} and flat[0].identity_error < 1e-8
+
+
+def test_wide_values(spark):
+    """Values whose squares leave 64 bits: the exact column keeps them, the long is null."""
+    rows = [(i, [1e9 * i, -3e9 * (i % 3)]) for i in range(7)]
+    got = whitening.report(spark.createDataFrame(rows, VEC)).collect()
+    _, _, deviation, w, _ = plain([(i, [float(np.float32(e)) for e in v]) for i, v in rows])
+    assert {r.deviation for r in got if deviation[r.vec_id] >= 2**63} == {None}
+    assert all(int(r.deviation_exact) == deviation[r.vec_id] for r in got)
+    assert all(abs(abs(r.whitened) - abs(w[r.vec_id, r.component - 1])) < 1e-8 for r in got)
+
+
+def test_fit_and_transform(spark):
+    df = table(spark, "/root/testdata/sf0.001", "embeddings")
+    m = whitening.fit(df.where("vec_id < 300"), k=3)
+    wide = whitening.transform(df, m)
+    assert wide.count() == df.count() and len(wide.first().w) == 3
+    assert whitening.identity_error(whitening.transform(df.where("vec_id < 300"), m), m) < 1e-8
