@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_files, jaccard_join, lang_id, mixing, packing, pii, quality, repeat_removal, stream_dedup, url_lists, whitening
+from . import id_files, jaccard_join, lang_id, mixing, packing, pii, quality, repeat_removal, simhash, stream_dedup, url_lists, whitening
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op8_repeat_removal": op8_repeat_removal,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
+    "op11_simhash": op11_simhash,
     "op12_whitening": op12_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
