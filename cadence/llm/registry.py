@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_files, jaccard_join, lang_id, mixing, packing, pii, quality, repeat_removal, simhash, stream_dedup, url_lists, whitening
+from . import hard_negatives, id_files, jaccard_join, lang_id, mixing, packing, pii, quality, repeat_removal, simhash, stream_dedup, url_lists, whitening
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_id_codec": op1_id_codec,
     "op2_pii_deobfuscation": op2_pii_deobfuscation,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
     "op11_simhash": op11_simhash,
     "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_stream_dedup": stream_dedup.ORACLE,
