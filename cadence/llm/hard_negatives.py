@@ -345,3 +345,29 @@ def report(df: DataFrame) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label").cast("long")
     moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
     return mine(df, label=moved, anchor=vec_id % 100 == 0)
+
+
+#: The registered query in DuckDB SQL: every score, then ranks.
+ORACLE = """
+WITH used AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.rid, a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score
+  FROM used a JOIN used r ON a.rid <> r.rid
+  WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT rid, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS place
+  FROM scored WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.rid, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.rid = p.rid AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""

@@ -85,4 +85,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_stream_dedup": stream_dedup.ORACLE,
     "op5_url_lists": url_lists.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
