@@ -379,8 +379,7 @@ def _write_lines(lines: DataFrame, out: str) -> None:
     """(Report, n, line) -> one CSV file per report, lines in the order of n."""
     (
         lines.repartition("Report").sortWithinPartitions("Report", "n").select("Report", "line").write.mode("append")
-        .partitionBy("Report").option("sep", "\u0001").option("quote", "\u0000")
-        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(out)
+        .partitionBy("Report").text(out)
     )
 
 
@@ -414,11 +413,8 @@ def q_src_rejects(spark, d):
 def q_csv_sink(spark, d):
     """Serial numbers and names of the written annual reports, as they stand in the files."""
     out = _write_annual_reports(spark, d)
-    lines = wide_csv.read_lines(spark, out, "annual")
-    heads = wide_csv.read_headers(lines)
-    cells = wide_csv.split_line(F.col("line"))
-    body = lines.join(heads, "path").where(F.col("line") != F.col("Header"))
-    return body.select("Report", cells[0].cast("bigint").alias("Serial"))
+    _, records = wide_csv.scan_reports(spark, out, "annual")
+    return records.select("Report", wide_csv.split_line(F.col("record"))[0].cast("bigint").alias("Serial"))
 
 
 def q_store_infile_dup(spark, d):
@@ -528,7 +524,7 @@ def q_stream_ingest(spark, d):
     _write_lines(copies, f"{landing}/copies")
     base = scratch_path(spark, "ingest")
     cfg = IngestConfig(
-        landing_glob=f"{landing}/*/*/*.csv",
+        landing_glob=f"{landing}/*/*/*.txt",
         axis="monthly",
         store_path=f"{base}/store",
         rejects_path=f"{base}/rejects",

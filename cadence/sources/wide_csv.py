@@ -6,12 +6,17 @@ partial year has fewer month columns. So files are read as text lines, each
 line meets the header of its own file, and cells are picked by column name.
 
 Scale notes
-* Listing uses the ``binaryFile`` source with only metadata selected: Spark's
-  parallel file index lists, no file content is read. No path list reaches the driver.
-* The header table has one row per file and joins the lines on the file's path
+* A load scans the text twice: once for one row a file (its first line, and whether a line of it leaves a quoted cell
+  open), once to parse all rows, which are written and read from there. The counts of
+  rows that need a second look come with the second scan (``observe``); where they are 0, nothing more runs.
+* Files without an open line, almost all, need no shuffle: every line is a record. In the others a record may go over
+  lines and file splits: each line maps "starts inside a quoted cell or not" to "ends inside or not", these maps are chained
+  within a split, the splits' maps (a row each) within a file, and lines of one record are put together.
+* The file table has one row per file and joins the lines on the file's path
   (broadcast by Spark's own size check; a hot file's lines are split by AQE).
 * Files of no bytes are not listed by Spark's sources; a file of blank lines is an empty report.
-* A line with more cells than its header refuses the whole report; a read error fails the job.
+* A row with more cells than its header, or a quoted cell that no quote ends, refuses the whole report; a read error fails the job.
+* A line break inside a cell, of any kind, reads as ``\\n``.
 * A report may be a single file or a Spark-written folder of part files: the
   report name is the path component that starts with ``Y_``.
 """
@@ -22,7 +27,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +41,7 @@ REPORT_PREFIX = "Y_"
 ANNUAL_MARKER = "X_Calendar_Year_Year_"
 MONTHLY_MARKER = "X_Month_Wise_Year_"
 REPORT_SUFFIX = ".csv"
+FILE_GLOB = "*.{csv,txt}"  # part files of a written report are text
 KIND_TOKENS = {MAKER_TYPE: "Y_Maker_", CATEGORY_TYPE: "Y_Vehicle_Category_"}
 ENTITY_COLUMNS = {MAKER_TYPE: "Maker_Maker", CATEGORY_TYPE: "Vehicle Category_Vehicle Category"}
 SERIAL_COLUMN = "S No_S No"
@@ -50,6 +56,7 @@ R_NO_PERIODS = "no period columns"
 R_NO_YEAR = "no year in file name"
 R_EMPTY = "empty report"
 R_RAGGED = "row does not fit header"
+R_QUOTES = "quoted cell does not end"
 
 REJECT_SCHEMA = T.StructType([T.StructField("Report", T.StringType()), T.StructField("Reason", T.StringType())])
 
@@ -90,7 +97,7 @@ def list_report_files(spark: SparkSession, source: str | Iterable[str], axis: st
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*" + REPORT_SUFFIX)
+        .option("pathGlobFilter", FILE_GLOB)
         .load(_paths(source))
         .select(F.col("_metadata.file_path").alias("path"))
     )
@@ -103,36 +110,115 @@ def _of_axis(files: DataFrame, axis: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, source: str | Iterable[str], axis: str) -> DataFrame:
-    """(path, Report, line, first_block, place): the non-blank lines of every report file of the axis."""
+    """(path, Report, line, block, place): the lines of every report file of the axis; ``block`` is the file split, ``place`` grows in it."""
     text = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*" + REPORT_SUFFIX).text(_paths(source))
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", FILE_GLOB).text(_paths(source))
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.regexp_replace("value", "^\ufeff", "").alias("line"),
-            (F.col("_metadata.file_block_start") == 0).alias("first_block"),
+            F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("place"),
         )
     )
-    return _of_axis(text.where(F.trim("line") != ""), axis)
+    return _of_axis(text, axis)
 
 
-#: A comma outside quotes.
-_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# Patterns over a line with a comma before it, so that every cell has one. All loops are possessive:
+# linear time, no recursion. A quote counts only at the start of a cell; text after the closing quote belongs to the cell.
+_QUOTED = '"[^"]*+(?:""[^"]*+)*+'  # an opened cell without its closing quote
+_CELL = f',({_QUOTED}"[^,]*+|[^,]*+)'
+_OPEN_LINE = f'^(?:,(?:{_QUOTED}"[^,]*+|[^,"][^,]*+|(?=,|\\z)))*+,{_QUOTED}\\z'
+
+
+def ends_open(line: Column) -> Column:
+    """True when a line that starts a record ends inside a quoted cell."""
+    return line.contains('"') & F.concat(F.lit(","), line).rlike(_OPEN_LINE)
+
+
+def _unquoted(cell: Column) -> Column:
+    body = F.regexp_extract(cell, f'^({_QUOTED})"', 1)  # with the opening quote
+    text = F.concat(F.replace(F.substr(body, F.lit(2)), F.lit('""'), F.lit('"')), F.substr(cell, F.length(body) + 2))
+    return F.when(cell.startswith('"') & (body != ""), text).otherwise(cell)
 
 
 def split_line(line: Column) -> Column:
-    """Cells of a CSV line; quoted cells lose their quotes, empty cells are NULL."""
-    def cell(c: Column) -> Column:
-        body = F.when(c.rlike('^".*"$'), F.regexp_replace(F.substr(c, F.lit(2), F.length(c) - 2), '""', '"')).otherwise(c)
-        return F.when(body != "", body)
+    """Cells of a CSV record; quoted cells lose their quotes, empty cells are NULL."""
+    plain = F.split(line, ",", -1)
+    quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), 1), _unquoted)
+    return F.transform(F.when(line.contains('"'), quoted).otherwise(plain), lambda c: F.when(c != "", c))
+
+
+def _states(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Add ``in0``, ``in1``: is a quoted cell open before a row, if its group starts outside (0) or inside (1) of one.
+
+    ``a``, ``b``: the state after a row that starts outside, inside. After the last row that ends the
+    same way from both, only the number of rows that swap the state matters.
+    """
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    swaps = F.coalesce(F.sum((F.col("a") & ~F.col("b")).cast("int")).over(before), F.lit(0))
+    out = df.withColumn("swaps", swaps)
+    fixed = F.last(F.when(F.col("a") == F.col("b"), F.struct("a", "swaps")), ignorenulls=True).over(before)
+    out = out.withColumn("fixed", fixed)
+    odd = F.col("swaps") % 2 == 1
+    known = F.col("fixed.a") != ((F.col("swaps") - F.col("fixed.swaps")) % 2 == 1)
+    return out.withColumns({"in0": F.coalesce(known, odd), "in1": F.coalesce(known, ~odd)}).drop("swaps", "fixed")
+
+
+#: Characters of the longest record; a longer one counts as a quoted cell that does not end.
+RECORD_CHARS = 64 << 20
+
+
+def assemble(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(records, broken)`` of files whose records may go over lines: (path, Report, n, record), and paths whose last quoted cell never ends."""
+    mapped = lines.withColumns({"a": ends_open(F.col("line")), "b": ends_open(F.concat(F.lit('"'), "line"))})
+    mapped = materialize(_states(mapped, ["path", "block"], "place"), "open-lines")
+    after = [F.when(F.col(s), F.col("b")).otherwise(F.col("a")) for s in ("in0", "in1")]
+    blocks = mapped.groupBy("path", "block").agg(
+        *[F.max_by(x, "place").alias(c) for x, c in zip(after, "ab", strict=True)],
+        *[F.count_if(~F.col(s)).alias(f"starts{s[2]}") for s in ("in0", "in1")],
+    )
+    blocks = _states(blocks, ["path"], "block")  # a row for each split of a file
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    started = F.when(F.col("in0"), F.col("starts1")).otherwise(F.col("starts0"))
+    blocks = materialize(
+        blocks.select("path", "block", F.col("in0").alias("inside"), F.coalesce(F.sum(started).over(before), F.lit(0)).alias("done"),
+                      F.when(F.col("in0"), F.col("b")).otherwise(F.col("a")).alias("open")),
+        "open-blocks",
+    )
+    numbered = mapped.join(blocks.select("path", "block", "inside", "done"), ["path", "block"])
+    starts = ~F.when(F.col("inside"), F.col("in1")).otherwise(F.col("in0"))
+    upto = Window.partitionBy("path", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = numbered.select("path", "Report", "block", "place", "line", (F.col("done") + F.sum(starts.cast("int")).over(upto)).alias("n"))
+    unended = blocks.groupBy("path").agg(F.max_by("open", "block").alias("open")).where("open").select("path")
+    endless = numbered.groupBy("path", "n").agg(F.sum(F.length("line") + 1).alias("chars")).where(F.col("chars") > RECORD_CHARS).select("path")
+    broken = materialize(unended.unionByName(endless).distinct(), "open-broken")
+    whole = numbered.join(broken, "path", "left_anti").groupBy("path", "Report", "n").agg(F.sort_array(F.collect_list(F.struct("block", "place", "line"))).alias("lines"))
+    return whole.select("path", "Report", "n", F.array_join("lines.line", "\n").alias("record")), broken
 
-    return F.transform(F.split(line, _COMMA, -1), cell)
 
+def scan_reports(spark: SparkSession, source: str | Iterable[str], axis: str) -> tuple[DataFrame, DataFrame]:
+    """``(files, records)``: (path, Report, Kind, Header, Columns, Broken) of each file, and its body's (path, Report, record), blank ones left out.
 
-def read_headers(lines: DataFrame) -> DataFrame:
-    """(path, Header, Columns): the first line of each file. Lines of a file's first block come in order."""
-    first = lines.where("first_block").groupBy("path").agg(F.min_by("line", "place").alias("Header"))
-    return first.withColumn("Columns", F.transform(split_line(F.col("Header")), lambda c: F.coalesce(c, F.lit(""))))
+    Records of broken files are not among them.
+    """
+    lines = read_lines(spark, source, axis)
+    first = F.when((F.col("block") == 0) & (F.trim("line") != ""), F.struct("place", "line"))
+    files = lines.groupBy("path", "Report").agg(F.min(first)["line"].alias("Header"), F.max(ends_open(F.col("line"))).alias("Open"))
+    files = materialize(files.select("path", "Report", "Header", F.lit(False).alias("Broken"), "Open"), "files")
+    bodies = lines.join(files.where(~F.col("Open")).select("path", "Header"), "path")
+    records = bodies.where((F.trim("line") != "") & (F.col("line") != F.col("Header"))).select("path", "Report", F.col("line").alias("record"))
+    if not files.where("Open").isEmpty():
+        open_ = files.where("Open").select("path", "Report")
+        whole, broken = assemble(lines.join(open_.select("path"), "path", "left_semi"))
+        whole = materialize(whole.where(F.trim("record") != ""), "records")
+        heads = whole.groupBy("path").agg(F.min_by("record", "n").alias("Header"))
+        open_ = open_.join(heads, "path", "left").join(broken.withColumn("Broken", F.lit(True)), "path", "left")
+        open_ = open_.select("path", "Report", "Header", F.coalesce("Broken", F.lit(False)).alias("Broken"), F.lit(True).alias("Open"))
+        files = files.where(~F.col("Open")).unionByName(open_)
+        more = whole.join(heads, "path").where(F.col("record") != F.col("Header")).select("path", "Report", "record")
+        records = records.unionByName(more)
+    columns = F.transform(split_line(F.col("Header")), lambda c: F.coalesce(c, F.lit("")))
+    return files.select("path", "Report", kind_of_report(F.col("Report")).alias("Kind"), "Header", columns.alias("Columns"), "Broken"), records
 
 
 # ---------------------------------------------------------------- rejects
@@ -154,11 +240,12 @@ def _period_count(axis: str) -> Column:
 
 
 def classify(headers: DataFrame, axis: str) -> DataFrame:
-    """Add Reason (NULL = accepted) to each header row."""
+    """Add Reason (NULL = accepted) to each file of ``scan_reports``."""
     ent = _entity_column(F.col("Kind"))
     has_entity = F.exists(F.col("Columns"), lambda c: c.contains(ent))
     reason = (
         F.when(F.col("Kind").isNull(), F.lit(R_UNKNOWN_KIND))
+        .when(F.col("Broken"), F.lit(R_QUOTES))
         .when(F.col("Columns").isNull(), F.lit(R_EMPTY))
         .when(~has_entity, F.lit(R_NO_ENTITY))
         .when(_period_count(axis) == 0, F.lit(R_NO_PERIODS))
@@ -241,33 +328,40 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
     profile (NULL names and counts <= 0 are not facts; a fraction above 0 counts, then is cut).
     Monthly facts carry MonthNum and Date; rows of an unknown month are dropped.
     """
-    lines = read_lines(spark, source, axis)
-    files = list_report_files(spark, source, axis).join(read_headers(lines), "path", "left")
-    headers = materialize(classify(files, axis), "headers")  # one row per file
-    width = F.size("Columns")
-    good = headers.where(F.col("Reason").isNull()).select(
-        "path", "Kind", "Header", width.alias("Width"), _period_columns(axis).alias("Periods"),
+    files, records = scan_reports(spark, source, axis)
+    files = materialize(classify(files, axis), "headers")  # one row per file
+    bad = files.where(F.col("Reason").isNotNull()).select("Report", "Reason").distinct()
+    # a report of several files goes whole when one of them is refused
+    good = _without(files, bad).select(
+        "path", "Kind", F.size("Columns").alias("Width"), _period_columns(axis).alias("Periods"),
         F.array_position(F.transform("Columns", lambda c: c.contains(_entity_column(F.col("Kind")))), True).cast("int").alias("Entity"),
     )
-    # a report of several files goes whole when one of them is refused
-    rows = lines.join(good, "path").where(F.col("line") != F.col("Header")).withColumn("Cells", split_line(F.col("line")))
-    ragged = materialize(rows.where(F.size("Cells") > F.col("Width")).select("Report").distinct(), "ragged")
-    bad = headers.where(F.col("Reason").isNotNull()).select("Report", "Reason").distinct()
-    bad = bad.unionByName(_without(ragged, bad).select("Report", F.lit(R_RAGGED).alias("Reason")))
-    cells = _without(rows, bad).select(
-        "Report", F.col("Kind").alias("DataType"), F.get("Cells", F.col("Entity") - 1).alias("Name"), "Cells", F.explode("Periods").alias("Period")
+    rows = records.join(good, "path").withColumn("Cells", split_line(F.col("record"))).select(
+        "Report", F.col("Kind").alias("DataType"), F.get("Cells", F.col("Entity") - 1).alias("Name"),
+        F.transform("Periods", lambda p: F.struct(p["label"].alias("label"), F.get("Cells", p["pos"]).alias("Cell"))).alias("Values"),
+        (F.size("Cells") > F.col("Width")).alias("Ragged"),
     )
-    cells = cells.select("Report", "DataType", "Name", F.col("Period.label").alias("label"), F.get("Cells", F.col("Period.pos")).alias("Cell"))
+    seen = Observation()
+    fractions = F.exists("Values", lambda v: is_fractional(v["Cell"]))
+    rows = materialize(rows.observe(seen, F.count_if("Ragged").alias("ragged"), F.count_if(fractions).alias("fractional")), "rows")
+    # counts of a task that ran twice may count twice; they only tell whether there is anything to look for
+    some = lambda name, df: df if seen.get.get(name) else df.where(F.lit(False))
+    ragged = some("ragged", rows.where("Ragged").select("Report", F.lit(R_RAGGED).alias("Reason")).distinct())
+    if seen.get.get("ragged"):
+        rows = _without(rows, ragged)
+    bad = bad.unionByName(ragged)
+    cells = rows.select("Report", "DataType", "Name", F.explode("Values").alias("Value"))
+    cells = cells.select("Report", "DataType", "Name", F.col("Value.label").alias("label"), F.col("Value.Cell").alias("Cell"))
     value = "Registrations" if axis == "annual" else "MonthlyRegistrations"
     if axis == "annual":
         period = [F.regexp_extract("label", r"(\d{4})", 1).try_cast("int").alias("Year")]
     else:
         month = F.regexp_replace("label", "^" + re.escape(MONTH_PREFIX), "")
         period = [year_of_report(F.col("Report")).alias("Year"), month.alias("Month")]
-    warnings = (
+    warnings = some("fractional", (
         cells.where(is_fractional("Cell")).groupBy("Report").agg(F.count(F.lit(1)).alias("Cells"))
         .select("Report", F.lit(R_FRACTIONAL).alias("Reason"), "Cells")
-    )
+    ))
     if not keep_zero:
         cells = cells.where(F.col("Name").isNotNull() & (parse_number("Cell") > 0))
     facts = cells.select("Name", "DataType", *period, coerce_count("Cell").alias(value), "Report")
@@ -285,8 +379,8 @@ CHUNK_ROWS = 100_000
 
 
 def _csv_cell(c: Column) -> Column:
-    text = F.coalesce(c.cast("string"), F.lit(""))
-    return F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.regexp_replace(text, '"', '""'), F.lit('"'))).otherwise(text)
+    text = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\\r\\n?", "\n")
+    return F.when(text.rlike('[",\\n]'), F.concat(F.lit('"'), F.regexp_replace(text, '"', '""'), F.lit('"'))).otherwise(text)
 
 
 def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CHUNK_ROWS) -> list[str]:
@@ -331,11 +425,10 @@ def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CH
     head = F.concat_ws(",", F.lit(SERIAL_COLUMN), F.col("Entity"), F.concat_ws(",", "Labels"), F.lit(TOTAL_COLUMN))
     heads = reports.join(sizes.select("Report", "Chunk"), "Report").select("Report", "Chunk", F.lit(0).cast("long").alias("Serial"), head.alias("line"))
     out = body.select("Report", "Chunk", F.col("Serial").cast("long").alias("Serial"), line.alias("line")).unionByName(heads)
+    out = out.select("Report", "Chunk", "Serial", F.posexplode(F.split("line", "\n", -1)).alias("part", "line"))  # lines of a record
     (
-        out.repartition("Report", "Chunk").sortWithinPartitions("Report", "Chunk", "Serial").select("Report", "Chunk", "line")
-        .write.mode("append").partitionBy("Report", "Chunk")
-        .option("sep", "\u0001").option("quote", "\u0000")
-        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(out_dir)
+        out.repartition("Report", "Chunk").sortWithinPartitions("Report", "Chunk", "Serial", "part").select("Report", "Chunk", "line")
+        .write.mode("append").partitionBy("Report", "Chunk").text(out_dir)
     )
     return sorted(r[0] for r in reports.select("Report").collect())  # one name per report
 

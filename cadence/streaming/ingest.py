@@ -32,7 +32,7 @@ PATH_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 
 @dataclass
 class IngestConfig:
-    landing_glob: str  # e.g. ".../landing/*/*.csv" (Spark-written report folders) or ".../landing/*.csv"
+    landing_glob: str  # e.g. ".../landing/*.csv", or ".../landing/*/*/*.txt" for report folders that write_reports made
     axis: str  # "annual" | "monthly"
     store_path: str
     rejects_path: str

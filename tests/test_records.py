@@ -1,0 +1,129 @@
+"""Records over lines and file splits: against Python's csv module, through loader and sink, broken quoting, one scan a load."""
+
+from __future__ import annotations
+
+import csv
+import io
+import os
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from cadence.functions import MAKER_TYPE
+from cadence.sources import wide_csv
+from conftest import rows
+from test_sources import write
+
+HEAD = "S No_S No,Maker_Maker,Calendar Year_2024,TOTAL_TOTAL"
+NAME = "Y_Maker_X_Calendar_Year_Year_{}.csv"
+
+
+@pytest.fixture()
+def small_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def records(spark, d):
+    _, got = wide_csv.scan_reports(spark, d, "annual")
+    out: dict = {}
+    for r in got.select("Report", wide_csv.split_line(F.col("record")).alias("cells")).collect():
+        out.setdefault(r.Report, []).append([c or "" for c in r.cells])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_random_texts_against_csv_module(spark, tmp_dir, small_splits):
+    rng = random.Random(4)
+    texts, open_files = {}, 0
+    for i in range(40):
+        while True:
+            n = rng.choice([5, 40, 400])
+            body = "".join(rng.choice(['"', '"', '""', ",", "\n", "a", "bc", "d e", ',"', '",', "\r\n"]) for _ in range(n))
+            try:  # a strict reader knows an unended cell, but wants nothing after a closing quote
+                list(csv.reader(io.StringIO(body, newline=""), strict=True))
+            except csv.Error as e:
+                if "unexpected end" in str(e):
+                    continue
+            parsed = [[c.replace("\r\n", "\n") for c in r] for r in csv.reader(io.StringIO("h,h\n" + body, newline=""))]
+            if parsed[0] != ["h", "h"] or '"' in body[-1:] or list(csv.reader(io.StringIO(body + "\nq,q", newline="")))[-1:] != [["q", "q"]]:
+                continue  # the last cell must end
+            break
+        name = NAME.format(f"{i:04}")
+        with open(f"{tmp_dir}/{name}", "w", newline="") as f:
+            f.write("h,h\n" + body)
+        open_files += any("\n" in c for r in parsed for c in r)
+        texts[name] = sorted(r for r in parsed[1:] if r and r != ["h", "h"])
+    assert open_files > 5
+    got = records(spark, tmp_dir)
+    assert {k: v for k, v in texts.items() if v} == got
+
+
+def test_line_breaks_in_cells_load(spark, tmp_dir, small_splits):
+    long = "x" * 300 + "\n" + "y" * 300  # over several splits
+    write(f"{tmp_dir}/{NAME.format(2024)}", [HEAD, '1,A,5,5', '2,"B\nTwo",7,7', f'3,"{long}",8,8', '4,"C, ""c""\n\n, c",9,9', '5,D" d,1,1', "", "6,E,2,2"])
+    write(f"{tmp_dir}/{NAME.format(2023)}", ['"S No\n_S No",Maker_Maker,Calendar Year_2023', '1,"B\r\nTwo",6', "2,A,4"])
+    write(f"{tmp_dir}/{NAME.format(2022)}", [HEAD, "1,A,1,1", '2,"B,2,2', "3,C,3,3"])  # a cell that never ends
+    write(f"{tmp_dir}/{NAME.format(2021)}", [HEAD, '1,"A\nA",1,1', '2,"B\nB",2,2,2'])  # a record too long for its header
+    got = wide_csv.load_reports(spark, tmp_dir, "annual")
+    assert rows(got.facts, "Name", "Year", "Registrations") == sorted(
+        [("A", 2024, 5), ("B\nTwo", 2024, 7), (long, 2024, 8), ('C, "c"\n\n, c', 2024, 9), ('D" d', 2024, 1), ("E", 2024, 2), ("B\nTwo", 2023, 6), ("A", 2023, 4)]
+    )
+    assert rows(got.rejects) == [(NAME.format(2021), wide_csv.R_RAGGED), (NAME.format(2022), wide_csv.R_QUOTES)]
+
+
+def test_record_over_the_bound_is_a_reject(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(wide_csv, "RECORD_CHARS", 100)
+    write(f"{tmp_dir}/{NAME.format(2024)}", [HEAD, '1,"A', *["x" * 30] * 5, '",5,5', "2,B,1,1"])
+    got = wide_csv.load_reports(spark, tmp_dir, "annual")
+    assert got.facts.count() == 0 and rows(got.rejects) == [(NAME.format(2024), wide_csv.R_QUOTES)]
+
+
+def test_written_reports_round_trip(spark, tmp_dir):
+    names = ["plain", "a,b", 'q"q', '"', "l\nl", "l\n\nl", "\n", " s ", 'x\n"y",z\n', "c\r\nd", "c\rd", '",\n,"']
+    wide = spark.createDataFrame([(MAKER_TYPE, n, 2024, i, i) for i, n in enumerate(names)], "DataType string, Name string, Year int, `Calendar Year_2024` bigint, TOTAL_TOTAL bigint")
+    wide_csv.write_reports(wide, tmp_dir, "annual", chunk_rows=5)
+    got = wide_csv.load_reports(spark, tmp_dir, "annual")
+    assert rows(got.facts, "Name", "Registrations") == sorted((n.replace("\r\n", "\n").replace("\r", "\n"), i) for i, n in enumerate(names))
+    assert got.rejects.count() == 0
+
+
+def test_cells_of_long_lines_take_linear_time(spark):
+    line = ",".join(['"' + 'a""' * 1000 + '"'] * 300 + ["x" * 1000] * 300)  # over a million characters
+    df = spark.createDataFrame([(line,), (line + ',"open',), (line + ',"""',)], "line string")
+    t = time.time()
+    got = df.select(F.size(wide_csv.split_line(F.col("line"))).alias("n"), wide_csv.ends_open(F.col("line")).alias("open")).collect()
+    assert [(r.n, r.open) for r in got] == [(600, False), (601, True), (601, True)]
+    assert time.time() - t < 60
+
+
+def test_one_scan_a_load_besides_headers(spark, tmp_dir, monkeypatch):
+    write(f"{tmp_dir}/{NAME.format(2024)}", [HEAD, "1,A,5,5", "2,B,1.5,1"])
+    write(f"{tmp_dir}/{NAME.format(2023)}", [HEAD, "1,A,5,5,5"])
+    scans = []
+
+    def counted(df, name="materialized"):
+        scans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Relation [value")))
+        return was(df, name)
+
+    was = wide_csv.materialize
+    monkeypatch.setattr(wide_csv, "materialize", counted)
+    got = wide_csv.load_reports(spark, tmp_dir, "annual")
+    assert [n for n, k in scans if k] == ["files", "rows"] and max(k for _, k in scans) == 1
+    for df in (got.facts, got.rejects, got.warnings):  # nothing that a user reads scans text again
+        assert "Relation [value" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got.facts, "Name", "Registrations") == [("A", 5), ("B", 1)]
+    assert rows(got.warnings, "Cells") == [(1,)] and rows(got.rejects, "Reason") == [(wide_csv.R_RAGGED,)]
+
+
+def test_no_reports_at_all(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/in")
+    write(f"{tmp_dir}/in/other.csv", ["a,b"])
+    got = wide_csv.load_reports(spark, f"{tmp_dir}/in", "annual")
+    assert got.facts.count() == got.rejects.count() == got.warnings.count() == 0
