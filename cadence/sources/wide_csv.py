@@ -35,6 +35,7 @@ from cadence.functions.calendar import MONTH_PREFIX, TOTAL_COLUMN, YEAR_PREFIX,
 from cadence.functions.numeric import coerce_count, is_fractional, parse_number
 from cadence.functions.rules import CATEGORY_TYPE, MAKER_TYPE
 from cadence.session import materialize
+from cadence.sources import settle
 
 # Report naming and header conventions.
 REPORT_PREFIX = "Y_"
@@ -276,32 +277,8 @@ def _without(df: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def refused_reports(by_report: DataFrame, key: list[str]) -> DataFrame:
-    """(Report, Reason): reports that repeat a key, in themselves or of a report accepted before them.
-
-    Reports are taken in name order, as a file-by-file insert would. All steps
-    are aggregates and joins: a report that holds a key twice goes first; of
-    the rest, in rounds, every report that is the first undecided one on all keys it shares is
-    accepted, and those that share a key with it are refused. Only a row count per round reaches the driver.
-    """
-    held = by_report.groupBy("Report", *key).agg(F.count(F.lit(1)).alias("n"))
-    held = materialize(held, "report-keys")
-    inside = materialize(held.where("n > 1").select("Report").distinct(), "reports-inside")
-    # keys that several of the other reports hold
-    rest = _without(held.drop("n"), inside)
-    many = rest.groupBy(*key).agg(F.min("Report").alias("lo"), F.max("Report").alias("hi")).where("lo < hi").select(*key)
-    open_ = materialize(rest.join(many, key, "left_semi"), "reports-open")
-    refused = inside
-    while not open_.isEmpty():
-        first = open_.groupBy(*key).agg(F.min("Report").alias("First"))
-        seen = open_.join(first, key)
-        waits = seen.where("Report <> First").select("Report").distinct()
-        accepted = materialize(_without(seen, waits).select("Report").distinct(), "reports-accepted")
-        taken = open_.join(accepted, "Report", "left_semi").select(*key).distinct()
-        clash = open_.join(taken, key, "left_semi").select("Report").distinct()
-        clash = materialize(_without(clash, accepted), "reports-clash")
-        refused = refused.unionByName(clash)
-        open_ = materialize(_without(open_, accepted.unionByName(clash)), "reports-open")
-    return materialize(refused.select("Report", F.lit(R_DUP_KEY).alias("Reason")), "reports-refused")
+    """(Report, Reason): reports that repeat a key, in themselves or of a report accepted before them, by name (see ``settle``)."""
+    return settle.refused(by_report, key).select("Report", F.lit(R_DUP_KEY).alias("Reason"))
 
 
 def unique_reports(loaded: Loaded, key: list[str]) -> Loaded:

@@ -1,0 +1,65 @@
+"""Reports that share keys: against a plain walk, chains in a fixed number of jobs, components and rounds beyond the bound."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from cadence.sources import settle
+
+
+def plain(rows):
+    """File-by-file insert with a unique key."""
+    taken, out = set(), set()
+    reports: dict = {}
+    for report, key in rows:
+        reports.setdefault(report, []).append(key)
+    for report in sorted(reports):
+        keys = reports[report]
+        if len(set(keys)) < len(keys) or taken & set(keys):
+            out.add(report)
+        else:
+            taken |= set(keys)
+    return out
+
+
+def refused(spark, rows):
+    df = spark.createDataFrame([(r, f"k{k}", k % 3) for r, k in rows], "Report string, Name string, Year int")
+    got = [r.Report for r in settle.refused(df, ["Name", "Year"]).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def mixed(seed):
+    rng = random.Random(seed)
+    rows = [(f"r{i:03}", 1000 + i + d) for i in range(60) for d in (0, 1)]  # a chain
+    rows += [(f"s{i:03}", rng.randrange(200)) for i in range(40) for _ in range(rng.randrange(1, 6))]
+    rows += [(f"t{i}", 5000) for i in range(20)] + [(f"u{i}{c}", 6000 + k) for i in range(3) for c in "abc" for k in range(30)]
+    rows += [("v1", 7000), ("v1", 7000), ("v2", 7000), ("v3", 7000), ("w", 8000)]
+    return rows
+
+
+@pytest.mark.parametrize("bound", [settle.SETTLE, 40, 1])
+def test_against_plain_walk(spark, monkeypatch, bound):
+    monkeypatch.setattr(settle, "SETTLE", bound)
+    rows = mixed(bound)
+    assert refused(spark, rows) == plain(rows)
+
+
+def test_chain_of_a_thousand_reports_in_few_jobs(spark):
+    rows = [(f"r{i:04}", 10 * i + d) for i in range(1000) for d in (0, 10)]
+    count = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("settle"))
+    spark.sparkContext.setJobGroup("settle", "settle")
+    try:
+        got = refused(spark, rows)
+        jobs = count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == plain(rows) == {f"r{i:04}" for i in range(1, 1000, 2)}
+    assert 0 < jobs < 20
+
+
+def test_nothing_clashes(spark):
+    assert refused(spark, [("a", 1), ("b", 2)]) == set()
+    assert settle.refused(spark.createDataFrame([], "Report string, Name string"), ["Name"]).collect() == []
