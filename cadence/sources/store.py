@@ -7,22 +7,28 @@ Spark's size check allows), and dynamic partition pruning skips store
 folders whose (DataType, Year) does not occur in the batch.
 
 Appends in ``skip`` mode are idempotent: re-running a batch after a lost
-executor or a failed job appends nothing twice.
+executor or a failed job appends nothing twice. Writers may append at the same time: a batch's
+new rows are staged, then the writer takes the table's next commit (``commits``); if another
+took it first, the batch is checked again against the table that now holds the other's rows.
+Replacing a table (``create``) is not meant to run beside appends.
 
 Writes go through Spark's rebalance hint on the folder columns: adaptive
-execution sizes files by bytes, so a hot folder is written by many tasks and a small one by one.
+execution sizes files by bytes, so a hot folder is written by many tasks and a small one by one. Rows of a
+file are sorted by name and carry a Bloom filter on it, so a read of one entity skips row groups.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.session import materialize, path_exists
+from cadence.sources import commits
 
 ANNUAL_SCHEMA = T.StructType(
     [
@@ -65,12 +71,14 @@ class FactStore:
         schema: T.StructType,
         key: Sequence[str],
         partition_by: Sequence[str] = ("DataType", "Year"),
+        row_group_bytes: int | None = None,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
         self.key = list(key)
         self.partition_by = list(partition_by)
+        self.row_group_bytes = row_group_bytes  # None: the writer's default
 
     @classmethod
     def annual(cls, spark: SparkSession, path: str) -> FactStore:
@@ -86,9 +94,15 @@ class FactStore:
         not_null = [f.name for f in self.schema.fields if not f.nullable]
         return df.select(*cols).dropna(subset=not_null)
 
-    def _write(self, df: DataFrame, mode: str) -> None:
-        out = self._conform(df).hint("rebalance", *self.partition_by)
-        out.write.mode(mode).partitionBy(*self.partition_by).parquet(self.path)
+    def _write(self, df: DataFrame, mode: str, path: str | None = None) -> None:
+        by_name = [c for c in self.key[:1] if c not in self.partition_by]
+        out = self._conform(df).hint("rebalance", *self.partition_by).sortWithinPartitions(*self.partition_by, *by_name)
+        writer = out.write.mode(mode).partitionBy(*self.partition_by)
+        for c in by_name:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        if self.row_group_bytes:
+            writer = writer.option("parquet.block.size", str(self.row_group_bytes))
+        writer.parquet(path or self.path)
 
     def exists(self) -> bool:
         return path_exists(self.spark, self.path)
@@ -122,12 +136,34 @@ class FactStore:
     def _stored(self, keys: DataFrame) -> DataFrame:
         return self.read().select(*self.key).join(keys, self.key, "left_semi")
 
+    def _checked(self, rows: DataFrame) -> DataFrame:
+        """One row a key of the batch: its count ``n``, its least row ``kept``, and whether the table holds it (``Held``)."""
+        others = [c for c in rows.columns if c not in self.key]
+        keys = rows.groupBy(*self.key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*others)).alias("kept"))
+        stored = self._stored(rows.select(*self.key)).withColumn("Held", F.lit(True))
+        return keys.join(stored, self.key, "left").withColumn("Held", F.coalesce("Held", F.lit(False)))
+
+    def _conflicts(self, checked: DataFrame) -> DataFrame:
+        held = checked.where("Held").select(*self.key, F.lit(R_KEY_EXISTS).alias("Reason"))
+        return held.unionByName(checked.where("n > 1").select(*self.key, F.lit(R_DUP_IN_BATCH).alias("Reason")))
+
     def conflicts(self, batch: DataFrame) -> DataFrame:
         """Keys of the batch that are duplicated inside it or already stored."""
-        keys = materialize(self._conform(batch).select(*self.key), "batch-keys")
-        return self._stored(keys).withColumn("Reason", F.lit(R_KEY_EXISTS)).unionByName(
-            self._repeated(keys).withColumn("Reason", F.lit(R_DUP_IN_BATCH))
-        )
+        rows = materialize(self._conform(batch), "batch")
+        return self._conflicts(materialize(self._checked(rows), "batch-keys"))
+
+    def _dropped(self, rows: DataFrame, checked: DataFrame) -> DataFrame:
+        """Rows whose key is stored, and all but the kept row of a repeated key.
+
+        Equal rows are counted before they meet their key, so a key that a batch repeats does not gather in one task's window.
+        """
+        others = [c for c in rows.columns if c not in self.key]
+        held = rows.join(checked.where("Held").select(*self.key), self.key, "left_semi").withColumn("Reason", F.lit(R_KEY_EXISTS))
+        again = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times"))
+        again = again.join(checked.where("NOT Held AND n > 1").select(*self.key, "kept"), self.key)
+        left = F.col("times") - F.struct(*others).eqNullSafe(F.col("kept")).cast("int")
+        again = again.withColumn("left", left).where("left > 0").withColumn("one", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("left"))))
+        return held.unionByName(again.select(*rows.columns, F.lit(R_DUP_IN_BATCH).alias("Reason")))
 
     def append(self, batch: DataFrame, on_conflict: str = "skip") -> AppendResult:
         """Append a batch.
@@ -141,22 +177,18 @@ class FactStore:
             raise ValueError("on_conflict must be 'skip' or 'refuse'")
         if not self.exists():
             self.create(replace=False)
-        # the batch is evaluated once; conflicts are written before the folder they were read from changes
-        rows = materialize(self._conform(batch), "batch")
-        bad = materialize(self.conflicts(rows), "batch-conflicts")
-        if on_conflict == "refuse" and not bad.isEmpty():
-            return AppendResult(False, bad, rows.withColumn("Reason", F.lit("batch refused")))
-        others = [c for c in rows.columns if c not in self.key]
-        held = bad.where(F.col("Reason") == R_KEY_EXISTS).select(*self.key)
-        new = rows.join(held, self.key, "left_anti")
-        twice = self._repeated(rows)
-        first = new.join(twice, self.key, "left_semi").groupBy(*self.key).agg(F.min(F.struct(*others)).alias("kept"), F.count(F.lit(1)).alias("n"))
-        one = first.select(*self.key, "kept.*").select(*rows.columns)
-        self._write(new.join(twice, self.key, "left_anti").unionByName(one), "append")
-        # what stayed out: every row whose key is stored, and all but the kept row of a repeated key
-        rank = F.row_number().over(Window.partitionBy(*self.key).orderBy(*others))
-        again = new.join(twice, self.key, "left_semi").withColumn("rank", rank).where("rank > 1").drop("rank")
-        dropped = rows.join(held, self.key, "left_semi").withColumn("Reason", F.lit(R_KEY_EXISTS)).unionByName(
-            again.withColumn("Reason", F.lit(R_DUP_IN_BATCH))
-        )
-        return AppendResult(True, bad, materialize(dropped, "batch-dropped"))
+        rows = materialize(self._conform(batch), "batch")  # the batch is evaluated once
+        while True:
+            number = commits.last(self.spark, self.path)
+            commits.finish(self.spark, self.path, number)  # a taken commit may wait for its files
+            checked = materialize(self._checked(rows), "batch-keys")  # written before the table changes
+            bad = self._conflicts(checked)
+            if on_conflict == "refuse" and not bad.isEmpty():
+                return AppendResult(False, bad, rows.withColumn("Reason", F.lit("batch refused")))
+            new = checked.where("NOT Held").select(*self.key, "kept.*").select(*rows.columns)
+            stage = f"{self.path}/_stage/{uuid.uuid4().hex}"
+            self._write(new, "overwrite", stage)
+            if commits.take(self.spark, self.path, number + 1, stage):
+                commits.finish(self.spark, self.path, number + 1)
+                return AppendResult(True, bad, self._dropped(rows, checked))
+            commits._delete(self.spark, stage)
