@@ -383,7 +383,8 @@ def build() -> dict[str, str]:
         "FROM counts GROUP BY ALL",
     )
     maker_years = "(SELECT DISTINCT Year FROM annual WHERE DataType = 'Manufacturer')"
-    bad = [("_totals", "no period columns"), ("_nameless", "no entity column"), ("_ragged", "row does not fit header"), ("_empty", "empty report")]
+    bad = [("_totals", "no period columns"), ("_nameless", "no entity column"), ("_ragged", "row does not fit header"), ("_empty", "empty report"),
+           ("_endless", "quoted cell does not end")]
     sql["src_rejects"] = with_ctes(
         F_,
         body="SELECT 'Y_Fuel_X_Calendar_Year_Year_' || CAST(Year AS VARCHAR) || '.csv' AS Report, "
@@ -393,6 +394,11 @@ def build() -> dict[str, str]:
             for tag, why in bad
         ),
     )
+    sql["src_quoted_cells"] = with_ctes(
+        F_,
+        body="SELECT CASE (length(Name) + Year) % 4 WHEN 0 THEN replace(Name, ' ', chr(10)) WHEN 1 THEN '\"' || Name || '\",' || chr(10) "
+        "WHEN 2 THEN Name || ', \"x\"' ELSE Name END AS Name, DataType, Year, Registrations FROM annual",
+    )
     sql["csv_sink"] = with_ctes(
         F_,
         body=f"SELECT {_report('X_Calendar_Year_Year_')} AS Report, row_number() OVER (PARTITION BY DataType, Year ORDER BY Name) AS Serial FROM annual",
@@ -428,6 +434,13 @@ def build() -> dict[str, str]:
         body="SELECT 'Y_Maker_X_Calendar_Year_Year_' || CAST(Year AS VARCHAR) || '_copy.csv' AS Report, "
         "'duplicate key' AS Reason FROM (SELECT DISTINCT Year FROM annual WHERE DataType = 'Manufacturer')",
     )
+    sql["store_chain_reports"] = with_ctes(
+        F_,
+        body="SELECT 'Y_Maker_X_Calendar_Year_Year_' || CAST(Year AS VARCHAR) || '.csv' AS Report, 'duplicate key' AS Reason "
+        f"FROM {maker_years} WHERE (Year - (SELECT min(Year) FROM annual)) % 2 = 1",
+    )
+    sql["store_two_writers"] = with_ctes(F_, body=positive)
+    sql["store_read_entity"] = with_ctes(F_, body=positive + f" AND DataType = '{R.PROJECT_ENTITY[0]}' AND Name = '{R.PROJECT_ENTITY[1]} S{R.PROJECT_ENTITY[2]}'")
     sql["store_dup_keys"] = with_ctes(
         F_,
         body="SELECT Name, DataType, Year, Month, 'key exists in store' AS Reason FROM monthly "

@@ -9,6 +9,7 @@ the scratch folder first. Column names match ``plans.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -405,11 +406,26 @@ def q_src_rejects(spark, d):
         ("nameless", MAKER_TYPE, maker, "_nameless.csv", "concat('Other,Calendar Year_', Year)", "concat(Name, ',', Registrations)"),
         ("ragged", MAKER_TYPE, maker, "_ragged.csv", year, "concat(Name, ',', Registrations, ',', '1,234')"),
         ("empty", MAKER_TYPE, maker, "_empty.csv", "' '", "' '"),  # blank lines only
+        ("endless", MAKER_TYPE, maker, "_endless.csv", "concat('Maker_Maker,Calendar Year_', Year, ',\"open')", "concat(Name, ',', Registrations)"),
     ):
         _write_lines(_extra_reports(annual, kind, prefix, suffix, head, row), f"{out}/{tag}")
     return wide_csv.load_reports(spark, out, "annual").rejects
 
 
+def _odd_name() -> F.Column:
+    """Names with a comma, quotes and line breaks, by their length and year."""
+    n, k = F.col("Name"), F.pmod(F.length("Name") + F.col("Year"), F.lit(4))
+    return F.when(k == 0, F.replace(n, F.lit(" "), F.lit("\n"))).when(k == 1, F.concat(F.lit('"'), n, F.lit('",\n'))).when(k == 2, F.concat(n, F.lit(', "x"'))).otherwise(n)
+
+
+def q_src_quoted_cells(spark, d):
+    """Reports whose names hold commas, quotes and line breaks, written and loaded again."""
+    out = scratch_path(spark, "reports")
+    odd = fact_set(spark, d).annual.withColumn("Name", _odd_name())
+    wide_csv.write_reports(wide_csv.annual_report_frame(odd), out, "annual")
+    return wide_csv.load_reports(spark, out, "annual").facts
+
+
 def q_csv_sink(spark, d):
     """Serial numbers and names of the written annual reports, as they stand in the files."""
     out = _write_annual_reports(spark, d)
@@ -442,6 +458,19 @@ def q_store_unique_reports(spark, d):
     return wide_csv.unique_reports(loaded, ["Name", "DataType", "Year"]).rejects
 
 
+def q_store_chain_reports(spark, d):
+    """Maker reports of two years each: every report shares keys with the next, so every second one is refused."""
+    out = scratch_path(spark, "reports")
+    annual = materialize(fact_set(spark, d, by_month=False).annual.where(F.col("DataType") == MAKER_TYPE), "annual")
+    after = annual.select("Name", (F.col("Year") - 1).alias("Year"), F.col("Registrations").alias("Next"))
+    both = annual.join(after, ["Name", "Year"], "left")
+    head = "concat('Maker_Maker,Calendar Year_', Year, ',Calendar Year_', Year + 1)"
+    row = "concat(Name, ',', Registrations, ',', coalesce(Next, 0))"
+    _write_lines(_extra_reports(both, MAKER_TYPE, "Y_Maker_" + wide_csv.ANNUAL_MARKER, ".csv", head, row), out)
+    loaded = wide_csv.load_reports(spark, out, "annual", keep_zero=False)
+    return wide_csv.unique_reports(loaded, ["Name", "DataType", "Year"]).rejects
+
+
 def q_load_file_profile(spark, d):
     loaded = wide_csv.load_reports(spark, _write_monthly_reports(spark, d), "monthly", keep_zero=True)
     f = grouped(loaded.facts, FILE_RULES)
@@ -507,6 +536,27 @@ def q_store_inbatch_dup(spark, d):
     return kept.unionByName(res.dropped)
 
 
+def q_store_two_writers(spark, d):
+    """Two writers append at the same time; their batches share the facts of the last year."""
+    fs = fact_set(spark, d)
+    last = fs.counts.agg(F.max("Year")).first()[0]
+    m = fs.monthly_positive
+    path = scratch_path(spark, "store")
+    FactStore.monthly(spark, path).create(m.where(F.col("Year") < last - 1))
+    with ThreadPoolExecutor(2) as pool:
+        batches = [m.where(F.col("Year") >= last - 1), m.where(F.col("Year") >= last)]
+        list(pool.map(lambda b: FactStore.monthly(spark, path).append(b), batches))
+    return FactStore.monthly(spark, path).read()
+
+
+def q_store_read_entity(spark, d):
+    """The stored facts of one entity: a name that files without it are skipped for."""
+    kind, brand, supplier = PROJECT_ENTITY
+    store = FactStore.monthly(spark, scratch_path(spark, "store"))
+    store.create(fact_set(spark, d, reuse=False).monthly_positive)
+    return filter_entity(store.read(), kind, f"{brand} S{supplier}")
+
+
 def q_stream_ingest(spark, d):
     """Reports land in a folder; a file stream ingests them into the store. Every maker
     report has a later copy with other counts, which is refused whole."""
@@ -607,6 +657,7 @@ QUERIES: dict[str, Query] = {
     "src_wide_csv": q_src_wide_csv,
     "src_file_meta": q_src_file_meta,
     "src_rejects": q_src_rejects,
+    "src_quoted_cells": q_src_quoted_cells,
     "csv_sink": q_csv_sink,
     "union_all": q_union_all,
     "load_file_profile": q_load_file_profile,
@@ -617,6 +668,9 @@ QUERIES: dict[str, Query] = {
     "store_unique_reports": q_store_unique_reports,
     "store_inbatch_dup": q_store_inbatch_dup,
     "store_infile_dup": q_store_infile_dup,
+    "store_chain_reports": q_store_chain_reports,
+    "store_two_writers": q_store_two_writers,
+    "store_read_entity": q_store_read_entity,
     "stream_ingest": q_stream_ingest,
     "entity_catalog": q_entity_catalog,
     "year_bounds": q_year_bounds,

@@ -96,6 +96,26 @@ def test_commit_of_a_lost_writer_is_finished(spark, tmp_dir, monkeypatch):
     assert store.read().count() == 4 and path_exists(spark, f"{store.path}/_log/000000000001/done")
 
 
+def test_many_writers_finish_one_commit(spark, tmp_dir):
+    store = FactStore.annual(spark, f"{tmp_dir}/annual")
+    store.create(frame(spark, [("A", 2020, 1)]))
+    stage = f"{store.path}/_stage/s"
+    store._write(frame(spark, [(f"n{i}", 2000 + i, i) for i in range(60)]), "overwrite", stage)
+    assert commits.take(spark, store.path, 1, stage)
+    failed = []
+
+    def one():
+        try:
+            commits.finish(spark, store.path, 1)
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [threading.Thread(target=one) for _ in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not failed and store.read().count() == 61 and not path_exists(spark, stage)
+
+
 def test_hot_repeated_key_against_plain(spark, tmp_dir):
     rng = random.Random(1)
     stored = [("A", 2020, 1), ("H", 2020, 3)]
