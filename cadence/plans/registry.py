@@ -91,12 +91,17 @@ def grouped(df: DataFrame, rules=FILE_RULES) -> DataFrame:
     return df.withColumn("Name", group_name("DataType", "Name", rules))
 
 
+def annual_grouped(spark, d, **only):
+    """Annual facts with categories by their group, mapped below the aggregate."""
+    return facts.annual_from_counts(facts.monthly_counts(spark, d, by_month=False, grouped=True, **only))
+
+
 def yoy_all(spark, d):
-    return yoy_growth(grouped(annual_once(spark, d)))
+    return yoy_growth(annual_grouped(spark, d))
 
 
 def quarters(spark, d, **only):
-    return facts.quarterly_from_counts(facts.monthly_counts(spark, d, **only))
+    return facts.quarterly_from_counts(facts.monthly_counts(spark, d, grouped=True, **only), rules=None)
 
 
 def qoq_all(spark, d):
@@ -105,17 +110,17 @@ def qoq_all(spark, d):
 
 def yoy_of(spark, d, **only):
     """YoY growth of one selection: its filters sit below the join."""
-    return yoy_growth(grouped(facts.annual_from_counts(facts.monthly_counts(spark, d, by_month=False, **only))))
+    return yoy_growth(annual_grouped(spark, d, **only))
 
 
 # ---------------------------------------------------------------- growth core
 
 def q_agg_annual(spark, d):
-    return aggregate_annual(grouped(annual_once(spark, d)))
+    return aggregate_annual(annual_grouped(spark, d))
 
 
 def q_lag_year(spark, d):
-    a = aggregate_annual(grouped(annual_once(spark, d)))
+    a = aggregate_annual(annual_grouped(spark, d))
     return a.withColumn("PrevYearRegistrations", F.lag("Registrations").over(entity_window("Year")))
 
 
