@@ -383,10 +383,7 @@ def q_src_file_meta(spark, d):
 
 def _write_lines(lines: DataFrame, out: str) -> None:
     """(Report, n, line) -> one CSV file per report, lines in the order of n."""
-    (
-        lines.repartition("Report").sortWithinPartitions("Report", "n").select("Report", "line").write.mode("append")
-        .partitionBy("Report").text(out)
-    )
+    wide_csv.write_lines(lines.repartition("Report"), out, ["Report"], ["n"])
 
 
 def _extra_reports(annual: DataFrame, kind: str, prefix: str, suffix: str, head: str, row: str) -> DataFrame:
@@ -435,7 +432,7 @@ def q_csv_sink(spark, d):
     """Serial numbers and names of the written annual reports, as they stand in the files."""
     out = _write_annual_reports(spark, d)
     _, records = wide_csv.scan_reports(spark, out, "annual")
-    return records.select("Report", wide_csv.split_line(F.col("record"))[0].cast("bigint").alias("Serial"))
+    return records.select(wide_csv.report_of_path(F.col("path")).alias("Report"), wide_csv.split_line(F.col("record"))[0].cast("bigint").alias("Serial"))
 
 
 def q_store_infile_dup(spark, d):

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from cadence.session import materialize, path_exists
 from cadence.sources import commits
+from cadence.sources.wide_csv import in_folders
 
 ANNUAL_SCHEMA = T.StructType(
     [
@@ -96,7 +97,7 @@ class FactStore:
 
     def _write(self, df: DataFrame, mode: str, path: str | None = None) -> None:
         by_name = [c for c in self.key[:1] if c not in self.partition_by]
-        out = self._conform(df).hint("rebalance", *self.partition_by).sortWithinPartitions(*self.partition_by, *by_name)
+        out = in_folders(self._conform(df).hint("rebalance", *self.partition_by), self.partition_by, by_name)
         writer = out.write.mode(mode).partitionBy(*self.partition_by)
         for c in by_name:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")

@@ -111,17 +111,18 @@ def _of_axis(files: DataFrame, axis: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, source: str | Iterable[str], axis: str) -> DataFrame:
-    """(path, Report, line, block, place): the lines of every report file of the axis; ``block`` is the file split, ``place`` grows in it."""
-    text = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", FILE_GLOB).text(_paths(source))
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.regexp_replace("value", "^\ufeff", "").alias("line"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("place"),
-        )
+    """(path, line, block, place): the lines of every file of the axis; ``block`` is the file split, ``place`` grows in it.
+
+    Files of the other axis are left out by their path, so they are not read.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", FILE_GLOB).text(_paths(source))
+    path, value = F.col("_metadata.file_path"), F.col("value")
+    return text.where(path.contains("/" + REPORT_PREFIX) | path.contains("/Report=" + REPORT_PREFIX)).where(path.contains(AXES[axis])).select(
+        path.alias("path"),
+        F.when(value.startswith("\ufeff"), F.substr(value, F.lit(2))).otherwise(value).alias("line"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    return _of_axis(text, axis)
 
 
 # Patterns over a line with a comma before it, so that every cell has one. All loops are possessive:
@@ -170,7 +171,7 @@ RECORD_CHARS = 64 << 20
 
 
 def assemble(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(records, broken)`` of files whose records may go over lines: (path, Report, n, record), and paths whose last quoted cell never ends."""
+    """``(records, broken)`` of files whose records may go over lines: (path, n, record), and paths whose last quoted cell never ends."""
     mapped = lines.withColumns({"a": ends_open(F.col("line")), "b": ends_open(F.concat(F.lit('"'), "line"))})
     mapped = materialize(_states(mapped, ["path", "block"], "place"), "open-lines")
     after = [F.when(F.col(s), F.col("b")).otherwise(F.col("a")) for s in ("in0", "in1")]
@@ -189,35 +190,34 @@ def assemble(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbered = mapped.join(blocks.select("path", "block", "inside", "done"), ["path", "block"])
     starts = ~F.when(F.col("inside"), F.col("in1")).otherwise(F.col("in0"))
     upto = Window.partitionBy("path", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = numbered.select("path", "Report", "block", "place", "line", (F.col("done") + F.sum(starts.cast("int")).over(upto)).alias("n"))
+    numbered = numbered.select("path", "block", "place", "line", (F.col("done") + F.sum(starts.cast("int")).over(upto)).alias("n"))
     unended = blocks.groupBy("path").agg(F.max_by("open", "block").alias("open")).where("open").select("path")
     endless = numbered.groupBy("path", "n").agg(F.sum(F.length("line") + 1).alias("chars")).where(F.col("chars") > RECORD_CHARS).select("path")
     broken = materialize(unended.unionByName(endless).distinct(), "open-broken")
-    whole = numbered.join(broken, "path", "left_anti").groupBy("path", "Report", "n").agg(F.sort_array(F.collect_list(F.struct("block", "place", "line"))).alias("lines"))
-    return whole.select("path", "Report", "n", F.array_join("lines.line", "\n").alias("record")), broken
+    whole = numbered.join(broken, "path", "left_anti").groupBy("path", "n").agg(F.sort_array(F.collect_list(F.struct("block", "place", "line"))).alias("lines"))
+    return whole.select("path", "n", F.array_join("lines.line", "\n").alias("record")), broken
 
 
 def scan_reports(spark: SparkSession, source: str | Iterable[str], axis: str) -> tuple[DataFrame, DataFrame]:
-    """``(files, records)``: (path, Report, Kind, Header, Columns, Broken) of each file, and its body's (path, Report, record), blank ones left out.
+    """``(files, records)``: (path, Report, Kind, Header, Columns, Broken) of each file, and its body's (path, record), blank ones left out.
 
     Records of broken files are not among them.
     """
     lines = read_lines(spark, source, axis)
     first = F.when((F.col("block") == 0) & (F.trim("line") != ""), F.struct("place", "line"))
-    files = lines.groupBy("path", "Report").agg(F.min(first)["line"].alias("Header"), F.max(ends_open(F.col("line"))).alias("Open"))
-    files = materialize(files.select("path", "Report", "Header", F.lit(False).alias("Broken"), "Open"), "files")
+    files = lines.groupBy("path").agg(F.min(first)["line"].alias("Header"), F.max(ends_open(F.col("line"))).alias("Open"))
+    files = materialize(_of_axis(files.select("path", "Header", F.lit(False).alias("Broken"), "Open"), axis), "files")
     bodies = lines.join(files.where(~F.col("Open")).select("path", "Header"), "path")
-    records = bodies.where((F.trim("line") != "") & (F.col("line") != F.col("Header"))).select("path", "Report", F.col("line").alias("record"))
+    records = bodies.where((F.trim("line") != "") & (F.col("line") != F.col("Header"))).select("path", F.col("line").alias("record"))
     if not files.where("Open").isEmpty():
         open_ = files.where("Open").select("path", "Report")
         whole, broken = assemble(lines.join(open_.select("path"), "path", "left_semi"))
         whole = materialize(whole.where(F.trim("record") != ""), "records")
         heads = whole.groupBy("path").agg(F.min_by("record", "n").alias("Header"))
         open_ = open_.join(heads, "path", "left").join(broken.withColumn("Broken", F.lit(True)), "path", "left")
-        open_ = open_.select("path", "Report", "Header", F.coalesce("Broken", F.lit(False)).alias("Broken"), F.lit(True).alias("Open"))
+        open_ = open_.select("path", "Header", F.coalesce("Broken", F.lit(False)).alias("Broken"), F.lit(True).alias("Open"), "Report")
         files = files.where(~F.col("Open")).unionByName(open_)
-        more = whole.join(heads, "path").where(F.col("record") != F.col("Header")).select("path", "Report", "record")
-        records = records.unionByName(more)
+        records = records.unionByName(whole.join(heads, "path").where(F.col("record") != F.col("Header")).select("path", "record"))
     columns = F.transform(split_line(F.col("Header")), lambda c: F.coalesce(c, F.lit("")))
     return files.select("path", "Report", kind_of_report(F.col("Report")).alias("Kind"), "Header", columns.alias("Columns"), "Broken"), records
 
@@ -310,7 +310,7 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
     bad = files.where(F.col("Reason").isNotNull()).select("Report", "Reason").distinct()
     # a report of several files goes whole when one of them is refused
     good = _without(files, bad).select(
-        "path", "Kind", F.size("Columns").alias("Width"), _period_columns(axis).alias("Periods"),
+        "path", "Report", "Kind", F.size("Columns").alias("Width"), _period_columns(axis).alias("Periods"),
         F.array_position(F.transform("Columns", lambda c: c.contains(_entity_column(F.col("Kind")))), True).cast("int").alias("Entity"),
     )
     rows = records.join(good, "path").withColumn("Cells", split_line(F.col("record"))).select(
@@ -360,6 +360,20 @@ def _csv_cell(c: Column) -> Column:
     return F.when(text.rlike('[",\\n]'), F.concat(F.lit('"'), F.regexp_replace(text, '"', '""'), F.lit('"'))).otherwise(text)
 
 
+def in_folders(df: DataFrame, folders: list[str], order: list[str]) -> DataFrame:
+    """``df`` sorted within tasks by folder columns, then ``order``, so that the files of a folder keep that order.
+
+    Spark sorts by the folder columns once more, and drops the sort before, unless they are known to hold no null text.
+    """
+    strings = {f.name for f in df.schema.fields if f.name in folders and isinstance(f.dataType, T.StringType)}
+    return df.withColumns({c: F.coalesce(c, F.lit("")) for c in sorted(strings)}).sortWithinPartitions(*folders, *order)
+
+
+def write_lines(lines: DataFrame, out_dir: str, folders: list[str], order: list[str]) -> None:
+    """Add text files of ``line``, one folder for each value of ``folders``, lines in ``order``. Rows of one folder must be in one task."""
+    in_folders(lines, folders, order).select(*folders, "line").write.mode("append").partitionBy(*folders).text(out_dir)
+
+
 def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CHUNK_ROWS) -> list[str]:
     """Write one report per (DataType, Year) of a wide frame.
 
@@ -390,7 +404,7 @@ def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CH
     labels = F.filter(F.array(*[F.when(F.col(f"p{i}"), F.lit(c)) for i, c in enumerate(periods)]), lambda c: c.isNotNull())
     reports = materialize(reports.select("Report", "Entity", "n", labels.alias("Labels"), F.ceil(F.col("n") / chunk_rows).cast("int").alias("Chunks")), "report-heads")
 
-    dealt = rows.drop("Entity").join(reports.select("Report", "Labels", "Chunks"), "Report")
+    dealt = rows.drop("Entity").join(reports.select("Report", "Entity", "Labels", "Chunks"), "Report")
     dealt = dealt.withColumn("Chunk", F.pmod(F.xxhash64("Name"), F.col("Chunks")).cast("int"))
     sizes = dealt.groupBy("Report", "Chunk").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("Report").orderBy("Chunk")) - F.col("n")
@@ -400,13 +414,10 @@ def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CH
     shown = F.transform(F.filter("Cells", lambda x: F.array_contains("Labels", x["label"])), lambda x: F.coalesce(x["cell"], F.lit("")))
     line = F.concat_ws(",", F.col("Serial").cast("string"), _csv_cell(F.col("Name")), F.concat_ws(",", shown), _csv_cell(F.col("Total")))
     head = F.concat_ws(",", F.lit(SERIAL_COLUMN), F.col("Entity"), F.concat_ws(",", "Labels"), F.lit(TOTAL_COLUMN))
-    heads = reports.join(sizes.select("Report", "Chunk"), "Report").select("Report", "Chunk", F.lit(0).cast("long").alias("Serial"), head.alias("line"))
-    out = body.select("Report", "Chunk", F.col("Serial").cast("long").alias("Serial"), line.alias("line")).unionByName(heads)
-    out = out.select("Report", "Chunk", "Serial", F.posexplode(F.split("line", "\n", -1)).alias("part", "line"))  # lines of a record
-    (
-        out.repartition("Report", "Chunk").sortWithinPartitions("Report", "Chunk", "Serial", "part").select("Report", "Chunk", "line")
-        .write.mode("append").partitionBy("Report", "Chunk").text(out_dir)
-    )
+    line = F.when(F.col("Serial") == F.col("Before") + 1, F.concat(head, F.lit("\n"), line)).otherwise(line)  # a chunk's first row
+    out = body.select("Report", "Chunk", "Serial", F.posexplode(F.split(line, "\n", -1)).alias("part", "line"))  # lines of a record
+    # rows are dealt by report and chunk already, for their serials
+    write_lines(out, out_dir, ["Report", "Chunk"], ["Serial", "part"])
     return sorted(r[0] for r in reports.select("Report").collect())  # one name per report
 
 

@@ -34,7 +34,7 @@ def small_splits(spark):
 def records(spark, d):
     _, got = wide_csv.scan_reports(spark, d, "annual")
     out: dict = {}
-    for r in got.select("Report", wide_csv.split_line(F.col("record")).alias("cells")).collect():
+    for r in got.select(wide_csv.report_of_path(F.col("path")).alias("Report"), wide_csv.split_line(F.col("record")).alias("cells")).collect():
         out.setdefault(r.Report, []).append([c or "" for c in r.cells])
     return {k: sorted(v) for k, v in out.items()}
 
@@ -127,3 +127,30 @@ def test_no_reports_at_all(spark, tmp_dir):
     write(f"{tmp_dir}/in/other.csv", ["a,b"])
     got = wide_csv.load_reports(spark, f"{tmp_dir}/in", "annual")
     assert got.facts.count() == got.rejects.count() == got.warnings.count() == 0
+
+
+def test_written_lines_keep_their_order(spark, tmp_dir):
+    """Rows that come from many tasks: header first, serials in order, in every file."""
+    import glob
+
+    wide = spark.range(60_000, numPartitions=40).selectExpr(
+        f"if(id % 5 = 0, NULL, '{MAKER_TYPE}') AS DataType", "concat('M', hash(id), '_', id) AS Name", "2020 + int(id % 2) AS Year",
+        "id AS `Calendar Year_2020`", "id AS TOTAL_TOTAL",
+    ).where("DataType IS NOT NULL")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        wide_csv.write_reports(wide, tmp_dir, "annual", chunk_rows=5_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    serials: dict = {}
+    files = glob.glob(f"{tmp_dir}/Report=*/Chunk=*/*.txt")
+    assert len(files) == 10
+    for f in files:
+        with open(f) as fh:
+            head, *body = fh.read().splitlines()
+        assert head.startswith("S No_S No,Maker_Maker")
+        got = [int(line.split(",")[0]) for line in body]
+        assert got == sorted(got)
+        serials.setdefault(f.split("Report=")[1].split("/")[0], []).extend(got)
+    assert all(sorted(s) == list(range(1, 24_001)) for s in serials.values())

@@ -353,7 +353,7 @@ def test_written_reports_are_numbered_and_chunked(spark, tmp_dir):
     names = wide_csv.write_reports(wide, tmp_dir, "annual", chunk_rows=300)
     assert names == [f"Y_Maker_X_Calendar_Year_Year_{y}.csv" for y in (2020, 2021)]
     _, records = wide_csv.scan_reports(spark, tmp_dir, "annual")
-    for report, serials in records.groupBy("Report").agg(F.collect_list(wide_csv.split_line(F.col("record"))[0].cast("int"))).collect():
+    for report, serials in records.groupBy(wide_csv.report_of_path(F.col("path"))).agg(F.collect_list(wide_csv.split_line(F.col("record"))[0].cast("int"))).collect():
         assert sorted(serials) == list(range(1, 1 + (834 if "2021" in report else 1666)))
     f = wide_csv.load_reports(spark, tmp_dir, "annual").facts
     assert f.count() == 2500 and rows(f.where("Name = 'M7'"), "Year", "Registrations") == [(2020, 7)]
