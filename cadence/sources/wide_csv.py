@@ -291,11 +291,16 @@ def unique_reports(loaded: Loaded, key: list[str]) -> Loaded:
 
 
 def _period_columns(axis: str) -> Column:
-    """Array of (pos, label) of the period columns of a header."""
+    """Array of a header's period columns: their place ``pos`` and what facts carry of them, worked out once a file."""
     named = F.transform(F.col("Columns"), lambda c, i: F.struct(i.alias("pos"), c.alias("label")))
     if axis == "annual":
-        return F.filter(named, lambda x: x["label"].rlike("^" + re.escape(YEAR_PREFIX) + r"\d{4}"))
-    return F.filter(named, lambda x: x["label"].contains(MONTH_PREFIX))
+        found = F.filter(named, lambda x: x["label"].rlike("^" + re.escape(YEAR_PREFIX) + r"\d{4}"))
+        return F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), F.regexp_extract(x["label"], r"(\d{4})", 1).try_cast("int").alias("Year")))
+    year = year_of_report(F.col("Report"))
+    found = F.filter(named, lambda x: x["label"].contains(MONTH_PREFIX))
+    found = F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), F.regexp_replace(x["label"], "^" + re.escape(MONTH_PREFIX), "").alias("Month")))
+    found = F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), year.alias("Year"), x["Month"].alias("Month"), month_num(x["Month"]).alias("MonthNum")))
+    return F.transform(found, lambda x: F.struct(*[x[c].alias(c) for c in ("pos", "Year", "Month", "MonthNum")], month_date(x["Year"], x["MonthNum"]).alias("Date")))
 
 
 def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, keep_zero: bool = True) -> Loaded:
@@ -313,39 +318,34 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
         "path", "Report", "Kind", F.size("Columns").alias("Width"), _period_columns(axis).alias("Periods"),
         F.array_position(F.transform("Columns", lambda c: c.contains(_entity_column(F.col("Kind")))), True).cast("int").alias("Entity"),
     )
-    rows = records.join(good, "path").withColumn("Cells", split_line(F.col("record"))).select(
+    value = "Registrations" if axis == "annual" else "MonthlyRegistrations"
+    rows = records.join(good, "path").withColumn("Cells", split_line(F.col("record")))
+    cells = rows.select(
         "Report", F.col("Kind").alias("DataType"), F.get("Cells", F.col("Entity") - 1).alias("Name"),
-        F.transform("Periods", lambda p: F.struct(p["label"].alias("label"), F.get("Cells", p["pos"]).alias("Cell"))).alias("Values"),
-        (F.size("Cells") > F.col("Width")).alias("Ragged"),
+        (F.size("Cells") > F.col("Width")).alias("Ragged"), "Cells", F.explode("Periods").alias("p"),
+    ).withColumn("Cell", F.get("Cells", F.col("p.pos")))
+    period = [F.col(f"p.{c}").alias(c) for c in (["Year"] if axis == "annual" else ["Year", "Month", "MonthNum", "Date"])]
+    cells = cells.select(
+        "Report", "DataType", "Name", "Ragged", *period, coerce_count("Cell").alias(value),
+        F.coalesce(parse_number("Cell") > 0, F.lit(False)).alias("Positive"), is_fractional("Cell").alias("Fractional"),
     )
     seen = Observation()
-    fractions = F.exists("Values", lambda v: is_fractional(v["Cell"]))
-    rows = materialize(rows.observe(seen, F.count_if("Ragged").alias("ragged"), F.count_if(fractions).alias("fractional")), "rows")
+    cells = materialize(cells.observe(seen, F.count_if("Ragged").alias("ragged"), F.count_if("Fractional").alias("fractional")), "cells")
     # counts of a task that ran twice may count twice; they only tell whether there is anything to look for
-    some = lambda name, df: df if seen.get.get(name) else df.where(F.lit(False))
-    ragged = some("ragged", rows.where("Ragged").select("Report", F.lit(R_RAGGED).alias("Reason")).distinct())
-    if seen.get.get("ragged"):
-        rows = _without(rows, ragged)
+    found = seen.get
+    none = F.lit(False)
+    ragged = cells.where(F.col("Ragged") if found.get("ragged") else none).select("Report", F.lit(R_RAGGED).alias("Reason")).distinct()
     bad = bad.unionByName(ragged)
-    cells = rows.select("Report", "DataType", "Name", F.explode("Values").alias("Value"))
-    cells = cells.select("Report", "DataType", "Name", F.col("Value.label").alias("label"), F.col("Value.Cell").alias("Cell"))
-    value = "Registrations" if axis == "annual" else "MonthlyRegistrations"
+    if found.get("ragged"):
+        cells = _without(cells, ragged)
+    warnings = cells.where(F.col("Fractional") if found.get("fractional") else none).groupBy("Report").agg(F.count(F.lit(1)).alias("Cells"))
+    warnings = warnings.select("Report", F.lit(R_FRACTIONAL).alias("Reason"), "Cells")
+    if not keep_zero:
+        cells = cells.where(F.col("Name").isNotNull() & F.col("Positive"))
     if axis == "annual":
-        period = [F.regexp_extract("label", r"(\d{4})", 1).try_cast("int").alias("Year")]
+        facts = cells.select("Name", "DataType", "Year", value, "Report")
     else:
-        month = F.regexp_replace("label", "^" + re.escape(MONTH_PREFIX), "")
-        period = [year_of_report(F.col("Report")).alias("Year"), month.alias("Month")]
-    warnings = some("fractional", (
-        cells.where(is_fractional("Cell")).groupBy("Report").agg(F.count(F.lit(1)).alias("Cells"))
-        .select("Report", F.lit(R_FRACTIONAL).alias("Reason"), "Cells")
-    ))
-    if not keep_zero:
-        cells = cells.where(F.col("Name").isNotNull() & (parse_number("Cell") > 0))
-    facts = cells.select("Name", "DataType", *period, coerce_count("Cell").alias(value), "Report")
-    if axis == "monthly":
-        facts = facts.withColumn("MonthNum", month_num("Month")).withColumn(
-            "Date", month_date(F.col("Year"), F.col("MonthNum"))
-        ).where(F.col("Date").isNotNull())
+        facts = cells.where(F.col("Date").isNotNull()).select("Name", "DataType", "Year", "Month", value, "Report", "MonthNum", "Date")
     return Loaded(facts.drop("Report"), bad, warnings, facts)
 
 

@@ -115,7 +115,7 @@ def test_one_scan_a_load_besides_headers(spark, tmp_dir, monkeypatch):
     was = wide_csv.materialize
     monkeypatch.setattr(wide_csv, "materialize", counted)
     got = wide_csv.load_reports(spark, tmp_dir, "annual")
-    assert [n for n, k in scans if k] == ["files", "rows"] and max(k for _, k in scans) == 1
+    assert [n for n, k in scans if k] == ["files", "cells"] and max(k for _, k in scans) == 1
     for df in (got.facts, got.rejects, got.warnings):  # nothing that a user reads scans text again
         assert "Relation [value" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert rows(got.facts, "Name", "Registrations") == [("A", 5), ("B", 1)]
