@@ -64,11 +64,9 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-@lru_cache(maxsize=256)
-def _rules_sql(name: str, rules: tuple, fallback: str) -> str:
-    """The rule CASE WHEN as SQL text over a named column (built once per rule set)."""
-    quoted = name.replace("`", "``")
-    text = f"upper(trim(coalesce(CAST(`{quoted}` AS STRING), {_sql_str(NULL_TEXT)})))"
+def rules_sql(column: str, rules: Rules, fallback: str = FALLBACK) -> str:
+    """The rule CASE WHEN as SQL text over a column as it is written in SQL."""
+    text = f"upper(trim(coalesce(CAST({column} AS STRING), {_sql_str(NULL_TEXT)})))"
     whens = []
     for label, keywords in rules:
         if keywords:
@@ -79,6 +77,13 @@ def _rules_sql(name: str, rules: tuple, fallback: str) -> str:
     return f"CASE {' '.join(whens)} ELSE {_sql_str(fallback)} END"
 
 
+@lru_cache(maxsize=256)
+def _rules_sql(name: str, rules: tuple, fallback: str) -> str:
+    """``rules_sql`` over a column name (built once per rule set)."""
+    quoted = name.replace("`", "``")
+    return rules_sql(f"`{quoted}`", rules, fallback)
+
+
 def categorize(name: Column | str, rules: Rules = FILE_RULES, fallback: str = FALLBACK) -> Column:
     """Compile an ordered keyword rule list into a first-match-wins CASE WHEN."""
     if isinstance(name, str):

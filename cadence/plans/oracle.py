@@ -324,6 +324,13 @@ def build() -> dict[str, str]:
         G,
         body=f"SELECT DataType, Name, CAST(Year AS VARCHAR) AS X, YoYGrowth AS Y FROM ({_view_yoy(None, None, slo, shi)})",
     )
+    # SQL functions
+    sql["sql_growth_yoy"] = sql["growth_view_yoy"]
+    sql["sql_growth_qoq"] = sql["trend_series"]
+    sql["sql_rules"] = (
+        f"SELECT p_partkey, {rules_sql(CAT_CASE, FILE_RULES)} AS FileGroup, {rules_sql(CAT_CASE, STORE_RULES)} AS StoreGroup, "
+        f"{rules_sql('p_name', CUSTOM_RULES)} AS CustomGroup FROM part"
+    )
     # insights
     sql["trend_label"] = with_ctes(
         F_,

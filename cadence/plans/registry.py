@@ -28,6 +28,7 @@ from cadence.functions import (
     safe_name,
     trend_label,
 )
+from cadence import sql
 from cadence.operators import (
     aggregate_annual,
     aggregate_quarterly,
@@ -221,6 +222,31 @@ def q_trend_series_yoy(spark, d):
     return trend_series(growth_view_yoy(yoy_all(spark, d), lo=SERIES_RANGE[0], hi=SERIES_RANGE[1]), "yoy")
 
 
+def q_sql_growth_yoy(spark, d):
+    """The growth view through SQL: a table function of the session over registered facts."""
+    fs = fact_set(spark, d)
+    sql.register_views(spark, grouped(fs.annual), with_month_dates(grouped(fs.monthly())))
+    (kind, name), (lo, hi) = YOY_ENTITY, VIEW_RANGE
+    return spark.sql("SELECT * FROM growth_yoy(:kind, :name, :lo, :hi)", {"kind": kind, "name": name, "lo": lo, "hi": hi})
+
+
+def q_sql_growth_qoq(spark, d):
+    fs = fact_set(spark, d)
+    sql.register_views(spark, grouped(fs.annual), with_month_dates(grouped(fs.monthly())))
+    return spark.sql("SELECT DataType, Name, QuarterYear AS X, QoQGrowth AS Y FROM growth_qoq(first_year => :lo, last_year => :hi)",
+                     {"lo": SERIES_RANGE[0], "hi": SERIES_RANGE[1]})
+
+
+def q_sql_rules(spark, d):
+    """A user's rule list and the two shipped ones as scalar SQL functions."""
+    for function, rules in {**sql.RULE_FUNCTIONS, "custom_group": CUSTOM_RULES}.items():
+        sql.register_rules(spark, function, rules)
+    _part_text(spark, d).createOrReplaceTempView("part_texts")
+    return spark.sql(
+        "SELECT p_partkey, file_group(CategoryText) AS FileGroup, store_group(CategoryText) AS StoreGroup, custom_group(p_name) AS CustomGroup FROM part_texts"
+    )
+
+
 # ---------------------------------------------------------------- insights
 
 def q_trend_label(spark, d):
@@ -639,6 +665,9 @@ QUERIES: dict[str, Query] = {
     "format_growth_table": q_format_growth_table,
     "format_growth_table_qoq": q_format_growth_table_qoq,
     "trend_series_yoy": q_trend_series_yoy,
+    "sql_growth_yoy": q_sql_growth_yoy,
+    "sql_growth_qoq": q_sql_growth_qoq,
+    "sql_rules": q_sql_rules,
     "trend_label": q_trend_label,
     "latest_growth": q_latest_growth,
     "best_period": q_best_period,
