@@ -410,6 +410,11 @@ def build() -> dict[str, str]:
         F_,
         body=f"SELECT {_report('X_Calendar_Year_Year_')} AS Report, row_number() OVER (PARTITION BY DataType, Year ORDER BY Name) AS Serial FROM annual",
     )
+    sql["csv_named_sink"] = with_ctes(
+        F_,
+        body=f"SELECT {_report('X_Calendar_Year_Year_')} AS Report, row_number() OVER (PARTITION BY DataType, Year ORDER BY Name) AS Serial, "
+        "Name, Registrations FROM annual",
+    )
     sql["load_file_profile"] = with_ctes(
         F_,
         body=f"SELECT {group_sql(FILE_RULES)} AS Name, DataType, Year, Month, MonthNum, Date, MonthlyRegistrations "

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -461,6 +462,19 @@ def q_csv_sink(spark, d):
     return records.select(wide_csv.report_of_path(F.col("path")).alias("Report"), wide_csv.split_line(F.col("record"))[0].cast("bigint").alias("Serial"))
 
 
+def q_csv_named_sink(spark, d):
+    """Annual reports as single named CSV files, each opened by its name with a plain CSV reader."""
+    out = scratch_path(spark, "reports")
+    names = wide_csv.write_reports(wide_csv.annual_report_frame(fact_set(spark, d).annual), out, "annual", named=True)
+
+    def opened(name):
+        df = spark.read.option("header", "true").csv(f"{out}/{name}")
+        serial, entity, period, _ = df.columns
+        return df.select(F.lit(name).alias("Report"), F.col(serial).cast("bigint").alias("Serial"), F.col(entity).alias("Name"), F.col(period).cast("bigint").alias("Registrations"))
+
+    return reduce(DataFrame.unionByName, map(opened, names))  # one file per kind and year
+
+
 def q_store_infile_dup(spark, d):
     """Store facts where, beside each maker report, one that holds every key twice arrives before it by name: refused whole."""
     out = scratch_path(spark, "reports")
@@ -690,6 +704,7 @@ QUERIES: dict[str, Query] = {
     "src_rejects": q_src_rejects,
     "src_quoted_cells": q_src_quoted_cells,
     "csv_sink": q_csv_sink,
+    "csv_named_sink": q_csv_named_sink,
     "union_all": q_union_all,
     "load_file_profile": q_load_file_profile,
     "load_store_profile": q_load_store_profile,

@@ -192,4 +192,4 @@ class FactStore:
             if commits.take(self.spark, self.path, number + 1, stage):
                 commits.finish(self.spark, self.path, number + 1)
                 return AppendResult(True, bad, self._dropped(rows, checked))
-            commits._delete(self.spark, stage)
+            commits.delete(self.spark, stage)

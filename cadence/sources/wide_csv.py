@@ -24,6 +24,7 @@ Scale notes
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -36,6 +37,7 @@ from cadence.functions.numeric import coerce_count, is_fractional, parse_number
 from cadence.functions.rules import CATEGORY_TYPE, MAKER_TYPE
 from cadence.session import materialize
 from cadence.sources import settle
+from cadence.sources.commits import delete, rename, staged_files
 
 # Report naming and header conventions.
 REPORT_PREFIX = "Y_"
@@ -374,7 +376,7 @@ def write_lines(lines: DataFrame, out_dir: str, folders: list[str], order: list[
     in_folders(lines, folders, order).select(*folders, "line").write.mode("append").partitionBy(*folders).text(out_dir)
 
 
-def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CHUNK_ROWS) -> list[str]:
+def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CHUNK_ROWS, named: bool = False) -> list[str]:
     """Write one report per (DataType, Year) of a wide frame.
 
     ``wide`` is (DataType, Name, Year, period columns..., TOTAL_TOTAL); a
@@ -384,6 +386,8 @@ def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CH
     One pass writes all reports: rows become CSV lines, a report's rows are
     dealt to chunks of about ``chunk_rows`` (a folder and a task each), and every chunk starts with
     its report's header line. Serials are a chunk's own numbers plus the sizes of the chunks before it.
+    ``named``: every report is one CSV file of its own name, for readers that know no folders: its
+    chunks are merged in order by one task a report (sorted on disk if need be), and the file moves to its name, in the place of an older one, when all are written.
     Returns the report names written.
     """
     prefix = YEAR_PREFIX if axis == "annual" else MONTH_PREFIX
@@ -414,11 +418,29 @@ def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CH
     shown = F.transform(F.filter("Cells", lambda x: F.array_contains("Labels", x["label"])), lambda x: F.coalesce(x["cell"], F.lit("")))
     line = F.concat_ws(",", F.col("Serial").cast("string"), _csv_cell(F.col("Name")), F.concat_ws(",", shown), _csv_cell(F.col("Total")))
     head = F.concat_ws(",", F.lit(SERIAL_COLUMN), F.col("Entity"), F.concat_ws(",", "Labels"), F.lit(TOTAL_COLUMN))
-    line = F.when(F.col("Serial") == F.col("Before") + 1, F.concat(head, F.lit("\n"), line)).otherwise(line)  # a chunk's first row
+    top = F.col("Serial") == (1 if named else F.col("Before") + 1)
+    line = F.when(top, F.concat(head, F.lit("\n"), line)).otherwise(line)  # a chunk's first row
     out = body.select("Report", "Chunk", "Serial", F.posexplode(F.split(line, "\n", -1)).alias("part", "line"))  # lines of a record
-    # rows are dealt by report and chunk already, for their serials
-    write_lines(out, out_dir, ["Report", "Chunk"], ["Serial", "part"])
-    return sorted(r[0] for r in reports.select("Report").collect())  # one name per report
+    names = sorted(r[0] for r in reports.select("Report").collect())  # one name per report
+    if named:
+        _write_named(out.repartition("Report"), out_dir, names)
+    else:  # rows are dealt by report and chunk already, for their serials
+        write_lines(out, out_dir, ["Report", "Chunk"], ["Serial", "part"])
+    return names
+
+
+def _write_named(lines: DataFrame, out_dir: str, names: list[str]) -> None:
+    spark, out_dir = lines.sparkSession, out_dir.rstrip("/")
+    stage = f"{out_dir}/_stage/{uuid.uuid4().hex}"
+    write_lines(lines, stage, ["Report"], ["Serial", "part"])
+    for name in names:
+        parts = staged_files(spark, f"{stage}/Report={name}")
+        if len(parts or []) != 1:
+            raise OSError(f"{name}: one file expected, found {parts}")
+        delete(spark, f"{out_dir}/{name}")
+        if not rename(spark, f"{stage}/Report={name}/{parts[0]}", f"{out_dir}/{name}"):
+            raise OSError(f"cannot move {name} to {out_dir}")
+    delete(spark, stage)
 
 
 def wide_annual(annual: DataFrame) -> DataFrame:

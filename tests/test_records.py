@@ -154,3 +154,19 @@ def test_written_lines_keep_their_order(spark, tmp_dir):
         assert got == sorted(got)
         serials.setdefault(f.split("Report=")[1].split("/")[0], []).extend(got)
     assert all(sorted(s) == list(range(1, 24_001)) for s in serials.values())
+
+
+def test_named_reports_open_with_a_plain_reader(spark, tmp_dir):
+    names = [f"M{i * 7919 % 3000:04}" for i in range(3000)] + ["l\nl", 'q"q', "a,b"]
+    data = [(MAKER_TYPE, n, y, i if y == 2020 else None, i if y == 2021 else None, i) for i, n in enumerate(names) for y in (2020, 2021)]
+    wide = spark.createDataFrame(data, "DataType string, Name string, Year int, `Calendar Year_2020` bigint, `Calendar Year_2021` bigint, TOTAL_TOTAL bigint").repartition(9)
+    for _ in range(2):  # a second time in the place of the first
+        got = wide_csv.write_reports(wide, f"{tmp_dir}/out", "annual", chunk_rows=400, named=True)
+    assert sorted(n for n in os.listdir(f"{tmp_dir}/out") if n[0] not in "._") == got == [NAME.format(2020), NAME.format(2021)]
+    for name, year in zip(got, (2020, 2021), strict=True):
+        with open(f"{tmp_dir}/out/{name}", newline="") as fh:
+            head, *body = csv.reader(fh)
+        assert head == ["S No_S No", "Maker_Maker", f"Calendar Year_{year}", "TOTAL_TOTAL"]
+        assert [r[0] for r in body] == [str(i) for i in range(1, 3004)]
+        assert {r[1]: int(r[2]) for r in body} == {n: i for i, n in enumerate(names)}
+    assert wide_csv.load_reports(spark, f"{tmp_dir}/out", "annual").facts.count() == 6006
