@@ -458,6 +458,7 @@ def build() -> dict[str, str]:
         body="SELECT Name, DataType, Year, Month, 'key exists in store' AS Reason FROM monthly "
         "WHERE MonthlyRegistrations > 0 AND Year = (SELECT max(Year) FROM counts) - 1",
     )
+    sql["stream_growth"] = sql["yoy_growth_store"]
     # catalog
     sql["entity_catalog"] = with_ctes(
         F_,

@@ -626,6 +626,21 @@ def q_stream_ingest(spark, d):
     return ingest_available(spark, cfg)
 
 
+def q_stream_growth(spark, d):
+    """Annual reports land in several batches; a growth table follows the store, touched entities only."""
+    from cadence.streaming import ingest
+
+    landing, base = scratch_path(spark, "reports"), scratch_path(spark, "ingest")
+    annual = fact_set(spark, d).annual
+    wide_csv.write_reports(wide_csv.annual_report_frame(annual), landing, "annual", named=True)
+    cfg = ingest.IngestConfig(
+        landing_glob=f"{landing}/*.csv", axis="annual", store_path=f"{base}/store", rejects_path=f"{base}/rejects", checkpoint=f"{base}/checkpoint",
+        max_files_per_trigger=5, growth_path=f"{base}/growth", rules=STORE_RULES,
+    )
+    ingest.ingest_available(spark, cfg)
+    return ingest.growth_table(spark, cfg).read()
+
+
 # ---------------------------------------------------------------- catalog
 
 def q_entity_catalog(spark, d):
@@ -718,6 +733,7 @@ QUERIES: dict[str, Query] = {
     "store_two_writers": q_store_two_writers,
     "store_read_entity": q_store_read_entity,
     "stream_ingest": q_stream_ingest,
+    "stream_growth": q_stream_growth,
     "entity_catalog": q_entity_catalog,
     "year_bounds": q_year_bounds,
     "preview_head": q_preview_head,

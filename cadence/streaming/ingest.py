@@ -12,7 +12,8 @@ file-by-file insert would; so the store does not depend on how many files a batc
 Fault tolerance: the stream's offsets live in a checkpoint folder on shared
 storage. A batch writes its decision (which reports it takes, which it refuses and
 why) under its number before it appends, and a replayed batch finds that decision
-again; the append skips keys that a first try has already written.
+again; the append skips keys that a first try has already written. A growth table, if one is
+named, follows after each batch: only the entities that the batch added facts of are computed anew.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cadence.functions.rules import Rules
 from cadence.session import materialize, path_exists
 from cadence.sources import wide_csv
 from cadence.sources.store import FactStore
+from cadence.streaming.growth_table import GrowthTable
 
 PATH_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -39,6 +42,8 @@ class IngestConfig:
     checkpoint: str
     max_files_per_trigger: int = 1000
     keep_zero: bool = False  # the store profile keeps positive counts only
+    growth_path: str | None = None  # a growth table that follows the store
+    rules: Rules | None = None  # its grouping of categories
 
 
 def report_paths_stream(spark: SparkSession, cfg: IngestConfig) -> DataFrame:
@@ -55,6 +60,11 @@ def _store(spark: SparkSession, cfg: IngestConfig) -> FactStore:
     return FactStore.annual(spark, cfg.store_path) if cfg.axis == "annual" else FactStore.monthly(spark, cfg.store_path)
 
 
+def growth_table(spark: SparkSession, cfg: IngestConfig) -> GrowthTable:
+    """The growth table of an ingest: year over year for annual facts, quarter over quarter for monthly ones."""
+    return GrowthTable(spark, cfg.growth_path, _store(spark, cfg), "yoy" if cfg.axis == "annual" else "qoq", cfg.rules)
+
+
 R_STORED = "key exists in store"
 _DECISION = "Report string, Reason string"  # a taken report has no reason
 
@@ -87,6 +97,8 @@ def make_batch_writer(cfg: IngestConfig):
         refused.coalesce(1).write.mode("overwrite").parquet(f"{cfg.rejects_path}/batch={int(epoch_id)}")
         taken = loaded.by_report.join(decision.where(F.col("Reason").isNull()).select("Report"), "Report", "left_semi")
         store.append(taken.drop("Report"), on_conflict="skip")
+        if cfg.growth_path:
+            growth_table(spark, cfg).refresh(taken)
         loaded.warnings.write.mode("overwrite").parquet(f"{cfg.rejects_path}-warnings/batch={int(epoch_id)}")
 
     return write_batch

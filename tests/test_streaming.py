@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cadence.functions import MAKER_TYPE
+import random
+
+from cadence.functions import CATEGORY_TYPE, MAKER_TYPE
 from cadence.sources.store import FactStore
 from cadence.streaming.ingest import IngestConfig, ingest_available, make_batch_writer
 from conftest import rows
@@ -66,3 +68,47 @@ def test_store_and_rejects_do_not_depend_on_batch_size(spark, tmp_dir):
     assert got[0] == got[1]
     assert got[0][0] == [("A", 2021, 5), ("B", 2021, 2)]
     assert [r[0] for r in got[0][1]] == ["Y_Maker_X_Month_Wise_Year_2020.csv", "Y_Maker_X_Month_Wise_Year_2021.csv_b_Year_2021.csv"]
+
+
+def test_growth_table_follows_the_store(spark, tmp_dir):
+    """After each batch the kept table equals a full recompute, and only touched entities were computed."""
+    import os
+
+    from cadence.functions.rules import STORE_RULES
+    from cadence.streaming.growth_table import GrowthTable
+
+    rng = random.Random(3)
+    store = FactStore.annual(spark, f"{tmp_dir}/store")
+    table = GrowthTable(spark, f"{tmp_dir}/growth", store, "yoy", STORE_RULES, buckets=8)
+    assert table.read().count() == 0
+    ddl = "Name string, DataType string, Year int, Registrations bigint"
+    makers = [f"M{i}" for i in range(60)]
+    texts = ["TWO WHEELER(NT)", "TWO WHEELER(T)", "BUS", "TRACTOR", "AMBULANCE"]
+    for batch in range(4):
+        some = makers if batch == 0 else rng.sample(makers, 4) + [f"new{batch}"]
+        data = [(n, MAKER_TYPE, 2020 + batch, rng.randrange(1, 9)) for n in some] + [(t, CATEGORY_TYPE, 2020 + batch, 5) for t in texts[batch :]]
+        df = spark.createDataFrame(data, ddl)
+        store.append(df)
+        before = {f: os.path.getmtime(f"{tmp_dir}/growth/DataType={MAKER_TYPE}/{f}") for f in os.listdir(f"{tmp_dir}/growth/DataType={MAKER_TYPE}")} if batch else {}
+        done = table.refresh(df)
+        assert rows(table.read()) == rows(table.full())
+        assert done.entities == len(some) + len({"2W", "4W", "Other"} if batch < 2 else {"4W", "Other"} if batch < 4 else set())
+        if batch:
+            assert done.rows + done.kept < table.read().count()  # untouched buckets are left alone
+            after = {f: os.path.getmtime(f"{tmp_dir}/growth/DataType={MAKER_TYPE}/{f}") for f in before}
+            assert any(after[f] == before[f] for f in before)
+        again = table.refresh(df)  # a replay
+        assert again.rows == done.rows and rows(table.read()) == rows(table.full())
+    assert table.refresh(df.where("false")).entities == 0
+
+
+def test_ingest_keeps_growth(spark, tmp_dir):
+    from cadence.streaming.ingest import growth_table
+
+    landing = f"{tmp_dir}/landing"
+    cfg = IngestConfig(f"{landing}/*.csv", "monthly", f"{tmp_dir}/store", f"{tmp_dir}/rejects", f"{tmp_dir}/ckpt", 1, growth_path=f"{tmp_dir}/growth")
+    for year in (2022, 2023):
+        monthly_report(landing, "Maker", year, MONTHS12, [("A", list(range(1, 13))), (f"B{year}", [2] * 12)])
+        ingest_available(spark, cfg)
+        table = growth_table(spark, cfg)
+        assert rows(table.read()) == rows(table.full()) and table.read().count() > 0
