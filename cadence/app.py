@@ -171,6 +171,13 @@ def year_range_default(facts: Facts, current_year: int | None = None) -> DataFra
     return year_bounds(facts.annual, facts.monthly, current_year)
 
 
+def store_year_range(spark: SparkSession, store_dir: str, current_year: int | None = None) -> DataFrame:
+    """``year_range_default`` of a store, from the names of its folders; reads no facts."""
+    found = [FactStore.annual(spark, f"{store_dir}/annual_registrations").years(), FactStore.monthly(spark, f"{store_dir}/monthly_registrations").years()]
+    annual, monthly = (spark.createDataFrame([(y,) for y in years], "Year int") for years in found)
+    return year_bounds(annual, monthly, current_year)
+
+
 def previews(facts: Facts, n: int = 5) -> tuple[DataFrame, DataFrame]:
     return (
         preview(facts.annual, ["DataType", "Name", "Year"], n),

@@ -477,6 +477,8 @@ def build() -> dict[str, str]:
         "SELECT min(Year) AS lo, max(Year) AS hi FROM annual UNION ALL "
         "SELECT min(Year) AS lo, max(Year) AS hi FROM monthly)",
     )
+    sql["store_entity_catalog"] = sql["entity_catalog"]
+    sql["store_year_bounds"] = sql["year_bounds"]
     sql["preview_head"] = with_ctes(F_, body="SELECT * FROM annual ORDER BY DataType, Name, Year LIMIT 5")
     sql["preview_head_monthly"] = with_ctes(
         F_, body="SELECT * FROM monthly ORDER BY DataType, Name, Year, Month LIMIT 5"

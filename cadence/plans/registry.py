@@ -29,7 +29,7 @@ from cadence.functions import (
     safe_name,
     trend_label,
 )
-from cadence import sql
+from cadence import app, sql
 from cadence.operators import (
     aggregate_annual,
     aggregate_quarterly,
@@ -59,6 +59,7 @@ from cadence.operators.growth import entity_window
 from cadence.plans import facts
 from cadence.session import materialize, scratch_path
 from cadence.sources import wide_csv
+from cadence.sources.names import NameDictionary
 from cadence.sources.store import FactStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -660,6 +661,26 @@ def q_year_bounds(spark, d):
     return year_bounds(fs.annual, fs.monthly_positive)
 
 
+def q_store_year_bounds(spark, d):
+    """Year bounds of a store from the names of its folders."""
+    fs, out = fact_set(spark, d), scratch_path(spark, "store")
+    FactStore.annual(spark, f"{out}/annual_registrations").create(fs.annual)
+    FactStore.monthly(spark, f"{out}/monthly_registrations").create(fs.monthly_positive)
+    return app.store_year_range(spark, out)
+
+
+def q_store_entity_catalog(spark, d):
+    """The catalogue from a dictionary of names that followed two appends."""
+    initial, batch = _store_split(spark, d)
+    out = scratch_path(spark, "store")
+    store, names = FactStore.monthly(spark, f"{out}/monthly"), NameDictionary(spark, f"{out}/names")
+    for rows in (initial, batch):
+        store.append(rows)
+        names.refresh(rows)
+    known = grouped(names.read())
+    return entity_catalog(known, known.limit(0), ensure_groups=("2W", "3W", "4W"), grouped_type=CATEGORY_TYPE)
+
+
 def q_preview_head(spark, d):
     return preview(annual_once(spark, d), ["DataType", "Name", "Year"], 5)
 
@@ -736,6 +757,8 @@ QUERIES: dict[str, Query] = {
     "stream_growth": q_stream_growth,
     "entity_catalog": q_entity_catalog,
     "year_bounds": q_year_bounds,
+    "store_entity_catalog": q_store_entity_catalog,
+    "store_year_bounds": q_store_year_bounds,
     "preview_head": q_preview_head,
     "preview_head_monthly": q_preview_head_monthly,
     "fn_safe_name": q_fn_safe_name,

@@ -19,6 +19,7 @@ file are sorted by name and carry a Bloom filter on it, so a read of one entity
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadence.session import materialize, path_exists
+from cadence.session import _hadoop, materialize, path_exists
 from cadence.sources import commits
 from cadence.sources.wide_csv import in_folders
 
@@ -134,6 +135,14 @@ class FactStore:
             .select(*[f.name for f in self.schema.fields])
         )
 
+    def years(self) -> list[int]:
+        """Years that the store has facts of, from its folders' names; no file is opened."""
+        if not self.exists() or "Year" not in self.partition_by:
+            return []
+        fs, pattern = _hadoop(self.spark, f"{self.path}/" + "/".join(f"{c}=*" for c in self.partition_by))
+        names = [s.getPath().toString() for s in fs.globStatus(pattern) or []]
+        return sorted({int(y) for n in names for y in re.findall(r"/Year=(-?\d+)(?:/|$)", n)})
+
     def _stored(self, keys: DataFrame) -> DataFrame:
         return self.read().select(*self.key).join(keys, self.key, "left_semi")
 

@@ -13,7 +13,8 @@ Fault tolerance: the stream's offsets live in a checkpoint folder on shared
 storage. A batch writes its decision (which reports it takes, which it refuses and
 why) under its number before it appends, and a replayed batch finds that decision
 again; the append skips keys that a first try has already written. A growth table, if one is
-named, follows after each batch: only the entities that the batch added facts of are computed anew.
+named, follows after each batch: only the entities that the batch added facts of are computed anew. So does a
+dictionary of names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cadence.functions.rules import Rules
 from cadence.session import materialize, path_exists
 from cadence.sources import wide_csv
+from cadence.sources.names import NameDictionary
 from cadence.sources.store import FactStore
 from cadence.streaming.growth_table import GrowthTable
 
@@ -44,6 +46,7 @@ class IngestConfig:
     keep_zero: bool = False  # the store profile keeps positive counts only
     growth_path: str | None = None  # a growth table that follows the store
     rules: Rules | None = None  # its grouping of categories
+    names_path: str | None = None  # a dictionary of the store's names
 
 
 def report_paths_stream(spark: SparkSession, cfg: IngestConfig) -> DataFrame:
@@ -99,6 +102,8 @@ def make_batch_writer(cfg: IngestConfig):
         store.append(taken.drop("Report"), on_conflict="skip")
         if cfg.growth_path:
             growth_table(spark, cfg).refresh(taken)
+        if cfg.names_path:
+            NameDictionary(spark, cfg.names_path).refresh(taken)
         loaded.warnings.write.mode("overwrite").parquet(f"{cfg.rejects_path}-warnings/batch={int(epoch_id)}")
 
     return write_batch

@@ -169,3 +169,21 @@ def test_append_after_append(spark, tmp_dir, kind):
         store.append(spark.createDataFrame([("A", kind, 2020 + i, i), ("A", kind, 2020, 9)], DDL))
     assert rows(store.read(), "Year", "Registrations") == [(2020, 0), (2021, 1), (2022, 2)]
     assert store.append(spark.createDataFrame([], DDL)).appended
+
+
+def test_years_and_names_without_reading_facts(spark, tmp_dir):
+    from cadence import app
+    from cadence.sources.names import NameDictionary
+
+    store = FactStore.annual(spark, f"{tmp_dir}/annual_registrations")
+    assert store.years() == []
+    names = NameDictionary(spark, f"{tmp_dir}/names")
+    for batch in ([("A", 2001, 1), ("B", 2003, 2)], [("A", 1999, 1), ("C, c", 2003, 2)], [("A", 2005, 1)]):
+        df = frame(spark, batch)
+        store.append(df)
+        added = names.refresh(df)
+    assert added == 0 and names.refresh(df) == 0
+    assert store.years() == [1999, 2001, 2003, 2005]
+    bounds = app.store_year_range(spark, tmp_dir, 2004)
+    assert rows(bounds) == [(1999, 2005)] and "parquet" not in bounds._jdf.queryExecution().executedPlan().toString().lower()
+    assert rows(names.read()) == [(MAKER_TYPE, n) for n in ("A", "B", "C, c")]
