@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .bytes_np import LOWER, RangeHash, Words, mix, window_hash
 from .common import Text, doc_slices, few, materialize, pick, ship_package
 from .components import components
-from .stream_dedup import file_backed, located
+from .stream_dedup import file_backed, located, placed
 
 #: Counters of the frequency sketch (2**_SKETCH, a byte each: 32 MB) and of one of its rows in a shuffle. Counts end at
 #: 255. The sketch orders tokens only; the more tokens a counter stands for, the more sets meet by chance.
@@ -372,5 +372,5 @@ def one_each(docs: DataFrame, **kw) -> DataFrame:
     named = seen.filter("n > 0").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     stays = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "loc")).alias("m")).select("m.loc")
     stays = stays.unionByName(seen.filter("n = 0").select("loc")).withColumnRenamed("loc", "__loc")
-    src = located(docs).withColumn("__loc", F.xxhash64("__file", "__row"))
-    return src.join(stays, "__loc", "left_semi").select(*[pick(docs, c) for c in docs.columns])
+    src = placed(docs).withColumn("__loc", F.xxhash64("__file", "__row"))
+    return src.join(stays, "__loc", "left_semi").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])

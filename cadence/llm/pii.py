@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -248,6 +249,26 @@ def hints(t: str) -> tuple[bool, bool, bool]:
     return bool(_STRANGE.search(t)), signs, bool(_ANY_WORD.search(t))
 
 
+class Cover:
+    """Spans of which none lies in another, by start and so by end; tells whether a span lies in one of them."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.ends = [], []
+        for s in spans:
+            self.add(s)
+
+    def __contains__(self, span: Span) -> bool:
+        i = bisect_right(self.starts, span[0]) - 1
+        return i >= 0 and self.ends[i] >= span[1]
+
+    def add(self, span: Span) -> None:
+        if span in self:
+            return
+        lo, hi = bisect_left(self.starts, span[0]), bisect_right(self.ends, span[1])
+        hi = max(lo, hi)  # those between lie in the new span
+        self.starts[lo:hi], self.ends[lo:hi] = [span[0]], [span[1]]
+
+
 def disguised(t: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only the normalised copies show; one that lies in a span of its kind adds nothing."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
@@ -265,16 +286,16 @@ def disguised(t: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
         copies.append(spelled(plain))
         if signs:
             copies.append(spelled(bracketed(plain)))
-    seen = {k: list(v) for k, v in base.items()}
+    seen = {k: Cover(v) for k, v in base.items()}
     for copy in copies[1:]:
         if copy.text == t:
             continue
         for kind, spans in detect(copy.text).items():
             for s in spans:
                 a, b = copy.span(s)
-                if t[a:b] != copy.text[s[0] : s[1]] and not any(x <= a and b <= y for x, y in seen[kind]):
+                if t[a:b] != copy.text[s[0] : s[1]] and (a, b) not in seen[kind]:
                     out[kind].append((a, b))
-                    seen[kind].append((a, b))
+                    seen[kind].add((a, b))
     return out
 
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .bytes_np import RangeHash, Words, mix, per_doc_sum, repeats, window_hash
 from .common import Text, doc_slices, pick, ship_package
@@ -121,23 +122,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train(got[list(FEATURES)].to_numpy(float), (got["y"] > 0).to_numpy(float), list(FEATURES.values()))
 
 
-def measured(docs: DataFrame, trees: Trees, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (default: all), then the counts, ``base_failed``, ``score`` and ``kept``."""
+def measured(docs: DataFrame, trees: Trees, *, text_col: str = "text", keep: list[str] | None = None, only_kept: bool = False) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (default: all), then the counts, ``base_failed``, ``score`` and ``kept``; ``only_kept``: of the kept rows."""
     ship_package(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     kept_cols = [pick(docs, c).alias(f"__c{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*kept_cols, pick(docs, text_col).cast("string").alias("__t"))
+    # a text that is kept as it is goes to the workers once
+    own = text_col in keep and isinstance(docs.schema[text_col].dataType, StringType)
+    of = f"__c{keep.index(text_col)}" if own else "__t"
+    rows = docs.select(*kept_cols, *([] if own else [pick(docs, text_col).cast("string").alias("__t")]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t in doc_slices(batches, "__t"):
+        for part, t in doc_slices(batches, of):
             counts, x = statistics(t)
             failed = base_failed(counts)
             score = trees.score(x)
             kept = ~failed & ((score >= 0.5) | (len(trees.root) == 0))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], *(pa.array(counts[:, k]) for k in range(len(COUNTS))), pa.array(failed), pa.array(score), pa.array(kept)],
+            out = pa.RecordBatch.from_arrays(
+                [*part.columns[: len(keep)], *(pa.array(counts[:, k]) for k in range(len(COUNTS))), pa.array(failed), pa.array(score), pa.array(kept)],
                 names=schema.names,
             )
+            yield out.filter(out.column(len(schema.names) - 1)) if only_kept else out
 
     schema = rows.drop("__t").schema
     for c in COUNTS:
@@ -155,5 +160,5 @@ def report(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataF
 
 def kept_documents(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    got = measured(docs, fit(docs, labels, sample=sample)).filter("__kept")
+    got = measured(docs, fit(docs, labels, sample=sample), only_kept=True)  # rejected texts do not come back from the workers
     return got.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -49,6 +49,13 @@ def located(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__file": m.getField("file_path"), "__row": m.getField("row_index")})
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """A file-backed frame's columns under names of their place (``__c0`` ..), and its content locator."""
+    m = docs.metadataColumn("_metadata")
+    own = [pick(docs, c).alias(f"__c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*own, m.getField("file_path").alias("__file"), m.getField("row_index").alias("__row"))
+
+
 def update_state(spark: SparkSession, landing: str, state: str, files_per_trigger: int = 1000) -> None:
     """Fold the landing files that the state has not seen yet into it.
 
@@ -173,7 +180,7 @@ def deduplicated(docs: DataFrame, **kw) -> DataFrame:
     d = decisions(docs, **kw)
     stays = d.filter((F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row")))
     stays = stays.select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    return located(docs).join(stays, ["__file", "__row"], "left_semi").select(*[pick(docs, c) for c in docs.columns])
+    return placed(docs).join(stays, ["__file", "__row"], "left_semi").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 ORACLE = r"""

@@ -33,10 +33,14 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def suffixes(host: Column) -> Column:
-    """A host and all its parent domains, longest first."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+def labels_of(name: Column) -> Column:
+    """Number of labels of a host or pattern."""
+    return F.size(F.split(name, r"\."))
+
+
+def domain_of(host: Column, labels: Column) -> Column:
+    """The last ``labels`` labels of a host."""
+    return F.call_function("substring_index", host, F.lit("."), -labels)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -53,22 +57,34 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.select("pattern", F.col("e.action").alias("action"), "since", until.alias("until")).filter("action IN ('block', 'allow')")
 
 
-def verdicts(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
-    """``captures`` with ``__pattern``, ``__action`` and ``__since`` of the entry that decides, null where none is active."""
-    rows = captures.withColumns({"__host": host_of(pick(captures, url_col)), "__at": pick(captures, time_col).cast("timestamp_ntz")})
+def verdicts(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", time_col: str = "fetched", prefix: str = "__") -> DataFrame:
+    """``captures`` with ``__host`` and ``__pattern``, ``__action``, ``__since`` of the entry that decides, null where none is active.
+
+    Columns of these names that the captures have stay beside them; another ``prefix`` tells them apart.
+    """
+    own = [pick(captures, c).alias(f"__c{i}") for i, c in enumerate(captures.columns)]
+    rows = captures.select(*own, host_of(pick(captures, url_col)).alias("__host"), pick(captures, time_col).cast("timestamp_ntz").alias("__at"))
     asked = rows.filter("__host IS NOT NULL AND __at IS NOT NULL").select("__host", "__at").distinct()
-    looked = asked.select("__host", "__at", F.posexplode(suffixes(F.col("__host"))).alias("__depth", "pattern"))
-    active = looked.join(intervals(entries), "pattern").filter((F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
-    best = active.groupBy("__host", "__at").agg(F.min_by(F.struct("pattern", "action", "since"), "__depth").alias("__e"))
+    lists = intervals(entries)
+    # only numbers of labels that patterns have are asked for, so a host of very many labels costs no more than its length
+    counts = lists.agg(F.sort_array(F.collect_set(labels_of(F.col("pattern")))).alias("n")).scalar()
+    looked = asked.select("__host", "__at", labels_of(F.col("__host")).alias("__most"), counts.alias("__counts"))
+    looked = looked.select("__host", "__at", "__most", F.explode("__counts").alias("labels")).filter("labels <= __most")
+    looked = looked.select("__host", "__at", "labels", domain_of(F.col("__host"), F.col("labels")).alias("pattern"))
+    active = looked.join(lists, "pattern").filter((F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
+    best = active.groupBy("__host", "__at").agg(F.max_by(F.struct("pattern", "action", "since"), "labels").alias("__e"))
     return rows.join(best, ["__host", "__at"], "left").select(
-        *[pick(captures, c) for c in captures.columns], "__host",
-        F.col("__e.pattern").alias("__pattern"), F.col("__e.action").alias("__action"), F.col("__e.since").alias("__since"),
+        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(captures.columns)], F.col("__host").alias(f"{prefix}host"),
+        F.col("__e.pattern").alias(f"{prefix}pattern"), F.col("__e.action").alias(f"{prefix}action"), F.col("__e.since").alias(f"{prefix}since"),
     )
 
 
 def allowed(captures: DataFrame, entries: DataFrame, **kw) -> DataFrame:
     """The captures that no active ``block`` entry decides."""
-    return verdicts(captures, entries, **kw).filter("coalesce(__action, '') <> 'block'").select(*[pick(captures, c) for c in captures.columns])
+    n = len(captures.columns)
+    got = verdicts(captures, entries, **kw)
+    got = got.toDF(*[f"__c{i}" for i in range(n)], "__host", "__pattern", "__action", "__since").filter("coalesce(__action, '') <> 'block'")
+    return got.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(captures.columns)])
 
 
 # The page table has no fetch dates and no lists, so the query derives both from its rows: a page is fetched on a day
