@@ -80,11 +80,12 @@ def lay(starts: np.ndarray, total: int, at: int, size: int) -> np.ndarray:
 
 def pack(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, tokenizer: str | None = None,
-    end_id: int = 0, with_ids: bool = False, partitions: int | None = None,
+    end_id: int = 0, with_ids: bool = False, partitions: int | None = None, release: bool = False,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    ``with_ids`` adds the ids themselves (``ids``, little-endian unsigned 32-bit).
+    ``with_ids`` adds the ids themselves (``ids``, little-endian unsigned 32-bit). ``release``: a worker gives back the
+    tokenizer's table of parts at a task's end, for other stages beside it; the next task learns it anew.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -95,6 +96,13 @@ def pack(
         for part, t in doc_slices(batches, "t"):
             yield pa.RecordBatch.from_arrays([part["id"], part["t"], pa.array(hilbert(coordinates(t)))], names=["id", "t", "key"])
 
+    def cut_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from cut(batches)
+        finally:
+            encoder(path).forget()
+            pa.default_memory_pool().release_unused()
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         enc = encoder(path)
@@ -140,7 +148,7 @@ def pack(
     by = [F.col("key"), F.col("id"), F.xxhash64("t")]
     ranged = keyed.repartitionByRange(partitions, *by) if partitions else keyed.repartitionByRange(*by)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return ranged.sortWithinPartitions(*by).drop("key").mapInArrow(cut, schema)
+    return ranged.sortWithinPartitions(*by).drop("key").mapInArrow(cut_and_release if release else cut, schema)
 
 
 def _joined(parts: list[dict]) -> dict:

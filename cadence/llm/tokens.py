@@ -51,6 +51,10 @@ class Encoder:
         self.inner: dict[str, bytes] = {}  # by the part without its leading space
         self.head: dict[str, bytes] = {}  # parts that open a text
 
+    def forget(self) -> None:
+        """Give back the tables of parts."""
+        self.inner, self.head = {}, {}
+
     def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
 
@@ -69,7 +73,7 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if len(self.inner) > KEEP:
-            self.inner, self.head = {}, {}
+            self.forget()
         cut: list[list[str] | None] = []
         new: dict[str, None] = {}
         heads: dict[str, None] = {}

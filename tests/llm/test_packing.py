@@ -104,3 +104,9 @@ def test_special_tokens_are_the_librarys(spark):
     id_files.write_ids(docs, path)
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in id_files.read_ids(spark, path).collect()}
     assert got == {i: (len(ids) + 1, zlib.crc32(np.array(ids + [0], "<u4").tobytes())) for i, ids in enumerate(want)}
+
+
+def test_release_changes_nothing(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    kept, released = (sorted(map(tuple, packing.pack(docs, release=r).collect()), key=str) for r in (False, True))
+    assert kept == released
