@@ -7,16 +7,17 @@ goes. Work is split so that equal strings meet in one shard:
    ``GRAM``-byte substrings the one with the least hash, the leftmost of equals. Runs of windows with one
    anchor form a region: the bytes that the run covers. Equal windows have equal anchors.
 2. Anchors seen once need nothing more. Of regions under the other anchors each
-   different text counts once, with its number of places.
+   different text goes on, from two of its places if it has several.
 3. A shard holds the regions of some anchors, end to end. Its suffix array is sorted by
    induction (``suffix_sort``), permuted common prefixes follow, and a window is repeated if its
-   suffix shares ``LENGTH`` bytes with a neighbour, or its region has several places.
+   suffix shares ``LENGTH`` bytes with a neighbour.
 4. An anchor with more than ``HOT`` different regions (the edge of a passage that very many documents
-   share) is split: its windows are counted one by one by their own hash, and those with several places go on as regions of one window.
+   share) is split: its windows meet one by one under the anchor and their own hash, and those with several places go on as
+   regions of one window, dealt to shards by that hash.
 5. Repeated windows meet their documents again, and the bytes they cover go.
 
-Hashes (64-bit, of a gram, and of a region) only decide what meets; two different
-regions under one anchor agree with chance 2**-64.
+Hashes (64-bit, of a gram, and of a region or window) only decide what meets, the suffix array decides what repeats. Places
+of equal hashes take the verdict of two of them; two different regions under one anchor agree with chance 2**-64.
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes keep
 everything; rows with equal or null identifiers are separate documents; an
@@ -48,9 +49,9 @@ _BROADCAST_ROWS = 50_000
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost least of each ``w`` consecutive values (by their upper bits)."""
+    """Position of the leftmost least of each ``w`` consecutive values (by their upper 32 bits, in slices of any size)."""
     n = len(h)
-    low = np.uint64((1 << max(1, int(n).bit_length())) - 1)
+    low = np.uint64((1 << 32) - 1)  # a slice has fewer places: texts of a batch stay below 2 GB
     key = (h & ~low) | np.arange(n, dtype=np.uint64)
     pad = -n % w
     grid = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
@@ -112,38 +113,41 @@ def _with_texts(rows: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _region_texts(rows: DataFrame, regions: DataFrame, length: int) -> DataFrame:
-    """``key, body, n, raw`` of each region, from one of its places."""
+    """``shard, key, body, again, raw`` of each region, from one of its places, and from another one (``again``) if it has several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in doc_slices(batches, "t"):
             out: list[tuple] = []
             for i, at in enumerate(part["at"].to_pylist()):
                 raw = t.raw(i)
-                out += [(x["key"], x["body"], x["n"], raw[x["s"] : x["s"] + x["m"] + length]) for x in at]
-            key, body, n, raw = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(body, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["key", "body", "n", "raw"])
+                out += [(x["shard"], x["key"], x["body"], x["again"], raw[x["s"] : x["s"] + x["m"] + length]) for x in at]
+            cols = zip(*out, strict=True)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "key", "body", "again", "raw"])
 
-    got = _with_texts(rows, regions.select("rep.loc", "rep.s", "rep.m", "key", "body", "n"))
-    return got.select("t", "at").mapInArrow(run, "key long, body long, n long, raw binary")
+    first = regions.select("rep.loc", "rep.s", "rep.m", "shard", "key", "body", F.lit(False).alias("again"))
+    second = regions.filter("n > 1").select("other.loc", "other.s", "other.m", "shard", "key", "body", F.lit(True).alias("again"))
+    got = _with_texts(rows, first.unionByName(second))
+    return got.select("t", "at").mapInArrow(run, "shard long, key long, body long, again boolean, raw binary")
 
 
-def repeated_windows(raws: list[bytes], several: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each region, which of its windows are repeated: by the suffix array of all regions, or as the region has ``several`` places."""
+def repeated_windows(raws: list[bytes], length: int) -> list[np.ndarray]:
+    """For each region, which of its windows are repeated, by the suffix array of all regions; a text comes twice at most."""
     sizes = np.array([len(r) for r in raws])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    t = np.frombuffer(b"".join(r + b"\0" for r in raws) + b"\0", np.uint8).astype(np.int32) + 2
+    t = np.frombuffer(b"".join(r + b"\0" for r in raws) + b"\0", np.uint8).astype(np.int16) + np.int16(2)
     t[begin + sizes] = 1  # between regions
     t[-1] = 0
     sa = suffix_array(t, 258)
     left = np.repeat(begin + sizes, sizes + 1) - np.arange(len(t) - 1)  # bytes to the region's end
     left = np.append(left, 0)
-    # different regions: a common prefix ends within two regions
+    # equal regions are followed by different ones, or by the end: a common prefix ends within two regions
     plcp, phi = permuted_lcp(t, sa, 2 * int(sizes.max()) + 4)
     hit = (np.minimum(np.minimum(plcp, left), left[phi]) >= length) & (phi >= 0)
     again = np.zeros(len(t), bool)
     again[hit] = True
     again[phi[hit]] = True
-    return [again[b : b + k - length + 1] | x for b, k, x in zip(begin.tolist(), sizes.tolist(), several.tolist(), strict=True)]
+    return [again[b : b + k - length + 1] for b, k in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
 def _sorted_shards(texts: DataFrame, length: int) -> DataFrame:
@@ -151,9 +155,11 @@ def _sorted_shards(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[tuple]) -> pa.RecordBatch:
-            flags = repeated_windows([h[3] for h in held], np.array([h[2] > 1 for h in held]), length)
+            flags = repeated_windows([h[4] for h in held], length)
             rows: list[tuple] = []
-            for (key, body, _, _), f in zip(held, flags, strict=True):
+            for (_, key, body, second, _), f in zip(held, flags, strict=True):
+                if second:  # its region's other place tells the same
+                    continue
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
                 rows += [(key, body, a, b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
             cols = zip(*rows, strict=True) if rows else [[]] * 4
@@ -161,22 +167,22 @@ def _sorted_shards(texts: DataFrame, length: int) -> DataFrame:
 
         held: list[tuple] = []
         size, last = 0, None
-        for b in batches:  # sorted by key; a shard is made of whole keys
-            for row in zip(*(b[c].to_pylist() for c in ("key", "body", "n", "raw")), strict=True):
+        for b in batches:  # a suffix array takes whole shards
+            for row in zip(*(b[c].to_pylist() for c in ("shard", "key", "body", "again", "raw")), strict=True):
                 if size >= SHARD_BYTES and row[0] != last:
                     yield out(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
                 last = row[0]
         if held:
             yield out(held)
 
-    return texts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, body long, a int, b int")
+    return texts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "key long, body long, a int, b int")
 
 
 def _single_windows(rows: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """``loc, s, m, key, body`` of every window of the given runs by itself (m is 0)."""
+    """``loc, s, m, key, body`` of every window of the given runs by itself (m is 0); body is the window's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in doc_slices(batches, "t"):
@@ -184,18 +190,21 @@ def _single_windows(rows: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             loc = part["loc"].to_numpy()
             for i, at in enumerate(part["at"].to_pylist()):
                 s = np.concatenate([np.arange(x["s"], x["s"] + x["m"] + 1) for x in at])
+                key = np.repeat(np.array([x["key"] for x in at], np.int64), [x["m"] + 1 for x in at])
                 h = hashed(s + t.offsets[i], s + t.offsets[i] + length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(s), loc[i])), pa.array(s.astype(np.int32)), pa.array(np.zeros(len(s), np.int32)), pa.array(h.view(np.int64)), pa.array(mix(h).view(np.int64))],
+                    [pa.array(np.full(len(s), loc[i])), pa.array(s.astype(np.int32)), pa.array(np.zeros(len(s), np.int32)), pa.array(key), pa.array(h.view(np.int64))],
                     names=["loc", "s", "m", "key", "body"],
                 )
 
     return _with_texts(rows, runs).select("loc", "t", "at").mapInArrow(run, "loc long, s int, m int, key long, body long")
 
 
-def _regions(runs: DataFrame) -> DataFrame:
-    """Different regions: ``key, body, n`` places, and one of them."""
-    return runs.groupBy("key", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("loc", "s", "m")).alias("rep"))
+def _regions(runs: DataFrame, shard: str) -> DataFrame:
+    """Different regions: ``key, body, n`` places, two of them, and the column whose values are dealt to shards."""
+    place = F.struct("loc", "s", "m")
+    found = runs.groupBy("key", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep"), F.max(place).alias("other"))
+    return found.withColumn("shard", F.col(shard))
 
 
 def covers(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -204,11 +213,11 @@ def covers(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     # anchors with two places or more; the count of a hot one arrives as one row a task
     many = materialize(runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "repeat-anchors")
     shared = materialize(runs.join(_small(many), "key"), "repeat-shared")
-    regions = materialize(_regions(shared), "repeat-regions")
+    regions = materialize(_regions(shared, "key"), "repeat-regions")
     hot = materialize(regions.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT).select("key"), "repeat-hot")
     if not hot.isEmpty():  # both ways give the same windows; only the split differs
-        single = materialize(_single_windows(rows, shared.join(_small(hot), "key").select("loc", "s", "m"), length), "repeat-windows")
-        again = _regions(single).filter("n > 1")
+        single = materialize(_single_windows(rows, shared.join(_small(hot), "key").select("loc", "s", "m", "key"), length), "repeat-windows")
+        again = _regions(single, "body").filter("n > 1")
         regions = materialize(regions.join(_small(hot), "key", "left_anti").unionByName(again), "repeat-regions")
         shared = shared.join(_small(hot), "key", "left_anti").select(single.columns).unionByName(single)
     found = materialize(_sorted_shards(_region_texts(rows, regions, length), length), "repeat-found")

@@ -1,8 +1,8 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, on numpy arrays.
 
 Suffixes are classed as S (less than the next suffix) or L. The leftmost S
-suffixes of each S run (LMS) are sorted first: their substrings are induced
-into order and named, and where names repeat, the string of names is sorted the same
+suffixes of each S run (LMS) are sorted first: their substrings, of a few symbols
+each, are sorted by keys of packed symbols and named, and where names repeat, the string of names is sorted the same
 way, recursively. All other suffixes are then induced from them in two linear
 scans, L types by rising and S types by falling first symbol.
 
@@ -42,7 +42,7 @@ def _append(sa: np.ndarray, fill: np.ndarray, pos: np.ndarray, sym: np.ndarray,
 
 
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """Suffix array from LMS positions in order (by whole suffix, or by first symbol for a first sort)."""
+    """Suffix array from LMS positions in order (by whole suffix)."""
     n = len(t)
     count = np.bincount(t, minlength=sigma)
     end = np.cumsum(count)
@@ -149,16 +149,31 @@ def _few_ties(t: np.ndarray, sigma: int) -> np.ndarray:
     return sa
 
 
-def _equal(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Are the ``size`` symbols at a and at b the same, element by element."""
-    same = np.ones(len(a), bool)
-    left, k = np.arange(len(a)), 0
-    while len(left):
-        left = left[size[left] > k]
-        ok = t[a[left] + k] == t[b[left] + k]
-        same[left[~ok]] = False
-        left, k = left[ok], k + 1
-    return same
+def _substring_ranks(t: np.ndarray, s: np.ndarray, lms: np.ndarray, size: np.ndarray, sigma: int) -> np.ndarray:
+    """For each LMS substring, how many are less: as many (symbol, type) pairs at once as a 64-bit key holds, then the next ones of those that tie.
+
+    Of two substrings that agree as far as the shorter goes, both end there: the types make its last symbol an LMS one in the other.
+    """
+    bits = (2 * sigma + 1).bit_length()
+    step = 62 // bits
+    v = 2 * t.astype(np.int64) + s + 1  # 0 stands behind a substring's end
+    rank = np.zeros(len(lms), np.int64)
+    tied, k = np.arange(len(lms)), 0
+    while len(tied):
+        key = np.zeros(len(tied), np.int64)
+        at, left = lms[tied] + k, size[tied] - k
+        for j in range(step):
+            key = (key << bits) | np.where(left > j, v[np.minimum(at + j, len(v) - 1)], 0)
+        first = rank[tied]
+        order = np.lexsort((key, first)) if k else np.argsort(key, kind="stable")
+        tied, first, key, left = tied[order], first[order], key[order], left[order]
+        group = np.concatenate([[True], first[1:] != first[:-1]])
+        part = group | np.concatenate([[True], key[1:] != key[:-1]])
+        at = np.arange(len(tied))
+        rank[tied] = first + np.maximum.accumulate(np.where(part, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        alone = part & np.append(part[1:], True)
+        tied, k = tied[~alone & (left > step)], k + step
+    return rank
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
@@ -173,21 +188,15 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     if len(lms) <= 1:
         return _induce(t, s, lms, sigma)
     size = np.append(np.diff(lms) + 1, 1)  # an LMS substring ends with the next LMS symbol
-    order = _induce(t, s, lms, sigma)
-    place = np.full(n, -1, np.int64)
-    place[lms] = np.arange(len(lms))
-    rank = place[order]
-    rank = rank[rank >= 0]  # LMS substrings in order
-    del order, place
-    a, b = rank[:-1], rank[1:]
-    # substrings that differ only in how far they run differ in length; of equal lengths and symbols the types agree too
-    same = size[a] == size[b]
-    same[same] = _equal(t, lms[a[same]], lms[b[same]], size[a[same]])
-    name = np.concatenate([[0], np.cumsum(~same)])
-    names = np.empty(len(lms), np.int32)
-    names[rank] = name
-    if name[-1] + 1 < len(lms):
-        rank = suffix_array(names, int(name[-1]) + 1)
+    less = _substring_ranks(t, s, lms, size, sigma)
+    begins = np.zeros(len(lms), np.int64)
+    begins[less] = 1
+    names = (np.cumsum(begins) - 1).astype(np.int32)[less]
+    if begins.sum() < len(lms):
+        rank = suffix_array(names, int(begins.sum()))
+    else:
+        rank = np.empty(len(lms), np.int64)
+        rank[less] = np.arange(len(lms))
     return _induce(t, s, lms[rank], sigma)
 
 

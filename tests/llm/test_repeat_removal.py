@@ -85,3 +85,24 @@ def test_other_lengths(spark):
     rows = planted(random.Random(9))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(repeat_removal.removed(docs, length=60, gram=20)) == brute(rows, 60)
+
+
+def test_anchors_do_not_depend_on_the_slice():
+    """Equal windows get equal anchors, also where the upper bits of hashes tie and slices differ in size."""
+    rng = np.random.default_rng(3)
+    for bits in (3, 8, 34, 64):
+        block = rng.integers(0, 1 << 62, 400, dtype=np.uint64) << np.uint64(64 - bits) if bits < 64 else rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        small = repeat_removal._least(block, 153)
+        for before, after in ((0, 1), (1 << 16, 5), (7, 1 << 20), (1 << 20, 1 << 20)):
+            h = np.concatenate([rng.integers(0, 1 << 63, before, dtype=np.uint64), block, rng.integers(0, 1 << 63, after, dtype=np.uint64)])
+            assert (repeat_removal._least(h, 153)[before : before + len(small)] - before).tolist() == small.tolist()
+
+
+def test_a_shard_tells_repeats_from_texts_alone():
+    rng = random.Random(4)
+    for _ in range(60):
+        raws = list({"".join(rng.choice("ab") for _ in range(rng.randrange(6, 40))).encode() for _ in range(rng.randrange(1, 12))})
+        raws += rng.sample(raws, rng.randrange(len(raws) + 1))
+        seen = Counter(r[i : i + 6] for r in raws for i in range(len(r) - 5))
+        got = repeat_removal.repeated_windows(raws, 6)
+        assert [f.tolist() for f in got] == [[seen[r[i : i + 6]] > 1 for i in range(len(r) - 5)] for r in raws]
