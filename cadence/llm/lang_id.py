@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-For each language a raw-content dictionary is cut from labelled documents. A
+For each language a raw-content dictionary is put together from a bounded sample of labelled documents:
+one piece of each, from a place in its whole text that a hash of its identifier gives. A
 lower-cased text is compressed in pieces of ``PIECE`` bytes with every dictionary; the
 language whose total is smallest is predicted. ``score`` grows with the margin
 between the best and the second total, and a prediction with a margin below
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import doc_slices, pick, ship_package
 
-#: Bytes of a dictionary, bytes taken from one document for it, documents read for a language at most.
-DICT_BYTES, DOC_BYTES, DOCS = 112 << 10, 2048, 400
+#: Documents that teach a language at most, and characters of the piece that each gives: a dictionary of about 112 KiB.
+DOCS, DOC_CHARS = 224, 512
 PIECE = 4096
 LEVEL = 6
 #: A best total that is not this share below the second one is rejected.
@@ -41,24 +42,41 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(id_col.cast("string"), "utf-8")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES, docs_per_lang: int = DOCS) -> dict[str, bytes]:
-    """Dictionary of each language, from at most ``docs_per_lang`` documents of it.
-
-    Of the documents of a language that are not held out, those with the
-    smallest hashes of the identifier teach; the limit holds on every map task
-    before rows meet. Languages come by falling number of teaching documents.
-    """
+def _teachers(docs: DataFrame, id_col: str, text_col: str, lang_col: str, n: int) -> tuple[DataFrame, list]:
+    """``lang, h, t``: per language the texts with the ``n`` smallest identifier hashes (the least text of an identifier); and its rows by language."""
     lang, text = pick(docs, lang_col).cast("string"), pick(docs, text_col).cast("string")
     rows = docs.filter(lang.isNotNull() & text.isNotNull() & ~held_out(pick(docs, id_col))).select(
-        lang.alias("lang"), F.xxhash64(pick(docs, id_col).cast("string")).alias("h"), F.substring(text, 1, DOC_BYTES).alias("t")
+        lang.alias("lang"), F.xxhash64(pick(docs, id_col).cast("string")).bitwiseAND(F.lit((1 << 63) - 1)).alias("h"), text.alias("t")
     )
-    counts = rows.groupBy("lang").count().collect()  # one row a language
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).filter(F.col("k") <= docs_per_lang)
-    some: dict[str, list[bytes]] = {}
-    for r in ranked.select("lang", "k", "t").orderBy("lang", "k").collect():
-        some.setdefault(r.lang, []).append(r.t.lower().encode()[:DOC_BYTES])
-    order = [r.lang for r in sorted(counts, key=lambda r: (-r["count"], r.lang))]
-    out = {name: b"\n".join(some[name])[:dict_bytes] for name in order}
+    # leading zeros of the hash: about 2**-z of a language's identifiers have z or more, however often each is repeated
+    rows = rows.withColumn("z", F.lit(63) - F.length(F.bin("h")))
+    levels = rows.groupBy("lang", "z").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("h").alias("ids")).collect()  # 63 rows a language at most
+    least: dict[str, int] = {}
+    for r in sorted(levels, key=lambda r: -r.z):
+        if sum(x.ids for x in levels if x.lang == r.lang and x.z > r.z) < 2 * n:  # 2: the counts are near, not exact
+            least[r.lang] = r.z
+    limits = docs.sparkSession.createDataFrame(list(least.items()), "lang string, z0 int")  # one row a language
+    some = rows.join(F.broadcast(limits), "lang").filter("z >= z0").groupBy("lang", "h").agg(F.min("t").alias("t"))
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= n).drop("k")
+    return some, levels
+
+
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS, doc_chars: int = DOC_CHARS) -> dict[str, bytes]:
+    """Dictionary of each language, from at most ``docs_per_lang`` documents of it (a bounded sample) and ``doc_chars`` characters of each.
+
+    Of the documents of a language that are not held out, those with the
+    smallest hashes of the identifier teach, one row of an identifier. A piece starts where the hash says, anywhere in the
+    whole text, and a text of fewer characters is a piece. Which hashes are small enough is known from counts before texts
+    move, so no task gets more than a few times ``docs_per_lang`` texts of a language. Languages come by falling number of teaching rows.
+    """
+    some, levels = _teachers(docs, id_col, text_col, lang_col, docs_per_lang)
+    places = F.greatest(F.char_length("t") - doc_chars + 1, F.lit(1))
+    piece = F.substring(F.col("t"), (F.col("h") % places + 1).cast("int"), F.lit(doc_chars))
+    pieces: dict[str, list[bytes]] = {}
+    for r in some.select("lang", "h", piece.alias("t")).orderBy("lang", "h").collect():
+        pieces.setdefault(r.lang, []).append(r.t.lower().encode())
+    count = {name: sum(x["rows"] for x in levels if x.lang == name) for name in pieces}
+    out = {name: b"\n".join(pieces[name]) for name in sorted(pieces, key=lambda name: (-count[name], name))}
     return {name: body for name, body in out.items() if len(body) >= 8}
 
 

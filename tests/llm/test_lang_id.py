@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import zlib
 
+import xxhash
+import zstandard
+
 from cadence.llm import lang_id
 from cadence.llm.common import table
 
@@ -48,3 +51,54 @@ def test_defined_cases(spark):
     empty = spark.createDataFrame([], schema)
     assert lang_id.report(empty).count() == 0
     assert {r.lang_pred for r in lang_id.predict(spark.createDataFrame(rows, schema), {}).collect()} == {"und"}
+
+
+def plain(rows, docs_per_lang: int, doc_chars: int) -> dict[str, bytes]:
+    """The dictionaries by their definition."""
+    least: dict[tuple, str] = {}
+    count: dict[str, int] = {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and not out(i):
+            h = xxhash.xxh64_intdigest(str(i).encode() if i is not None else b"", seed=42) & ((1 << 63) - 1) if i is not None else 42
+            least[lang, h] = min(text, least.get((lang, h), text), key=lambda s: s.encode())
+            count[lang] = count.get(lang, 0) + 1
+    got = {}
+    for lang in sorted(count, key=lambda x: (-count[x], x)):
+        best = sorted((h, t) for (g, h), t in least.items() if g == lang)[:docs_per_lang]
+        at = [(h % max(len(t) - doc_chars + 1, 1), t) for h, t in best]
+        got[lang] = b"\n".join(t[a : a + doc_chars].lower().encode() for a, t in at)
+    return {k: v for k, v in got.items() if len(v) >= 8}
+
+
+def compressed(body: bytes, raw: bytes) -> int:
+    d = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    c = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(lang_id.LEVEL, dict_size=len(body), write_content_size=False, write_dict_id=False), dict_data=d)
+    return sum(len(c.compress(raw[i : i + lang_id.PIECE])) for i in range(0, len(raw), lang_id.PIECE))
+
+
+def test_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    dictionaries = lang_id.learn(docs)
+    assert dictionaries == plain(rows, lang_id.DOCS, lang_id.DOC_CHARS) and list(dictionaries) == list(plain(rows, lang_id.DOCS, lang_id.DOC_CHARS))
+    got = {r.doc_id: r for r in lang_id.predict(docs, dictionaries).collect()}
+    agree = 0
+    for i, text, _ in rows[:300]:
+        if not text or not lang_id.has_letter(text):
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        totals = [compressed(d, text.lower().encode()) for d in dictionaries.values()]
+        best, second = sorted(totals)[:2]
+        assert abs(got[i].margin - (second - best) / second) < 0.05
+        agree += got[i].lang_pred == list(dictionaries)[totals.index(best)] or (second - best) / second < 0.02
+    assert agree >= 297
+
+
+def test_a_repeated_identifier_teaches_once_and_few_texts_move(spark):
+    rows = [(7, f"copy {i % 5} of the same", "en") for i in range(900)] + [(i, f"text number {i} ☃ of the rest", "en") for i in range(8, 4000)]
+    rows += [(i, f"der {i}. Text", "de") for i in range(5000, 5040)] + [(None, "kein Name", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    for n, chars in ((30, 9), (400, 512)):
+        assert lang_id.learn(docs, docs_per_lang=n, doc_chars=chars) == plain(rows, n, chars)
+    some, _ = lang_id._teachers(docs, "doc_id", "text", "lang", 30)
+    assert some.groupBy("lang").count().filter("count > 30").count() == 0
