@@ -42,8 +42,8 @@ from .suffix_sort import permuted_lcp, suffix_array
 LENGTH, GRAM = 200, 48
 #: Different regions of an anchor that one shard sorts; anchors with more are split.
 HOT = 4096
-#: Region bytes of one suffix array, about.
-SHARD_BYTES = 3 << 20
+#: Region bytes of one suffix array, about; its arrays should stay in a core's cache.
+SHARD_BYTES = 256 << 10
 #: Rows (of 16 to 32 bytes) that may be broadcast; more go through a shuffled join.
 _BROADCAST_ROWS = 50_000
 
