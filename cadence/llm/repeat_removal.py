@@ -43,7 +43,9 @@ LENGTH, GRAM = 200, 48
 #: Different regions of an anchor that one shard sorts; anchors with more are split.
 HOT = 4096
 #: Region bytes of one suffix array, about; its arrays should stay in a core's cache.
-SHARD_BYTES = 256 << 10
+SHARD_BYTES = 128 << 10
+#: Text bytes whose anchors are found at once, likewise (a longer text is taken whole).
+ANCHOR_BYTES = 64 << 10
 #: Rows (of 16 to 32 bytes) that may be broadcast; more go through a shuffled join.
 _BROADCAST_ROWS = 50_000
 
@@ -92,7 +94,7 @@ def anchored_runs(t: Text, length: int = LENGTH, gram: int = GRAM) -> dict[str,
 
 def _anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t in doc_slices(batches, "t"):
+        for part, t in doc_slices(batches, "t", ANCHOR_BYTES):
             r = anchored_runs(t, length, gram)
             loc = part["loc"].to_numpy()[r["doc"]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (loc, r["s"].astype(np.int32), r["m"].astype(np.int32), r["key"], r["body"])], names=["loc", "s", "m", "key", "body"])
@@ -131,8 +133,8 @@ def _region_texts(rows: DataFrame, regions: DataFrame, length: int) -> DataFrame
     return got.select("t", "at").mapInArrow(run, "shard long, key long, body long, again boolean, raw binary")
 
 
-def repeated_windows(raws: list[bytes], length: int) -> list[np.ndarray]:
-    """For each region, which of its windows are repeated, by the suffix array of all regions; a text comes twice at most."""
+def repeated_runs(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(region, a, b)``: runs of repeated windows of each region, by the suffix array of all regions; fast where equal regions are neighbours."""
     sizes = np.array([len(r) for r in raws])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     t = np.frombuffer(b"".join(r + b"\0" for r in raws) + b"\0", np.uint8).astype(np.int16) + np.int16(2)
@@ -141,13 +143,16 @@ def repeated_windows(raws: list[bytes], length: int) -> list[np.ndarray]:
     sa = suffix_array(t, 258)
     left = np.repeat(begin + sizes, sizes + 1) - np.arange(len(t) - 1)  # bytes to the region's end
     left = np.append(left, 0)
-    # equal regions are followed by different ones, or by the end: a common prefix ends within two regions
-    plcp, phi = permuted_lcp(t, sa, 2 * int(sizes.max()) + 4)
+    plcp, phi = permuted_lcp(t, sa, len(t))  # no bound: regions that come again in the same order share long prefixes
     hit = (np.minimum(np.minimum(plcp, left), left[phi]) >= length) & (phi >= 0)
     again = np.zeros(len(t), bool)
     again[hit] = True
     again[phi[hit]] = True
-    return [again[b : b + k - length + 1] for b, k in zip(begin.tolist(), sizes.tolist(), strict=True)]
+    # a hit has ``length`` bytes to its region's end, so runs of different regions do not touch
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
+    a, b = edge[::2], edge[1::2] - 1
+    region = np.searchsorted(begin, a, side="right") - 1
+    return region, a - begin[region], b - begin[region]
 
 
 def _sorted_shards(texts: DataFrame, length: int) -> DataFrame:
@@ -155,15 +160,11 @@ def _sorted_shards(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[tuple]) -> pa.RecordBatch:
-            flags = repeated_windows([h[4] for h in held], length)
-            rows: list[tuple] = []
-            for (_, key, body, second, _), f in zip(held, flags, strict=True):
-                if second:  # its region's other place tells the same
-                    continue
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-                rows += [(key, body, a, b - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-            cols = zip(*rows, strict=True) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "body", "a", "b"])
+            region, a, b = repeated_runs([h[4] for h in held], length)
+            key, body, second = (np.array([h[c] for h in held])[region] for c in (1, 2, 3))
+            first = ~second.astype(bool)  # its region's other place tells the same
+            cols = (key[first].astype(np.int64), body[first].astype(np.int64), a[first].astype(np.int32), b[first].astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "body", "a", "b"])
 
         held: list[tuple] = []
         size, last = 0, None
@@ -178,7 +179,8 @@ def _sorted_shards(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield out(held)
 
-    return texts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "key long, body long, a int, b int")
+    # equal regions side by side: a common prefix then ends within three regions
+    return texts.repartition("shard").sortWithinPartitions("shard", "key", "body").mapInArrow(run, "key long, body long, a int, b int")
 
 
 def _single_windows(rows: DataFrame, runs: DataFrame, length: int) -> DataFrame:
