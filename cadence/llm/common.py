@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from cadence.session import materialize, scratch_path, ship_package
 
 __all__ = [
-    "Text", "doc_slices", "few", "materialize", "pick", "scratch_path", "ship_package", "table", "text_slices",
+    "Text", "doc_slices", "few", "give_back", "materialize", "pick", "scratch_path", "ship_package", "table", "text_slices",
 ]
 
 #: ASCII white space of the contracts: space, tab, \n, \v, \f, \r.
@@ -90,3 +91,12 @@ def doc_slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int = SLI
     for batch in batches:
         for t in text_slices(batch.column(batch.schema.get_field_index(text_col)), most):
             yield batch.slice(t.first, len(t)), t
+
+
+def give_back() -> None:
+    """At a task's end: memory that a reused worker has freed but still holds goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass

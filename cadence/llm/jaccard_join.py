@@ -16,7 +16,7 @@
 5. Components of all links.
 
 Nothing is capped: a pruned pair cannot reach the threshold, and links inside a
-group change no component. Set digests and shingles are 64-bit hashes: two different ones agree with chance 2**-64.
+group change no component. Set digests and shingles are 64-bit hashes: two different ones agree with chance 2**-64; a row's place is kept in 128 bits.
 
 Defined cases: null texts and texts without words have an empty set and no
 links; texts of fewer than k words are one shingle; repeated and null
@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import LOWER, RangeHash, Words, mix, window_hash
-from .common import Text, doc_slices, few, materialize, pick, ship_package
+from .common import Text, doc_slices, few, give_back, materialize, pick, ship_package
 from .components import components
 from .stream_dedup import file_backed, located, placed
 
@@ -53,6 +54,10 @@ _PEELS = 1
 _ROUNDS = 2
 #: Children of a tree node.
 _FAN = 8
+#: Text bytes that one pass of a worker takes; a longer text is a pass of its own.
+_SLICE = 1 << 19
+#: A row's place: 128 bits of its file and its number there.
+_LOC, _LOC_TYPE = "struct<x: long, y: long>", pa.struct([("x", pa.int64()), ("y", pa.int64())])
 
 
 def shingle_sets(t: Text, k: int) -> list[np.ndarray]:
@@ -99,24 +104,27 @@ def _read(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "loc", "n", "sid", "chunk", "counts"]
         sketch = np.zeros(1 << _SKETCH, np.uint8)
-        for part, t in doc_slices(batches, "t"):
+        for part, t in doc_slices(batches, "t", _SLICE):
             sets = shingle_sets(t, k)
             cells = [_cell(s) for s in sets]
             cell, seen = np.unique(np.concatenate(cells), return_counts=True)
             sketch[cell] = np.minimum(sketch[cell] + seen, 255)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], part["loc"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64()),
+                [part["doc_id"], part["loc"].cast(_LOC_TYPE), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64()),
                  pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names,
             )
         if sketch.any():
             parts = sketch.reshape(-1, _CHUNK)
             for at in range(0, len(parts), 64):
                 some = [p.tobytes() for p in parts[at : at + 64]]
+                number, place = pa.nulls(len(some), pa.int64()), pa.nulls(len(some), _LOC_TYPE)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(some), pa.int64())] * 4 + [pa.array(range(at, at + len(some)), pa.int32()), pa.array(some, pa.binary())], names=names
+                    [number, place, number, number, pa.array(range(at, at + len(some)), pa.int32()), pa.array(some, pa.binary())], names=names
                 )
+        del sketch
+        give_back()
 
-    return rows.mapInArrow(run, "doc_id long, loc long, n long, sid long, chunk int, counts binary")
+    return rows.mapInArrow(run, f"doc_id long, loc {_LOC}, n long, sid long, chunk int, counts binary")
 
 
 def _levels(seen: DataFrame) -> np.ndarray:
@@ -137,13 +145,12 @@ def _levels(seen: DataFrame) -> np.ndarray:
     return level
 
 
-def _prefixes(rows: DataFrame, k: int, counts: np.ndarray, num: int, den: int) -> DataFrame:
-    """Second pass: ``token, sid, n`` for the prefix tokens of every set."""
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
+def _prefixes(rows: DataFrame, k: int, shared: Broadcast, num: int, den: int) -> DataFrame:
+    """Second pass: ``token, sid, n`` for the prefix tokens of every set; ``shared``: the sketch's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
-        for _, t in doc_slices(batches, "t"):
+        for _, t in doc_slices(batches, "t", _SLICE):
             tokens, sids, sizes = [], [], []
             for s in shingle_sets(t, k):
                 n = len(s)
@@ -154,6 +161,7 @@ def _prefixes(rows: DataFrame, k: int, counts: np.ndarray, num: int, den: int) -
                     sizes.append(np.full(len(head), n))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([x.view(np.int64) for x in tokens], sids, sizes)], names=["token", "sid", "n"])
+        give_back()
 
     return rows.select("t").mapInArrow(run, "token long, sid long, n long")
 
@@ -162,13 +170,14 @@ def _candidates(rows: DataFrame, k: int) -> DataFrame:
     """Third pass, over one document of each set in a shard: ``sid, n, bits, body``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in doc_slices(batches, "t"):
+        for _, t in doc_slices(batches, "t", _SLICE):
             sets = shingle_sets(t, k)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["sid", "n", "bits", "body"],
             )
+        give_back()
 
     return rows.select("t").mapInArrow(run, "sid long, n long, bits binary, body binary")
 
@@ -271,6 +280,8 @@ def _shard_pairs(shards: DataFrame, num: int, den: int) -> DataFrame:
             held = [t.slice(cut)]
         if held:
             yield from out(pa.concat_tables(held))
+        held = []
+        give_back()
 
     return shards.mapInArrow(run, "a long, b long").distinct()
 
@@ -299,18 +310,23 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.join(few(materialize(tokens, "jaccard-tokens")), "token")
 
 
+def _place() -> Column:
+    return F.struct(F.xxhash64("__file", "__row").alias("x"), F.xxhash64("__row", "__file").alias("y"))
+
+
 def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """``(rows, edges)``: ``doc_id, loc, n, sid`` of every row, and linked set pairs ``a, b`` that give the same components as all links."""
     ship_package(docs.sparkSession)
     src = located(file_backed(docs))
     rows = src.select(
-        pick(src, id_col).cast("long").alias("doc_id"), F.xxhash64("__file", "__row").alias("loc"), pick(src, text_col).cast("string").alias("t")
+        pick(src, id_col).cast("long").alias("doc_id"), _place().alias("loc"), pick(src, text_col).cast("string").alias("t")
     )
     seen = materialize(_read(rows, k), "jaccard-seen")
-    level = _levels(seen)
+    level = docs.sparkSession.sparkContext.broadcast(_levels(seen))
     seen = seen.filter("chunk IS NULL").drop("chunk", "counts")
 
     heads = materialize(_prefixes(rows, k, level, num, den), "jaccard-prefixes")
+    level.unpersist()  # executors fetch it again where a lost one's rows are written anew
     shared = materialize(_several(heads).distinct(), "jaccard-shards")
     least = f"({num} * m + {den - 1}) DIV {den}"  # the smallest set that may link to one of m elements; its count is what a link promises
     for _ in range(_PEELS):
@@ -372,5 +388,5 @@ def one_each(docs: DataFrame, **kw) -> DataFrame:
     named = seen.filter("n > 0").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     stays = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "loc")).alias("m")).select("m.loc")
     stays = stays.unionByName(seen.filter("n = 0").select("loc")).withColumnRenamed("loc", "__loc")
-    src = placed(docs).withColumn("__loc", F.xxhash64("__file", "__row"))
+    src = placed(docs).withColumn("__loc", _place())
     return src.join(stays, "__loc", "left_semi").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
