@@ -93,7 +93,7 @@ def pack(
     rows = docs.select(pick(docs, id_col).cast("long").alias("id"), pick(docs, text_col).cast("string").alias("t"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t in doc_slices(batches, "t"):
+        for part, t in doc_slices(batches, "t", 1 << 19):  # arrays of a pass that stay near a core
             yield pa.RecordBatch.from_arrays([part["id"], part["t"], pa.array(hilbert(coordinates(t)))], names=["id", "t", "key"])
 
     def cut_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

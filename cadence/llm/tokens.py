@@ -23,7 +23,7 @@ import numpy as np
 #: Parts kept by a worker.
 KEEP = 1_000_000
 #: A space next to other white space: no place to cut, so the whole text goes to the tokenizer.
-_NOT_PLAIN = re.compile(r" \s|\s ")
+_NOT_PLAIN = re.compile(r" (?:\s|(?<=\s\s))")
 
 
 def default_tokenizer() -> str:
