@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from cadence.llm import id_codec, id_files
+from cadence.llm import id_codec, id_files, tokens
 from cadence.llm.common import scratch_path, table
 from cadence.llm.tokens import default_tokenizer
 
@@ -85,3 +87,11 @@ def test_files_defined_cases(spark):
     path = scratch_path(spark, "ids-test")
     id_files.write_ids(spark.createDataFrame([], schema), path)
     assert id_files.read_ids(spark, path).count() == 0
+
+
+def test_texts_with_white_space_at_a_cut_are_encoded_whole():
+    rng = random.Random(8)
+    alphabet = " a\t\n\u00a0\u2003\x1cb"
+    for _ in range(3000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(12)))
+        assert bool(tokens._NOT_PLAIN.search(t)) == bool(re.search(r" \s|\s ", t)), t
