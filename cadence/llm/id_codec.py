@@ -2,19 +2,20 @@
 
 A *segment* holds the ids of whole documents, end to end, cut into blocks of
 ``BLOCK`` ids. Every block has its own coder, models and checksum, so any block
-can be read alone. numpy runs all blocks of a segment in step, one lane a block.
+can be read alone, with the segment's number table: ids by falling count, so that the
+commonest have the smallest numbers, and the shares that order 0 starts with. Blocks code these numbers. numpy runs all blocks of a segment in step, one lane a block.
 
 For each id three predictions mix:
 
 * order 2, the id that last followed these two ids, and order 1, that followed
   the last one: each is a point forecast with a run of past hits;
-* order 0, adaptive frequencies of the block's ids so far.
+* order 0, adaptive frequencies: the segment's shares, then the block's ids so far.
 
 One arithmetic-coding step says which forecast holds (order 2, order 1, none).
 Its chances mix two adaptive estimates, one by the forecasts' runs of hits and one by
 the block's last outcomes; the mixing weight is the Bayesian posterior of the
 two and so follows whichever predicts better. Only where no forecast holds, a second step
-codes the id by order 0: ids under 1024 are symbols of their own, larger ones
+codes the id by order 0: numbers under 1024 are symbols of their own, larger ones
 share a symbol by bit length and five leading bits and send the rest plain.
 
 The coder is a carry-less range coder with 48-bit state and 16-bit output words.
@@ -27,7 +28,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TIC1"
+MAGIC = b"TIC2"
 BLOCK = 2048
 #: Blocks that run in step, at most.
 LANES = 4096
@@ -42,6 +43,8 @@ _HASH1, _HASH2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 #: Symbols that a search looks through at once.
 _GROUP = 32
 _ADAPT = 4  # an estimate moves by 1 / 2**_ADAPT of its error
+#: What a block's order 0 starts with counts as this many ids of its own, and an id seen as this many.
+_START, _SEEN = 1500, 1
 
 
 class _Coder:
@@ -117,10 +120,15 @@ class _Reader(_Coder):
             self.at[few] += 1
 
 
+def _classes(bits: int) -> int:
+    """Symbols that larger numbers share."""
+    return max(0, bits - _OWN_BITS) << _LEAD
+
+
 class _Models:
-    """What coder and decoder learn alike; one row a lane. ``bits``: bit length of the largest id."""
+    """What coder and decoder learn alike; one row a lane. ``bits``: bit length of the largest number, ``start``: what order 0 starts with."""
 
-    def __init__(self, lanes: int, bits: int):
+    def __init__(self, lanes: int, bits: int, start: np.ndarray):
         self.lane = np.arange(lanes, dtype=np.int32)
         size = 1 << _HASH_BITS
         self.table = np.full((2, lanes * size), -1, np.int32)  # forecast << 2 | run of hits (0 .. 3), by order
@@ -129,12 +137,11 @@ class _Models:
         self.chance = np.full((2, 2, lanes * 16), 0.25, np.float32)  # order, estimate (by runs, by past)
         self.weight = np.full(lanes, 0.5, np.float32)  # of the estimates by runs
         self.past = np.zeros(lanes, np.int32)
-        # order 0: a rule for the start, then counts of the block itself
+        # order 0: shares in the segment for the start, then counts of the block itself
         own = 1 << _OWN_BITS
-        classes = max(0, bits - _OWN_BITS) << _LEAD
-        edge = np.concatenate([np.arange(own + 1), own + np.cumsum([1 << (k >> _LEAD) + _OWN_BITS - _LEAD for k in range(classes)])])
-        prior = np.diff(np.log(edge + 64.0))
-        self.count = np.tile((prior * (96 / prior.sum())).astype(np.float32), (lanes, 1))
+        classes = _classes(bits)
+        share = start.astype(np.float64) + 0.05
+        self.count = np.tile((share * (_START / share.sum())).astype(np.float32), (lanes, 1))
         self.symbols = own + classes  # a multiple of _GROUP
         self.offset = self.lane * np.int32(_TOTAL)  # 2**12 lanes of 2**16: 28 bits
         self.rebuild()
@@ -201,7 +208,8 @@ class _Models:
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
 
-    def symbol(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def symbol(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of each id and how many plain bits follow."""
         long = ids >> _OWN_BITS > 0
         size = np.where(long, np.frexp(ids.astype(np.float64))[1], 0)
@@ -223,8 +231,8 @@ def _due(t: int) -> bool:
     return t >= 16 and (t & (t - 1) == 0 if t < 512 else t % 512 == 0)
 
 
-def _encode_lanes(grid: np.ndarray, n: np.ndarray, bits: int) -> list[bytes]:
-    m, coder = _Models(len(n), bits), _Writer(len(n), BLOCK * 4 + 64)
+def _encode_lanes(grid: np.ndarray, n: np.ndarray, bits: int, start: np.ndarray) -> list[bytes]:
+    m, coder = _Models(len(n), bits, start), _Writer(len(n), BLOCK * 4 + 64)
     for t in range(grid.shape[1]):
         k = int(np.searchsorted(-n, -t))  # only the last lanes may be short
         if _due(t):
@@ -242,7 +250,7 @@ def _encode_lanes(grid: np.ndarray, n: np.ndarray, bits: int) -> list[bytes]:
             symbol, plain = m.symbol(some)
             low = m.cum[who, symbol]
             coder.code(who, low, m.cum[who, symbol + 1] - low)
-            m.count[who, symbol] += 1
+            m.count[who, symbol] += _SEEN
             on = np.flatnonzero(plain)
             if len(on):
                 coder.code(who[on], (some[on] & ((1 << plain[on]) - 1)) << (24 - plain[on]), np.int64(1) << (24 - plain[on]), 24)
@@ -250,8 +258,8 @@ def _encode_lanes(grid: np.ndarray, n: np.ndarray, bits: int) -> list[bytes]:
     return coder.end()
 
 
-def _decode_lanes(blocks: list[bytes], n: np.ndarray, bits: int) -> np.ndarray:
-    m, coder = _Models(len(n), bits), _Reader(blocks)
+def _decode_lanes(blocks: list[bytes], n: np.ndarray, bits: int, start: np.ndarray) -> np.ndarray:
+    m, coder = _Models(len(n), bits, start), _Reader(blocks)
     grid = np.zeros((len(n), int(n.max())), "<u4")
     for t in range(grid.shape[1]):
         k = int(np.searchsorted(-n, -t))
@@ -271,7 +279,7 @@ def _decode_lanes(blocks: list[bytes], n: np.ndarray, bits: int) -> np.ndarray:
             symbol = m.find(who, v)
             low = m.cum[who, symbol]
             coder.code(who, low, m.cum[who, symbol + 1] - low)
-            m.count[who, symbol] += 1
+            m.count[who, symbol] += _SEEN
             some, plain = m.opened(symbol)
             on = np.flatnonzero(plain)
             if len(on):
@@ -285,14 +293,21 @@ def _decode_lanes(blocks: list[bytes], n: np.ndarray, bits: int) -> np.ndarray:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """A segment: magic, number of ids, block size, bits of the largest id; length and ids' checksum of each block; the blocks.
+    """A segment: magic, number of ids, block size, size and checksum of the number table; that table; length and ids' checksum of each block; the blocks.
 
     Ids are unsigned and below 2**24.
     """
     ids = np.ascontiguousarray(ids, "<u4")
-    bits = int(ids.max()).bit_length() if len(ids) else 0
-    if bits > 24:
+    if len(ids) and int(ids.max()) >> 24:
         raise ValueError("an id of 2**24 or more")
+    seen = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    known = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)].astype("<u4")  # ids by falling count: their numbers
+    number = np.zeros(len(seen), np.int32)
+    number[known] = np.arange(len(known))
+    bits = _bits(known)
+    start = np.bincount(_Models.symbol(np.arange(len(known)))[0], seen[known], (1 << _OWN_BITS) + _classes(bits))
+    start = np.ceil(start * (65535 / max(1, start.max()))).astype("<u2")
+    head = zlib.compress(struct.pack("<I", len(known)) + known.tobytes() + start.tobytes())
     parts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
     coded: list[bytes] = []
     for first in range(0, len(parts), LANES):
@@ -300,28 +315,38 @@ def encode(ids: np.ndarray) -> bytes:
         n = np.array([len(p) for p in some])
         grid = np.zeros((len(some), int(n.max())), np.int32)
         for i, p in enumerate(some):
-            grid[i, : len(p)] = p
-        coded += _encode_lanes(grid, n, bits)
+            grid[i, : len(p)] = number[p]
+        coded += _encode_lanes(grid, n, bits, start)
     table = b"".join(struct.pack("<II", len(c), zlib.crc32(p.tobytes())) for c, p in zip(coded, parts, strict=True))
-    return MAGIC + struct.pack("<QII", len(ids), BLOCK, bits) + table + b"".join(coded)
+    return MAGIC + struct.pack("<QIII", len(ids), BLOCK, len(head), zlib.crc32(head)) + head + table + b"".join(coded)
+
+
+def _bits(known: np.ndarray) -> int:
+    return max(0, len(known) - 1).bit_length()
 
 
 def decode(data: bytes, blocks: range | None = None) -> np.ndarray:
     """The ids of a segment, or of some of its blocks; checks every block it reads."""
     if data[:4] != MAGIC:
         raise ValueError("not a token-id segment")
-    total, size, bits = struct.unpack_from("<QII", data, 4)
+    total, size, length, crc = struct.unpack_from("<QIII", data, 4)
+    head = data[24 : 24 + length]
+    if zlib.crc32(head) != crc:
+        raise ValueError("number table: checksum differs")
+    head = zlib.decompress(head)
+    known = np.frombuffer(head, "<u4", struct.unpack_from("<I", head)[0], 4)
+    start, bits = np.frombuffer(head, "<u2", -1, 4 + known.nbytes), _bits(known)
     count = -(-total // size)
-    table = np.frombuffer(data, "<u4", 2 * count, 20).reshape(-1, 2).astype(np.int64)
-    at = 20 + 8 * count + np.concatenate([[0], np.cumsum(table[:, 0])])
+    table = np.frombuffer(data, "<u4", 2 * count, 24 + length).reshape(-1, 2).astype(np.int64)
+    at = 24 + length + 8 * count + np.concatenate([[0], np.cumsum(table[:, 0])])
     which = list(blocks if blocks is not None else range(count))
     out = []
     for first in range(0, len(which), LANES):
         some = which[first : first + LANES]
         n = np.array([min(size, total - size * b) for b in some])
-        grid = _decode_lanes([data[at[b] : at[b + 1]] for b in some], n, bits)
+        grid = _decode_lanes([data[at[b] : at[b + 1]] for b in some], n, bits, start)
         for i, b in enumerate(some):
-            ids = grid[i, : n[i]]
+            ids = known[np.minimum(grid[i, : n[i]], len(known) - 1)]  # a damaged block may name any number
             if zlib.crc32(ids.tobytes()) != table[b, 1]:
                 raise ValueError(f"block {b}: checksum differs")
             out.append(ids)

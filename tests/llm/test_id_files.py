@@ -95,3 +95,23 @@ def test_texts_with_white_space_at_a_cut_are_encoded_whole():
     for _ in range(3000):
         t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(12)))
         assert bool(tokens._NOT_PLAIN.search(t)) == bool(re.search(r" \s|\s ", t)), t
+
+
+def test_real_ids_take_less_than_their_order_0_entropy(spark):
+    """Over all documents of sf0.01; the entropy is the static one of the same ids, number table not counted."""
+    enc = tokens.encoder(default_tokenizer())
+    texts = [r.text or "" for r in table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").select("text").collect()]
+    end = np.zeros(1, "<u4").tobytes()
+    ids = np.frombuffer(b"".join(x + end for x in enc.encode(texts)), "<u4")
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    coded = id_codec.encode(ids)
+    assert len(coded) * 8 / len(ids) < -(share * np.log2(share)).sum() - 0.3
+    assert (id_codec.decode(coded) == ids).all()
+    assert (id_codec.decode(coded, range(7, 9)) == ids[7 * id_codec.BLOCK : 9 * id_codec.BLOCK]).all()
+
+
+def test_a_damaged_number_table_is_noticed():
+    coded = bytearray(id_codec.encode(np.arange(5000)))
+    coded[30] ^= 1
+    with pytest.raises(ValueError):
+        id_codec.decode(bytes(coded))
