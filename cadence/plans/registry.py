@@ -409,16 +409,27 @@ def q_src_file_meta(spark, d):
     return reports.join(per_report, ["DataType", "Year"]).select("Report", "DataType", "Year", "Entities")
 
 
+#: Lines of one file of an extra report, about.
+EXTRA_ROWS = 1_000_000
+
+
 def _write_lines(lines: DataFrame, out: str) -> None:
-    """(Report, n, line) -> one CSV file per report, lines in the order of n."""
-    wide_csv.write_lines(lines.repartition("Report"), out, ["Report"], ["n"])
+    """(Report, n, line, deal) -> reports of one CSV file for each ``EXTRA_ROWS`` lines, about; line 0 of a report heads every file."""
+    rows = lines.where("n > 0")
+    chunks = rows.groupBy("Report").agg(F.ceil(F.count(F.lit(1)) / EXTRA_ROWS).cast("int").alias("Chunks"))
+    chunks = materialize(chunks, "extra-heads")  # one row per report
+    files = chunks.agg(F.sum("Chunks")).first()[0] or 1
+    heads = lines.where("n = 0").join(chunks, "Report").withColumn("Chunk", F.explode(F.sequence(F.lit(0), F.col("Chunks") - 1)))
+    rows = rows.join(chunks, "Report").withColumn("Chunk", F.pmod("deal", F.col("Chunks")).cast("int"))
+    dealt = heads.unionByName(rows).select("Report", "Chunk", "n", "line").repartition(files, "Report", "Chunk")
+    wide_csv.write_lines(dealt, out, ["Report", "Chunk"], ["n"])
 
 
 def _extra_reports(annual: DataFrame, kind: str, prefix: str, suffix: str, head: str, row: str) -> DataFrame:
-    """Reports made of the annual facts of one kind, one a year: ``head`` and ``row`` are SQL for their lines."""
+    """Reports made of the annual facts of one kind, one a year: ``head`` and ``row`` are SQL for their lines; ``deal`` is a hash of a row's name."""
     a = annual.where(F.col("DataType") == kind).withColumn("Report", F.concat(F.lit(prefix), F.col("Year").cast("string"), F.lit(suffix)))
-    heads = a.select("Report", "Year").distinct().select("Report", F.lit(0).alias("n"), F.expr(head).alias("line"))
-    return heads.unionByName(a.select("Report", F.lit(1).alias("n"), F.expr(row).alias("line")))
+    heads = a.select("Report", "Year").distinct().select("Report", F.lit(0).alias("n"), F.expr(head).alias("line"), F.lit(0).cast("bigint").alias("deal"))
+    return heads.unionByName(a.select("Report", F.lit(1).alias("n"), F.expr(row).alias("line"), F.xxhash64("Name").alias("deal")))
 
 
 def q_src_rejects(spark, d):
@@ -614,7 +625,7 @@ def q_stream_ingest(spark, d):
     head = "'Maker_Maker,Month Wise_JAN,Month Wise_FEB,Month Wise_MAR,Month Wise_APR,Month Wise_MAY,Month Wise_JUN,Month Wise_JUL,Month Wise_AUG,Month Wise_SEP,Month Wise_OCT,Month Wise_NOV,Month Wise_DEC'"
     row = "concat(Name, ',', array_join(transform(sequence(1, 12), i -> if(i = MonthNum, '77', '0')), ','))"
     copies = _extra_reports(clash, MAKER_TYPE, "Y_Maker_" + wide_csv.MONTHLY_MARKER + "z_Year_", ".csv", head, row)
-    _write_lines(copies, f"{landing}/copies")
+    _write_lines(copies, landing)
     base = scratch_path(spark, "ingest")
     cfg = IngestConfig(
         landing_glob=f"{landing}/*/*/*.txt",

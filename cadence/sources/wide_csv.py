@@ -152,13 +152,13 @@ def split_line(line: Column) -> Column:
     return F.transform(F.when(line.contains('"'), quoted).otherwise(plain), lambda c: F.when(c != "", c))
 
 
-def _states(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def _states(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Add ``in0``, ``in1``: is a quoted cell open before a row, if its group starts outside (0) or inside (1) of one.
 
     ``a``, ``b``: the state after a row that starts outside, inside. After the last row that ends the
     same way from both, only the number of rows that swap the state matters.
     """
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     swaps = F.coalesce(F.sum((F.col("a") & ~F.col("b")).cast("int")).over(before), F.lit(0))
     out = df.withColumn("swaps", swaps)
     fixed = F.last(F.when(F.col("a") == F.col("b"), F.struct("a", "swaps")), ignorenulls=True).over(before)
@@ -171,33 +171,48 @@ def _states(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 #: Characters of the longest record; a longer one counts as a quoted cell that does not end.
 RECORD_CHARS = 64 << 20
 
+#: Lines of a task of ``assemble``, about; a part (of a split) has at most 2 ** PART_BITS.
+TASK_LINES = 250_000
+PART_BITS = 16
 
-def assemble(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(records, broken)`` of files whose records may go over lines: (path, n, record), and paths whose last quoted cell never ends."""
-    mapped = lines.withColumns({"a": ends_open(F.col("line")), "b": ends_open(F.concat(F.lit('"'), "line"))})
-    mapped = materialize(_states(mapped, ["path", "block"], "place"), "open-lines")
-    after = [F.when(F.col(s), F.col("b")).otherwise(F.col("a")) for s in ("in0", "in1")]
-    blocks = mapped.groupBy("path", "block").agg(
-        *[F.max_by(x, "place").alias(c) for x, c in zip(after, "ab", strict=True)],
-        *[F.count_if(~F.col(s)).alias(f"starts{s[2]}") for s in ("in0", "in1")],
+
+def assemble(lines: DataFrame, tasks: int = 8) -> tuple[DataFrame, DataFrame]:
+    """``(records, broken)`` of files whose records may go over lines: (path, n, record), and paths whose last quoted cell never ends.
+
+    Lines are dealt to ``tasks`` by parts of file splits, so a task's share does not grow with a file.
+    """
+    part = ["path", "block", "part"]
+    mapped = lines.withColumn("part", F.shiftright("place", PART_BITS)).repartition(tasks, *part)
+    mapped = mapped.withColumns({"a": ends_open(F.col("line")), "b": ends_open(F.concat(F.lit('"'), "line"))})
+    upto = Window.partitionBy(*part).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    started = [F.sum((~F.col(f"in{s}")).cast("int")).over(upto).alias(f"n{s}") for s in (0, 1)]
+    after = [F.when(F.col(s), F.col("b")).otherwise(F.col("a")).alias(f"open{s[2]}") for s in ("in0", "in1")]
+    mapped = materialize(_states(mapped, part, "place").select(*part, "place", "line", "in0", "in1", *started, *after), "open-lines")
+    ends = mapped.groupBy(*part).agg(
+        F.max_by("open0", "place").alias("a"), F.max_by("open1", "place").alias("b"), F.max("n0").alias("starts0"), F.max("n1").alias("starts1")
     )
-    blocks = _states(blocks, ["path"], "block")  # a row for each split of a file
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    started = F.when(F.col("in0"), F.col("starts1")).otherwise(F.col("starts0"))
+    blocks = _states(ends, ["path"], "block", "part")  # a row for each part of a file
+    before = Window.partitionBy("path").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.when(F.col("in0"), F.col("starts1")).otherwise(F.col("starts0"))
     blocks = materialize(
-        blocks.select("path", "block", F.col("in0").alias("inside"), F.coalesce(F.sum(started).over(before), F.lit(0)).alias("done"),
+        blocks.select(*part, F.col("in0").alias("inside"), F.coalesce(F.sum(starts).over(before), F.lit(0)).alias("done"),
                       F.when(F.col("in0"), F.col("b")).otherwise(F.col("a")).alias("open")),
         "open-blocks",
     )
-    numbered = mapped.join(blocks.select("path", "block", "inside", "done"), ["path", "block"])
-    starts = ~F.when(F.col("inside"), F.col("in1")).otherwise(F.col("in0"))
-    upto = Window.partitionBy("path", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = numbered.select("path", "block", "place", "line", (F.col("done") + F.sum(starts.cast("int")).over(upto)).alias("n"))
-    unended = blocks.groupBy("path").agg(F.max_by("open", "block").alias("open")).where("open").select("path")
-    endless = numbered.groupBy("path", "n").agg(F.sum(F.length("line") + 1).alias("chars")).where(F.col("chars") > RECORD_CHARS).select("path")
+    inside = lambda s: F.when(F.col("inside"), F.col(f"{s}1")).otherwise(F.col(f"{s}0"))
+    numbered = mapped.join(blocks.select(*part, "inside", "done"), part).select(
+        "path", "block", "place", "line", (F.col("done") + inside("n")).alias("n"), (~inside("in") & ~inside("open")).alias("alone")
+    )
+    unended = blocks.groupBy("path").agg(F.max_by("open", F.struct("block", "part")).alias("open")).where("open").select("path")
+    chars = numbered.where("NOT alone").groupBy("path", "n").agg(F.sum(F.length("line") + 1).alias("chars"))
+    chars = chars.unionByName(numbered.where("alone").select("path", "n", (F.length("line") + 1).cast("bigint").alias("chars")))
+    endless = chars.where(F.col("chars") > RECORD_CHARS).select("path")
     broken = materialize(unended.unionByName(endless).distinct(), "open-broken")
-    whole = numbered.join(broken, "path", "left_anti").groupBy("path", "n").agg(F.sort_array(F.collect_list(F.struct("block", "place", "line"))).alias("lines"))
-    return whole.select("path", "n", F.array_join("lines.line", "\n").alias("record")), broken
+    sound = numbered.join(broken, "path", "left_anti")
+    # only lines that share their record with others meet
+    whole = sound.where("NOT alone").groupBy("path", "n").agg(F.sort_array(F.collect_list(F.struct("block", "place", "line"))).alias("lines"))
+    whole = whole.select("path", "n", F.array_join("lines.line", "\n").alias("record"))
+    return sound.where("alone").select("path", "n", F.col("line").alias("record")).unionByName(whole), broken
 
 
 def scan_reports(spark: SparkSession, source: str | Iterable[str], axis: str) -> tuple[DataFrame, DataFrame]:
@@ -207,16 +222,26 @@ def scan_reports(spark: SparkSession, source: str | Iterable[str], axis: str) ->
     """
     lines = read_lines(spark, source, axis)
     first = F.when((F.col("block") == 0) & (F.trim("line") != ""), F.struct("place", "line"))
-    files = lines.groupBy("path").agg(F.min(first)["line"].alias("Header"), F.max(ends_open(F.col("line"))).alias("Open"))
-    files = materialize(_of_axis(files.select("path", "Header", F.lit(False).alias("Broken"), "Open"), axis), "files")
+    # a set of at most one entry, not a maximum: with it Spark aggregates by hash, without it sorts all lines by path
+    opened = F.size(F.collect_set(F.when(ends_open(F.col("line")), F.lit(True)))) > 0
+    files = lines.groupBy("path").agg(F.min(first)["line"].alias("Header"), opened.alias("Open"), F.count(F.lit(1)).alias("Lines"))
+    # written before names are looked at: else that filter goes below the aggregate, and every line's path is matched
+    files = materialize(files.select("path", "Header", F.lit(False).alias("Broken"), "Open", "Lines"), "files")
+    files = materialize(_of_axis(files, axis), "axis-files")
     bodies = lines.join(files.where(~F.col("Open")).select("path", "Header"), "path")
     records = bodies.where((F.trim("line") != "") & (F.col("line") != F.col("Header"))).select("path", F.col("line").alias("record"))
-    if not files.where("Open").isEmpty():
-        open_ = files.where("Open").select("path", "Report")
-        whole, broken = assemble(lines.join(open_.select("path"), "path", "left_semi"))
-        whole = materialize(whole.where(F.trim("record") != ""), "records")
-        heads = whole.groupBy("path").agg(F.min_by("record", "n").alias("Header"))
-        open_ = open_.join(heads, "path", "left").join(broken.withColumn("Broken", F.lit(True)), "path", "left")
+    open_lines = files.where("Open").agg(F.sum("Lines")).first()[0]
+    files = files.drop("Lines")
+    if open_lines:
+        # a number stands for a path where lines are dealt and sorted
+        open_ = materialize(files.where("Open").select("path", "Report", F.monotonically_increasing_id().alias("id")), "open-files")
+        ids = open_.select("path", "id")
+        numbered = lines.join(ids, "path").select(F.col("id").alias("path"), "line", "block", "place")
+        whole, broken = assemble(numbered, max(1, -(-open_lines // TASK_LINES)))
+        whole = materialize(whole.where(F.trim("record") != "").withColumnRenamed("path", "id").join(ids, "id").select("path", "n", "record"), "records")
+        heads = whole.join(whole.groupBy("path").agg(F.min("n").alias("n")), ["path", "n"]).select("path", F.col("record").alias("Header"))
+        broken = broken.withColumnRenamed("path", "id").join(ids, "id").select("path", F.lit(True).alias("Broken"))
+        open_ = open_.drop("id").join(heads, "path", "left").join(broken, "path", "left")
         open_ = open_.select("path", "Header", F.coalesce("Broken", F.lit(False)).alias("Broken"), F.lit(True).alias("Open"), "Report")
         files = files.where(~F.col("Open")).unionByName(open_)
         records = records.unionByName(whole.join(heads, "path").where(F.col("record") != F.col("Header")).select("path", "record"))
@@ -393,7 +418,7 @@ def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CH
     prefix = YEAR_PREFIX if axis == "annual" else MONTH_PREFIX
     periods = [c for c in wide.columns if c.startswith(prefix)]
     pick = lambda c: F.col(f"`{c}`")
-    cells = F.array(*[F.struct(F.lit(c).alias("label"), pick(c).cast("string").alias("cell")) for c in periods])
+    cells = F.array(*[pick(c).cast("string") for c in periods])
     token = F.coalesce(*[F.when(F.col("DataType") == k, F.lit(t + AXES[axis])) for k, t in KIND_TOKENS.items()])
     entity = F.coalesce(*[F.when(F.col("DataType") == k, F.lit(e)) for k, e in ENTITY_COLUMNS.items()])
     rows = materialize(
@@ -403,25 +428,30 @@ def write_reports(wide: DataFrame, out_dir: str, axis: str, chunk_rows: int = CH
         ),
         "report-rows",
     )
-    covered = [F.max(F.col("Cells")[i]["cell"].isNotNull()).alias(f"p{i}") for i in range(len(periods))]
-    reports = rows.groupBy("Report").agg(F.count(F.lit(1)).alias("n"), F.first("Entity").alias("Entity"), *covered)
-    labels = F.filter(F.array(*[F.when(F.col(f"p{i}"), F.lit(c)) for i, c in enumerate(periods)]), lambda c: c.isNotNull())
-    reports = materialize(reports.select("Report", "Entity", "n", labels.alias("Labels"), F.ceil(F.col("n") / chunk_rows).cast("int").alias("Chunks")), "report-heads")
-
-    dealt = rows.drop("Entity").join(reports.select("Report", "Entity", "Labels", "Chunks"), "Report")
-    dealt = dealt.withColumn("Chunk", F.pmod(F.xxhash64("Name"), F.col("Chunks")).cast("int"))
+    covered = [F.max(F.col("Cells")[i].isNotNull()).alias(f"p{i}") for i in range(len(periods))]
+    reports = rows.groupBy("Report", "Entity").agg(F.count(F.lit(1)).alias("n"), *covered)
+    shown = F.filter(F.array(*[F.when(F.col(f"p{i}"), F.struct(F.lit(i).alias("pos"), F.lit(c).alias("label"))) for i, c in enumerate(periods)]), lambda c: c.isNotNull())
+    head = F.concat_ws(",", F.lit(SERIAL_COLUMN), F.col("Entity"), F.concat_ws(",", "Shown.label"), F.lit(TOTAL_COLUMN))
+    reports = reports.select("Report", "Entity", shown.alias("Shown"), F.ceil(F.col("n") / chunk_rows).cast("int").alias("Chunks"))
+    reports = materialize(reports.select("Report", head.alias("Head"), F.col("Shown.pos").alias("Shown"), "Chunks"), "report-heads")
+    found = reports.select("Report", "Chunks").collect()  # one row per report
+
+    # what is sorted carries the line's text, not the cells; a task has some chunks, however many rows there are
+    shown = F.transform("Shown", lambda i: F.coalesce(F.get("Cells", i), F.lit("")))
+    text = F.concat_ws(",", _csv_cell(F.col("Name")), F.concat_ws(",", shown), _csv_cell(F.col("Total")))
+    dealt = rows.join(reports.select("Report", "Shown", "Chunks"), "Report")
+    dealt = dealt.select("Report", F.pmod(F.xxhash64("Name"), F.col("Chunks")).cast("int").alias("Chunk"), "Name", "Total", text.alias("Text"))
     sizes = dealt.groupBy("Report", "Chunk").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("Report").orderBy("Chunk")) - F.col("n")
-    sizes = sizes.select("Report", "Chunk", before.alias("Before"))
+    sizes = sizes.select("Report", "Chunk", before.alias("Before")).join(reports.select("Report", "Head"), "Report")
+    dealt = dealt.repartition(max(1, sum(r["Chunks"] for r in found)), "Report", "Chunk")
     serial = F.row_number().over(Window.partitionBy("Report", "Chunk").orderBy("Name", "Total"))
     body = dealt.withColumn("Serial", serial).join(sizes, ["Report", "Chunk"]).withColumn("Serial", F.col("Serial") + F.col("Before"))
-    shown = F.transform(F.filter("Cells", lambda x: F.array_contains("Labels", x["label"])), lambda x: F.coalesce(x["cell"], F.lit("")))
-    line = F.concat_ws(",", F.col("Serial").cast("string"), _csv_cell(F.col("Name")), F.concat_ws(",", shown), _csv_cell(F.col("Total")))
-    head = F.concat_ws(",", F.lit(SERIAL_COLUMN), F.col("Entity"), F.concat_ws(",", "Labels"), F.lit(TOTAL_COLUMN))
+    line = F.concat_ws(",", F.col("Serial").cast("string"), "Text")
     top = F.col("Serial") == (1 if named else F.col("Before") + 1)
-    line = F.when(top, F.concat(head, F.lit("\n"), line)).otherwise(line)  # a chunk's first row
+    line = F.when(top, F.concat("Head", F.lit("\n"), line)).otherwise(line)  # a chunk's first row
     out = body.select("Report", "Chunk", "Serial", F.posexplode(F.split(line, "\n", -1)).alias("part", "line"))  # lines of a record
-    names = sorted(r[0] for r in reports.select("Report").collect())  # one name per report
+    names = sorted(r["Report"] for r in found)
     if named:
         _write_named(out.repartition("Report"), out_dir, names)
     else:  # rows are dealt by report and chunk already, for their serials
