@@ -24,6 +24,9 @@ from cadence.session import materialize, ship_package
 #: Names (of all lists, or of a component's) that one task holds; some hundred MB.
 SETTLE = 1_000_000
 
+#: Keys of a task that puts lists together, about.
+TASK_KEYS = 500_000
+
 
 def walk(lists: Iterable[Sequence[tuple[str, bool]]]) -> set[str]:
     """Refused reports of lists of (report, holds the key twice)."""
@@ -96,6 +99,9 @@ def _in_rounds(members: DataFrame, inside: DataFrame) -> DataFrame:
 def refused(by_report: DataFrame, key: list[str]) -> DataFrame:
     """(Report): the refused ones of rows with ``Report`` and the columns of ``key``."""
     held = by_report.groupBy("Report", *key).agg((F.count(F.lit(1)) > 1).alias("Twice"))
+    rows = by_report.count()
+    if rows > TASK_KEYS:  # lists are built in a task's memory: more keys are more tasks
+        held = held.repartition(-(-rows // TASK_KEYS), *key)
     lists = held.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("Report", "Twice"))).alias("Held"))
     lists = lists.where((F.size("Held") > 1) | F.exists("Held", lambda x: x["Twice"])).select("Held").distinct()
     lists = lists.select(F.monotonically_increasing_id().alias("id"), F.col("Held.Report").alias("Names"), F.col("Held.Twice").alias("Twice"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions.rules import MAKER_TYPE
 from cadence.plans import registry
-from cadence.sources import wide_csv
+from cadence.sources import settle, wide_csv
 from conftest import rows
 
 REPORT = "Y_Maker_X_Calendar_Year_Year_2020.csv"
@@ -82,3 +82,11 @@ def test_rows_that_a_report_write_sorts_hold_no_cells(spark, tmp_dir, monkeypatc
     sort = [x for x in plan(written[0]).splitlines() if "row_number" in x]
     assert sort and not any("Cells" in x for x in sort) and "REPARTITION_BY_NUM, [plan_id" in plan(written[0])
     assert wide_csv.load_reports(spark, tmp_dir, "annual").facts.count() == 40
+
+
+def test_keys_are_dealt_to_as_many_tasks_as_there_are_keys(spark, monkeypatch):
+    monkeypatch.setattr(settle, "TASK_KEYS", 10, raising=False)
+    seen = taken(monkeypatch, settle)
+    df = spark.createDataFrame([(r, f"k{i}", 2020) for r in ("a", "b") for i in range(30)] + [("c", None, 1), ("c", None, 1)], "Report string, Name string, Year int")
+    assert rows(settle.refused(df, ["Name", "Year"])) == [("b",), ("c",)]
+    assert "hashpartitioning(Name" in plan(seen["settle-lists"][0]) and ", 7), REPARTITION_BY_NUM" in plan(seen["settle-lists"][0])
