@@ -149,7 +149,10 @@ class FactStore:
     def _checked(self, rows: DataFrame) -> DataFrame:
         """One row a key of the batch: its count ``n``, its least row ``kept``, and whether the table holds it (``Held``)."""
         others = [c for c in rows.columns if c not in self.key]
-        keys = rows.groupBy(*self.key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*others)).alias("kept"))
+        # one column that is never null: its least value, which Spark aggregates by hash; a least struct needs a sort by the key
+        plain = len(others) == 1 and not self.schema[others[0]].nullable
+        least = F.struct(F.min(others[0]).alias(others[0])) if plain else F.min(F.struct(*others))
+        keys = rows.groupBy(*self.key).agg(F.count(F.lit(1)).alias("n"), least.alias("kept"))
         stored = self._stored(rows.select(*self.key)).withColumn("Held", F.lit(True))
         return keys.join(stored, self.key, "left").withColumn("Held", F.coalesce("Held", F.lit(False)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cadence.functions.rules import MAKER_TYPE
 from cadence.plans import registry
 from cadence.sources import settle, wide_csv
+from cadence.sources.store import FactStore
 from conftest import rows
 
 REPORT = "Y_Maker_X_Calendar_Year_Year_2020.csv"
@@ -90,3 +91,13 @@ def test_keys_are_dealt_to_as_many_tasks_as_there_are_keys(spark, monkeypatch):
     df = spark.createDataFrame([(r, f"k{i}", 2020) for r in ("a", "b") for i in range(30)] + [("c", None, 1), ("c", None, 1)], "Report string, Name string, Year int")
     assert rows(settle.refused(df, ["Name", "Year"])) == [("b",), ("c",)]
     assert "hashpartitioning(Name" in plan(seen["settle-lists"][0]) and ", 7), REPARTITION_BY_NUM" in plan(seen["settle-lists"][0])
+
+
+def test_key_check_goes_by_hash(spark, tmp_dir):
+    store = FactStore.monthly(spark, f"{tmp_dir}/s")
+    facts = lambda *r: spark.createDataFrame([("A", MAKER_TYPE, 2020, *x) for x in r], store.schema)
+    store.create(facts(("JAN", 3)))
+    batch = facts(("JAN", 9), ("FEB", 8), ("FEB", 4))
+    checked = store._checked(batch)
+    assert "SortAggregate" not in plan(checked)
+    assert [(r.Month, r.n, r.kept[0], r.Held) for r in checked.orderBy("Month").collect()] == [("FEB", 2, 4, False), ("JAN", 1, 9, True)]
