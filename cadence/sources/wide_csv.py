@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadence.functions.calendar import MONTH_PREFIX, TOTAL_COLUMN, YEAR_PREFIX, month_date, month_num
-from cadence.functions.numeric import coerce_count, is_fractional, parse_number
+from cadence.functions.numeric import parse_integer, parse_number
 from cadence.functions.rules import CATEGORY_TYPE, MAKER_TYPE
 from cadence.session import materialize
 from cadence.sources import settle
@@ -351,10 +351,14 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
         "Report", F.col("Kind").alias("DataType"), F.get("Cells", F.col("Entity") - 1).alias("Name"),
         (F.size("Cells") > F.col("Width")).alias("Ragged"), "Cells", F.explode("Periods").alias("p"),
     ).withColumn("Cell", F.get("Cells", F.col("p.pos")))
+    # a cell is matched once; only what is no whole number is looked at as a number (see ``coerce_count``, ``is_fractional``)
+    cells = cells.withColumn("Whole", parse_integer("Cell")).withColumn("Number", F.when(F.col("Whole").isNull(), parse_number("Cell")))
+    count = F.coalesce("Whole", F.col("Number").try_cast("bigint"), F.lit(0).cast("bigint"))
+    fractional = F.col("Number").isNotNull() & (F.col("Number") != F.floor("Number"))
     period = [F.col(f"p.{c}").alias(c) for c in (["Year"] if axis == "annual" else ["Year", "Month", "MonthNum", "Date"])]
     cells = cells.select(
-        "Report", "DataType", "Name", "Ragged", *period, coerce_count("Cell").alias(value),
-        F.coalesce(parse_number("Cell") > 0, F.lit(False)).alias("Positive"), is_fractional("Cell").alias("Fractional"),
+        "Report", "DataType", "Name", "Ragged", *period, count.alias(value),
+        F.coalesce(F.col("Whole") > 0, F.col("Number") > 0, F.lit(False)).alias("Positive"), F.coalesce(fractional, F.lit(False)).alias("Fractional"),
     )
     seen = Observation()
     cells = materialize(cells.observe(seen, F.count_if("Ragged").alias("ragged"), F.count_if("Fractional").alias("fractional")), "cells")
