@@ -11,8 +11,9 @@
 4. Signature trees for the rest: each shard that still spans several groups is
    a tree whose nodes hold the OR of their sets' token bitmaps and ranges of set
    sizes. A tree is traversed against itself, dropping node pairs whose greatest
-   possible overlap falls short; leaf pairs of different groups go to an exact comparison. A
-   shard of more than ``BLOCK`` sets is dealt in pairs of blocks.
+   possible overlap falls short; leaf pairs of different groups connect sets to meetings, told set by set, so that
+   rows do not grow with pairs. A shard of more than ``BLOCK`` sets is dealt in pairs of blocks. The sets of a meeting are
+   compared exactly, in the order of its own tree, and only where links found so far leave them apart.
 5. Components of all links.
 
 Nothing is capped: a pruned pair cannot reach the threshold, and links inside a
@@ -54,6 +55,8 @@ _PEELS = 1
 _ROUNDS = 2
 #: Children of a tree node.
 _FAN = 8
+#: 64-bit words of the exact bitmaps of one meeting's sets (32 MB); where more are needed, its sets are compared pair by pair.
+_EXACT_WORDS = 4 << 20
 #: Text bytes that one pass of a worker takes; a longer text is a pass of its own.
 _SLICE = 1 << 19
 #: A row's place: 128 bits of its file and its number there.
@@ -230,60 +233,138 @@ class Tree:
             keep = (den * hi[a] >= num * lo[b]) & (den * hi[b] >= num * lo[a]) & (most >= least_overlap(lo[a], lo[b], num, den))
             a, b = a[keep], b[keep]
             size = len(self.levels[level - 1][0])
-            for i in range(0, len(a), 4096):
+            for i in range(0, len(a), 512):  # the bitmaps of as many pairs' children are 8 MB
                 kids = np.arange(_FAN)
-                x = np.repeat(a[i : i + 4096, None, None] * _FAN + kids[None, :, None], _FAN, axis=2).ravel()
-                y = np.repeat(b[i : i + 4096, None, None] * _FAN + kids[None, None, :], _FAN, axis=1).ravel()
+                x = np.repeat(a[i : i + 512, None, None] * _FAN + kids[None, :, None], _FAN, axis=2).ravel()
+                y = np.repeat(b[i : i + 512, None, None] * _FAN + kids[None, None, :], _FAN, axis=1).ravel()
                 inside = (x < size) & (y < size) & (x <= y)
                 todo.append((level - 1, x[inside], y[inside]))
 
 
-def _shard_pairs(shards: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of rows ``token, i, j, block, sid, n, bits, root`` that share (token, i, j)."""
+def _whole_keys(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows that come sorted by ``keys``; the last group of a batch may go on in the next."""
+    held: list[pa.Table] = []
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if not len(t):
+            continue
+        cols = [t[c].to_numpy() for c in keys]
+        last = np.flatnonzero(np.any([c != c[-1] for c in cols], axis=0))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if held and cut == 0 and all(held[-1][c][-1].as_py() == t[c][0].as_py() for c in keys):
+            held.append(t)
+            continue
+        if cut or held:
+            yield pa.concat_tables([*held, t.slice(0, cut)])
+        held = [t.slice(cut)]
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _spans(t: pa.Table, keys: tuple[str, ...]) -> list[tuple[int, int]]:
+    """First row and end of each group of equal ``keys``."""
+    cols = [t[c].to_numpy() for c in keys]
+    new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+    return list(zip([0, *new.tolist()], [*new.tolist(), len(t)], strict=True)) if len(t) else []
+
+
+def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Those of the pairs that join two labels, one after the other; ``label`` is kept up to date."""
+    while len(keep := np.flatnonzero(label[a] != label[b])):
+        a, b = a[keep], b[keep]
+        x, y = int(a[0]), int(b[0])
+        label[label == label[y]] = label[x]
+        yield x, y
+
+
+def _meetings(shards: DataFrame, num: int, den: int) -> DataFrame:
+    """``meet, sid, root``: the sets that candidate pairs of one shard connect, of rows ``token, i, j, block, sid, n, bits, root``.
+
+    A row for each set and not for each pair; ``meet`` is a digest of the sets, so the same ones that meet in several shards are told once.
+    """
+    keys = ("token", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def out(x: pa.Table) -> Iterator[pa.RecordBatch]:
-            token, i, j, block, sid, n, root = (x[c].to_numpy() for c in ("token", "i", "j", "block", "sid", "n", "root"))
+        for x in _whole_keys(batches, keys):
+            i, j, block, sid, n, root = (x[c].to_numpy() for c in ("i", "j", "block", "sid", "n", "root"))
             bits = _matrix(x["bits"].combine_chunks())
-            new = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            found_a, found_b = [], []
-            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(token)], strict=True):
+            meets, found = [], []
+            for lo, hi in _spans(x, keys):
                 if hi - lo < 2:
                     continue
                 order = lo + np.lexsort((sid[lo:hi], n[lo:hi]))
+                label, met = np.arange(hi - lo), np.zeros(hi - lo, bool)
                 for a, b in Tree(bits[order], n[order]).pairs(num, den, root[order]):
                     if i[lo] != j[lo]:
                         cross = block[order[a]] != block[order[b]]
                         a, b = a[cross], b[cross]
-                    found_a.append(sid[order[a]])
-                    found_b.append(sid[order[b]])
-            if found_a:
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
-                if len(a):
-                    p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
-
-        for b in batches:  # rows come sorted by shard; the last shard of a batch may go on in the next
-            t = pa.Table.from_batches([b])
-            if not len(t):
-                continue
-            key = [t[c].to_numpy() for c in ("token", "i", "j")]
-            last = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if held and cut == 0 and all(held[-1][c][-1].as_py() == t[c][0].as_py() for c in ("token", "i", "j")):
-                held.append(t)
-                continue
-            if cut or held:
-                yield from out(pa.concat_tables([*held, t.slice(0, cut)]))
-            held = [t.slice(cut)]
-        if held:
-            yield from out(pa.concat_tables(held))
-        held = []
+                    met[a] = met[b] = True
+                    for _ in _forest(a, b, label):
+                        pass
+                at = np.flatnonzero(met)
+                at = at[np.argsort(label[at], kind="stable")]
+                for some in np.split(at, np.flatnonzero(np.diff(label[at])) + 1) if len(at) else ():
+                    meets.append(np.full(len(some), set_digest(np.sort(sid[order[some]]).view(np.uint64))))
+                    found.append(order[some])
+            if found:
+                at = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(meets), sid[at], root[at])], names=["meet", "sid", "root"])
+        give_back()
+
+    return shards.mapInArrow(run, "meet long, sid long, root long").distinct()
+
+
+class _Overlaps:
+    """Exact intersection sizes of sets, from bitmaps over the tokens that several of them have."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        size = np.array([len(s) for s in sets])
+        token, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(seen > 1) - 1
+        shared = seen[at] > 1
+        row, col = np.repeat(np.arange(len(sets)), size)[shared], number[at[shared]]
+        self.sets, words = sets, -(-int((seen > 1).sum()) // 64)
+        self.bits = None
+        if len(sets) * words <= _EXACT_WORDS:
+            self.bits = np.zeros((len(sets), words), np.uint64)
+            np.bitwise_or.at(self.bits, (row, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.array([len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+        return np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64)
+
+
+def _joined(met: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: links that connect the sets of each meeting as all its links do, of rows ``meet, sid, root, body``; a set fewer at most."""
+    keys = ("meet",)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_keys(batches, keys):
+            sid, root, body = x["sid"].to_numpy(), x["root"].to_numpy(), x["body"].combine_chunks()
+            found: list[tuple[int, int]] = []
+            for lo, hi in _spans(x, keys):
+                sets = [np.frombuffer(body[k].as_buffer(), np.uint64) for k in range(lo, hi)]
+                order = np.lexsort((sid[lo:hi], [len(s) for s in sets]))
+                sets = [sets[k] for k in order.tolist()]
+                n = np.array([len(s) for s in sets])
+                names, label = sid[lo:hi][order], root[lo:hi][order].copy()
+                common = _Overlaps(sets)
+                bits = np.stack([bitmap(s) for s in sets]).view(np.uint64)
+                for a, b in Tree(bits, n).pairs(num, den, label):  # sees labels as they join
+                    step = 4096 if common.bits is None else max(64, (1 << 18) // (common.bits.shape[1] + 1))
+                    for at in range(0, len(a), step):
+                        p, q = a[at : at + step], b[at : at + step]
+                        apart = label[p] != label[q]
+                        p, q = p[apart], q[apart]
+                        both = common(p, q)
+                        link = den * both >= num * (n[p] + n[q] - both)
+                        found += [(int(names[u]), int(names[v])) for u, v in _forest(p[link], q[link], label)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
         give_back()
 
-    return shards.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -366,7 +447,8 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(signs, "sid")
     dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "n", "bits", "root")
     shards = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    rest = _verified(materialize(_shard_pairs(shards, num, den), "jaccard-pairs"), sets, num, den)
+    met = materialize(_meetings(shards, num, den), "jaccard-meetings").join(sets.select("sid", "body"), "sid")
+    rest = _joined(met.repartition("meet").sortWithinPartitions("meet").select("meet", "sid", "root", "body"), num, den)
     return seen, materialize(near.unionByName(rest), "jaccard-links")
 
 

@@ -148,3 +148,16 @@ def test_sets_inside_others_at_other_thresholds(spark):
         want = brute(rows, num, den)
         assert len({w[2] for w in want}) < len(want) - 5
         assert got(jaccard_join.report(docs, num=num, den=den)) == want
+
+
+def test_links_of_a_large_group_do_not_grow_with_its_pairs(spark, monkeypatch):
+    words = [f"p{i}" for i in range(203)]  # sets of 180 to 200 shingles lie in two size bands, so near copies become two groups
+    rows = [(i, " ".join([*words[: 181 + i % 20], *(f"u{i}x{j}" for j in range(6))])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 80)
+    assert len({w[2] for w in want}) == 1
+    for words_at_once in (jaccard_join._EXACT_WORDS, 0):  # bitmaps of a meeting's tokens, and pair by pair
+        monkeypatch.setattr(jaccard_join, "_EXACT_WORDS", words_at_once)
+        assert got(jaccard_join.report(docs, num=80)) == want
+    _, edges = jaccard_join.links(docs, num=80)
+    assert edges.count() <= 4 * len(rows)
