@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import RangeHash, Words, per_doc_sum
-from .common import Text, doc_slices, pick, ship_package
-from .tokens import default_tokenizer, encoder
+from .common import Text, doc_slices, give_back, pick, ship_package
+from .tokens import KEEP, default_tokenizer, encoder
 
 DIMS, BITS = 3, 10
 #: Coordinates are means over words; this many times a mean is one unit of the squashed scale.
 SPREAD = 3.0
+#: Parts that a worker keeps, and text bytes that it takes at once, where memory is short: a tenth of the usual table.
+_KEEP_FEW, _SLICE = 100_000, 1 << 19
 
 
 def coordinates(t: Text) -> np.ndarray:
@@ -84,8 +86,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    ``with_ids`` adds the ids themselves (``ids``, little-endian unsigned 32-bit). ``release``: a worker gives back the
-    tokenizer's table of parts at a task's end, for other stages beside it; the next task learns it anew.
+    ``with_ids`` adds the ids themselves (``ids``, little-endian unsigned 32-bit). ``release``: workers keep a small table of
+    the tokenizer's parts and give it back at a task's end, for other stages beside it; parts are learnt anew more often.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -95,13 +97,15 @@ def pack(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in doc_slices(batches, "t", 1 << 19):  # arrays of a pass that stay near a core
             yield pa.RecordBatch.from_arrays([part["id"], part["t"], pa.array(hilbert(coordinates(t)))], names=["id", "t", "key"])
+        if release:
+            give_back()
 
     def cut_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from cut(batches)
         finally:
             encoder(path).forget()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
@@ -114,8 +118,8 @@ def pack(
             cols = [pa.array(p["doc"], pa.int64())] + [pa.array(np.asarray(p[k], np.int64)) for k in ("start", "length", "crc", "tokens", "seq", "offset")]
             return pa.RecordBatch.from_arrays(cols + [pa.array(p["ids"], pa.binary())] * with_ids, names=names)
 
-        for part, _ in doc_slices(batches, "t"):
-            ids = [x + end for x in enc.encode([x or "" for x in part["t"].to_pylist()])]
+        for part, _ in doc_slices(batches, "t", _SLICE) if release else doc_slices(batches, "t"):
+            ids = [x + end for x in enc.encode([x or "" for x in part["t"].to_pylist()], _KEEP_FEW if release else KEEP)]
             flat = b"".join(ids)
             length = np.array([len(x) // 4 for x in ids])
             starts = np.concatenate([[0], np.cumsum(length)])

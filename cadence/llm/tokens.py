@@ -71,8 +71,9 @@ class Encoder:
                 for word, one in zip(some, self._ids([" " + x for x in some]), strict=True):
                     self.inner[word] = one.tobytes()
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.inner) > KEEP:
+    def encode(self, texts: Sequence[str], keep: int = KEEP) -> list[bytes]:
+        """Ids of each text; the table of parts starts anew when it has more than ``keep``."""
+        if len(self.inner) > keep:
             self.forget()
         cut: list[list[str] | None] = []
         new: dict[str, None] = {}

@@ -110,3 +110,12 @@ def test_release_changes_nothing(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     kept, released = (sorted(map(tuple, packing.pack(docs, release=r).collect()), key=str) for r in (False, True))
     assert kept == released
+
+
+def test_a_small_table_of_parts_stays_small():
+    e, texts = Encoder(default_tokenizer()), [" ".join(f"w{i * j % 977}" for j in range(60)) for i in range(40)]
+    want = e.encode(texts)
+    e.forget()
+    for t, ids in zip(texts, want, strict=True):
+        assert e.encode([t], keep=100) == [ids]
+        assert len(e.inner) <= 100 + 60
