@@ -43,7 +43,7 @@ LENGTH, GRAM = 200, 48
 #: Different regions of an anchor that one shard sorts; anchors with more are split.
 HOT = 4096
 #: Region bytes of one suffix array, about; its arrays should stay in a core's cache.
-SHARD_BYTES = 128 << 10
+SHARD_BYTES = 256 << 10
 #: Text bytes whose anchors are found at once, likewise (a longer text is taken whole).
 ANCHOR_BYTES = 64 << 10
 #: Rows (of 16 to 32 bytes) that may be broadcast; more go through a shuffled join.
@@ -143,7 +143,7 @@ def repeated_runs(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
     sa = suffix_array(t, 258)
     left = np.repeat(begin + sizes, sizes + 1) - np.arange(len(t) - 1)  # bytes to the region's end
     left = np.append(left, 0)
-    plcp, phi = permuted_lcp(t, sa, len(t))  # no bound: regions that come again in the same order share long prefixes
+    plcp, phi = permuted_lcp(t, sa, len(t), length)  # no bound: regions that come again in the same order share long prefixes
     hit = (np.minimum(np.minimum(plcp, left), left[phi]) >= length) & (phi >= 0)
     again = np.zeros(len(t), bool)
     again[hit] = True

@@ -17,16 +17,17 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Fewer places a symbol, and a string of names is sorted by doubling.
+_SYMBOLS = 8
+
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True for S suffixes; the last symbol is the only smallest one."""
     n = len(t)
-    step = np.sign(t[1:].astype(np.int64) - t[:-1])
-    at = np.where(step != 0, np.arange(n - 1), n)
-    nxt = np.minimum.accumulate(at[::-1])[::-1]  # next place where symbols differ
+    at = np.flatnonzero(t[1:] != t[:-1])  # places where symbols differ: all up to one are of its type
     s = np.ones(n, bool)
-    known = nxt < n
-    s[:-1][known] = step[nxt[known]] > 0
+    size = np.diff(at, prepend=-1)
+    s[: int(at[-1]) + 1 if len(at) else 0] = np.repeat(t[at + 1] > t[at], size)
     return s
 
 
@@ -136,7 +137,7 @@ def _few_ties(t: np.ndarray, sigma: int) -> np.ndarray:
     while len(tied):
         first = rank[tied]
         second = np.where(tied + h < n, rank[np.minimum(tied + h, n - 1)], -1)
-        order = np.lexsort((second, first))
+        order = np.argsort(first * (n + 1) + second)  # equal ones share a rank, whatever their order
         tied, first, second = tied[order], first[order], second[order]
         group = np.concatenate([[True], first[1:] != first[:-1]])
         part = group | np.concatenate([[True], second[1:] != second[:-1]])
@@ -165,7 +166,7 @@ def _substring_ranks(t: np.ndarray, s: np.ndarray, lms: np.ndarray, size: np.nda
         for j in range(step):
             key = (key << bits) | np.where(left > j, v[np.minimum(at + j, len(v) - 1)], 0)
         first = rank[tied]
-        order = np.lexsort((key, first)) if k else np.argsort(key, kind="stable")
+        order = np.lexsort((key, first)) if k else np.argsort(key)  # equal ones share a rank, whatever their order
         tied, first, key, left = tied[order], first[order], key[order], left[order]
         group = np.concatenate([[True], first[1:] != first[:-1]])
         part = group | np.concatenate([[True], key[1:] != key[:-1]])
@@ -181,7 +182,7 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
-    if 2 * sigma > n:
+    if _SYMBOLS * sigma > n:
         return _few_ties(t, sigma)
     s = _types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
@@ -200,12 +201,12 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     return _induce(t, s, lms[rank], sigma)
 
 
-def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """``(plcp, phi)``: for each position, the position before it in the suffix array and the length of their common prefix.
 
     Only irreducible values -- where the symbols before the two positions
     differ -- are found by comparison; any other is one less than its left
-    neighbour's. ``most`` bounds the values.
+    neighbour's. ``most`` bounds the values; ones under ``least`` may be told as less than they are.
     """
     n = len(t)
     phi = np.full(n, -1, np.int64)
@@ -221,6 +222,9 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray,
     a, b = irr, phi[irr]
     got = np.zeros(len(irr), np.int64)
     left, k = np.arange(len(irr)), 0
+    if least >= 4:  # one look at the last symbols of a prefix of ``least`` settles most
+        left = left[np.maximum(a, b) + least <= n]
+        left = left[words[a[left] + least - 4] == words[b[left] + least - 4]]
     while len(left) and k < most:
         left = left[np.maximum(a[left], b[left]) + k < n]
         ok = words[a[left] + k] == words[b[left] + k]

@@ -107,3 +107,17 @@ def test_a_shard_tells_repeats_from_texts_alone():
         seen = Counter(r[i : i + 6] for r in raws for i in range(len(r) - 5))
         got = {(i, k) for i, a, b in zip(*(x.tolist() for x in repeat_removal.repeated_runs(raws, 6)), strict=True) for k in range(a, b + 1)}
         assert got == {(i, k) for i, r in enumerate(raws) for k in range(len(r) - 5) if seen[r[k : k + 6]] > 1}
+
+
+def test_suffixes_of_repetitive_strings_and_prefixes_of_a_least_length():
+    rng = np.random.default_rng(5)
+    for sigma in (3, 5, 40, 300):
+        for _ in range(6):
+            piece = rng.integers(1, sigma, rng.integers(2, 90))
+            t = np.concatenate([piece, piece, rng.integers(1, sigma, 200), piece, np.repeat(piece[:1], 30), [0]]).astype(np.int16)
+            sa = suffix_array(t, sigma)
+            assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+            full, phi = permuted_lcp(t, sa, len(t))
+            for least in (4, 20, 60):
+                some, same = permuted_lcp(t, sa, len(t), least)
+                assert (same == phi).all() and (some <= full).all() and (some[full >= least] == full[full >= least]).all()
