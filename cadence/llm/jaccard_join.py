@@ -12,8 +12,8 @@
    a tree whose nodes hold the OR of their sets' token bitmaps and ranges of set
    sizes. A tree is traversed against itself, dropping node pairs whose greatest
    possible overlap falls short; leaf pairs of different groups connect sets to meetings, told set by set, so that
-   rows do not grow with pairs. A shard of more than ``BLOCK`` sets is dealt in pairs of blocks. The sets of a meeting are
-   compared exactly, in the order of its own tree, and only where links found so far leave them apart.
+   rows do not grow with pairs. A shard of more than ``BLOCK`` sets is dealt in pairs of blocks. Meetings that share sets
+   become one, up to two blocks. The sets of a meeting are compared exactly, in the order of its own tree, and only where links found so far leave them apart.
 5. Components of all links.
 
 Nothing is capped: a pruned pair cannot reach the threshold, and links inside a
@@ -278,9 +278,9 @@ def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> Iterator[tuple[i
 
 
 def _meetings(shards: DataFrame, num: int, den: int) -> DataFrame:
-    """``meet, sid, root``: the sets that candidate pairs of one shard connect, of rows ``token, i, j, block, sid, n, bits, root``.
+    """``meet, first, sid, root``: the sets that candidate pairs of one shard connect, of rows ``token, i, j, block, sid, n, bits, root``.
 
-    A row for each set and not for each pair; ``meet`` is a digest of the sets, so the same ones that meet in several shards are told once.
+    A row for each set and not for each pair; ``meet`` is a digest of the sets, so the same ones that meet in several shards are told once; ``first`` is one of them.
     """
     keys = ("token", "i", "j")
 
@@ -288,7 +288,7 @@ def _meetings(shards: DataFrame, num: int, den: int) -> DataFrame:
         for x in _whole_keys(batches, keys):
             i, j, block, sid, n, root = (x[c].to_numpy() for c in ("i", "j", "block", "sid", "n", "root"))
             bits = _matrix(x["bits"].combine_chunks())
-            meets, found = [], []
+            meets, firsts, found = [], [], []
             for lo, hi in _spans(x, keys):
                 if hi - lo < 2:
                     continue
@@ -304,14 +304,26 @@ def _meetings(shards: DataFrame, num: int, den: int) -> DataFrame:
                 at = np.flatnonzero(met)
                 at = at[np.argsort(label[at], kind="stable")]
                 for some in np.split(at, np.flatnonzero(np.diff(label[at])) + 1) if len(at) else ():
-                    meets.append(np.full(len(some), set_digest(np.sort(sid[order[some]]).view(np.uint64))))
+                    names = np.sort(sid[order[some]])
+                    meets.append(np.full(len(some), set_digest(names.view(np.uint64))))
+                    firsts.append(np.full(len(some), names[0]))
                     found.append(order[some])
             if found:
                 at = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(meets), sid[at], root[at])], names=["meet", "sid", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(meets), np.concatenate(firsts), sid[at], root[at])], names=["meet", "first", "sid", "root"])
         give_back()
 
-    return shards.mapInArrow(run, "meet long, sid long, root long").distinct()
+    return shards.mapInArrow(run, "meet long, first long, sid long, root long").distinct()
+
+
+def _gathered(met: DataFrame) -> DataFrame:
+    """``meet, sid, root``: meetings that share sets become one, so that each set goes to one place; those of more than two blocks stay apart."""
+    whole = materialize(components(met.select(F.col("sid").alias("a"), F.col("first").alias("b"))), "jaccard-whole")
+    size = whole.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    whole = whole.join(size, "root").select(F.col("id").alias("sid"), F.col("root").alias("whole"), "size")
+    one = met.groupBy("sid").agg(F.min("root").alias("root")).join(whole.filter(f"size <= {2 * BLOCK}"), "sid").select(F.col("whole").alias("meet"), "sid", "root")
+    apart = met.select("meet", "sid", "root").join(whole.filter(f"size > {2 * BLOCK}").select("sid"), "sid", "left_semi")
+    return one.unionByName(apart)
 
 
 class _Overlaps:
@@ -447,7 +459,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(signs, "sid")
     dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "n", "bits", "root")
     shards = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    met = materialize(_meetings(shards, num, den), "jaccard-meetings").join(sets.select("sid", "body"), "sid")
+    met = materialize(_gathered(materialize(_meetings(shards, num, den), "jaccard-meetings")), "jaccard-gathered").join(sets.select("sid", "body"), "sid")
     rest = _joined(met.repartition("meet").sortWithinPartitions("meet").select("meet", "sid", "root", "body"), num, den)
     return seen, materialize(near.unionByName(rest), "jaccard-links")
 
