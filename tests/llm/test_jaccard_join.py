@@ -161,3 +161,25 @@ def test_links_of_a_large_group_do_not_grow_with_its_pairs(spark, monkeypatch):
         assert got(jaccard_join.report(docs, num=80)) == want
     _, edges = jaccard_join.links(docs, num=80)
     assert edges.count() <= 4 * len(rows)
+
+
+def test_the_sketch_reaches_the_driver_in_a_few_jobs(spark):
+    chunks = {0: [200, 100], 1: [3], 7: [1, 1], 2000: [255, 255, 255]}  # counts of the parts of each chunk's sum
+    rows = [(c, bytearray(np.full(jaccard_join._CHUNK, n, np.uint8).tobytes())) for c, parts in chunks.items() for n in parts]
+    seen = spark.createDataFrame(rows, "chunk int, counts binary")
+    conf, sc = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "128m"}, spark.sparkContext
+    was = {k: spark.conf.get(k) for k in conf}
+    sc.setJobGroup("sketch", "sketch")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        level = jaccard_join._levels(seen)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+        for k in ("spark.jobGroup.id", "spark.job.description"):
+            sc.setLocalProperty(k, None)
+    assert len(sc.statusTracker().getJobIdsForGroup("sketch")) <= 16  # was one for each shuffle partition
+    by_chunk = level.reshape(-1, jaccard_join._CHUNK)
+    for c in range(len(by_chunk)):
+        assert set(by_chunk[c].tolist()) == {min(sum(chunks.get(c, [0])), 255)}
