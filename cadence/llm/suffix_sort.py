@@ -35,11 +35,19 @@ def _append(sa: np.ndarray, fill: np.ndarray, pos: np.ndarray, sym: np.ndarray,
     """Put positions into their symbols' buckets in the given order, at ``fill`` and on (sign 1) or back (-1)."""
     order = np.argsort(sym, kind="stable")
     sym = sym[order]
-    new = np.flatnonzero(np.concatenate([[True], sym[1:] != sym[:-1]]))
-    size = np.diff(np.append(new, len(sym)))
-    rank = np.arange(len(sym)) - np.repeat(new, size)
-    sa[fill[sym] + sign * rank] = pos[order]
-    fill[sym[new]] += sign * size
+    edge = np.concatenate([[0], np.flatnonzero(sym[1:] != sym[:-1]) + 1, [len(sym)]])
+    new, size = edge[:-1], edge[1:] - edge[:-1]
+    first = fill[sym[new]]
+    sa[np.repeat(first - sign * new, size) + sign * np.arange(len(sym))] = pos[order]
+    fill[sym[new]] = first + sign * size
+
+
+def _extend(sa: np.ndarray, fill: np.ndarray, batch: np.ndarray, before: np.ndarray, sign: int) -> None:
+    """Put the positions before those of ``batch`` into their buckets, where ``before`` has a symbol (not -1) for them."""
+    sym = before[batch]
+    keep = sym >= 0
+    if keep.any():
+        _append(sa, fill, batch[keep] - 1, sym[keep], sign)
 
 
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
@@ -55,6 +63,9 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.nda
     _append(sa, fill, lms[::-1], t[lms[::-1]], -1)
     seeds = [(fill[c] + 1, end[c]) for c in range(sigma)]  # LMS part of each bucket
     head = start.copy()
+    # symbol of the position before, where that is of the scan's type; the last entry answers for empty places
+    before = np.full(n + 1, -1, t.dtype)
+    before[1:n] = np.where(s[:-1], -1, t[:-1])
     for c in np.flatnonzero(count):
         p = start[c]
         while True:
@@ -63,36 +74,24 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.nda
             if batch is None:
                 break
             p = q
-            pred = batch[batch > 0] - 1
-            pred = pred[~s[pred]]
-            if len(pred):
-                _append(sa, head, pred, t[pred], 1)
+            _extend(sa, head, batch, before, 1)
         a, b = seeds[c]
         if a < b:
-            pred = sa[a:b][sa[a:b] > 0] - 1
-            pred = pred[~s[pred]]
-            if len(pred):
-                _append(sa, head, pred, t[pred], 1)
+            _extend(sa, head, sa[a:b], before, 1)
     tail = end - 1
     for a, b in seeds:
         sa[a:b] = -1
     sa[0] = n - 1  # the last symbol's suffix is S, alone in the first bucket
     tail[t[-1]] -= 1
+    before[1:n] = np.where(s[:-1], t[:-1], -1)
     for c in np.flatnonzero(count)[::-1]:
         p = end[c] - 1
         while p > tail[c]:
             q = tail[c]
             batch = sa[q + 1 : p + 1][::-1]
             p = q
-            pred = batch[batch > 0] - 1
-            pred = pred[s[pred]]
-            if len(pred):
-                _append(sa, tail, pred, t[pred], -1)
-        batch = sa[start[c] : head[c]][::-1]  # the L part
-        pred = batch[batch > 0] - 1
-        pred = pred[s[pred]]
-        if len(pred):
-            _append(sa, tail, pred, t[pred], -1)
+            _extend(sa, tail, batch, before, -1)
+        _extend(sa, tail, sa[start[c] : head[c]][::-1], before, -1)  # the L part
     return sa
 
 
@@ -211,10 +210,8 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int, least: int = 0) -> tu
     n = len(t)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    pos = np.arange(n)
     first = np.ones(n, bool)
-    inner = (pos > 0) & (phi > 0)
-    first[inner] = t[pos[inner] - 1] != t[phi[inner] - 1]
+    first[1:] = (phi[1:] <= 0) | (t[:-1] != t[phi[1:] - 1])
     irr = np.flatnonzero(first & (phi >= 0))
     # eight symbols a step, from a copy padded with different ends
     raw = np.concatenate([t.astype(np.uint16), np.zeros(8, np.uint16)])
@@ -236,11 +233,8 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int, least: int = 0) -> tu
         got[stop] = k + same
         left, k = left[ok], k + 4
         got[left] = k
-    value = np.zeros(n, np.int64)
-    value[irr] = got
-    last = np.zeros(n, np.int64)
-    last[irr] = irr
-    last = np.maximum.accumulate(last)
-    plcp = np.maximum(value[last] - (pos - last), 0)
+    plcp = np.zeros(n, np.int64)
+    if len(irr):  # from one irreducible value to the next, each is one less
+        plcp[irr[0] :] = np.maximum(np.repeat(got + irr, np.diff(np.append(irr, n))) - np.arange(irr[0], n), 0)
     plcp[phi < 0] = 0
     return plcp, phi

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 
-from cadence.llm import repeat_removal
+from cadence.llm import repeat_removal, suffix_sort
 from cadence.llm.common import table
 from cadence.llm.suffix_sort import permuted_lcp, suffix_array
 
@@ -121,3 +121,27 @@ def test_suffixes_of_repetitive_strings_and_prefixes_of_a_least_length():
             for least in (4, 20, 60):
                 some, same = permuted_lcp(t, sa, len(t), least)
                 assert (same == phi).all() and (some <= full).all() and (some[full >= least] == full[full >= least]).all()
+
+
+def test_induction_looks_once_at_the_symbol_before(monkeypatch):
+    """A scan sorts only positions that it places: none for empty places, the first position or the other type."""
+    seen: list[int] = []
+    append = suffix_sort._append
+
+    def counted(sa, fill, pos, sym, sign):
+        assert len(pos) == len(sym) and (pos >= 0).all()
+        seen.append(len(pos))
+        append(sa, fill, pos, sym, sign)
+
+    monkeypatch.setattr(suffix_sort, "_append", counted)
+    rng = np.random.default_rng(5)
+    t = np.append(np.tile(rng.integers(1, 5, 300), 4), 0).astype(np.int16)
+    sa = suffix_array(t, 5)
+    assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert min(seen) > 0
+    plcp, phi = permuted_lcp(t, sa, len(t))
+    for i in range(0, len(t), 7):
+        n = 0
+        while phi[i] >= 0 and max(i, phi[i]) + n < len(t) and t[i + n] == t[phi[i] + n]:
+            n += 1
+        assert plcp[i] == n
