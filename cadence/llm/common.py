@@ -27,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of one or two numbers (a few dozen MB as a hash table) that may be broadcast; more go through a shuffled join.
-BROADCAST_ROWS = 1_000_000
+#: Rows of one or two numbers (some 20 MB as a hash table, which the driver builds) that may be broadcast; more go through a shuffled join.
+BROADCAST_ROWS = 250_000
 
 
 def few(df: DataFrame, rows: int | None = None) -> DataFrame:

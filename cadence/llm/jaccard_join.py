@@ -422,7 +422,7 @@ def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     seen = seen.filter("chunk IS NULL").drop("chunk", "counts")
 
     heads = materialize(_prefixes(rows, k, level, num, den), "jaccard-prefixes")
-    level.unpersist()  # executors fetch it again where a lost one's rows are written anew
+    level.destroy()  # the rows are written; the driver's copy goes too
     shared = materialize(_several(heads).distinct(), "jaccard-shards")
     least = f"({num} * m + {den - 1}) DIV {den}"  # the smallest set that may link to one of m elements; its count is what a link promises
     for _ in range(_PEELS):

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 
 from cadence.llm import common, jaccard_join
+from cadence.llm import components as graph
 from cadence.llm.common import table
 from cadence.llm.components import components
 
@@ -136,6 +137,55 @@ def test_components_of_paths_and_stars(spark):
     assert got_ == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 199: 199, 200: 199}
 
 
+def _roots(edges) -> dict:
+    up: dict = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(up)}
+
+
+def test_small_components_need_no_round(spark, monkeypatch):
+    """The edges of one task are stars when they are written: no plan of joins follows."""
+    written = []
+
+    def record(df, name):
+        written.append(name)
+        return common.materialize(df, name)
+
+    monkeypatch.setattr(graph, "materialize", record)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 199), (199, 200), (3, 35)]
+    found = [(r.id, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert len(found) == len(dict(found)) and dict(found) == _roots(edges)
+    assert written == ["edges"]
+
+
+def test_components_contracted_in_pieces(spark, monkeypatch):
+    """Edges that several tasks hold, each contracted a few at a time; and an empty table."""
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    monkeypatch.setattr(graph, "EDGES", 3)
+    try:
+        rng = random.Random(8)
+        x = [rng.randrange(-(2**62), 2**62) for _ in range(90)]
+        edges = list(zip(x[:40], x[1:41], strict=True)) + [(x[50], y) for y in x[51:70]] + [(rng.choice(x[70:]), rng.choice(x[70:])) for _ in range(12)]
+        found = [(r.id, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+        assert len(found) == len(dict(found)) and dict(found) == _roots(edges)
+        assert components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_sets_inside_others_at_other_thresholds(spark):
     rng = random.Random(21)
     rows = []
