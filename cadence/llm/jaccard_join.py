@@ -43,8 +43,8 @@ from .stream_dedup import file_backed, located, placed
 #: Counters of the frequency sketch (2**_SKETCH, a byte each: 32 MB) and of one of its rows in a shuffle. Counts end at
 #: 255. The sketch orders tokens only; the more tokens a counter stands for, the more sets meet by chance.
 _SKETCH, _CHUNK = 25, 1 << 14
-#: Jobs that bring the sketch's sums to the driver, 8 MB each.
-_SKETCH_JOBS = 4
+#: Files that the sketch's sums are written to, 1 MB each; the driver reads a few of them at a time.
+_SKETCH_FILES = 32
 #: Bits of a set's token bitmap.
 _BITS = 2048
 #: Sets of one shard that one task compares; larger shards are dealt in block pairs.
@@ -145,8 +145,8 @@ def _levels(seen: DataFrame) -> np.ndarray:
 
     level = np.zeros(1 << _SKETCH, np.uint8)
     parts = seen.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
-    parts = materialize(parts, "jaccard-sketch").coalesce(_SKETCH_JOBS)  # each partition that is read here is a job of its own
-    for r in parts.toLocalIterator():
+    parts = materialize(parts.repartition(_SKETCH_FILES), "jaccard-sketch")
+    for r in parts.toLocalIterator():  # a job for each partition, of some of the files
         level[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.uint8)
     return level
 

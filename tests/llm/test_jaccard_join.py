@@ -153,6 +153,23 @@ def _roots(edges) -> dict:
     return {x: find(x) for x in list(up)}
 
 
+def test_sketch_reaches_the_driver_in_small_parts(spark, monkeypatch):
+    """However few tasks summed it: no result that the driver takes at once holds much of the sketch."""
+    kept = {}
+
+    def record(df, name):
+        kept[name] = common.materialize(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(jaccard_join, "materialize", record)
+    docs = spark.createDataFrame([(i, f"a b c d e{i // 2}") for i in range(20)], "doc_id long, text string")
+    assert len({w[2] for w in got(jaccard_join.report(docs))}) == 10
+    parts = kept["jaccard-sketch"]
+    rows = [sum(1 for _ in p) for p in parts.select("chunk").rdd.glom().collect()]
+    assert sum(rows) == (1 << jaccard_join._SKETCH) // jaccard_join._CHUNK
+    assert max(rows) * jaccard_join._CHUNK <= 12 << 20
+
+
 def test_small_components_need_no_round(spark, monkeypatch):
     """The edges of one task are stars when they are written: no plan of joins follows."""
     written = []
