@@ -622,6 +622,7 @@ def q_stream_ingest(spark, d):
     clash = fs.counts.groupBy("DataType", "Name", "Year").agg(F.min("MonthNum").alias("MonthNum")).withColumn(
         "Registrations", F.lit(77)
     ).withColumn("Month", month_label("MonthNum"))
+    clash = materialize(clash, "clash")  # its lines are counted and dealt
     head = "'Maker_Maker,Month Wise_JAN,Month Wise_FEB,Month Wise_MAR,Month Wise_APR,Month Wise_MAY,Month Wise_JUN,Month Wise_JUL,Month Wise_AUG,Month Wise_SEP,Month Wise_OCT,Month Wise_NOV,Month Wise_DEC'"
     row = "concat(Name, ',', array_join(transform(sequence(1, 12), i -> if(i = MonthNum, '77', '0')), ','))"
     copies = _extra_reports(clash, MAKER_TYPE, "Y_Maker_" + wide_csv.MONTHLY_MARKER + "z_Year_", ".csv", head, row)

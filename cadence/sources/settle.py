@@ -2,7 +2,10 @@
 
 Reports come in name order; one that holds a key twice, or a key of a report taken before it, is refused whole.
 
-1. Keys that clash, and nothing else, become lists of the reports that hold them; equal lists count once, so a
+1. Rows are counted by a 64-bit hash of their key; where none comes twice, nothing clashes. Rows of the others are
+   counted by the key itself, which also finds the first and last number of its reports. Keys that clash, and nothing else,
+   become lists of the reports that hold them; a key of two rows, or of one report, has its list by these
+   numbers, so names meet by key only for keys of more. Equal lists count once, so a
    report and its copy are one list, however many keys they share. (A list is at most as long as there are reports.)
 2. Up to ``SETTLE`` names in all lists: one task walks the reports in name order. That is the only step that plain
    expressions cannot state, as each answer needs all before it.
@@ -96,16 +99,48 @@ def _in_rounds(members: DataFrame, inside: DataFrame) -> DataFrame:
     return out
 
 
+def _dealt(rows: DataFrame, n: int, key: list[str]) -> DataFrame:
+    """``n`` rows by key; a task's memory holds some of them: more keys are more tasks."""
+    return rows.repartition(-(-n // TASK_KEYS), *key) if n > TASK_KEYS else rows
+
+
+def _met(by_report: DataFrame, keys: DataFrame, n: int, key: list[str]) -> DataFrame:
+    """(Names, Twice): the distinct lists of ``keys``, which ``n`` rows hold; names are put together by key."""
+    mine = keys.select(*[F.col(c).alias(f"__{c}") for c in key])
+    rows = by_report.join(mine, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key], "left_semi")
+    held = _dealt(rows.groupBy("Report", *key).agg((F.count(F.lit(1)) > 1).alias("Twice")), n, key)
+    lists = held.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("Report", "Twice"))).alias("Held")).select("Held").distinct()
+    return lists.select(F.col("Held.Report").alias("Names"), F.col("Held.Twice").alias("Twice"))
+
+
 def refused(by_report: DataFrame, key: list[str]) -> DataFrame:
     """(Report): the refused ones of rows with ``Report`` and the columns of ``key``."""
-    held = by_report.groupBy("Report", *key).agg((F.count(F.lit(1)) > 1).alias("Twice"))
-    rows = by_report.count()
-    if rows > TASK_KEYS:  # lists are built in a task's memory: more keys are more tasks
-        held = held.repartition(-(-rows // TASK_KEYS), *key)
-    lists = held.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("Report", "Twice"))).alias("Held"))
-    lists = lists.where((F.size("Held") > 1) | F.exists("Held", lambda x: x["Twice"])).select("Held").distinct()
-    lists = lists.select(F.monotonically_increasing_id().alias("id"), F.col("Held.Report").alias("Names"), F.col("Held.Twice").alias("Twice"))
-    lists = materialize(lists, "settle-lists")
+    h = F.xxhash64(*key)
+    hashes = by_report.groupBy(h.alias("__h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hashes = materialize(hashes, "settle-hashes")
+    rows, many = hashes.agg(F.sum("n"), F.sum(F.when(F.col("n") > 2, F.col("n")))).first()
+    if not rows:
+        return by_report.select("Report").where(F.lit(False))
+    by_report = by_report.select("Report", *key).withColumn("__h", h).join(hashes, "__h", "left_semi").drop("__h")
+    # a number stands for a report: least and greatest numbers go by hash, those of names need a sort by the key
+    reports = by_report.select("Report").distinct().select("Report", F.monotonically_increasing_id().alias("number"))
+    reports = materialize(reports, "settle-reports")
+    held = _dealt(by_report.join(reports, "Report"), rows, key)
+    held = held.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("low"), F.max("number").alias("high")).where("n > 1")
+    held = materialize(held, "settle-lists")
+    more = held.where("n > 2 AND low <> high")
+    many = many and more.agg(F.sum("n")).first()[0]
+    ends = held.where("n = 2 OR low = high").select("low", "high").distinct()
+    for end in ("low", "high"):
+        ends = ends.join(reports.select(F.col("number").alias(end), F.col("Report").alias(f"{end}_name")), end)
+    one = F.col("low") == F.col("high")
+    lists = ends.select(
+        F.when(one, F.array("low_name")).otherwise(F.array("low_name", "high_name")).alias("Names"),
+        F.when(one, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(False))).alias("Twice"),
+    )
+    if many:
+        lists = lists.unionByName(_met(by_report, more, many, key))
+    lists = materialize(lists.select(F.monotonically_increasing_id().alias("id"), "Names", "Twice"), "settle-names")
     names = lists.agg(F.sum(F.size("Names"))).first()[0] or 0
     if names <= SETTLE:
         return materialize(_walked(lists), "settle-refused")

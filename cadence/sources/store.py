@@ -143,6 +143,42 @@ class FactStore:
         names = [s.getPath().toString() for s in fs.globStatus(pattern) or []]
         return sorted({int(y) for n in names for y in re.findall(r"/Year=(-?\d+)(?:/|$)", n)})
 
+    def version(self) -> int:
+        """The table's last commit; its files are in place."""
+        number = commits.last(self.spark, self.path)
+        commits.finish(self.spark, self.path, number)  # a taken commit may wait for its files
+        return number
+
+    def holders(self, rows: DataFrame, by: str) -> DataFrame:
+        """(``by``): its values that have a row whose key the table holds.
+
+        The table meets the rows by 64-bit hashes of keys: numbers are shuffled, not names. Keys decide: of each value the
+        least hash that the table has too is looked up, the others only where that one's key is not stored.
+        """
+        mine = rows.select(by, *[F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.key]).withColumn("__h", F.xxhash64(*self.key))
+        stored = self._near(mine).withColumn("__h", F.xxhash64(*self.key))
+        met = materialize(stored.select("__h").join(mine.select("__h"), "__h", "left_semi"), "store-met")
+        if met.isEmpty():
+            return mine.select(by).where(F.lit(False))
+
+        def confirmed(asked: DataFrame) -> DataFrame:
+            found = stored.join(asked.select("__h").distinct(), "__h", "left_semi").select(*self.key)
+            return materialize(mine.join(asked, [by, "__h"], "left_semi").join(found, self.key, "left_semi").select(by).distinct(), "store-holders")
+
+        asked = materialize(mine.select(by, "__h").join(met, "__h", "left_semi"), "store-asked")
+        sure = confirmed(materialize(asked.groupBy(by).agg(F.min("__h").alias("__h")), "store-first"))
+        rest = asked.join(sure, by, "left_anti")
+        return sure if rest.isEmpty() else sure.unionByName(confirmed(rest))
+
+    def _near(self, keys: DataFrame) -> DataFrame:
+        """Stored keys of the folders that ``keys`` fall into."""
+        out = self.read().select(*self.key)
+        folders = [c for c in self.partition_by if c in self.key]
+        values = keys.agg(*[F.collect_set(c).alias(c) for c in folders]).first() if folders else {}
+        for c in folders:  # as literals, so that other folders are not listed among the scan's files
+            out = out.where(F.col(c).isin(values[c]))
+        return out
+
     def _stored(self, keys: DataFrame) -> DataFrame:
         return self.read().select(*self.key).join(keys, self.key, "left_semi")
 
@@ -178,30 +214,38 @@ class FactStore:
         again = again.withColumn("left", left).where("left > 0").withColumn("one", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("left"))))
         return held.unionByName(again.select(*rows.columns, F.lit(R_DUP_IN_BATCH).alias("Reason")))
 
-    def append(self, batch: DataFrame, on_conflict: str = "skip") -> AppendResult:
+    def append(self, batch: DataFrame, on_conflict: str = "skip", clear_at: int | None = None) -> AppendResult:
         """Append a batch.
 
         ``skip``: of rows with one key in the batch the least by its other columns is
         taken, unless the store has the key; every other row comes back in ``dropped``.
         ``refuse``: any conflict refuses the whole batch (nothing appended).
         An empty batch writes nothing. A missing table is created first.
+        ``clear_at``: the commit (``version``) of the table at which the caller has found that no key of the batch is stored or
+        comes twice in the batch; keys are checked again only if the table has a later commit.
         """
         if on_conflict not in ("skip", "refuse"):
             raise ValueError("on_conflict must be 'skip' or 'refuse'")
         if not self.exists():
             self.create(replace=False)
-        rows = materialize(self._conform(batch), "batch")  # the batch is evaluated once
+        rows = None
         while True:
-            number = commits.last(self.spark, self.path)
-            commits.finish(self.spark, self.path, number)  # a taken commit may wait for its files
-            checked = materialize(self._checked(rows), "batch-keys")  # written before the table changes
-            bad = self._conflicts(checked)
-            if on_conflict == "refuse" and not bad.isEmpty():
-                return AppendResult(False, bad, rows.withColumn("Reason", F.lit("batch refused")))
-            new = checked.where("NOT Held").select(*self.key, "kept.*").select(*rows.columns)
+            number = self.version()
+            if number == clear_at:
+                new = self._conform(batch)
+                dropped = new.withColumn("Reason", F.lit(R_KEY_EXISTS)).where(F.lit(False))
+                bad = dropped.select(*self.key, "Reason")
+            else:
+                if rows is None:
+                    rows = materialize(self._conform(batch), "batch")  # the batch is evaluated once
+                checked = materialize(self._checked(rows), "batch-keys")  # written before the table changes
+                bad, dropped = self._conflicts(checked), self._dropped(rows, checked)
+                if on_conflict == "refuse" and not bad.isEmpty():
+                    return AppendResult(False, bad, rows.withColumn("Reason", F.lit("batch refused")))
+                new = checked.where("NOT Held").select(*self.key, "kept.*").select(*rows.columns)
             stage = f"{self.path}/_stage/{uuid.uuid4().hex}"
             self._write(new, "overwrite", stage)
             if commits.take(self.spark, self.path, number + 1, stage):
                 commits.finish(self.spark, self.path, number + 1)
-                return AppendResult(True, bad, self._dropped(rows, checked))
+                return AppendResult(True, bad, dropped)
             commits.delete(self.spark, stage)

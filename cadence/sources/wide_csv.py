@@ -351,6 +351,8 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
         "Report", F.col("Kind").alias("DataType"), F.get("Cells", F.col("Entity") - 1).alias("Name"),
         (F.size("Cells") > F.col("Width")).alias("Ragged"), "Cells", F.explode("Periods").alias("p"),
     ).withColumn("Cell", F.get("Cells", F.col("p.pos")))
+    if not keep_zero:  # most cells of a dense report; a ragged row stays, as it refuses its report
+        cells = cells.where(F.col("Ragged") | (F.col("Cell") != "0"))
     # a cell is matched once; only what is no whole number is looked at as a number (see ``coerce_count``, ``is_fractional``)
     cells = cells.withColumn("Whole", parse_integer("Cell")).withColumn("Number", F.when(F.col("Whole").isNull(), parse_number("Cell")))
     count = F.coalesce("Whole", F.col("Number").try_cast("bigint"), F.lit(0).cast("bigint"))
@@ -361,7 +363,11 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
         F.coalesce(F.col("Whole") > 0, F.col("Number") > 0, F.lit(False)).alias("Positive"), F.coalesce(fractional, F.lit(False)).alias("Fractional"),
     )
     seen = Observation()
-    cells = materialize(cells.observe(seen, F.count_if("Ragged").alias("ragged"), F.count_if("Fractional").alias("fractional")), "cells")
+    cells = cells.observe(seen, F.count_if("Ragged").alias("ragged"), F.count_if("Fractional").alias("fractional"))
+    fact = F.col("Name").isNotNull() & F.col("Positive")
+    if not keep_zero:  # above ``observe``: below it this would match a cell a second time
+        cells = cells.where(fact | F.col("Ragged") | F.col("Fractional"))
+    cells = materialize(cells, "cells")
     # counts of a task that ran twice may count twice; they only tell whether there is anything to look for
     found = seen.get
     none = F.lit(False)
@@ -372,7 +378,7 @@ def load_reports(spark: SparkSession, source: str | Iterable[str], axis: str, ke
     warnings = cells.where(F.col("Fractional") if found.get("fractional") else none).groupBy("Report").agg(F.count(F.lit(1)).alias("Cells"))
     warnings = warnings.select("Report", F.lit(R_FRACTIONAL).alias("Reason"), "Cells")
     if not keep_zero:
-        cells = cells.where(F.col("Name").isNotNull() & F.col("Positive"))
+        cells = cells.where(fact)
     if axis == "annual":
         facts = cells.select("Name", "DataType", "Year", value, "Report")
     else:

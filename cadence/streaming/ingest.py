@@ -12,7 +12,8 @@ file-by-file insert would; so the store does not depend on how many files a batc
 Fault tolerance: the stream's offsets live in a checkpoint folder on shared
 storage. A batch writes its decision (which reports it takes, which it refuses and
 why) under its number before it appends, and a replayed batch finds that decision
-again; the append skips keys that a first try has already written. A growth table, if one is
+again; the append skips keys that a first try has already written. Keys meet the store once a batch, for the decision: the append of
+a new decision checks again only if another writer has come between. A growth table, if one is
 named, follows after each batch: only the entities that the batch added facts of are computed anew. So does a
 dictionary of names.
 """
@@ -77,7 +78,7 @@ def _decide(spark: SparkSession, store: FactStore, loaded: wide_csv.Loaded) -> D
     rows = loaded.by_report
     refused = wide_csv.refused_reports(rows, store.key)
     rest = rows.join(refused.select("Report"), "Report", "left_anti")
-    clash = rest.join(store.read().select(*store.key), store.key, "left_semi").select("Report", F.lit(R_STORED).alias("Reason")).distinct()
+    clash = store.holders(rest, "Report").select("Report", F.lit(R_STORED).alias("Reason"))
     out = materialize(loaded.rejects.unionByName(refused).unionByName(clash), "ingest-refused")
     taken = rows.select("Report").distinct().join(out.select("Report"), "Report", "left_anti")
     return out.unionByName(taken.withColumn("Reason", F.lit(None).cast("string")))
@@ -93,13 +94,15 @@ def make_batch_writer(cfg: IngestConfig):
         store = _store(spark, cfg)
         loaded = wide_csv.load_reports(spark, paths, cfg.axis, keep_zero=cfg.keep_zero)
         decided = f"{cfg.rejects_path}-decisions/batch={int(epoch_id)}"
+        clear_at = None  # a replayed batch may be stored in part
         if not path_exists(spark, f"{decided}/_SUCCESS"):
+            clear_at = store.version()  # before the table is read: what comes later is checked by the append
             _decide(spark, store, loaded).write.mode("overwrite").parquet(decided)
         decision = spark.read.schema(_DECISION).parquet(decided)
         refused = decision.where(F.col("Reason").isNotNull())
         refused.coalesce(1).write.mode("overwrite").parquet(f"{cfg.rejects_path}/batch={int(epoch_id)}")
         taken = loaded.by_report.join(decision.where(F.col("Reason").isNull()).select("Report"), "Report", "left_semi")
-        store.append(taken.drop("Report"), on_conflict="skip")
+        store.append(taken.drop("Report"), on_conflict="skip", clear_at=clear_at)
         if cfg.growth_path:
             growth_table(spark, cfg).refresh(taken)
         if cfg.names_path:

@@ -63,3 +63,11 @@ def test_chain_of_a_thousand_reports_in_few_jobs(spark):
 def test_nothing_clashes(spark):
     assert refused(spark, [("a", 1), ("b", 2)]) == set()
     assert settle.refused(spark.createDataFrame([], "Report string, Name string"), ["Name"]).collect() == []
+
+
+def test_keys_decide_where_hashes_agree(spark, monkeypatch):
+    real = settle.F.xxhash64
+    rows = mixed(5)
+    monkeypatch.setattr(settle.F, "xxhash64", lambda *c: settle.F.pmod(real(*c), settle.F.lit(7)))
+    assert refused(spark, rows) == plain(rows)
+    assert refused(spark, [("a", 1), ("b", 2), ("c", 9)]) == set()

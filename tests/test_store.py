@@ -187,3 +187,33 @@ def test_years_and_names_without_reading_facts(spark, tmp_dir):
     bounds = app.store_year_range(spark, tmp_dir, 2004)
     assert rows(bounds) == [(1999, 2005)] and "parquet" not in bounds._jdf.queryExecution().executedPlan().toString().lower()
     assert rows(names.read()) == [(MAKER_TYPE, n) for n in ("A", "B", "C, c")]
+
+
+@pytest.mark.parametrize("hashes", [None, 3])
+def test_holders_against_plain(spark, tmp_dir, monkeypatch, hashes):
+    """Which reports hold a stored key; keys decide, also where all hashes agree with a stored one."""
+    real = F.xxhash64
+    if hashes:
+        monkeypatch.setattr(F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(hashes)))
+    store = FactStore.annual(spark, f"{tmp_dir}/annual")
+    store.create(frame(spark, [(f"A{i}", 2020 + i % 3, i) for i in range(30)]))
+    data = [("clear", f"B{i}", 2020) for i in range(20)] + [("other year", f"A{i}", 2030 + i) for i in range(20)]
+    data += [("one", f"C{i}", 2021) for i in range(20)] + [("one", "A4", 2021), ("all", "A6", 2020), ("all", "A7", 2021), ("none", None, 2020)]
+    batch = spark.createDataFrame([(r, n, MAKER_TYPE, y) for r, n, y in data], "Report string, Name string, DataType string, Year int")
+    assert rows(store.holders(batch, "Report")) == [("all",), ("one",)]
+    assert rows(store.holders(batch.where("Report NOT IN ('one', 'all')"), "Report")) == []
+    assert rows(FactStore.annual(spark, f"{tmp_dir}/missing").holders(batch, "Report")) == []
+
+
+def test_append_clear_at_a_commit_checks_only_after_a_later_one(spark, tmp_dir, monkeypatch):
+    store = FactStore.annual(spark, f"{tmp_dir}/annual")
+    store.create(frame(spark, [("A", 2020, 1)]))
+    checks, was = [], FactStore._checked
+    monkeypatch.setattr(FactStore, "_checked", lambda self, rows: (checks.append(1), was(self, rows))[1])
+    at = store.version()
+    res = store.append(frame(spark, [("B", 2020, 2)]), clear_at=at)
+    assert res.appended and rows(res.dropped) == rows(res.conflicts) == [] and not checks
+    assert store.version() == at + 1
+    res = store.append(frame(spark, [("B", 2020, 9), ("C", 2020, 3)]), clear_at=at)  # B came after that commit
+    assert checks and rows(res.dropped, "Name", "Reason") == [("B", R_KEY_EXISTS)]
+    assert rows(store.read(), "Name", "Registrations") == [("A", 1), ("B", 2), ("C", 3)]

@@ -112,3 +112,20 @@ def test_ingest_keeps_growth(spark, tmp_dir):
         ingest_available(spark, cfg)
         table = growth_table(spark, cfg)
         assert rows(table.read()) == rows(table.full()) and table.read().count() > 0
+
+
+def test_a_batch_meets_the_store_once_and_a_replay_checks_again(spark, tmp_dir, monkeypatch):
+    landing = f"{tmp_dir}/landing"
+    cfg = IngestConfig(f"{landing}/*.csv", "monthly", f"{tmp_dir}/store", f"{tmp_dir}/rejects", f"{tmp_dir}/ckpt", 1)
+    checks, met, checked, holders = [], [], FactStore._checked, FactStore.holders
+    monkeypatch.setattr(FactStore, "_checked", lambda self, rows: (checks.append(1), checked(self, rows))[1])
+    monkeypatch.setattr(FactStore, "holders", lambda self, rows, by: (met.append(1), holders(self, rows, by))[1])
+    for year in (2022, 2023):
+        monthly_report(landing, "Maker", year, MONTHS12[:2], [("A", [1, 0]), ("B", [2, 3])])
+        ingest_available(spark, cfg)
+    assert (len(checks), len(met)) == (0, 2)
+    monthly_report(landing, "Maker", "z_Year_2023", MONTHS12[:1], [("B", [7])])  # a stored key of 2023
+    out = ingest_available(spark, cfg)
+    assert rows(spark.read.parquet(cfg.rejects_path), "Reason") == [("key exists in store",)] and not checks
+    make_batch_writer(cfg)(spark.createDataFrame([(f"file:{landing}/Y_Maker_X_Month_Wise_Year_2023.csv",)], "path string"), 1)
+    assert len(checks) == 1 and out.count() == FactStore.monthly(spark, cfg.store_path).read().count() == 6

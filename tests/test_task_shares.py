@@ -101,3 +101,31 @@ def test_key_check_goes_by_hash(spark, tmp_dir):
     checked = store._checked(batch)
     assert "SortAggregate" not in plan(checked)
     assert [(r.Month, r.n, r.kept[0], r.Held) for r in checked.orderBy("Month").collect()] == [("FEB", 2, 4, False), ("JAN", 1, 9, True)]
+
+
+def test_keys_that_do_not_clash_are_counted_by_hash_and_go_no_further(spark, monkeypatch):
+    seen = taken(monkeypatch, settle)
+    facts = lambda *r: spark.createDataFrame(list(r), "Report string, Name string, Year int")
+    assert rows(settle.refused(facts(("a", "x", 1), ("b", "y", 1), ("b", None, 1)), ["Name", "Year"])) == []
+    assert list(seen) == ["settle-hashes"]
+    assert rows(settle.refused(facts(("a", "x", 1), ("b", "x", 1), ("c", "z", 1)), ["Name", "Year"])) == [("b",)]
+    for name in ("settle-hashes", "settle-lists"):  # no lists of names where two numbers tell the reports
+        text = plan(seen[name][0])
+        assert "collect_list" not in text and "SortAggregate" not in text and "ObjectHash" not in text
+
+
+def test_cells_of_the_store_profile_are_facts_or_have_a_reason(spark, tmp_dir, monkeypatch):
+    """Zeros and empty cells of a dense report are not written; a ragged or fractional one is still told of."""
+    head = "Maker_Maker,Month Wise_JAN,Month Wise_FEB,Month Wise_MAR"
+    name = "Y_Maker_X_Month_Wise_Year_{}.csv".format
+    pathlib.Path(tmp_dir, name(2020)).write_text("\n".join([head, *(f"A{i},0,,{i}" for i in range(9)), "B,-1.5,0.5,00", ",4,4,4"]))
+    pathlib.Path(tmp_dir, name(2021)).write_text(f"{head}\nC,0,0,0,0\n")
+    pathlib.Path(tmp_dir, name(2022)).write_text(f"{head}\nD,x,0,-2\n")
+    seen = taken(monkeypatch, wide_csv)
+    loaded = wide_csv.load_reports(spark, tmp_dir, "monthly", keep_zero=False)
+    assert seen["cells"][1].count() == 8 + 2 + 3  # facts (one of them a fraction) and the fraction below 0, the ragged row's cells
+    assert rows(loaded.facts, "Name", "Month", "MonthlyRegistrations") == [*((f"A{i}", "MAR", i) for i in range(1, 9)), ("B", "FEB", 0)]
+    assert rows(loaded.warnings) == [(name(2020), wide_csv.R_FRACTIONAL, 2)]
+    assert rows(loaded.rejects) == [(name(2021), wide_csv.R_RAGGED)]
+    dense = wide_csv.load_reports(spark, tmp_dir, "monthly", keep_zero=True)
+    assert dense.facts.count() == 11 * 3 + 3
